@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import MATRIX_VALUES
 from shardfit.operators.projection import check_privacy, noise_draw, noise_sd
 from shardfit.operators.rows import is_sparse
@@ -172,7 +173,7 @@ class RowsFeed:
         return RowsFeed(self.layout, wanted)
 
     def __call__(self, batch):
-        layout = getattr(self.layout, "value", self.layout)  # broadcast or plain
+        layout = self.layout.value
         y = batch.column("y").to_numpy(zero_copy_only=False)
         names = batch.schema.names
         fold = batch.column("fold").to_numpy() if "fold" in names else np.zeros(len(y), int)
@@ -209,7 +210,7 @@ class DesignFeed:
 
 def block_design(rows: DataFrame, layout: BlockLayout) -> DataFrame:
     """Z_k of every row and block: ``row_id, y, block, z`` (and ``fold``). Narrow."""
-    feed = RowsFeed(rows.sparkSession.sparkContext.broadcast(layout))
+    feed = RowsFeed(Shared(rows.sparkSession, layout))
     source = feed_rows(rows, layout)
     folds = "fold" in source.columns
     schema = "row_id bigint, y double, block int, z array<double>" + (", fold int" if folds else "")

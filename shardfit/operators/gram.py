@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardfit.functions.shared import Shared
 from shardfit.operators.design import (
     BlockLayout, DesignFeed, RowsFeed, design_widths, feed_rows,
 )
@@ -93,7 +94,7 @@ def gram(design: DataFrame, n_folds: int = 1) -> DataFrame:
 def gram_rows(rows: DataFrame, layout: BlockLayout, n_folds: int = 1) -> DataFrame:
     """The same straight from rows; the design is never written out."""
     widths = {k: layout.width(k) for k in range(layout.n_blocks)}
-    feed = RowsFeed(rows.sparkSession.sparkContext.broadcast(layout))
+    feed = RowsFeed(Shared(rows.sparkSession, layout))
     source = feed_rows(rows, layout).drop("row_id")
     return _aggregate(source, feed, widths, n_folds)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shardfit.functions.losses import (
     check_loss, conjugate_column, logistic_error, loss_column, margin_error, squared_loss,
 )
+from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import MATRIX_VALUES, broadcast_if_small
 from shardfit.operators.design import dense_slices
 from shardfit.operators.rows import is_sparse, to_long
@@ -38,7 +39,7 @@ def predict(rows: DataFrame, coef: DataFrame, n_features: int) -> DataFrame:
     beta = np.zeros(n_features)
     found = coef.select("col", "beta").toPandas()
     beta[found["col"].to_numpy()] = found["beta"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(beta)
+    shared = Shared(rows.sparkSession, beta)
     data = "entries" if is_sparse(rows) else "features"
 
     def run(batches):
@@ -184,7 +185,7 @@ def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str) ->
         b = np.zeros((n_features, len(lams)))
         b[part["col"].to_numpy(), np.searchsorted(lams, part["lambda"].to_numpy())] = part["beta"]
         shared[int(fold)] = (lams, b)
-    table = rows.sparkSession.sparkContext.broadcast(shared)
+    table = Shared(rows.sparkSession, shared)
     data = "entries" if is_sparse(rows) else "features"
 
     def run(batches):

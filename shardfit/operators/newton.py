@@ -18,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions.shared import Shared
 from shardfit.operators.design import (
     BlockLayout, DesignFeed, RowsFeed, design_widths, feed_rows,
 )
@@ -184,13 +185,13 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
         left = {k: p for k, p in enumerate(problems) if not p.done}
         if not left:
             break
-        state = spark.sparkContext.broadcast(left)
+        state = Shared(spark, left)
         parts = None
         sizes = {k: widths[p.block] ** 2 for k, p in left.items()}
         for group in in_groups(sizes, TASK_VALUES):
             chosen = state
             if len(group) < len(left):
-                chosen = spark.sparkContext.broadcast({k: left[k] for k in group})
+                chosen = Shared(spark, {k: left[k] for k in group})
             blocks = sorted({left[k].block for k in group})
             tasks = task_limit(spark, sum(sizes[k] for k in group) // 2)
             part = source.coalesce(tasks).mapInArrow(
@@ -209,7 +210,7 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
             p.w, p.step = np.array(r["w"]), np.array(r["step"])
             p.width, p.gap, p.done = r["width"], r["gap"], r["done"]
             p.passes += 1
-        state.unpersist()
+        state.release()
     return problems
 
 
@@ -243,7 +244,7 @@ def fit_margin_rows(rows: DataFrame, layout: BlockLayout, loss: str, lambdas,
     costs a read of its part of the source.
     """
     widths = {k: layout.width(k) for k in range(layout.n_blocks)}
-    feed = RowsFeed(rows.sparkSession.sparkContext.broadcast(layout))
+    feed = RowsFeed(Shared(rows.sparkSession, layout))
     source = feed_rows(rows, layout).drop("row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         solved = _run(source, feed, widths, _problems(widths, lambdas, folds), loss,
