@@ -386,18 +386,18 @@ def assembled_coefficients(spark, d):
 
 def svm_naive_k64(spark, d):
     return _coef(fit_model(embedding_classes(spark, d), 64, 0, "hinge", 0.001, partitioner="range",
-                           stopping_gap=1e-13), digits=4)
+                           stopping_gap=1e-12), digits=4)
 
 
 def logistic_naive_k64(spark, d):
     return _coef(fit_model(embedding_classes(spark, d), 64, 0, "logistic", 0.01,
-                           partitioner="range", stopping_gap=1e-14))
+                           partitioner="range", stopping_gap=0.0))
 
 
 def logistic_path_k64(spark, d):
     rows = embedding_classes(spark, d)
     layout, blocks = _layout(rows, 64, 0)
-    return _coef(fit_path(rows, layout, blocks, "logistic", LAMBDAS, stopping_gap=1e-14))
+    return _coef(fit_path(rows, layout, blocks, "logistic", LAMBDAS, stopping_gap=0.0))
 
 
 def fit_svm(spark, d):
@@ -590,7 +590,7 @@ def fit_local_lambdas(spark, d):
 
 def logistic_cv(spark, d):
     cv = global_cv(embedding_classes(spark, d), [0.01, 0.1], 5, loss="logistic", n_blocks=64, q=0,
-                   partitioner="range", fit={"stopping_gap": 1e-14})
+                   partitioner="range", fit={"stopping_gap": 0.0})
     return cv.select("fold", "lambda", r6(F.col("error")).alias("error"))
 
 

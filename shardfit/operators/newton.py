@@ -27,6 +27,8 @@ from shardfit.operators.ridge import WEIGHTS, check_lambdas
 
 # fixed values: step lengths that a pass tries along the last direction, besides 1
 STEPS = np.concatenate([[0.0], 2.0 ** -np.arange(1, 25), [0.75, 0.9, 0.97]])
+# fixed values: step lengths at which a pass also takes gradient and curvature
+LENGTHS = {"hinge": (1.0, 0.4, 0.1), "logistic": (1.0,)}
 SCALARS, GRADIENT = -2, -1      # row index of the sums that are not curvature
 N, SMOOTH, LOSS, CONJUGATE, TRIALS = 0, 1, 2, 3, 4
 FIRST_WIDTH, LAST_WIDTH = 2.0, 1e-12
@@ -73,7 +75,7 @@ def _partials(feed, open_problems, loss):
         by_block = {}
         for pid, p in problems.items():
             by_block.setdefault(p.block, []).append(pid)
-        scalars, gradients, curvatures = {}, {}, {}
+        found = {}
         for batch in batches:
             for block, z, y, fold in feed(batch):
                 ids = by_block.get(block, ())
@@ -88,38 +90,39 @@ def _partials(feed, open_problems, loss):
                     train = fold != p.fold if p.fold else slice(None)
                     zt, yt = z[train], y[train]
                     base, along = both[train, at], both[train, len(ids) + at]
-                    value, t, curve = smooth(base + along, p.width)
-                    if loss == "hinge":
-                        true = np.maximum(1 - base - along, 0.0).sum()
-                        conjugate = -t.sum()
-                    else:
-                        true, conjugate = value.sum(), _entropy(t).sum()
-                    if p.step.any():
-                        trials = [smooth(base + s * along, p.width)[0].sum() for s in STEPS]
-                    else:
-                        trials = np.full(len(STEPS), value.sum())
-                    sums = np.concatenate([[len(yt), value.sum(), true, conjugate], trials])
-                    if pid in scalars:
-                        scalars[pid] += sums
-                        gradients[pid] += (t * yt) @ zt
-                        curvatures[pid] += (zt * curve[:, None]).T @ zt
-                    else:
-                        scalars[pid] = sums
-                        gradients[pid] = (t * yt) @ zt
-                        curvatures[pid] = (zt * curve[:, None]).T @ zt
-        for pid, sums in scalars.items():
-            m = len(gradients[pid])
-            i, j, v = upper_triangle(curvatures[pid], 0)
+                    moves = bool(p.step.any())
+                    for c, length in enumerate(LENGTHS[loss] if moves else (1.0,)):
+                        margin = base + length * along
+                        value, t, curve = smooth(margin, p.width)
+                        if loss == "hinge":
+                            true, conjugate = np.maximum(1 - margin, 0.0).sum(), -t.sum()
+                        else:
+                            true, conjugate = value.sum(), _entropy(t).sum()
+                        sums = [len(yt), value.sum(), true, conjugate]
+                        if c == 0:
+                            sums += [
+                                smooth(base + s * along, p.width)[0].sum() for s in STEPS
+                            ] if moves else [value.sum()] * len(STEPS)
+                        part = (np.array(sums), (t * yt) @ zt, (zt * curve[:, None]).T @ zt)
+                        if (pid, c) in found:
+                            for total, more in zip(found[pid, c], part):
+                                total += more
+                        else:
+                            found[pid, c] = part
+        for (pid, c), (sums, gradient, curvature) in found.items():
+            m = len(gradient)
+            i, j, v = upper_triangle(curvature, 0)
             i = np.concatenate([np.full(len(sums), SCALARS), np.full(m, GRADIENT), i])
             j = np.concatenate([np.arange(len(sums)), np.arange(m), j])
-            v = np.concatenate([sums, gradients[pid], v])
+            v = np.concatenate([sums, gradient, v])
             for low in range(0, len(v), BATCH):
                 s = slice(low, low + BATCH)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(v[s]), pid, np.int32)),
+                     pa.array(np.full(len(v[s]), c, np.int32)),
                      pa.array(i[s].astype(np.int32)), pa.array(j[s].astype(np.int32)),
                      pa.array(v[s])],
-                    ["problem", "i", "j", "v"],
+                    ["problem", "c", "i", "j", "v"],
                 )
     return run
 
@@ -130,42 +133,51 @@ def _advance(open_problems, loss, stopping_gap):
     def run(pdf):
         pid = int(pdf["problem"].iat[0])
         p = open_problems.value[pid]
-        i, j, v = (pdf[c].to_numpy() for c in ("i", "j", "v"))
+        c, i, j, v = (pdf[name].to_numpy() for name in ("c", "i", "j", "v"))
         m = len(p.w)
-        sums = np.zeros(TRIALS + len(STEPS))
+        sums = np.zeros((c.max() + 1, TRIALS + len(STEPS)))
         at = i == SCALARS
-        sums[j[at]] = v[at]
+        sums[c[at], j[at]] = v[at]
+        n, lam = sums[0, N], p.lam
+
+        def objective(length, total):
+            w = p.w + length * p.step
+            return total / n + 0.5 * lam * w @ w
+
+        tried = np.array([objective(s, t) for s, t in zip(STEPS, sums[0, TRIALS:])])
+        reached = [objective(s, t) for s, t in zip(LENGTHS[loss], sums[:, SMOOTH])]
+        best = int(np.argmin(reached))
+        here, least = reached[best], tried.min()
+
         slope = np.zeros(m)
-        at = i == GRADIENT
+        at = (i == GRADIENT) & (c == best)
         slope[j[at]] = v[at]
         curve = np.zeros((m, m))
-        at = i >= 0
+        at = (i >= 0) & (c == best)
         curve[i[at], j[at]] = v[at]
         curve[j[at], i[at]] = v[at]
 
-        n, lam = sums[N], p.lam
-        c = p.w + p.step
+        w = p.w + LENGTHS[loss][best] * p.step
         dual_w = slope / (n * lam)
-        gradient = lam * c - slope / n
-        gap = (sums[LOSS] / n + 0.5 * lam * c @ c
-               + 0.5 * lam * dual_w @ dual_w + sums[CONJUGATE] / n)
-        w, step, width, done = c, np.zeros(m), p.width, gap <= stopping_gap
-        if not done:
-            reached = sums[SMOOTH] / n + 0.5 * lam * c @ c
-            ends = p.w + STEPS[:, None] * p.step
-            tried = sums[TRIALS:] / n + 0.5 * lam * np.einsum("ij,ij->i", ends, ends)
-            if reached <= tried.min() + 1e-14 * max(1.0, abs(reached)):
-                step = -np.linalg.solve(curve / n + lam * np.eye(m), gradient)
-                gain = -gradient @ step
-                # rounding leaves nothing to win: keep the point, its gap is reported
-                settled = gain <= 1e-16 * max(1.0, abs(reached))
-                if loss == "hinge":
-                    if gain < gap:
-                        width = max(0.5 * p.width, LAST_WIDTH)
-                    settled = settled and p.width <= LAST_WIDTH
-                done = settled
-            else:
-                w = ends[int(np.argmin(tried))]
+        gap = (sums[best, LOSS] / n + 0.5 * lam * w @ w
+               + 0.5 * lam * dual_w @ dual_w + sums[best, CONJUGATE] / n)
+        gradient = lam * w - slope / n
+        step, width, done = np.zeros(m), p.width, gap <= stopping_gap
+        rounding = 1e-14 * max(1.0, abs(here))
+        if done or here <= least + rounding or (best and here - least < 0.3 * (tried[0] - least)):
+            step = -np.linalg.solve(curve / n + lam * np.eye(m), gradient)
+            gain = -gradient @ step
+            # rounding leaves nothing to win: keep the point, its gap is reported
+            settled = gain <= 1e-16 * max(1.0, abs(here))
+            if loss == "hinge":
+                if gain < gap:
+                    width = max(0.5 * p.width, LAST_WIDTH)
+                settled = settled and p.width <= LAST_WIDTH
+            elif gain < 1e-8 and (done or settled):
+                w = w + step  # the last step squares the remaining error
+            done = done or settled
+        else:
+            w = p.w + STEPS[int(np.argmin(tried))] * p.step
         return pd.DataFrame({
             "problem": [pid], "w": [w], "step": [step], "width": [width],
             "gap": [gap], "done": [bool(done)],
@@ -187,7 +199,7 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
             break
         state = Shared(spark, left)
         parts = None
-        sizes = {k: widths[p.block] ** 2 for k, p in left.items()}
+        sizes = {k: len(LENGTHS[loss]) * widths[p.block] ** 2 for k, p in left.items()}
         for group in in_groups(sizes, TASK_VALUES):
             chosen = state
             if len(group) < len(left):
@@ -195,11 +207,11 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
             blocks = sorted({left[k].block for k in group})
             tasks = task_limit(spark, sum(sizes[k] for k in group) // 2)
             part = source.coalesce(tasks).mapInArrow(
-                _partials(feed.only(blocks), chosen, loss), "problem int, i int, j int, v double"
+                _partials(feed.only(blocks), chosen, loss), "problem int, c int, i int, j int, v double"
             )
             parts = part if parts is None else parts.unionByName(part)
         moved = (
-            parts.groupBy("problem", "i", "j").agg(F.sum("v").alias("v"))
+            parts.groupBy("problem", "c", "i", "j").agg(F.sum("v").alias("v"))
             .groupBy("problem").applyInPandas(_advance(state, loss, stopping_gap), STATE)
             .collect()
         )
