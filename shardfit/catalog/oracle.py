@@ -12,10 +12,16 @@ CHECKSUM = (
     f"select row_id, any_value(y) as y, count(*) as n, {r6('sum((col+1)*x)')} as s "
     "from long where x<>0 group by row_id"
 )
-PIVOT8 = ", ".join(f"{r6(f'max(case when col={c} then x end)')} as x{c}" for c in range(8))
+
+
+def pivot8(digits: int = 6) -> str:
+    return ", ".join(
+        f"{r6(f'max(case when col={c} then x end)', digits)} as x{c}" for c in range(8))
+
+
 RANGE = f"select block, {r6('max(w)')} as range from widths join blocks using(col) group by block"
 WIDTHS = "widths as (select col, max(x)-min(x) as w from long group by col)"
-NAMED_SCALED = "select row_id, {y} as y, " + PIVOT8 + " from scaled group by row_id, y"
+NAMED_SCALED = "select row_id, {y} as y, " + pivot8() + " from scaled group by row_id, y"
 TEST_ROW = S.word("'3'", "'split'", "row_id") + "<858993459"
 
 # long of the documents with its zeros, for dense elimination
@@ -209,7 +215,7 @@ def build() -> dict[str, str]:
     q["scaled_features"] = query(S.LI, S.SCALED, select=NAMED_SCALED.format(y=r6("y")))
     q["centered_features"] = query(
         S.LI, "scaled as (select row_id, y, col, x-avg(x) over (partition by col) as x from long)",
-        select=NAMED_SCALED.format(y=r6("y")),
+        select=f"select row_id, {r6('y')} as y, {pivot8(9)} from scaled group by row_id, y",
     )
     q["scaled_response"] = query(
         S.LI, select="select row_id, "

@@ -189,7 +189,7 @@ def scaled_features(spark, d):
 
 
 def centered_features(spark, d):
-    return wide(center_scale(lineitem_rows(spark, d), features=(True, False)), LI_P)
+    return wide(center_scale(lineitem_rows(spark, d), features=(True, False)), LI_P, 9)
 
 
 def scaled_response(spark, d):

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardfit.functions.hashing import WORD, hash_word
-from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.rows import is_sparse
 
 RANK_BUCKETS = 4096        # hash ranges that are ranked apart from each other
@@ -123,7 +122,14 @@ def assign_blocks(spark: SparkSession, n_features: int, n_blocks: int, mode: str
             raise ValueError(f"the block map names {found[0]} blocks, {n_blocks} are asked for")
         if tuple(found[1:]) != (n_features, n_features, 0, n_features - 1):
             raise ValueError(f"the block map must list every column 0..{n_features - 1} once")
-        return block_map.select(F.col("col").cast("int"), F.col("block").cast("int"))
+        # blocks are numbered 0..K-1 in the order of their ids
+        ids = block_map.select("block").distinct()
+        numbered = ids.select(
+            "block", (F.row_number().over(Window.orderBy("block")) - 1).alias("number")
+        )
+        return block_map.join(F.broadcast(numbered), "block").select(  # K records
+            F.col("col").cast("int"), F.col("number").cast("int").alias("block")
+        )
     if not 1 <= n_blocks <= n_features:
         raise ValueError(f"{n_features} features cannot fill {n_blocks} blocks")
     cols = feature_index(spark, n_features)
