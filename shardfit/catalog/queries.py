@@ -386,7 +386,7 @@ def assembled_coefficients(spark, d):
 
 def svm_naive_k64(spark, d):
     return _coef(fit_model(embedding_classes(spark, d), 64, 0, "hinge", 0.001, partitioner="range",
-                           stopping_gap=1e-12), digits=4)
+                           stopping_gap=1e-11), digits=4)
 
 
 def logistic_naive_k64(spark, d):

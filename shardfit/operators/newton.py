@@ -6,7 +6,8 @@ return to the driver. Each pass also yields feasible dual values, so every fit
 carries its duality gap and stops on it.
 
 The hinge is followed along (s + sqrt(s^2 + 4 d^2)) / 2 with s = 1 - margin and a
-width d that halves as the steps succeed; the gap is that of the hinge itself.
+width d that shrinks once a fit is centred, each time with a step towards the
+optimum of the next width. The gap is that of the hinge itself.
 """
 
 from dataclasses import dataclass, field
@@ -28,10 +29,12 @@ from shardfit.operators.ridge import WEIGHTS, check_lambdas
 # fixed values: step lengths that a pass tries along the last direction, besides 1
 STEPS = np.concatenate([[0.0], 2.0 ** -np.arange(1, 25), [0.75, 0.9, 0.97]])
 # fixed values: step lengths at which a pass also takes gradient and curvature
-LENGTHS = {"hinge": (1.0, 0.4, 0.1), "logistic": (1.0,)}
-SCALARS, GRADIENT = -2, -1      # row index of the sums that are not curvature
+LENGTHS = {"hinge": (1.0, 0.3), "logistic": (1.0,)}
+# duality gaps at which a fit stops unless told otherwise
+STOPPING_GAPS = {"hinge": 1e-6, "logistic": 1e-12}
+SCALARS, SLOPES = -3, (-2, -1)  # row index of the sums that are not curvature
 N, SMOOTH, LOSS, CONJUGATE, TRIALS = 0, 1, 2, 3, 4
-FIRST_WIDTH, LAST_WIDTH = 2.0, 1e-12
+FIRST_WIDTH, LAST_WIDTH, SHRINK = 2.0, 1e-9, 0.2
 
 
 @dataclass
@@ -50,15 +53,24 @@ class Problem:
 
 
 def _hinge(margin, width):
+    """Value, dual value, curvature, and change of the dual value with the width."""
     s = 1.0 - margin
     root = np.sqrt(s * s + 4 * width * width)
-    return 0.5 * (s + root), 0.5 * (1 + s / root), 2 * width * width / root ** 3
+    bend = 2 * width / root ** 3
+    return 0.5 * (s + root), 0.5 * (1 + s / root), width * bend, -s * bend
 
 
 def _logistic(margin, width):
     value = np.logaddexp(0.0, -margin)
     t = np.exp(-np.logaddexp(0.0, margin))  # 1 / (1 + exp(margin)) without overflow
-    return value, t, t * (1 - t)
+    return value, t, t * (1 - t), None
+
+
+def _value(loss, margin, width):
+    if loss == "hinge":
+        s = 1.0 - margin
+        return 0.5 * (s + np.sqrt(s * s + 4 * width * width))
+    return np.logaddexp(0.0, -margin)
 
 
 def _entropy(t):
@@ -93,28 +105,32 @@ def _partials(feed, open_problems, loss):
                     moves = bool(p.step.any())
                     for c, length in enumerate(LENGTHS[loss] if moves else (1.0,)):
                         margin = base + length * along
-                        value, t, curve = smooth(margin, p.width)
+                        value, t, curve, drift = smooth(margin, p.width)
                         if loss == "hinge":
                             true, conjugate = np.maximum(1 - margin, 0.0).sum(), -t.sum()
                         else:
                             true, conjugate = value.sum(), _entropy(t).sum()
                         sums = [len(yt), value.sum(), true, conjugate]
                         if c == 0:
-                            sums += [
-                                smooth(base + s * along, p.width)[0].sum() for s in STEPS
-                            ] if moves else [value.sum()] * len(STEPS)
-                        part = (np.array(sums), (t * yt) @ zt, (zt * curve[:, None]).T @ zt)
+                            ends = base[:, None] + along[:, None] * STEPS if moves else base[:, None]
+                            sums += list(_value(loss, ends, p.width).sum(axis=0)
+                                         + np.zeros(len(STEPS)))
+                        slopes = [(t * yt) @ zt]
+                        if drift is not None:
+                            slopes.append((drift * yt) @ zt)
+                        part = (np.array(sums), np.array(slopes),
+                                (zt * curve[:, None]).T @ zt)
                         if (pid, c) in found:
                             for total, more in zip(found[pid, c], part):
                                 total += more
                         else:
                             found[pid, c] = part
-        for (pid, c), (sums, gradient, curvature) in found.items():
-            m = len(gradient)
+        for (pid, c), (sums, slopes, curvature) in found.items():
             i, j, v = upper_triangle(curvature, 0)
-            i = np.concatenate([np.full(len(sums), SCALARS), np.full(m, GRADIENT), i])
-            j = np.concatenate([np.arange(len(sums)), np.arange(m), j])
-            v = np.concatenate([sums, gradient, v])
+            i = np.concatenate([np.full(len(sums), SCALARS),
+                                *[np.full(len(g), SLOPES[k]) for k, g in enumerate(slopes)], i])
+            j = np.concatenate([np.arange(len(sums)), *[np.arange(len(g)) for g in slopes], j])
+            v = np.concatenate([sums, *slopes, v])
             for low in range(0, len(v), BATCH):
                 s = slice(low, low + BATCH)
                 yield pa.RecordBatch.from_arrays(
@@ -149,9 +165,10 @@ def _advance(open_problems, loss, stopping_gap):
         best = int(np.argmin(reached))
         here, least = reached[best], tried.min()
 
-        slope = np.zeros(m)
-        at = (i == GRADIENT) & (c == best)
-        slope[j[at]] = v[at]
+        slope, drift = np.zeros(m), np.zeros(m)
+        for index, vector in zip(SLOPES, (slope, drift)):
+            at = (i == index) & (c == best)
+            vector[j[at]] = v[at]
         curve = np.zeros((m, m))
         at = (i >= 0) & (c == best)
         curve[i[at], j[at]] = v[at]
@@ -165,13 +182,16 @@ def _advance(open_problems, loss, stopping_gap):
         step, width, done = np.zeros(m), p.width, gap <= stopping_gap
         rounding = 1e-14 * max(1.0, abs(here))
         if done or here <= least + rounding or (best and here - least < 0.3 * (tried[0] - least)):
-            step = -np.linalg.solve(curve / n + lam * np.eye(m), gradient)
+            system = curve / n + lam * np.eye(m)
+            step = -np.linalg.solve(system, gradient)
             gain = -gradient @ step
             # rounding leaves nothing to win: keep the point, its gap is reported
             settled = gain <= 1e-16 * max(1.0, abs(here))
             if loss == "hinge":
-                if gain < gap:
-                    width = max(0.5 * p.width, LAST_WIDTH)
+                if gain <= (sums[best, SMOOTH] - sums[best, LOSS]) / n:
+                    # centred for this width: aim at the optimum of a smaller one
+                    width = max(SHRINK * p.width, LAST_WIDTH)
+                    step = -np.linalg.solve(system, gradient - (width - p.width) * drift / n)
                 settled = settled and p.width <= LAST_WIDTH
             elif gain < 1e-8 and (done or settled):
                 w = w + step  # the last step squares the remaining error
@@ -193,6 +213,8 @@ STATE = ("problem int, w array<double>, step array<double>, width double, "
 def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_iter,
          stopping_gap) -> list[Problem]:
     spark = source.sparkSession
+    if stopping_gap is None:
+        stopping_gap = STOPPING_GAPS[loss]
     for _ in range(max_iter):
         left = {k: p for k, p in enumerate(problems) if not p.done}
         if not left:
@@ -249,7 +271,8 @@ def _weights(spark, problems: list[Problem]) -> DataFrame:
 
 
 def fit_margin_rows(rows: DataFrame, layout: BlockLayout, loss: str, lambdas,
-                    folds=(0,), max_iter: int = 100, stopping_gap: float = 1e-6) -> DataFrame:
+                    folds=(0,), max_iter: int = 100,
+                    stopping_gap: float | None = None) -> DataFrame:
     """Weights of Z_k for hinge or logistic loss, straight from rows.
 
     The rows are kept in memory or on local disk for the passes; a lost executor
@@ -267,7 +290,7 @@ def fit_margin_rows(rows: DataFrame, layout: BlockLayout, loss: str, lambdas,
 
 
 def fit_margin_design(design: DataFrame, loss: str, lambdas, folds=(0,), max_iter: int = 100,
-                      stopping_gap: float = 1e-6) -> DataFrame:
+                      stopping_gap: float | None = None) -> DataFrame:
     """The same from a published design table."""
     keep = ["block", "y", "z"] + (["fold"] if "fold" in design.columns else [])
     source = design.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
@@ -280,12 +303,13 @@ def fit_margin_design(design: DataFrame, loss: str, lambdas, folds=(0,), max_ite
     return _weights(design.sparkSession, solved)
 
 
-def fit_svm(design: DataFrame, lam, max_iter: int = 100, stopping_gap: float = 1e-6) -> DataFrame:
+def fit_svm(design: DataFrame, lam, max_iter: int = 100,
+            stopping_gap: float | None = None) -> DataFrame:
     """Minimiser of (1/n) sum max(0, 1 - y z w) + (lambda/2) |w|^2 per block."""
     return fit_margin_design(design, "hinge", lam, (0,), max_iter, stopping_gap)
 
 
 def fit_logistic(design: DataFrame, lam, max_iter: int = 100,
-                 stopping_gap: float = 1e-12) -> DataFrame:
+                 stopping_gap: float | None = None) -> DataFrame:
     """Minimiser of (1/n) sum log(1 + exp(-y z w)) + (lambda/2) |w|^2 per block."""
     return fit_margin_design(design, "logistic", lam, (0,), max_iter, stopping_gap)
