@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000     # rows of a small numeric table, about 64 MB
 MATRIX_VALUES = 32_000_000     # doubles of a matrix sent to every executor, 256 MB
-DENSE_WIDTH = 2_048            # widest design matrix solved by m x m systems
+DENSE_WIDTH = 4_096            # widest design matrix solved by m x m systems
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

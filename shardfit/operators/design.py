@@ -78,7 +78,7 @@ def block_layout(blocks: DataFrame, pi: DataFrame | None = None, q: int = 0,
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    found = blocks.orderBy("block", "col").toPandas()
+    found = blocks.select("block", "col").toPandas().sort_values(["block", "col"])
     p = len(found)
     names = np.unique(found["block"].to_numpy())
     if not np.array_equal(names, np.arange(len(names))):

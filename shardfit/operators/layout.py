@@ -137,8 +137,9 @@ def assign_blocks(spark: SparkSession, n_features: int, n_blocks: int, mode: str
         block = F.floor(F.col("col").cast("bigint") * n_blocks / n_features)
         return cols.select("col", block.cast("int").alias("block"))
     if mode == "random":
-        ranked = hash_rank(cols, hash_word(seed, "block", F.col("col")), "col", "__rank")
-        return ranked.select("col", (F.col("__rank") % n_blocks).cast("int").alias("block"))
+        # one record per feature, not per row
+        dealt = F.row_number().over(Window.orderBy(hash_word(seed, "block", F.col("col")), "col"))
+        return cols.select("col", ((dealt - 1) % n_blocks).cast("int").alias("block"))
     raise ValueError(f"partitioner must be 'explicit', 'range' or 'random', got {mode!r}")
 
 

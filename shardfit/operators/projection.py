@@ -27,7 +27,8 @@ def sparse_projection_matrix(blocks: DataFrame, q: int, seed: int = 1,
 
 
 def check_width(blocks: DataFrame, q: int) -> None:
-    narrowest = blocks.groupBy("block").count().agg(F.min("count")).first()[0]
+    # one record per feature
+    narrowest = blocks.select("block").toPandas()["block"].value_counts().min()
     if q > narrowest:
         raise ValueError(
             f"projection dimension {q} exceeds the narrowest block, which has "

@@ -1,8 +1,8 @@
 """Centring, scaling and column ranges."""
 
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.sizes import broadcast_if_small
@@ -17,36 +17,39 @@ def column_stats(long: DataFrame) -> DataFrame:
     )
 
 
-def _scaler(fit_rows: DataFrame, center: bool, scale: bool):
-    vectors = fit_rows.select(array_to_vector("features").alias("__v"))
-    return StandardScaler(
-        inputCol="__v", outputCol="__s", withMean=center, withStd=scale
-    ).fit(vectors)
-
-
-def _apply(rows: DataFrame, scaler, y_mean: float, y_sd: float) -> DataFrame:
-    keep = [c for c in rows.columns if c not in ("y", "features")]
-    if scaler is not None:
-        rows = scaler.transform(rows.withColumn("__v", array_to_vector("features")))
-        rows = rows.withColumn("features", vector_to_array("__s"))
-    y = F.col("y")
-    if y_mean:
-        y = y - y_mean
-    if y_sd != 1.0:
-        # a constant response becomes zero, as a constant feature does
-        y = y / y_sd if y_sd else F.lit(0.0)
-    return rows.select("row_id", y.alias("y"), "features",
-                       *[c for c in keep if c != "row_id"])
-
-
-def _fit_apply(fit_rows, targets, features, response):
-    scaler = _scaler(fit_rows, *features) if any(features) else None
-    mean, sd = 0.0, 1.0
-    if any(response):
-        found = fit_rows.agg(F.avg("y"), F.stddev_samp("y")).first()
-        mean = found[0] if response[0] else 0.0
-        sd = (found[1] or 0.0) if response[1] else 1.0
-    return [_apply(t, scaler, mean, sd) for t in targets]
+def _statistics(rows: DataFrame, features, response):
+    """Means and deviations of features and response in one pass; vectors of feature length."""
+    parts = [F.avg("y").alias("y_mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("y_sd")]
+    if any(features):
+        summary = Summarizer.metrics("mean", "std").summary(array_to_vector("features"))
+        parts.append(summary.alias("s"))
+    found = rows.agg(*parts).first()
+    y_mean = found["y_mean"] if response[0] else None
+    y_sd = found["y_sd"] if response[1] else None
+    mean = found["s"]["mean"].toArray() if features[0] else None
+    sd = found["s"]["std"].toArray() if features[1] else None
+    return y_mean, y_sd, mean, sd
+
+
+def _standardize(x: Column, mean, sd) -> Column:
+    """A constant column, whose deviation is zero, becomes zero."""
+    if mean is not None:
+        x = x - mean
+    if sd is not None:
+        x = F.when(sd > 0, x / sd).otherwise(0.0)
+    return x
+
+
+def _apply(rows: DataFrame, statistics) -> DataFrame:
+    y_mean, y_sd, mean, sd = statistics
+    y = _standardize(F.col("y"), *[None if v is None else F.lit(v) for v in (y_mean, y_sd)])
+    out = rows.withColumn("y", y)
+    x = F.col("features") if "features" in rows.columns else None
+    for values, single in ((mean, lambda v, m: _standardize(v, m, None)),
+                           (sd, lambda v, s: _standardize(v, None, s))):
+        if values is not None:
+            x = F.zip_with(x, F.lit(values.tolist()), single)
+    return out if x is None else out.withColumn("features", x)
 
 
 def center_scale(train: DataFrame, test: DataFrame | None = None,
@@ -64,30 +67,16 @@ def center_scale(train: DataFrame, test: DataFrame | None = None,
     sets = [train] if test is None else [train, test]
     if any(features) and any(is_sparse(s) for s in sets):
         raise ValueError("sparse rows cannot be centred or scaled by feature")
-    if any(is_sparse(s) for s in sets):
-        return _scale_response_only(sets, response, fit_on)
-    if fit_on == "train":
-        out = _fit_apply(train, sets, features, response)
+    if not any(features) and not any(response):
+        out = sets
+    elif fit_on == "train":
+        statistics = _statistics(train, features, response)
+        out = [_apply(s, statistics) for s in sets]
     else:
-        out = [_fit_apply(s, [s], features, response)[0] for s in sets]
+        out = [_apply(s, _statistics(s, features, response)) for s in sets]
     return out[0] if test is None else tuple(out)
 
 
-def _scale_response_only(sets, response, fit_on):
-    def stats(df):
-        found = df.agg(F.avg("y"), F.stddev_samp("y")).first()
-        return (found[0] if response[0] else 0.0), ((found[1] or 0.0) if response[1] else 1.0)
-
-    out = []
-    for df in sets:
-        if not any(response):
-            out.append(df)
-            continue
-        mean, sd = stats(df if fit_on == "each" else sets[0])
-        out.append(df.withColumn("y", (F.col("y") - mean) / sd if sd else F.lit(0.0)))
-    return out[0] if len(out) == 1 else tuple(out)
-
-
 def scale_long(long: DataFrame, n_features: int, center: bool = True,
                scale: bool = True) -> DataFrame:
     """The same for the long form: statistics by feature, joined back on the feature."""

@@ -29,7 +29,10 @@ def _estimator(loss: str, lam: float, y_sd: float, max_iter: int, tol: float):
 
 def fit_wide(design: DataFrame, loss: str, lambdas, folds=(0,), max_iter: int = 500,
              tol: float = 1e-10, parallelism: int = 4) -> DataFrame:
-    """Weights of Z_k by gradient methods, whose memory grows with m and not with m^2."""
+    """Weights of Z_k by gradient methods, whose memory grows with m and not with m^2.
+
+    Close but not exact for the hinge, whose kinks stop a gradient method early.
+    """
     check_loss(loss)
     design = design.persist(StorageLevel.MEMORY_AND_DISK)
     try:

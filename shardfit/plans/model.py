@@ -32,6 +32,8 @@ def model_layout(rows: DataFrame, n_blocks: int = 4, q: int = 200, projection: s
     spark = rows.sparkSession
     p = n_features or feature_count(rows)
     blocks = assign_blocks(spark, p, n_blocks, partitioner, seed, block_map)
+    # one record per feature: kept as a local table, which later joins read at no cost
+    blocks = spark.createDataFrame(blocks.toPandas(), "col int, block int")
     pi = None
     if q > 0 and n_blocks > 1:
         pi = projection_matrix(blocks, q, projection, seed)
