@@ -502,17 +502,17 @@ def _alphas(pred, loss):
 def dual_to_primal(spark, d):
     rows = embedding_classes(spark, d)
     alpha = _alphas(_fixed_pred(spark, d, rows), "squared")
-    v = M.dual_to_primal(to_long(rows), alpha, rows.count(), 0.1)
+    v = M.dual_to_primal(rows, alpha, rows.count(), 0.1)
     return v.select("col", r6(F.col("beta")).alias("beta"))
 
 
 def dual_objectives(spark, d):
     rows = embedding_classes(spark, d)
-    pred, long, n = _fixed_pred(spark, d, rows), to_long(rows), rows.count()
+    pred, n = _fixed_pred(spark, d, rows), rows.count()
 
     def one(loss):
         alpha = _alphas(pred, loss)
-        v = M.dual_to_primal(long, alpha, n, 0.1)
+        v = M.dual_to_primal(rows, alpha, n, 0.1)
         signed = pred.select("row_id", "y").join(alpha, "row_id")
         return M.dual_objective(signed, v, 0.1, loss).select(r6(F.col("dual")).alias("dual"))
 
@@ -521,9 +521,9 @@ def dual_objectives(spark, d):
 
 def duality_gaps(spark, d):
     rows = embedding_classes(spark, d)
-    pred, long, beta = _fixed_pred(spark, d, rows), to_long(rows), fixed_beta(spark, EMB_P)
+    pred, beta = _fixed_pred(spark, d, rows), fixed_beta(spark, EMB_P)
     return _per_loss(lambda loss: M.duality_gap(
-        long, pred, beta, _alphas(pred, loss), 0.1, loss
+        rows, pred, beta, _alphas(pred, loss), 0.1, loss
     ).select(*[r6(F.col(c)).alias(c) for c in ("primal", "dual", "gap")]))
 
 

@@ -4,10 +4,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardfit.functions.hashing import WORD, hash_word
-from shardfit.operators.rows import is_sparse
+from shardfit.functions.sizes import broadcast_if_small
+from shardfit.operators.rows import feature_count, is_sparse
 
-RANK_BUCKETS = 4096        # hash ranges that are ranked apart from each other
-ORDER_BUCKETS = 256        # id ranges that are numbered apart from each other
+RANK_BUCKETS = 65_536      # hash ranges that are ranked apart from each other
+QUANTILES = 256            # id ranges of about equal size
+RANGE_ROWS = 100_000       # rows that are numbered together, about
 CHUNK_VALUES = 4_000_000   # doubles of one transposed chunk, 32 MB
 ROW_CHUNK = 65_536         # most observations of one column in one chunk
 
@@ -87,10 +89,18 @@ def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFr
     Quantiles of the key cut it into ranges of about equal size; each range is
     numbered on its own and the counts of the ranges before it are added.
     """
-    quantiles = [i / ORDER_BUCKETS for i in range(1, ORDER_BUCKETS)]
-    bounds = df.agg(F.percentile_approx(key, quantiles, 10_000)).first()[0]
-    bounds = sorted(set(bounds)) if bounds else []
-    ranged = df.withColumn("__b", _search(F.col(key), bounds))
+    quantiles = [i / QUANTILES for i in range(QUANTILES + 1)]
+    n, found = df.agg(F.count("*"), F.percentile_approx(key, quantiles, 10_000)).first()
+    ends = sorted(set(found)) if found else [0]
+    low, high = F.lit(ends), F.lit(ends[1:] + [ends[-1] + 1])
+    # ranges of a large table are cut further, evenly between their ends
+    cuts = max(1, n // (QUANTILES * RANGE_ROWS))
+    at = F.col(key).cast("double")
+    share = (at - F.get(low, F.col("__q"))) / (F.get(high, F.col("__q")) - F.get(low, F.col("__q")))
+    cut = F.least(F.greatest(F.floor(share * cuts), F.lit(0)), F.lit(cuts - 1))
+    ranged = df.withColumn("__q", F.greatest(_search(F.col(key), ends) - 1, F.lit(0))).withColumn(
+        "__b", F.col("__q").cast("bigint") * cuts + cut
+    )
     counts = ranged.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select(
         "__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before")
@@ -98,9 +108,9 @@ def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFr
     within = F.row_number().over(Window.partitionBy("__b").orderBy(key))
     return (
         ranged.withColumn("__r", within)
-        .join(F.broadcast(before), "__b")  # at most ORDER_BUCKETS rows
+        .join(broadcast_if_small(before, QUANTILES * cuts), "__b")
         .withColumn(name, F.col("__before") + F.col("__r") - 1)
-        .drop("__b", "__r", "__before")
+        .drop("__q", "__b", "__r", "__before")
     )
 
 
@@ -168,7 +178,7 @@ def transpose(rows: DataFrame, n_features: int | None = None,
             .select("col", "chunk", F.col("__c.pos").alias("pos"), F.col("__c.x").alias("obs"))
         )
     if n_features is None:
-        n_features = rows.agg(F.max(F.size("features"))).first()[0] or 1
+        n_features = feature_count(rows)
     step = chunk_rows or max(1, min(ROW_CHUNK, CHUNK_VALUES // n_features))
     numbered = number_rows(rows.select("row_id", "features")).withColumn(
         "chunk", F.floor(F.col("pos") / step)

@@ -110,12 +110,16 @@ def dual_from_primal(pred: DataFrame, loss: str) -> DataFrame:
     return pred.select("row_id", alpha.alias("alpha"))
 
 
-def dual_to_primal(long: DataFrame, alpha: DataFrame, n: int, lam: float) -> DataFrame:
-    """X' alpha / (n lambda) per column; alpha carries the sign of the response."""
-    return (
-        long.join(alpha.select("row_id", "alpha"), "row_id")
-        .groupBy("col")
-        .agg((F.sum(F.col("x") * F.col("alpha")) / (n * lam)).alias("beta"))
+def dual_to_primal(rows: DataFrame, alpha: DataFrame, n: int, lam: float) -> DataFrame:
+    """X' alpha / (n lambda) per column; alpha carries the sign of the response.
+
+    Rows meet their dual values whole, before they are spread over columns; the
+    sums per column are formed before the shuffle.
+    """
+    joined = rows.join(alpha.select("row_id", "alpha"), "row_id")
+    long = joined if "col" in joined.columns else to_long(joined, keep_zeros=False)
+    return long.groupBy("col").agg(
+        (F.sum(F.col("x") * F.col("alpha")) / (n * lam)).alias("beta")
     )
 
 
@@ -137,7 +141,7 @@ def dual_objective(alpha: DataFrame, dual_coef: DataFrame, lam: float, loss: str
     )
 
 
-def duality_gap(long: DataFrame, pred: DataFrame, coef: DataFrame, alpha: DataFrame,
+def duality_gap(rows: DataFrame, pred: DataFrame, coef: DataFrame, alpha: DataFrame,
                 lam: float, loss: str) -> DataFrame:
     """Primal minus dual objective of given weights and feasible dual values.
 
@@ -152,7 +156,7 @@ def duality_gap(long: DataFrame, pred: DataFrame, coef: DataFrame, alpha: DataFr
         F.avg(conjugate_column(loss, y, _box(y, a, loss))).alias("conjugate"),
     ).first()
     norm = 0.5 * lam * _squared_norm(coef)
-    v = dual_to_primal(long, alpha, sums["n"], lam)
+    v = dual_to_primal(rows, alpha, sums["n"], lam)
     return v.agg(
         F.lit(sums["loss"] + norm).alias("primal"),
         (-0.5 * lam * F.sum(F.col("beta") * F.col("beta")) - sums["conjugate"]).alias("dual"),
@@ -167,7 +171,8 @@ def _row_error(y: np.ndarray, pred: np.ndarray, loss: str) -> np.ndarray:
     return 0.5 * np.abs(np.where(pred > 0, 1.0, -1.0) - y)
 
 
-def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str) -> DataFrame:
+def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str,
+                n_models: int) -> DataFrame:
     """Error of every (fold, lambda) model on the rows of its fold: ``fold, lambda, error``.
 
     One pass scores all models of a fold with one matrix product per batch and
@@ -175,8 +180,7 @@ def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str) ->
     the long form instead.
     """
     check_loss(loss)
-    models = coef.select("fold", "lambda").distinct().orderBy("fold", "lambda").toPandas()
-    if len(models) * n_features > MATRIX_VALUES:
+    if n_models * n_features > MATRIX_VALUES:
         return _fold_errors_joined(rows, coef, loss)
     found = coef.select("fold", "lambda", "col", "beta").toPandas()
     shared = {}

@@ -96,11 +96,14 @@ def to_long(rows: DataFrame, keep_zeros: bool = True) -> DataFrame:
 
 
 def feature_count(rows: DataFrame) -> int:
-    """Width of the data: the largest index seen, or the widest array."""
-    if is_sparse(rows):
-        width = F.max(F.array_max(F.transform("entries", lambda e: e["col"]))) + 1
-    elif "features" in rows.columns:
-        width = F.max(F.size("features"))
+    """Width of the data: that of the first row, or the largest index seen.
+
+    Dense rows are not scanned for it; the fits refuse a row of another width.
+    """
+    if "features" in rows.columns:
+        found = rows.select(F.size("features")).first()
+    elif is_sparse(rows):
+        found = rows.agg(F.max(F.array_max(F.transform("entries", lambda e: e["col"]))) + 1).first()
     else:
-        width = F.max("col") + 1
-    return int(rows.agg(width).first()[0] or 0)
+        found = rows.agg(F.max("col") + 1).first()
+    return int(found[0] or 0) if found else 0

@@ -1,6 +1,7 @@
 """Penalty selection by global and per-block cross-validation."""
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from shardfit.operators.gram import gram_rows, total_gram, train_and_test_gram
 from shardfit.operators.layout import assign_folds
 from shardfit.operators.metrics import fold_errors
 from shardfit.operators.ridge import (
-    check_lambdas, fit_ridge, own_coefficients, ridge_fold_errors,
+    WEIGHTS, check_lambdas, fit_ridge, own_coefficients, ridge_fold_errors,
 )
 from shardfit.plans.model import fit_weights, model_layout, widest
 
@@ -59,7 +60,7 @@ def global_cv(rows: DataFrame, grid, k: int = 5, seed: int = 1, loss: str = "squ
     layout, blocks = model_layout(folded, seed=seed, **model)
     weights = cv_weights(folded, layout, k, loss, lambdas, **(fit or {}))
     coef = own_coefficients(weights, blocks)
-    return fold_errors(folded, coef, layout.n_features, loss)
+    return fold_errors(folded, coef, layout.n_features, loss, k * len(lambdas))
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
@@ -113,14 +114,23 @@ def fit_local_lambda(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, gr
                      seed: int = 1, loss: str = "squared", fold_mode: str = "hash",
                      **options) -> DataFrame:
     """Coefficients where every block uses the penalty that its own validation chose."""
-    errors = local_cv(rows, layout, grid, k, seed, loss, fold_mode, **options)
-    chosen = {r["block"]: r["lambda"] for r in select_lambda(errors).collect()}
-    plain = rows.drop("fold")
+    check_loss(loss)
     if loss == "squared" and widest(layout) <= DENSE_WIDTH:
-        spark = rows.sparkSession
-        wanted = spark.createDataFrame(list(chosen.items()), "block int, lambda double")
-        path = fit_ridge(total_gram(gram_rows(plain, layout)), sorted(set(chosen.values())))
-        weights = path.join(wanted, ["block", "lambda"])
+        # one pass over the rows: the fold Grams give the errors and, summed, the final fits
+        folded = _with_folds(rows, k, seed, fold_mode)
+        grams = gram_rows(folded, layout, k).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            lambdas = grid_values(grid)
+            wanted = select_lambda(ridge_fold_errors(train_and_test_gram(grams), lambdas))
+            path = fit_ridge(total_gram(grams), lambdas)
+            fitted = path.join(wanted.select("block", "lambda"), ["block", "lambda"])
+            weights = rows.sparkSession.createDataFrame(  # one record per column of Z
+                fitted.select("fold", "block", "lambda", "i", "beta").toPandas(), WEIGHTS
+            )
+        finally:
+            grams.unpersist()
     else:
-        weights = fit_weights(plain, layout, loss, {b: [v] for b, v in chosen.items()}, **options)
+        errors = local_cv(rows, layout, grid, k, seed, loss, fold_mode, **options)
+        chosen = {r["block"]: [r["lambda"]] for r in select_lambda(errors).collect()}
+        weights = fit_weights(rows.drop("fold"), layout, loss, chosen, **options)
     return own_coefficients(weights, blocks).drop("fold")

@@ -9,7 +9,7 @@ from shardfit.operators import newton as N
 from shardfit.operators.design import block_design
 from shardfit.operators.metrics import dual_from_primal, duality_gap, predict
 from shardfit.operators.ridge import assemble_coefficients, own_coefficients
-from shardfit.operators.rows import to_long, to_sparse
+from shardfit.operators.rows import to_sparse
 from shardfit.operators.wide import fit_wide
 from shardfit.plans.evaluate import evaluate, report
 from shardfit.plans.model import fit_block, fit_model, fit_path, fit_weights, model_layout
@@ -170,11 +170,11 @@ def test_gap_is_zero_at_the_optimum_and_positive_elsewhere(data, loss):
     coef = fit_model(rows, 1, 0, loss, 0.2, **options)
     pred = predict(rows, coef, 7)
     alpha = dual_from_primal(pred, loss)
-    gap = duality_gap(to_long(rows), pred, coef, alpha, 0.2, loss).first()["gap"]
+    gap = duality_gap(rows, pred, coef, alpha, 0.2, loss).first()["gap"]
     assert abs(gap) < 1e-9
     worse = coef.withColumn("beta", F.col("beta") * 1.3)
     pred = predict(rows, worse, 7)
-    assert duality_gap(to_long(rows), pred, worse, dual_from_primal(pred, loss), 0.2, loss).first()["gap"] > 1e-4
+    assert duality_gap(rows, pred, worse, dual_from_primal(pred, loss), 0.2, loss).first()["gap"] > 1e-4
     with pytest.raises(ValueError, match="hinge"):
         dual_from_primal(pred, "hinge")
 

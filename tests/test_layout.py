@@ -110,3 +110,13 @@ def test_column_range_counts_missing_zeros(spark):
     sparse = column_range(to_long(to_sparse(rows)), blocks, 2).orderBy("block").collect()
     assert [r["range"] for r in dense] == [r["range"] for r in sparse] == [1.0, 1.0]
     assert column_stats(to_long(rows)).count() == 2
+
+
+def test_number_rows_with_cut_ranges(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE_ROWS", 1)
+    keys = [int(k) for k in np.random.default_rng(1).integers(-2**40, 2**60, 2000)] + [7, 8, 9]
+    df = spark.createDataFrame([(k,) for k in set(keys)], "row_id bigint").repartition(3)
+    found = L.number_rows(df).orderBy("row_id").collect()
+    assert [r.pos for r in found] == list(range(len(set(keys))))
+    assert L.number_rows(df.where("row_id = 7")).first().pos == 0
+    assert L.number_rows(df.where("row_id is null")).count() == 0
