@@ -1,9 +1,20 @@
-"""Values sent once to every executor."""
+"""Values sent once to every executor, and small tables brought to the driver and back."""
 
 import pickle
 
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def to_driver(df: DataFrame) -> pd.DataFrame:
+    """Collect a table whose size depends on the model and not on the rows."""
+    return df.toArrow().to_pandas()
+
+
+def from_driver(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFrame:
+    return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False), schema)
 
 
 class Shared:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.shared import Shared
+from shardfit.functions.shared import Shared, to_driver
 from shardfit.functions.sizes import MATRIX_VALUES
 from shardfit.operators.projection import check_privacy, noise_draw, noise_sd
 from shardfit.operators.rows import is_sparse
@@ -78,7 +78,7 @@ def block_layout(blocks: DataFrame, pi: DataFrame | None = None, q: int = 0,
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    found = blocks.select("block", "col").toPandas().sort_values(["block", "col"])
+    found = to_driver(blocks.select("block", "col")).sort_values(["block", "col"])
     p = len(found)
     names = np.unique(found["block"].to_numpy())
     if not np.array_equal(names, np.arange(len(names))):
@@ -91,7 +91,7 @@ def block_layout(blocks: DataFrame, pi: DataFrame | None = None, q: int = 0,
                 f"a {p} x {q} matrix is too large for every executor; "
                 "use long_design, which joins it to the data"
             )
-        entries = pi.select("col", "proj", "v").toPandas()
+        entries = to_driver(pi.select("col", "proj", "v"))
         matrix = np.zeros((p, q))
         matrix[entries["col"].to_numpy(), entries["proj"].to_numpy()] = entries["v"].to_numpy()
         layout.matrix = matrix
@@ -103,7 +103,7 @@ def add_noise(layout: BlockLayout, ranges: DataFrame, eps: float = 10.0, delta:
     """Switch on noise with one deviation per block, from the column range of the block."""
     check_privacy(eps, delta)
     if not layout.alone:
-        sd = ranges.select("block", noise_sd(F.col("range"), eps, delta).alias("sd")).toPandas()
+        sd = to_driver(ranges.select("block", noise_sd(F.col("range"), eps, delta).alias("sd")))
         layout.sigma = sd.set_index("block")["sd"].reindex(range(layout.n_blocks)).to_numpy()
         layout.noise_seed = seed
     return layout

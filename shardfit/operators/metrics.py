@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from shardfit.functions.losses import (
     check_loss, conjugate_column, logistic_error, loss_column, margin_error, squared_loss,
 )
-from shardfit.functions.shared import Shared
+from shardfit.functions.shared import Shared, to_driver
 from shardfit.functions.sizes import MATRIX_VALUES, broadcast_if_small
-from shardfit.operators.design import dense_slices
+from shardfit.operators.design import BlockLayout, RowsFeed, dense_slices, feed_rows
+from shardfit.operators.gram import in_groups
 from shardfit.operators.rows import is_sparse, to_long
 
 
@@ -37,7 +38,7 @@ def predict(rows: DataFrame, coef: DataFrame, n_features: int) -> DataFrame:
             sums.select("row_id", "pred"), "row_id", "left"
         ).withColumn("pred", F.coalesce("pred", F.lit(0.0)))
     beta = np.zeros(n_features)
-    found = coef.select("col", "beta").toPandas()
+    found = to_driver(coef.select("col", "beta"))
     beta[found["col"].to_numpy()] = found["beta"].to_numpy()
     shared = Shared(rows.sparkSession, beta)
     data = "entries" if is_sparse(rows) else "features"
@@ -182,7 +183,7 @@ def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str,
     check_loss(loss)
     if n_models * n_features > MATRIX_VALUES:
         return _fold_errors_joined(rows, coef, loss)
-    found = coef.select("fold", "lambda", "col", "beta").toPandas()
+    found = to_driver(coef.select("fold", "lambda", "col", "beta"))
     shared = {}
     for fold, part in found.groupby("fold"):
         lams = np.sort(part["lambda"].unique())
@@ -220,6 +221,64 @@ def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str,
     )
 
 
+def block_fold_errors(rows: DataFrame, layout: BlockLayout, weights: DataFrame,
+                      loss: str) -> DataFrame:
+    """Error of every block's own model on its held-out fold: ``block, fold, lambda, error``.
+
+    All columns of Z_k predict; squared error is standardised by the squared
+    deviation of the held-out response. Blocks whose weights do not fit on an
+    executor together are scored in further passes.
+    """
+    found = to_driver(weights.select("fold", "block", "lambda", "i", "beta"))
+    models, sizes = {}, {}
+    for (fold, block), part in found.groupby(["fold", "block"]):
+        lams = np.sort(part["lambda"].unique())
+        b = np.zeros((layout.width(int(block)), len(lams)))
+        b[part["i"].to_numpy(), np.searchsorted(lams, part["lambda"].to_numpy())] = part["beta"]
+        models[int(fold), int(block)] = (lams, b)
+        sizes[int(block)] = sizes.get(int(block), 0) + b.size
+    spark = rows.sparkSession
+    source = feed_rows(rows, layout).drop("row_id")
+    shape = Shared(spark, layout)
+    parts = None
+    for group in in_groups(sizes, MATRIX_VALUES):
+        table = Shared(spark, {key: m for key, m in models.items() if key[1] in group})
+        part = source.mapInArrow(
+            _block_sums(RowsFeed(shape, group), table, loss),
+            "block int, fold int, lambda double, n double, sy double, syy double, s double",
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    sums = parts.groupBy("block", "fold", "lambda").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sy", "syy", "s")]
+    )
+    scale = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n") if loss == "squared" else F.col("n")
+    return sums.select("block", "fold", "lambda", (F.col("s") / scale).alias("error"))
+
+
+def _block_sums(feed, table, loss):
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for block, z, y, fold in feed(batch):
+                for f in np.unique(fold):
+                    at = fold == f
+                    key = (int(f), block)
+                    errors = _row_error(y[at][:, None], z[at] @ table.value[key][1], loss)
+                    part = np.concatenate([
+                        [at.sum(), y[at].sum(), (y[at] ** 2).sum()], errors.sum(axis=0)
+                    ])
+                    sums[key] = sums[key] + part if key in sums else part
+        for (f, block), part in sums.items():
+            lams = table.value[f, block][0]
+            k = len(lams)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, block, np.int32)), pa.array(np.full(k, f, np.int32)),
+                 pa.array(lams), *[pa.array(np.full(k, v)) for v in part[:3]], pa.array(part[3:])],
+                ["block", "fold", "lambda", "n", "sy", "syy", "s"],
+            )
+    return run
+
+
 def _fold_errors_joined(rows: DataFrame, coef: DataFrame, loss: str) -> DataFrame:
     long = to_long(rows, keep_zeros=False)
     beta = coef.select("fold", "lambda", "col", "beta")

@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.shared import Shared
+from shardfit.functions.shared import Shared, from_driver, to_driver
 from shardfit.operators.design import (
     BlockLayout, DesignFeed, RowsFeed, design_widths, feed_rows,
 )
@@ -34,6 +34,7 @@ LENGTHS = {"hinge": (1.0, 0.3), "logistic": (1.0,)}
 STOPPING_GAPS = {"hinge": 1e-6, "logistic": 1e-12}
 SCALARS, SLOPES = -3, (-2, -1)  # row index of the sums that are not curvature
 N, SMOOTH, LOSS, CONJUGATE, TRIALS = 0, 1, 2, 3, 4
+DRIVER_VALUES = 1_000_000       # sums that the driver takes itself; more are solved by tasks
 FIRST_WIDTH, LAST_WIDTH, SHRINK = 2.0, 1e-9, 0.2
 
 
@@ -148,7 +149,7 @@ def _advance(open_problems, loss, stopping_gap):
 
     def run(pdf):
         pid = int(pdf["problem"].iat[0])
-        p = open_problems.value[pid]
+        p = (open_problems.value if isinstance(open_problems, Shared) else open_problems)[pid]
         c, i, j, v = (pdf[name].to_numpy() for name in ("c", "i", "j", "v"))
         m = len(p.w)
         sums = np.zeros((c.max() + 1, TRIALS + len(STEPS)))
@@ -232,17 +233,20 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
                 _partials(feed.only(blocks), chosen, loss), "problem int, c int, i int, j int, v double"
             )
             parts = part if parts is None else parts.unionByName(part)
-        moved = (
-            parts.groupBy("problem", "c", "i", "j").agg(F.sum("v").alias("v"))
-            .groupBy("problem").applyInPandas(_advance(state, loss, stopping_gap), STATE)
-            .collect()
-        )
+        sums = parts.groupBy("problem", "c", "i", "j").agg(F.sum("v").alias("v"))
+        if sum(sizes.values()) <= DRIVER_VALUES:
+            advance = _advance(left, loss, stopping_gap)
+            groups = to_driver(sums).groupby("problem")
+            moved = pd.concat([advance(g) for _, g in groups]) if len(groups) else pd.DataFrame()
+        else:
+            advance = _advance(state, loss, stopping_gap)
+            moved = to_driver(sums.groupBy("problem").applyInPandas(advance, STATE))
         if len(moved) < len(left):
             raise ValueError("a block or a training fold has no rows")
-        for r in moved:
+        for r in moved.to_dict("records"):
             p = problems[r["problem"]]
             p.w, p.step = np.array(r["w"]), np.array(r["step"])
-            p.width, p.gap, p.done = r["width"], r["gap"], r["done"]
+            p.width, p.gap, p.done = r["width"], r["gap"], bool(r["done"])
             p.passes += 1
         state.release()
     return problems
@@ -267,7 +271,7 @@ def _weights(spark, problems: list[Problem]) -> DataFrame:
         })
         for p in problems
     ])
-    return spark.createDataFrame(frame, WEIGHTS + ", gap double")
+    return from_driver(spark, frame, WEIGHTS + ", gap double")
 
 
 def fit_margin_rows(rows: DataFrame, layout: BlockLayout, loss: str, lambdas,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardfit.functions.hashing import hash_normal, hash_word, random_sign, sparse_sign
+from shardfit.functions.shared import to_driver
 from shardfit.functions.sizes import broadcast_if_small
 
 PROJECTIONS = ("SDCT", "sparse")
@@ -28,7 +29,7 @@ def sparse_projection_matrix(blocks: DataFrame, q: int, seed: int = 1,
 
 def check_width(blocks: DataFrame, q: int) -> None:
     # one record per feature
-    narrowest = blocks.select("block").toPandas()["block"].value_counts().min()
+    narrowest = to_driver(blocks.select("block"))["block"].value_counts().min()
     if q > narrowest:
         raise ValueError(
             f"projection dimension {q} exceeds the narrowest block, which has "

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.losses import check_loss
+from shardfit.functions.shared import from_driver
 from shardfit.operators.ridge import WEIGHTS, check_lambdas
 
 
@@ -64,4 +65,4 @@ def fit_wide(design: DataFrame, loss: str, lambdas, folds=(0,), max_iter: int =
             frames = [frame for part in pool.map(fit, jobs) for frame in part]
     finally:
         design.unpersist()
-    return design.sparkSession.createDataFrame(pd.concat(frames), WEIGHTS)
+    return from_driver(design.sparkSession, pd.concat(frames), WEIGHTS)

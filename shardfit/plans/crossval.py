@@ -5,12 +5,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardfit.functions.losses import check_loss, margin_error
+from shardfit.functions.losses import check_loss
+from shardfit.functions.shared import from_driver, to_driver
 from shardfit.functions.sizes import DENSE_WIDTH
-from shardfit.operators.design import BlockLayout, block_design
+from shardfit.operators.design import BlockLayout
 from shardfit.operators.gram import gram_rows, total_gram, train_and_test_gram
 from shardfit.operators.layout import assign_folds
-from shardfit.operators.metrics import fold_errors
+from shardfit.operators.metrics import block_fold_errors, fold_errors
 from shardfit.operators.ridge import (
     WEIGHTS, check_lambdas, fit_ridge, own_coefficients, ridge_fold_errors,
 )
@@ -94,20 +95,7 @@ def local_cv(rows: DataFrame, layout: BlockLayout, grid, k: int = 5, seed: int =
     if loss == "squared" and widest(layout) <= DENSE_WIDTH:
         return ridge_fold_errors(train_and_test_gram(gram_rows(folded, layout, k)), lambdas)
     weights = fit_weights(folded, layout, loss, lambdas, tuple(range(1, k + 1)), **options)
-    models = weights.groupBy("fold", "block", "lambda").agg(
-        F.array_sort(F.collect_list(F.struct("i", "beta"))).alias("w")  # one model, m records
-    ).select("fold", "block", "lambda", F.col("w.beta").alias("w"))
-    pred = F.aggregate(
-        F.arrays_zip("z", "w"), F.lit(0.0), lambda s, e: s + e["z"] * e["w"]
-    )
-    scored = block_design(folded, layout).join(models, ["fold", "block"]).select(
-        "block", "fold", "lambda", "y", pred.alias("pred")
-    )
-    by = scored.groupBy("block", "fold", "lambda")
-    if loss == "squared":
-        sq = (F.col("y") - F.col("pred")) * (F.col("y") - F.col("pred"))
-        return by.agg((F.sum(sq) / (F.var_pop("y") * F.count("*"))).alias("error"))
-    return by.agg(F.avg(margin_error(F.col("y"), F.col("pred"))).alias("error"))
+    return block_fold_errors(folded, layout, weights, loss)
 
 
 def fit_local_lambda(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, grid, k: int = 5,
@@ -124,8 +112,9 @@ def fit_local_lambda(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, gr
             wanted = select_lambda(ridge_fold_errors(train_and_test_gram(grams), lambdas))
             path = fit_ridge(total_gram(grams), lambdas)
             fitted = path.join(wanted.select("block", "lambda"), ["block", "lambda"])
-            weights = rows.sparkSession.createDataFrame(  # one record per column of Z
-                fitted.select("fold", "block", "lambda", "i", "beta").toPandas(), WEIGHTS
+            weights = from_driver(  # one record per column of Z
+                rows.sparkSession,
+                to_driver(fitted.select("fold", "block", "lambda", "i", "beta")), WEIGHTS,
             )
         finally:
             grams.unpersist()

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.losses import check_loss
+from shardfit.functions.shared import from_driver, to_driver
 from shardfit.functions.sizes import DENSE_WIDTH, MATRIX_VALUES
 from shardfit.operators.design import (
     BlockLayout, add_noise, block_design, block_layout, design_widths, long_design,
@@ -33,7 +34,7 @@ def model_layout(rows: DataFrame, n_blocks: int = 4, q: int = 200, projection: s
     p = n_features or feature_count(rows)
     blocks = assign_blocks(spark, p, n_blocks, partitioner, seed, block_map)
     # one record per feature: kept as a local table, which later joins read at no cost
-    blocks = spark.createDataFrame(blocks.toPandas(), "col int, block int")
+    blocks = from_driver(spark, to_driver(blocks), "col int, block int")
     pi = None
     if q > 0 and n_blocks > 1:
         pi = projection_matrix(blocks, q, projection, seed)

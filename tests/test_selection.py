@@ -49,13 +49,15 @@ def test_lambda_grid(spark):
         C.lambda_grid(spark, 1, 0)
 
 
-@pytest.mark.parametrize("loss", ["squared", "logistic", "hinge"])
-def test_global_cv_equals_fits_without_the_fold(data, loss):
+@pytest.mark.parametrize("loss, lambdas", [
+    ("squared", [0.05, 0.5]), ("logistic", [0.05, 0.5]), ("hinge", [2.0]),
+])
+def test_global_cv_equals_fits_without_the_fold(data, loss, lambdas):
     rows = assign_folds(data["reg" if loss == "squared" else "cls"], 3).cache()
     args = dict(n_blocks=2, q=2, projection="sparse", partitioner="range")
-    options = {} if loss == "squared" else {"stopping_gap": 1e-9}
-    cv = C.global_cv(rows, [0.05, 0.5], loss=loss, k=3, fit=options, **args).collect()
-    assert len(cv) == 6
+    options = {} if loss == "squared" else {"stopping_gap": 1e-8}
+    cv = C.global_cv(rows, lambdas, loss=loss, k=3, fit=options, **args).collect()
+    assert len(cv) == 3 * len(lambdas)
     for r in cv:
         train = rows.where(F.col("fold") != r["fold"]).drop("fold")
         coef = fit_model(train, loss=loss, lam=r["lambda"], **args, **options)
@@ -97,12 +99,22 @@ def test_local_cv_of_ridge_against_numpy(data):
         assert np.isclose(r["error"], expected)
 
 
+def test_local_scores_by_pass_equal_those_from_grams(data, monkeypatch):
+    layout, _ = model_layout(data["reg"], 2, 2, "sparse", "add", "range")
+    rows = assign_folds(data["reg"], 3)
+    a = C.local_cv(rows, layout, [0.1, 1.0], 3).orderBy("block", "fold", "lambda").collect()
+    weights = C.cv_weights(rows, layout, 3, "squared", [0.1, 1.0])
+    monkeypatch.setattr(M, "MATRIX_VALUES", 1)
+    b = M.block_fold_errors(rows, layout, weights, "squared").orderBy("block", "fold", "lambda").collect()
+    assert np.allclose([r.error for r in a], [r.error for r in b])
+
+
 def test_local_penalties(data):
     layout, blocks = model_layout(data["cls"], 2, 2, "sparse", "add", "range")
-    errors = C.local_cv(data["cls"], layout, [0.1, 1.0], 3, loss="hinge", stopping_gap=1e-6)
+    errors = C.local_cv(data["cls"], layout, [0.1, 1.0], 3, loss="hinge", stopping_gap=1e-3)
     chosen = {r["block"]: r["lambda"] for r in C.select_lambda(errors).collect()}
     coef = C.fit_local_lambda(data["cls"], layout, blocks, [0.1, 1.0], 3, loss="hinge",
-                              stopping_gap=1e-6).collect()
+                              stopping_gap=1e-3).collect()
     assert {r["block"]: r["lambda"] for r in coef} == chosen and len(coef) == 7
     ridge = C.fit_local_lambda(data["reg"], layout, blocks, C.lambda_grid(data["reg"].sparkSession), 3)
     assert ridge.count() == 7
