@@ -141,18 +141,42 @@ coef as (select fold, s.col, block, lambda, w as beta from steps s join blocks b
     ]
 
 
-# one-column hinge fit: the slope rises in w, so the root is the largest min(kink, root of piece)
-HINGE_1D = """
-sx as (select col, x*y as s, count(*) over (partition by col) as n from long),
-turn as (select col, case when sum(s)>=0 then 1.0 else -1.0 end as g from sx group by col),
-side as (select sx.col, s*g as s, g, n from sx join turn t on sx.col=t.col),
-fixed as (select col, any_value(g) as g, any_value(n) as n,
-  coalesce(sum(s) filter (where s<=0),0.0) as base from side group by col),
-kinks as (select s.col, f.g, 1/s as kink, (base+sum(s) over (partition by s.col order by s rows
-  between unbounded preceding and current row))/(f.n*0.001::double) as root
-  from side s join fixed f on s.col=f.col where s>0),
-coef as (select k.col, block, 0.001::double as lambda, any_value(g)*max(least(kink,root)) as beta
-  from kinks k join blocks b on k.col=b.col group by k.col, block)"""
+def hinge_1d(lambdas, folds: bool = False) -> list[str]:
+    """One-column hinge fits: the slope rises in w, so the root is the largest min(kink, root of piece)."""
+    grid = ",".join(f"({v}::double)" for v in lambdas)
+    if folds:
+        sx = """
+sides as (select distinct fold from folds),
+sx as (select s.fold, col, x*y as s, count(*) over (partition by s.fold, col) as n from long l
+  join folds f on f.row_id=l.row_id join sides s on s.fold<>f.fold)"""
+    else:
+        sx = "sx as (select 0 as fold, col, x*y as s, count(*) over (partition by col) as n from long)"
+    return [f"grid as (select * from (values {grid}) t(lambda))", sx, """
+turn as (select fold, col, case when sum(s)>=0 then 1.0 else -1.0 end as g from sx group by all),
+side as (select sx.fold, sx.col, s*g as s, g, n from sx join turn t on sx.fold=t.fold and sx.col=t.col),
+fixed as (select fold, col, any_value(g) as g, any_value(n) as n,
+  coalesce(sum(s) filter (where s<=0),0.0) as base from side group by fold, col),
+kinks as (select s.fold, s.col, f.g, 1/s as kink, (base+sum(s) over (partition by s.fold, s.col
+  order by s rows between unbounded preceding and current row))/f.n as pull
+  from side s join fixed f on s.fold=f.fold and s.col=f.col where s>0),
+coef as (select fold, k.col, block, lambda, any_value(g)*max(least(kink,pull/lambda)) as beta
+  from kinks k join blocks b on k.col=b.col, grid group by fold, k.col, block, lambda)"""]
+
+
+TWO_COLUMNS = """
+total as (select row_id, sum(r) as r from rp group by row_id),
+two as materialized (select l.row_id, l.y, l.col, l.x, t.r-coalesce(p.r,0.0) as s from long l
+  join total t on l.row_id=t.row_id left join rp p on p.row_id=l.row_id and p.block=l.col)"""
+NEWTON_2D = """
+steps as (select distinct col, 0 as it, 0.0::double as a, 0.0::double as b from two union all
+  select col, it+1, a-(h22*g1-h12*g2)/(h11*h22-h12*h12), b-(h11*g2-h12*g1)/(h11*h22-h12*h12)
+  from (select w.col, w.it, any_value(a) as a, any_value(b) as b,
+    0.05*any_value(a)-avg(x*y/(1+exp(y*(a*x+b*s)))) as g1,
+    0.05*any_value(b)-avg(s*y/(1+exp(y*(a*x+b*s)))) as g2,
+    0.05+avg(x*x*exp(y*(a*x+b*s))/(1+exp(y*(a*x+b*s)))^2) as h11,
+    avg(x*s*exp(y*(a*x+b*s))/(1+exp(y*(a*x+b*s)))^2) as h12,
+    0.05+avg(s*s*exp(y*(a*x+b*s))/(1+exp(y*(a*x+b*s)))^2) as h22
+    from steps w join two o on w.col=o.col where w.it<25 group by w.col, w.it))"""
 
 
 def positions(source: str) -> str:
@@ -290,10 +314,7 @@ rp as (select s.row_id, s.block, s.proj, coalesce(r,0.0) as r from slots s left
         + r6("sum(x*y)/(sum(x*x)+count(*)*0.05::double)") + " as beta from long group by col"
     )
     q["ridge_k64_q1"] = query(
-        S.EMB, B64, S.sparse_pi(1), S.RP, """
-total as (select row_id, sum(r) as r from rp group by row_id),
-two as (select l.row_id, l.y, l.col, l.x, t.r-coalesce(p.r,0.0) as s from long l
-  join total t on l.row_id=t.row_id left join rp p on p.row_id=l.row_id and p.block=l.col),
+        S.EMB, B64, S.sparse_pi(1), S.RP, TWO_COLUMNS, """
 sums as (select col, sum(x*x)+count(*)*0.05::double as a, sum(x*s) as b,
   sum(s*s)+count(*)*0.05::double as c, sum(x*y) as e, sum(s*y) as f from two group by col)""",
         select=f"select col, col as block, 0.1::double as lambda, {r6('(e*c-b*f)/(a*c-b*b)')} as beta from sums",
@@ -320,11 +341,15 @@ sums as (select col, sum(x*x)+count(*)*0.05::double as a, sum(x*s) as b,
         + r6("sum(x*y)/(sum(x*x)+count(*)*0.05::double)") + " else 0.0 end as beta from long group by col"
     )
     q["svm_naive_k64"] = query(
-        S.EMB_CLS, B64, HINGE_1D,
+        S.EMB_CLS, B64, *hinge_1d([0.001]),
         select=f"select col, block, lambda, {r6('beta', 4)} as beta from coef")
     q["logistic_naive_k64"] = query(S.EMB_CLS, B64, *newton([0.01]), select=COEF)
     q["logistic_path_k64"] = query(S.EMB_CLS, B64, *newton([0.1, 1.0, 4.4]), select=COEF)
 
+    q["logistic_k64_q1"] = query(
+        S.EMB_CLS, B64, S.sparse_pi(1), S.RP, TWO_COLUMNS, NEWTON_2D,
+        select=f"select col, col as block, 0.05::double as lambda, {r6('a')} as beta from steps where it=25")
+
     q["predict"] = query(S.EMB, FIXED64, select=f"select row_id, y, {r6('pred')} as pred from pred")
     q["predict_documents"] = query(
         S.DOCS, FIXED.format(p=1024), select=f"select row_id, y, {r6('pred')} as pred from pred")
@@ -403,6 +428,14 @@ coef as (select s.fold, col, lambda, sum(x*y)/(sum(x*x)+count(*)*0.5*lambda) as
         S.EMB_CLS, B64, FOLDS5, *newton([0.01, 0.1], folds=True),
         FOLD_ERROR.format(error="0.5*abs(case when pred>0 then 1.0 else -1.0 end-y)"),
         select=f"select fold, lambda, {r6('error')} as error from cv")
+    hinge = [S.EMB_CLS, B64, FOLDS5, *hinge_1d([0.001, 0.01], folds=True)]
+    q["svm_cv_k64"] = query(
+        *hinge, FOLD_ERROR.format(error=MARGIN),
+        select=f"select fold, lambda, {r6('error')} as error from cv")
+    q["local_cv_svm_k64"] = query(
+        *hinge, select="select block, c.fold, lambda, " + r6("avg(case when y*x*beta>0 then 0.0 else 1.0 end)")
+        + " as error from long l join folds f on l.row_id=f.row_id "
+        "join coef c on c.fold=f.fold and c.col=l.col group by block, c.fold, lambda")
     return q
 
 

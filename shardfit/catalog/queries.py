@@ -394,6 +394,12 @@ def logistic_naive_k64(spark, d):
                            partitioner="range", stopping_gap=0.0))
 
 
+def logistic_k64_q1(spark, d):
+    """One own column and one shared feature per block."""
+    return _coef(fit_model(embedding_classes(spark, d), 64, 1, "logistic", 0.05, "sparse",
+                           partitioner="range", stopping_gap=0.0))
+
+
 def logistic_path_k64(spark, d):
     rows = embedding_classes(spark, d)
     layout, blocks = _layout(rows, 64, 0)
@@ -594,6 +600,19 @@ def logistic_cv(spark, d):
     return cv.select("fold", "lambda", r6(F.col("error")).alias("error"))
 
 
+def svm_cv_k64(spark, d):
+    cv = global_cv(embedding_classes(spark, d), [0.001, 0.01], 5, loss="hinge", n_blocks=64, q=0,
+                   partitioner="range", fit={"stopping_gap": 1e-9})
+    return cv.select("fold", "lambda", r6(F.col("error")).alias("error"))
+
+
+def local_cv_svm_k64(spark, d):
+    rows = embedding_classes(spark, d)
+    layout, _ = _layout(rows, 64, 0)
+    cv = local_cv(rows, layout, [0.001, 0.01], 5, loss="hinge", stopping_gap=1e-9)
+    return cv.select("block", "fold", "lambda", r6(F.col("error")).alias("error"))
+
+
 def svm_cv(spark, d):
     """Shared features; no SQL form."""
     return global_cv(embedding_classes(spark, d), [0.1, 1.0], 5, loss="hinge", n_blocks=4, q=8,
@@ -621,11 +640,12 @@ QUERIES = {
         fit_model_ridge, fit_model_random_blocks, fit_model_concatenate, fit_model_private,
         fit_model_tall, fit_model_line_parts, fit_model_documents, fit_joined_documents,
         fit_path_ridge, assembled_coefficients, svm_naive_k64, logistic_naive_k64,
-        logistic_path_k64, fit_svm, fit_logistic,
+        logistic_path_k64, logistic_k64_q1, fit_svm, fit_logistic,
         predict, predict_documents, mse, standardized_mse, classification_error,
         classification_error_logistic, row_losses, average_losses, primal_objectives, dual_values,
         dual_to_primal, dual_objectives, duality_gaps, evaluate_ridge,
         ridge_cv_path, ridge_cv_summary, select_lambda_global, ridge_cv_tall, local_cv_ridge,
-        select_lambda_local, fit_local_lambdas, logistic_cv, svm_cv, local_cv_svm,
+        select_lambda_local, fit_local_lambdas, logistic_cv, svm_cv_k64, local_cv_svm_k64, svm_cv,
+        local_cv_svm,
     )
 }

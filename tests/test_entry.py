@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 # run by the driver's own comparison; left out here for their many passes
-SLOW = {"svm_naive_k64", "svm_cv", "local_cv_svm", "logistic_cv"}
+SLOW = {"svm_naive_k64", "svm_cv_k64", "local_cv_svm_k64", "logistic_cv"}
 
 
 @pytest.fixture(scope="module")
