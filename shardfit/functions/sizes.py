@@ -9,5 +9,9 @@ DENSE_WIDTH = 4_096            # widest design matrix solved by m x m systems
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Ask for a broadcast when a known row count allows it, else leave the join to Spark."""
-    return F.broadcast(df) if n_rows <= limit else df
+    """Broadcast when a known row count allows it, else join by sorting both sides.
+
+    Without the hint Spark could still broadcast the large table, as it
+    underestimates tables that grow by an explode.
+    """
+    return F.broadcast(df) if n_rows <= limit else df.hint("merge")

@@ -1,8 +1,11 @@
 """Splits, folds, row numbers, column blocks and the column-wise layout."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shardfit.functions.arrow import matrix_of
 from shardfit.functions.hashing import WORD, hash_word
 from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.rows import feature_count, is_sparse
@@ -43,7 +46,7 @@ def hash_rank(df: DataFrame, hashed: Column, key: str, name: str) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
     return (
         ranged.withColumn("__r", within)
-        .join(F.broadcast(before), "__b")  # at most RANK_BUCKETS rows
+        .join(F.broadcast(before), "__b", "left")  # at most RANK_BUCKETS rows
         .withColumn(name, F.col("__before") + F.col("__r") - 1)
         .drop("__h", "__b", "__r", "__before")
     )
@@ -108,7 +111,7 @@ def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFr
     within = F.row_number().over(Window.partitionBy("__b").orderBy(key))
     return (
         ranged.withColumn("__r", within)
-        .join(broadcast_if_small(before, QUANTILES * cuts), "__b")
+        .join(broadcast_if_small(before, QUANTILES * cuts), "__b", "left")
         .withColumn(name, F.col("__before") + F.col("__r") - 1)
         .drop("__q", "__b", "__r", "__before")
     )
@@ -183,16 +186,21 @@ def transpose(rows: DataFrame, n_features: int | None = None,
     numbered = number_rows(rows.select("row_id", "features")).withColumn(
         "chunk", F.floor(F.col("pos") / step)
     )
-    # whole rows are shuffled once; a chunk of at most `step` rows is then turned in place
-    chunks = numbered.groupBy("chunk").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "features"))).alias("__r")
-    )
-    columns = F.transform(
-        F.sequence(F.lit(0), F.lit(n_features - 1)),
-        lambda c: F.transform("__f", lambda f: F.get(f, c)),
-    )
-    return (
-        chunks.select("chunk", F.col("__r.features").alias("__f"))
-        .select("chunk", F.posexplode(columns).alias("col", "obs"))
-        .select("col", "chunk", (F.col("chunk") * step).alias("start"), "obs")
+
+    def turn(chunk: pa.Table) -> pa.Table:
+        order = np.argsort(chunk["pos"].to_numpy())
+        x = matrix_of(chunk["features"].combine_chunks(), n_features, "features")[order]
+        number = chunk["chunk"][0].as_py()
+        n = len(order)
+        ends = pa.array(np.arange(0, n * n_features + 1, n, dtype=np.int32))
+        return pa.table({
+            "col": pa.array(np.arange(n_features, dtype=np.int32)),
+            "chunk": pa.array(np.full(n_features, number)),
+            "start": pa.array(np.full(n_features, number * step)),
+            "obs": pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x.T).ravel())),
+        })
+
+    # whole rows are shuffled once; a task holds one chunk of at most `step` rows at a time
+    return numbered.select("chunk", "pos", "features").groupBy("chunk").applyInArrow(
+        turn, "col int, chunk bigint, start bigint, obs array<double>"
     )

@@ -5,12 +5,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions.arrow import dense_slices
 from shardfit.functions.losses import (
     check_loss, conjugate_column, logistic_error, loss_column, margin_error, squared_loss,
 )
 from shardfit.functions.shared import Shared, to_driver
 from shardfit.functions.sizes import MATRIX_VALUES, broadcast_if_small
-from shardfit.operators.design import BlockLayout, RowsFeed, dense_slices, feed_rows
+from shardfit.operators.design import BlockLayout, RowsFeed, feed_rows
 from shardfit.operators.gram import in_groups
 from shardfit.operators.rows import is_sparse, to_long
 

@@ -9,7 +9,7 @@ from shardfit.functions.sizes import DENSE_WIDTH, MATRIX_VALUES
 from shardfit.operators.design import (
     BlockLayout, add_noise, block_design, block_layout, design_widths, long_design,
 )
-from shardfit.operators.gram import gram, gram_rows, total_gram
+from shardfit.operators.gram import gram, gram_rows
 from shardfit.operators.layout import assign_blocks
 from shardfit.operators.newton import fit_margin_design, fit_margin_rows
 from shardfit.operators.projection import (
@@ -57,7 +57,7 @@ def fit_weights(rows: DataFrame, layout: BlockLayout, loss: str, lambdas, folds=
     if widest(layout) > DENSE_WIDTH:
         return fit_wide(block_design(rows, layout), loss, lambdas, folds, **options)
     if loss == "squared":
-        return fit_ridge(total_gram(gram_rows(rows, layout)), lambdas)
+        return fit_ridge(gram_rows(rows.drop("fold"), layout), lambdas)
     return fit_margin_rows(rows, layout, loss, lambdas, folds, **options)
 
 
@@ -67,7 +67,7 @@ def fit_block(design: DataFrame, loss: str, lambdas, **options) -> DataFrame:
     if max(design_widths(design).values()) > DENSE_WIDTH:
         return fit_wide(design, loss, lambdas, **options)
     if loss == "squared":
-        return fit_ridge(total_gram(gram(design)), lambdas)
+        return fit_ridge(gram(design.drop("fold")), lambdas)
     return fit_margin_design(design, loss, lambdas, **options)
 
 

@@ -111,3 +111,10 @@ def test_rows_of_wrong_width_are_refused(spark, data):
         block_design(bad, layout).collect()
     with pytest.raises(ValueError, match="mode"):
         block_layout(assign_blocks(spark, 4, 2, "range"), None, 0, "other")
+
+
+def test_a_large_matrix_is_not_broadcast(spark, data):
+    pi = P.sparse_projection_matrix(assign_blocks(spark, 7, 3, "range"), 2, 1)
+    for n_values, join in ((14, "BroadcastHashJoin"), (10**9, "SortMergeJoin")):
+        rp = P.apply_projection(to_long(data["reg"]), pi, n_values)
+        assert join in rp._jdf.queryExecution().executedPlan().toString()
