@@ -1,4 +1,4 @@
-"""Arrow batches as numpy matrices, inside tasks."""
+"""Arrow batches of rows as numpy matrices, inside tasks."""
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +7,7 @@ SLICE_VALUES = 4_000_000  # doubles of one dense slice, 32 MB
 
 
 def matrix_of(lists: pa.ListArray, width: int, what: str) -> np.ndarray:
+    """Equally long lists as a matrix, one row per list."""
     lengths = lists.value_lengths()
     if lists.null_count or not bool(np.all(lengths.to_numpy(zero_copy_only=False) == width)):
         raise ValueError(f"every row must have {width} values in {what}")
@@ -16,27 +17,33 @@ def matrix_of(lists: pa.ListArray, width: int, what: str) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
-def dense_slices(batch: pa.RecordBatch, n_features: int):
-    """Yield (low, high, X) so that no slice holds more than SLICE_VALUES doubles."""
-    n = batch.num_rows
-    step = max(1, SLICE_VALUES // max(n_features, 1))
-    if "features" in batch.schema.names:
-        x = matrix_of(batch.column("features"), n_features, "features")
-        for low in range(0, n, step):
-            yield low, min(n, low + step), x[low:low + step]
-        return
+def entries_of(batch: pa.RecordBatch, n_features: int):
+    """Row, column and value of all entries of sparse rows."""
     entries = batch.column("entries")
+    if entries.null_count:
+        raise ValueError("entries must not be null")
     flat = entries.flatten()
     col = flat.field("col").to_numpy(zero_copy_only=False)
     val = flat.field("x").to_numpy(zero_copy_only=False)
     if len(col) and not 0 <= col.min() <= col.max() < n_features:
         raise ValueError(f"a column index lies outside 0..{n_features - 1}")
     lengths = entries.value_lengths().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(n), lengths)
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    for low in range(0, n, step):
-        high = min(n, low + step)
-        part = slice(ends[low], ends[high])
-        x = np.zeros((high - low, n_features))
-        np.add.at(x, (row[part] - low, col[part]), val[part])
-        yield low, high, x
+    return np.repeat(np.arange(batch.num_rows), lengths), col, val
+
+
+def scatter(at: np.ndarray, val: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Dense matrix with the sum of the values at every flat position."""
+    return np.bincount(at, weights=val, minlength=shape[0] * shape[1]).reshape(shape)
+
+
+def multiply(batch: pa.RecordBatch, matrix: np.ndarray) -> np.ndarray:
+    """Rows of the batch times a matrix; sparse rows touch their own entries only."""
+    p, width = matrix.shape
+    if "features" in batch.schema.names:
+        return matrix_of(batch.column("features"), p, "features") @ matrix
+    row, col, val = entries_of(batch, p)
+    n = batch.num_rows
+    out = np.empty((n, width))
+    for c in range(width):
+        out[:, c] = np.bincount(row, weights=val * matrix[col, c], minlength=n)
+    return out

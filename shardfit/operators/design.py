@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.arrow import dense_slices, matrix_of
+from shardfit.functions.arrow import SLICE_VALUES, entries_of, matrix_of, scatter
 from shardfit.functions.shared import Shared, to_driver
 from shardfit.functions.sizes import MATRIX_VALUES
 from shardfit.operators.projection import check_privacy, noise_draw, noise_sd
@@ -32,6 +32,7 @@ class BlockLayout:
     matrix: object = None  # n_features x q; rows of a block are its own matrix
     sigma: object = None   # noise deviation per block, or None
     noise_seed: object = None
+    places: object = None  # made by the tasks
 
     @property
     def n_blocks(self) -> int:
@@ -50,24 +51,70 @@ class BlockLayout:
         others = self.n_blocks - 1 if self.mode == "concatenate" else 1
         return self.raw_width(k) + others * self.q
 
-    def designs(self, x: np.ndarray, noise=None, wanted=None):
-        """Yield (block, Z) for a dense slice of rows."""
+    def slices(self, batch: pa.RecordBatch, wanted=None):
+        """Yield (low, high, block, Z) for slices of a batch of dense or sparse rows."""
         wanted = range(self.n_blocks) if wanted is None else wanted
-        if self.alone:
+        part = self._dense if "features" in batch.schema.names else self._sparse
+        widest = max(len(c) for c in self.cols)
+        per_row = self.n_features if part == self._dense else max(widest, self.n_blocks * self.q)
+        step = max(1, SLICE_VALUES // max(per_row, 1))
+        for low in range(0, batch.num_rows, step):
+            rows = batch.slice(low, step)
+            raw, projected = part(rows)
+            if not self.alone and "noise" in batch.schema.names:
+                noise = matrix_of(rows.column("noise"), self.n_blocks * self.q, "noise")
+                projected = projected + noise * np.repeat(self.sigma, self.q)
+            total = None
+            if not self.alone and self.mode == "add":
+                total = projected.reshape(-1, self.n_blocks, self.q).sum(axis=1)
             for k in wanted:
-                yield k, x[:, self.cols[k]]
-            return
-        projected = [x[:, c] @ self.matrix[c] for c in self.cols]
-        if noise is not None:
-            for k in range(self.n_blocks):
-                projected[k] = projected[k] + self.sigma[k] * noise[:, k * self.q:(k + 1) * self.q]
-        total = sum(projected) if self.mode == "add" else None
-        for k in wanted:
-            if self.mode == "add":
-                others = [total - projected[k]]
-            else:
-                others = [r for j, r in enumerate(projected) if j != k]
-            yield k, np.hstack([x[:, self.cols[k]], *others])
+                own = slice(k * self.q, (k + 1) * self.q)
+                if self.alone:
+                    z = raw(k)
+                elif self.mode == "add":
+                    z = np.hstack([raw(k), total - projected[:, own]])
+                else:
+                    z = np.hstack([raw(k), np.delete(projected, own, axis=1)])
+                yield low, low + rows.num_rows, k, z
+
+    def _dense(self, rows: pa.RecordBatch):
+        x = matrix_of(rows.column("features"), self.n_features, "features")
+        projected = None
+        if not self.alone:
+            projected = np.hstack([x[:, c] @ self.matrix[c] for c in self.cols])
+        return lambda k: x[:, self.cols[k]], projected
+
+    def _sparse(self, rows: pa.RecordBatch):
+        """Work per entry: no matrix of all features is formed."""
+        n, blocks = rows.num_rows, self.n_blocks
+        row, col, val = entries_of(rows, self.n_features)
+        block, place = self._places()
+        by_block = np.argsort(block[col], kind="stable")
+        row, col, val = row[by_block], col[by_block], val[by_block]
+        ends = np.searchsorted(block[col], np.arange(blocks + 1))
+        projected = None
+        if not self.alone:
+            projected = np.empty((n, blocks, self.q))
+            at = row * blocks + block[col]
+            for t in range(self.q):
+                projected[:, :, t] = scatter(at, val * self.matrix[col, t], (n, blocks))
+            projected = projected.reshape(n, blocks * self.q)
+
+        def raw(k):
+            own = slice(ends[k], ends[k + 1])
+            width = self.raw_width(k)
+            return scatter(row[own] * width + place[col[own]], val[own], (n, width))
+
+        return raw, projected
+
+    def _places(self):
+        """Block of every column, and its place in the block."""
+        if self.places is None:
+            block, place = np.empty(self.n_features, int), np.empty(self.n_features, int)
+            for k, c in enumerate(self.cols):
+                block[c], place[c] = k, np.arange(len(c))
+            self.places = block, place
+        return self.places
 
 
 def block_layout(blocks: DataFrame, pi: DataFrame | None = None, q: int = 0,
@@ -137,17 +184,11 @@ class RowsFeed:
         return RowsFeed(self.layout, wanted)
 
     def __call__(self, batch):
-        layout = self.layout.value
         y = batch.column("y").to_numpy(zero_copy_only=False)
         names = batch.schema.names
         fold = batch.column("fold").to_numpy() if "fold" in names else np.zeros(len(y), int)
-        noise = None
-        if "noise" in names:
-            noise = matrix_of(batch.column("noise"), layout.n_blocks * layout.q, "noise")
-        for low, high, x in dense_slices(batch, layout.n_features):
-            part = None if noise is None else noise[low:high]
-            for k, z in layout.designs(x, part, self.wanted):
-                yield k, z, y[low:high], fold[low:high]
+        for low, high, k, z in self.layout.value.slices(batch, self.wanted):
+            yield k, z, y[low:high], fold[low:high]
 
 
 class DesignFeed:
@@ -174,32 +215,25 @@ class DesignFeed:
 
 def block_design(rows: DataFrame, layout: BlockLayout) -> DataFrame:
     """Z_k of every row and block: ``row_id, y, block, z`` (and ``fold``). Narrow."""
-    feed = RowsFeed(Shared(rows.sparkSession, layout))
+    shape = Shared(rows.sparkSession, layout)
     source = feed_rows(rows, layout)
-    folds = "fold" in source.columns
-    schema = "row_id bigint, y double, block int, z array<double>" + (", fold int" if folds else "")
+    names = ["row_id", "y", "block", "z"] + (["fold"] if "fold" in source.columns else [])
+    types = {"row_id": "bigint", "y": "double", "block": "int", "z": "array<double>", "fold": "int"}
+    schema = ", ".join(f"{c} {types[c]}" for c in names)
 
     def run(batches):
-        layout = feed.layout.value
         for batch in batches:
-            for low, high, x in dense_slices(batch, layout.n_features):
-                part = batch.slice(low, high - low)
-                noise = None
-                if "noise" in batch.schema.names:
-                    noise = matrix_of(part.column("noise"), layout.n_blocks * layout.q, "noise")
-                for k, z in layout.designs(x, noise):
-                    n, m = z.shape
-                    offsets = pa.array(np.arange(0, n * m + 1, m, dtype=np.int32))
-                    arrays = [
-                        part.column("row_id"), part.column("y"),
-                        pa.array(np.full(n, k, np.int32)),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(z).ravel())),
-                    ]
-                    names = ["row_id", "y", "block", "z"]
-                    if folds:
-                        arrays.append(part.column("fold"))
-                        names.append("fold")
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+            for low, high, k, z in shape.value.slices(batch):
+                n, m = z.shape
+                ends = pa.array(np.arange(0, n * m + 1, m, dtype=np.int32))
+                made = {
+                    "block": pa.array(np.full(n, k, np.int32)),
+                    "z": pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(z).ravel())),
+                }
+                kept = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays(
+                    [made[c] if c in made else kept.column(c) for c in names], names
+                )
 
     return source.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.arrow import dense_slices
+from shardfit.functions.arrow import multiply
 from shardfit.functions.losses import (
     check_loss, conjugate_column, logistic_error, loss_column, margin_error, squared_loss,
 )
@@ -46,9 +46,7 @@ def predict(rows: DataFrame, coef: DataFrame, n_features: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            pred = np.empty(batch.num_rows)
-            for low, high, x in dense_slices(batch, n_features):
-                pred[low:high] = x @ shared.value
+            pred = multiply(batch, shared.value[:, None])[:, 0]
             kept = [batch.column(c) for c in ("row_id", "y", *extra)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred)],
                                              ["row_id", "y", *extra, "pred"])
@@ -197,15 +195,13 @@ def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str,
     def run(batches):
         sums = {}
         for batch in batches:
-            y_all, fold_all = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            for low, high, x in dense_slices(batch, n_features):
-                y, fold = y_all[low:high], fold_all[low:high]
-                for f in np.unique(fold):
-                    at = fold == f
-                    pred = x[at] @ table.value[int(f)][1]
-                    errors = _row_error(y[at][:, None], pred, loss).sum(axis=0)
-                    n, s = sums.get(int(f), (0, 0.0))
-                    sums[int(f)] = (n + int(at.sum()), s + errors)
+            y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            for f in np.unique(fold):
+                at = fold == f
+                pred = multiply(batch.filter(pa.array(at)), table.value[int(f)][1])
+                errors = _row_error(y[at][:, None], pred, loss).sum(axis=0)
+                n, s = sums.get(int(f), (0, 0.0))
+                sums[int(f)] = (n + int(at.sum()), s + errors)
         for f, (n, s) in sums.items():
             lams = table.value[f][0]
             yield pa.RecordBatch.from_arrays(

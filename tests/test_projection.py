@@ -118,3 +118,13 @@ def test_a_large_matrix_is_not_broadcast(spark, data):
     for n_values, join in ((14, "BroadcastHashJoin"), (10**9, "SortMergeJoin")):
         rp = P.apply_projection(to_long(data["reg"]), pi, n_values)
         assert join in rp._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_of_a_batch_join_up(data, monkeypatch):
+    """Slices of one row give what whole batches give, for dense and sparse rows."""
+    layout, _ = model_layout(data["reg"], 3, 2, "sparse", "add", "range")
+    whole = block_design(data["reg"], layout).orderBy("row_id", "block").collect()
+    monkeypatch.setattr("shardfit.operators.design.SLICE_VALUES", 7)
+    for rows in (data["reg"], to_sparse(data["reg"])):
+        cut = block_design(rows, layout).orderBy("row_id", "block").collect()
+        assert all(np.allclose(a.z, b.z) for a, b in zip(whole, cut)) and len(cut) == len(whole)
