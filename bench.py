@@ -18,12 +18,15 @@ from shardfit.plans.crossval import cv_summary, global_cv, lambda_grid, local_cv
 from shardfit.plans.model import fit_model, model_layout  # noqa: E402
 
 
+CPUS = int(os.environ.get("BENCH_CPUS", "8"))
+
+
 def drain(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
 def scale_lineitem(spark, d):
-    drain(center_scale(fixtures.lineitem_rows(spark, d)))
+    drain(center_scale(fixtures.lineitem_rows(spark, d, CPUS)))
 
 
 def project_leave_one_out(spark, d):
@@ -48,20 +51,20 @@ def ridge_local_cv(spark, d):
 
 
 def ridge_tall(spark, d):
-    rows = center_scale(fixtures.lineitem_rows(spark, d), response=(True, True))
-    drain(fit_model(rows, 4, 1, lam=0.1))
+    rows = center_scale(fixtures.lineitem_rows(spark, d, CPUS), response=(True, True))
+    drain(fit_model(rows, 4, 1, lam=0.1, n_features=8))
 
 
 def transpose_lineitem(spark, d):
-    drain(L.transpose(fixtures.lineitem_rows(spark, d), 8))
+    drain(L.transpose(fixtures.lineitem_rows(spark, d, CPUS), 8))
 
 
 def ranked_folds_lineitem(spark, d):
-    drain(L.assign_folds(fixtures.lineitem_rows(spark, d).select("row_id"), 5, mode="rank"))
+    drain(L.assign_folds(fixtures.lineitem_rows(spark, d, CPUS).select("row_id"), 5, mode="rank"))
 
 
 def ridge_documents(spark, d):
-    drain(fit_model(fixtures.document_rows(spark, d), 8, 16, lam=0.5, n_features=1024))
+    drain(fit_model(fixtures.document_rows(spark, d, CPUS), 8, 16, lam=0.5, n_features=1024))
 
 
 def svm_blocks(spark, d):
@@ -73,9 +76,10 @@ def logistic_blocks(spark, d):
 
 
 def logistic_tall(spark, d):
-    rows = center_scale(fixtures.lineitem_rows(spark, d))
+    rows = center_scale(fixtures.lineitem_rows(spark, d, CPUS))
     label = F.when(F.col("y") > 50000, 1.0).otherwise(-1.0)
-    drain(fit_model(rows.withColumn("y", label), 4, 1, "logistic", 0.1))
+    drain(fit_model(rows.withColumn("y", label), 4, 1, "logistic", 0.1,
+                    n_features=8))
 
 
 QUERIES = [scale_lineitem, project_leave_one_out, ridge_blocks, ridge_cv, ridge_local_cv,
@@ -85,17 +89,16 @@ QUERIES = [scale_lineitem, project_leave_one_out, ridge_blocks, ridge_cv, ridge_
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
+        SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
+        .config("spark.sql.shuffle.partitions", str(CPUS))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.log.level", "ERROR")
         .getOrCreate()
     )
-    spark.range(1000).repartition(int(cpus)).mapInArrow(lambda b: b, "id bigint").count()
+    spark.range(1000).repartition(CPUS).mapInArrow(lambda b: b, "id bigint").count()
     times = {}
     for query in QUERIES:
         start = time.perf_counter()

@@ -12,8 +12,10 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 WORD_COLUMNS = 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """A table; spread it when it is one small file that a single task would read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(partitions, df.columns[0]) if partitions else df
 
 
 def r6(c: Column, digits: int = 6) -> Column:
@@ -42,11 +44,12 @@ def lineitem_id() -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def lineitem_rows(spark, sf_dir) -> DataFrame:
+def lineitem_rows(spark, sf_dir, partitions=None) -> DataFrame:
     """Price by quantity, discount, tax and one-hot flags: 8 features."""
     features = ["l_quantity", "l_discount", "l_tax",
                 *one_hot("l_returnflag", FLAGS), *one_hot("l_linestatus", STATUSES)]
-    return from_tables(table(spark, sf_dir, "lineitem"), lineitem_id(), "l_extendedprice", features)
+    lines = table(spark, sf_dir, "lineitem", partitions)
+    return from_tables(lines, lineitem_id(), "l_extendedprice", features)
 
 
 def lineitem_part_rows(spark, sf_dir) -> DataFrame:
@@ -68,12 +71,12 @@ def event_rows(spark, sf_dir) -> DataFrame:
     return from_tables(table(spark, sf_dir, "events"), "event_id", "value", features)
 
 
-def document_rows(spark, sf_dir) -> DataFrame:
+def document_rows(spark, sf_dir, partitions=None) -> DataFrame:
     """Sparse rows: hashed counts of all words of a labelled document."""
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("y")
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    docs = table(spark, sf_dir, "documents", partitions).select("doc_id", "text").join(labels, "doc_id")
     word = F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     col = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % WORD_COLUMNS
     counts = (

@@ -11,7 +11,7 @@ from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.rows import feature_count, is_sparse
 
 RANK_BUCKETS = 65_536      # hash ranges that are ranked apart from each other
-QUANTILES = 256            # id ranges of about equal size
+QUANTILES = 64             # id ranges of about equal size
 RANGE_ROWS = 100_000       # rows that are numbered together, about
 CHUNK_VALUES = 4_000_000   # doubles of one transposed chunk, 32 MB
 ROW_CHUNK = 65_536         # most observations of one column in one chunk
@@ -93,7 +93,7 @@ def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFr
     numbered on its own and the counts of the ranges before it are added.
     """
     quantiles = [i / QUANTILES for i in range(QUANTILES + 1)]
-    n, found = df.agg(F.count("*"), F.percentile_approx(key, quantiles, 10_000)).first()
+    n, found = df.agg(F.count("*"), F.percentile_approx(key, quantiles, 10 * QUANTILES)).first()
     ends = sorted(set(found)) if found else [0]
     low, high = F.lit(ends), F.lit(ends[1:] + [ends[-1] + 1])
     # ranges of a large table are cut further, evenly between their ends
