@@ -157,11 +157,11 @@ def test_wide_hinge_comes_close_in_objective(data):
     """The hinge has kinks, at which a gradient method stops short of the optimum."""
     layout, _ = model_layout(data["cls"], 2, 2, "sparse", "add", "range")
     a = by_block(fit_weights(data["cls"], layout, "hinge", 0.1))
-    b = by_block(fit_wide(block_design(data["cls"], layout), "hinge", 0.1, max_iter=60))
+    b = by_block(fit_wide(block_design(data["cls"], layout), "hinge", 0.1, max_iter=20))
     for k, z in designs(data["cls"], layout).items():
         def objective(w):
             return np.maximum(1 - data["s"] * (z @ w), 0).mean() + 0.05 * w @ w
-        assert objective(a[k]) <= objective(b[k]) + 1e-6 <= objective(a[k]) + 5e-3
+        assert objective(a[k]) <= objective(b[k]) + 1e-6 <= objective(a[k]) + 2e-2
 
 
 @pytest.mark.parametrize("loss", ["squared", "logistic"])
