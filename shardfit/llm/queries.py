@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm import bpe, packing
+from shardfit.llm import bpe, language, packing
 from shardfit.llm.common import held_out
 
 
@@ -17,11 +17,18 @@ def op1_mixture_packing(spark, d):
     return packing.checksums(pieces)
 
 
+def op6_language_kernels(spark, d):
+    docs = table(spark, d, "documents")
+    model = language.fit_languages(docs.where(~held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_bpe_codec(spark, d):
     code = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(bpe.encode(table(spark, d, "documents"), code), code))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op6_language_kernels, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
