@@ -86,29 +86,26 @@ def sample_rows(df: DataFrame, labels: str, per_label: int, key: str = "doc_id")
     return known.where(rule)
 
 
-class Remembered:
-    """Word -> value in two generations: words not met since the last change of generation go.
+class Remembered(dict):
+    """Word -> value, computed where missing, in two generations.
 
-    Only the time depends on what is remembered, never the result. `compute` gets a list of
-    words and returns their values.
+    Words not met since the last change of generation go. Only the time depends on what is
+    remembered, never the result.
     """
 
     def __init__(self, compute, size: int):
-        self.compute, self.size = compute, size
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def __call__(self, words) -> dict:
-        """A mapping that holds at least the given words."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for word in set(words) - young.keys():
-            value = old.get(word)
-            if value is None:
-                new.append(word)
-            else:
-                young[word] = value
-        young.update(zip(new, self.compute(new)))
-        return young
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.compute(word)
+        self[word] = value
+        return value
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full; called between batches."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()

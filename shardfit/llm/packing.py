@@ -12,7 +12,9 @@ per partition and source give every document its place in its queue. If targets
 a queue may run dry before the others; the rest then share on in a new phase.
 """
 
+import json
 import re
+from array import array
 from fractions import Fraction
 from itertools import accumulate
 
@@ -22,36 +24,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import broadcast_if_small
 from shardfit.llm.common import Remembered, keep, slices, texts_of
 
-REMEMBERED = 250_000  # words in each generation that a worker keeps
+REMEMBERED = 200_000  # words, and pieces of words, in each generation that a worker keeps
 TAIL = "rest"         # queue of the sources that earn less than one token per window
 
 #: White space other than blank, tab and line ends, and characters that only some tools count so.
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words whose lower case and pieces can be told without the tokenizer's own normaliser.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The settings under which words of plain letters fall into pieces as above.
+_LOWER_CASE = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Words:
-    """Ids of texts under a tokenizer that drops white space, so words are coded one by one."""
+    """Ids of texts under a tokenizer that drops white space, so words are coded one by one.
+
+    A worker remembers words, and below them the pieces that the tokenizer's model codes.
+    Words with rarer characters go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.seen = Remembered(self._code, REMEMBERED)
-
-    def _code(self, words: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(c.ids, self.kind).tobytes() for c in coded]
+        self.seen = Remembered(self._word, REMEMBERED)
+        self.pieces = Remembered(self._piece, REMEMBERED)
+        settings = json.loads(self.tokenizer.to_str())
+        splits = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_pieces = settings["normalizer"] == _LOWER_CASE and splits[0].get("pattern") == {"Regex": _LETTERS}
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.by_pieces and _PLAIN.fullmatch(word):
+            pieces = _PIECES.findall(word.lower())
+            return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [[t] if _RARE_SPACE.search(t) else t.split() for t in texts]
-        seen = self.seen(w for ws in words for w in ws).__getitem__
-        return [b"".join(map(seen, ws)) + self.end for ws in words]
+        self.seen.turn()
+        self.pieces.turn()
+        ids, whole = self.seen.__getitem__, self._word
+        return [(whole(t) if _RARE_SPACE.search(t) else b"".join(map(ids, t.split()))) + self.end for t in texts]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, key="doc_id", text="text", source="source") -> DataFrame:
