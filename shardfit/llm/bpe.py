@@ -8,7 +8,6 @@ number of them. All of it is a function of the row: no shuffle, and a lost task
 
 import base64
 from heapq import heapify, heappop, heappush
-from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -23,6 +22,7 @@ from shardfit.llm.common import Remembered, list_array, slices, texts_of
 
 REMEMBERED = 300_000  # pre-tokens in each of the two generations that a worker keeps
 KEYS_PER_BUCKET = 4
+_WORD = (1 << 64) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,6 +39,12 @@ def _slots(hashes: np.ndarray, shift: np.ndarray, n: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
 
 
+def _slot(h: int, shift: int, n: int) -> int:
+    """The same for one key."""
+    x = (h ^ (shift * 0x9E3779B97F4A7C15 & _WORD)) * 0xD6E8FEB86659FD93 & _WORD
+    return (x ^ (x >> 32)) % n
+
+
 class PerfectHash:
     """Minimal perfect hash: n keys fill n slots; a lookup confirms the key in its slot.
 
@@ -81,22 +87,21 @@ class PerfectHash:
         self.keys, self.values = [b""] * n, np.zeros(n, np.int64)
         for key, slot in zip(keys, at.tolist()):
             self.keys[slot], self.values[slot] = key, ranks[key]
+        self.shift, self.values = self.shift.tolist(), self.values.tolist()
 
     @staticmethod
     def _hashes(keys) -> np.ndarray:
         digest = xxhash.xxh3_64_intdigest
         return np.fromiter((digest(k) for k in keys), np.uint64, len(keys))
 
-    def find(self, keys: list[bytes]) -> list[int]:
-        """Rank of each key, -1 where it is not in the vocabulary."""
-        if not keys or not self.n:
-            return [-1] * len(keys)
-        hashes = self._hashes(keys)
-        shift = self.shift[(hashes % np.uint64(self.buckets)).astype(np.int64)]
-        slots = np.where(shift < 0, -shift - 1, _slots(hashes, np.maximum(shift, 0), self.n))
-        values = self.values[slots].tolist()
-        own = self.keys
-        return [v if own[s] == k else -1 for k, s, v in zip(keys, slots.tolist(), values)]
+    def find(self, key: bytes) -> int:
+        """Rank of a key, -1 where it is not in the vocabulary."""
+        if not self.n:
+            return -1
+        h = xxhash.xxh3_64_intdigest(key)
+        shift = self.shift[h % self.buckets]
+        slot = -shift - 1 if shift < 0 else _slot(h, shift, self.n)
+        return self.values[slot] if self.keys[slot] == key else -1
 
 
 class Codec:
@@ -113,11 +118,11 @@ class Codec:
     def __reduce__(self):
         return Codec, (self.ranks, self.pattern, self.hash)
 
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        """Ids of each pre-token as little-endian 32-bit integers: first tier, else second."""
-        coded = [w.encode() for w in words]
-        found = self.hash.find(coded)
-        return [pack("<i", rank) if rank >= 0 else self.merged(raw) for raw, rank in zip(coded, found)]
+    def _lookup(self, word: str) -> bytes:
+        """Ids of a pre-token as little-endian 32-bit integers: first tier, else second."""
+        raw = word.encode()
+        rank = self.hash.find(raw)
+        return pack("<i", rank) if rank >= 0 else self.merged(raw)
 
     def merged(self, word: bytes) -> bytes:
         """Merge the pair of lowest rank, the leftmost among equals, until none is left."""
@@ -147,9 +152,9 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """Ids of all texts in one array, and the number of ids of each text."""
         find = regex.compile(self.pattern).findall
-        words = [find(t) for t in texts]
-        seen = self._seen(chain.from_iterable(words)).__getitem__
-        parts = [b"".join(map(seen, ws)) for ws in words]
+        self._seen.turn()
+        seen = self._seen.__getitem__
+        parts = [b"".join(map(seen, find(t))) for t in texts]
         return np.frombuffer(b"".join(parts), "<i4"), [len(p) // 4 for p in parts]
 
     def decode(self, ids) -> bytes:
