@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from shardfit.functions.shared import Shared
 from shardfit.llm.common import Remembered, list_array, slices, texts_of
 
-REMEMBERED = 300_000  # pre-tokens in each of the two generations that a worker keeps
+REMEMBERED = 350_000  # pre-tokens in each of the two generations that a worker keeps
 KEYS_PER_BUCKET = 4
 _WORD = (1 << 64) - 1
 
@@ -113,6 +113,13 @@ class Codec:
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
+        self.pairs = [-1] * (1 << 16)  # rank of every two bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        size = np.array([len(t) for t in self.bytes], np.int32)
+        self._flat = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(size, dtype=np.int32) - size, size
+        self._find = regex.compile(pattern).findall
         self._seen = Remembered(self._lookup, REMEMBERED)
 
     def __reduce__(self):
@@ -127,22 +134,29 @@ class Codec:
     def merged(self, word: bytes) -> bytes:
         """Merge the pair of lowest rank, the leftmost among equals, until none is left."""
         ranks, n = self.ranks, len(word)
+        bits = n.bit_length()
+        low = (1 << bits) - 1
         stop = list(range(1, n + 1))   # end of the part that starts here
         before = list(range(-1, n))    # start of the part to the left
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
-        heapify(heap)
+        get = ranks.get
+        first = self.pairs
+        heap = [((r << bits | i) << bits) + i + 2
+                for i, (a, b) in enumerate(zip(word, word[1:])) if (r := first[a << 8 | b]) >= 0]
+        heapify(heap)                  # rank, start and end in one number
         while heap:
-            _, i, end = heappop(heap)
+            top = heappop(heap)
+            end, i = top & low, top >> bits & low
             middle = stop[i]
             if middle >= end or stop[middle] != end:
                 continue  # one of the two parts has grown or gone
             stop[i], stop[middle] = end, n + 1
             if end < n:
                 before[end] = i
-                if (r := ranks.get(word[i:stop[end]])) is not None:
-                    heappush(heap, (r, i, stop[end]))
-            if i > 0 and (r := ranks.get(word[before[i]:end])) is not None:
-                heappush(heap, (r, before[i], end))
+                last = stop[end]
+                if (r := get(word[i:last])) is not None:
+                    heappush(heap, ((r << bits | i) << bits) + last)
+            if i and (r := get(word[(j := before[i]):end])) is not None:
+                heappush(heap, ((r << bits | j) << bits) + end)
         out, i = [], 0
         while i < n:
             out.append(ranks[word[i:stop[i]]])
@@ -153,12 +167,20 @@ class Codec:
         """Ids of all texts in one array, and the number of ids of each text."""
         find = regex.compile(self.pattern).findall
         self._seen.turn()
-        seen = self._seen.__getitem__
+        seen, find = self._seen.__getitem__, self._find
         parts = [b"".join(map(seen, find(t))) for t in texts]
         return np.frombuffer(b"".join(parts), "<i4"), [len(p) // 4 for p in parts]
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray, lengths) -> list[bytes]:
+        """Bytes of lists of ids that stand one after the other, with the given lengths."""
+        flat, start, size = self._flat
+        sizes = size[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        take = np.repeat((start[ids] - (ends - sizes)).astype(np.int32), sizes)
+        take += np.arange(len(take), dtype=np.int32)
+        raw = flat[take].tobytes()
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(lengths)]].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -191,8 +213,9 @@ def decode(coded: DataFrame, code: Codec, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "ids"):
-                raw = [shared.value.decode(ids) for ids in part.column("ids").to_pylist()]
+            for part in slices(batch, "ids", 1 << 20):
+                ids = part.column("ids")
+                raw = shared.value.decode(ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("ids"), pa.array(raw, pa.binary())], ["key", "ids", "bytes"])
 
