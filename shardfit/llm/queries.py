@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm import bpe, language, packing
+from shardfit.llm import bpe, language, packing, pii, toxicity
 from shardfit.llm.common import held_out
 
 
@@ -17,6 +17,11 @@ def op1_mixture_packing(spark, d):
     return packing.checksums(pieces)
 
 
+def op2_feistel_pseudonyms(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, "shardfit test key")
+
+
 def op6_language_kernels(spark, d):
     docs = table(spark, d, "documents")
     model = language.fit_languages(docs.where(~held_out()))
@@ -24,11 +29,19 @@ def op6_language_kernels(spark, d):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_toxicity_network(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit_toxicity(docs.where(~held_out()), table(spark, d, "labels"))
+    rated = toxicity.rate(docs, model, threshold=0.3)
+    return rated.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_bpe_codec(spark, d):
     code = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(bpe.encode(table(spark, d, "documents"), code), code))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op6_language_kernels, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_feistel_pseudonyms, op6_language_kernels, op9_toxicity_network,
+                                  op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}

@@ -10,7 +10,7 @@ Labels belong to texts, not windows: training takes, in every epoch, the highest
 each text and some others of clean texts. One dimension of each embedding starts as the
 log-odds of its bucket in the sample, the others at random; all are trained on.
 
-The fit takes a bounded sample, by default at most about 1 500 rows of each label. The work
+The fit takes a bounded sample, by default at most about 1 000 rows of each label. The work
 that grows, scoring, is a function of the row.
 """
 
@@ -87,6 +87,23 @@ class Words:
         self.n_grams = np.bincount(self.owner, minlength=len(words))
 
 
+class Part:
+    """The inputs of those words alone that some windows use, numbered anew."""
+
+    def __init__(self, words: Words, windows: np.ndarray):
+        n = len(words.word)
+        used = np.unique(windows)
+        used = used[used < n]
+        number = np.full(n + 1, len(used), np.int32)
+        number[used] = np.arange(len(used), dtype=np.int32)
+        self.windows = number[windows]
+        self.word, self.n_grams = words.word[used], words.n_grams[used]
+        starts = np.cumsum(words.n_grams) - words.n_grams
+        within = np.arange(self.n_grams.sum()) - np.repeat(np.cumsum(self.n_grams) - self.n_grams, self.n_grams)
+        self.gram = words.gram[np.repeat(starts[used], self.n_grams) + within]
+        self.owner = np.repeat(np.arange(len(used), dtype=np.int32), self.n_grams)
+
+
 class ToxicityModel:
     """Parameters of the network. `fit` trains them, `score` applies them to whole texts."""
 
@@ -107,7 +124,7 @@ class ToxicityModel:
 
     # inputs ----------------------------------------------------------------
 
-    def _inputs(self, words: Words) -> np.ndarray:
+    def _inputs(self, words: "Words | Part") -> np.ndarray:
         """Word and character inputs of every distinct word; a last row of zeros for padding."""
         out = np.zeros((len(words.word) + 1, 2 * EMBEDDED), np.float32)
         out[:-1, :EMBEDDED] = self.p["word"][words.word]
@@ -181,9 +198,9 @@ class ToxicityModel:
 
     # training --------------------------------------------------------------
 
-    def _gradients(self, words: Words, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
+    def _gradients(self, words: Part, labels: np.ndarray, weights: np.ndarray) -> dict:
         """Gradients of the weighted log-loss, by back-propagation through time."""
-        p, x = self.p, self._inputs(words)
+        p, x, windows = self.p, self._inputs(words), words.windows
         gates, trace = {d: self._projected(x, d) for d in "fb"}, {}
         logit = self._logits(x, gates, windows, trace)
         at, S = windows.T, STATES
@@ -222,21 +239,17 @@ class ToxicityModel:
         g["u"] = np.concatenate(gu)
         g["out"] = np.concatenate([*go, np.einsum("tb,tbk->k", dvalue, xs)])
         np.add.at(dx, at.ravel(), dxs.reshape(-1, dxs.shape[2]))
-        used = np.unique(at)
-        used = used[used < len(x) - 1]
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], words.word[used], dx[used, :EMBEDDED])
-        mine = np.zeros(len(x), bool)
-        mine[used] = True
-        own = mine[words.owner]
-        each = dx[words.owner[own], EMBEDDED:] / words.n_grams[words.owner[own], None]
-        g["gram"] = np.zeros_like(p["gram"])
-        np.add.at(g["gram"], words.gram[own], each)
+        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
+        np.add.at(g["word"], words.word, dx[:-1, :EMBEDDED])
+        np.add.at(g["gram"], words.gram, (dx[:-1, EMBEDDED:] / np.maximum(words.n_grams, 1)[:, None])[words.owner])
         return g
 
     def fit(self, texts: list[str], labels: np.ndarray, share: float | None = None,
-            epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 7) -> "ToxicityModel":
-        """Train on labelled texts. `share`: part of label 1 in the whole, to set the bias by."""
+            epochs: int = 5, least_steps: int = 160, batch: int = 128, rate: float = 0.01, seed: int = 7) -> "ToxicityModel":
+        """Train on labelled texts. `share`: part of label 1 in the whole, to set the bias by.
+
+        Small samples are gone through more often, until about `least_steps` steps are made.
+        """
         labels = np.asarray(labels, np.float32)
         known = np.array([bool(t.split()) for t in texts], bool)
         texts, labels = [t for t, k in zip(texts, known) if k], labels[known] if len(labels) else labels
@@ -250,6 +263,7 @@ class ToxicityModel:
         clean_windows = np.flatnonzero(labels[words.text] == 0)
         step, balance = 0, (1 - labels).sum() / labels.sum()
         highest = self._odds_of_windows(words)
+        epochs = max(epochs, -(-least_steps * batch // (2 * len(labels) + int(labels.sum()))))
         for epoch in range(epochs):
             if epoch:
                 highest = self.window_logits(words)
@@ -264,7 +278,7 @@ class ToxicityModel:
                 weight = np.where(y == 1, min(2.0, balance) / 2, 1.0) / len(ids)
                 step += 1
                 scale = rate * (0.3 if epoch >= epochs * 0.6 else 1.0)
-                for name, g in self._gradients(words, words.windows[ids], y, weight).items():
+                for name, g in self._gradients(Part(words, words.windows[ids]), y, weight).items():
                     m, v = moment[name]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
@@ -325,7 +339,7 @@ class ToxicityModel:
         self.p["bias"] = (self.p["bias"] * a + b + shift).astype(np.float32)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1500, key="doc_id", text="text",
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1000, key="doc_id", text="text",
                  label="toxic") -> ToxicityModel:
     """Fit on a sample of at most about `per_label` labelled rows with label 1 and with label 0.
 
