@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm import bpe, language, packing, pii, toxicity
+from shardfit.llm import bpe, language, ordered_minhash, packing, pii, toxicity
 from shardfit.llm.common import held_out
 
 
@@ -22,6 +22,11 @@ def op2_feistel_pseudonyms(spark, d):
     return pii.pseudonymise(docs, "shardfit test key")
 
 
+def op5_ordered_minhash(spark, d):
+    found = ordered_minhash.classes(table(spark, d, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", "kept")
+
+
 def op6_language_kernels(spark, d):
     docs = table(spark, d, "documents")
     model = language.fit_languages(docs.where(~held_out()))
@@ -41,7 +46,7 @@ def op10_bpe_codec(spark, d):
     return bpe.digests(bpe.decode(bpe.encode(table(spark, d, "documents"), code), code))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_feistel_pseudonyms, op6_language_kernels, op9_toxicity_network,
-                                  op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_feistel_pseudonyms, op5_ordered_minhash,
+                                  op6_language_kernels, op9_toxicity_network, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
