@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm import bpe, language, ordered_minhash, packing, pii, toxicity
+from shardfit.llm import bpe, cosine_links, language, onebit, ordered_minhash, packing, pii, toxicity
 from shardfit.llm.common import held_out
 
 
@@ -22,6 +22,10 @@ def op2_feistel_pseudonyms(spark, d):
     return pii.pseudonymise(docs, "shardfit test key")
 
 
+def op3_cosine_links(spark, d):
+    return cosine_links.link(table(spark, d, "embeddings"), threshold=0.98)
+
+
 def op5_ordered_minhash(spark, d):
     found = ordered_minhash.classes(table(spark, d, "documents"))
     return found.select(F.col("key").alias("doc_id"), "class_id", "kept")
@@ -34,6 +38,10 @@ def op6_language_kernels(spark, d):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_one_bit_codes(spark, d):
+    return onebit.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_toxicity_network(spark, d):
     docs = table(spark, d, "documents")
     model = toxicity.fit_toxicity(docs.where(~held_out()), table(spark, d, "labels"))
@@ -46,7 +54,8 @@ def op10_bpe_codec(spark, d):
     return bpe.digests(bpe.decode(bpe.encode(table(spark, d, "documents"), code), code))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_feistel_pseudonyms, op5_ordered_minhash,
-                                  op6_language_kernels, op9_toxicity_network, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (
+    op1_mixture_packing, op2_feistel_pseudonyms, op3_cosine_links, op5_ordered_minhash, op6_language_kernels,
+    op8_one_bit_codes, op9_toxicity_network, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {}
