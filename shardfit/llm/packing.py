@@ -30,11 +30,11 @@ from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import broadcast_if_small
 from shardfit.llm.common import Remembered, keep, slices, texts_of
 
-REMEMBERED = 200_000  # words, and pieces of words, in each generation that a worker keeps
+REMEMBERED = 400_000  # words, and pieces of words, in each generation that a worker keeps
 TAIL = "rest"         # queue of the sources that earn less than one token per window
 
 #: White space other than blank, tab and line ends, and characters that only some tools count so.
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE_SPACE = (*"\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: Words whose lower case and pieces can be told without the tokenizer's own normaliser.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
@@ -79,7 +79,8 @@ class Words:
         self.seen.turn()
         self.pieces.turn()
         ids, whole = self.seen.__getitem__, self._word
-        return [(whole(t) if _RARE_SPACE.search(t) else b"".join(map(ids, t.split()))) + self.end for t in texts]
+        rare = [any(c in t for c in _RARE_SPACE) for t in texts]
+        return [(whole(t) if r else b"".join(map(ids, t.split()))) + self.end for t, r in zip(texts, rare)]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, key="doc_id", text="text", source="source") -> DataFrame:
