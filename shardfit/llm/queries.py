@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm import bpe, cosine_links, language, onebit, ordered_minhash, packing, pii, toxicity
+from shardfit.llm import bpe, cosine_links, language, onebit, ordered_minhash, packing, pii, toxicity, warc
 from shardfit.llm.common import held_out
 
 
@@ -26,6 +26,11 @@ def op3_cosine_links(spark, d):
     return cosine_links.link(table(spark, d, "embeddings"), threshold=0.98)
 
 
+def op4_dictionary_warc(spark, d):
+    back = warc.archive(table(spark, d, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_ordered_minhash(spark, d):
     found = ordered_minhash.classes(table(spark, d, "documents"))
     return found.select(F.col("key").alias("doc_id"), "class_id", "kept")
@@ -55,7 +60,17 @@ def op10_bpe_codec(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mixture_packing, op2_feistel_pseudonyms, op3_cosine_links, op5_ordered_minhash, op6_language_kernels,
-    op8_one_bit_codes, op9_toxicity_network, op10_bpe_codec)}
-
-ORACLE: dict[str, str] = {}
+    op1_mixture_packing, op2_feistel_pseudonyms, op3_cosine_links, op4_dictionary_warc,
+    op5_ordered_minhash, op6_language_kernels, op8_one_bit_codes, op9_toxicity_network,
+    op10_bpe_codec)}
+
+ORACLE: dict[str, str] = {
+    "op4_dictionary_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+             s as (select page_id, strlen(html) as n, sha1(html) as digest from p),
+             h as (select digest, max(page_id) as head, count(*) as copies from s where n >= 1000 group by 1)
+        select page_id, n::bigint as payload_bytes, digest as payload_digest,
+               case when copies > 1 and head <> page_id then 'revisit' else 'response' end as record_type,
+               case when copies > 1 and head <> page_id then head end as refers_to
+        from s left join h using (digest)""",
+}
