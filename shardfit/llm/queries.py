@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm import bpe, cosine_links, language, onebit, ordered_minhash, packing, pii, toxicity, warc
+from shardfit.llm import bpe, cosine_links, language, onebit, ordered_minhash, packing, pii, templates, toxicity, warc
 from shardfit.llm.common import held_out
 
 
@@ -43,6 +43,10 @@ def op6_language_kernels(spark, d):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_page_templates(spark, d):
+    return templates.extract(table(spark, d, "pages"))
+
+
 def op8_one_bit_codes(spark, d):
     return onebit.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -61,8 +65,8 @@ def op10_bpe_codec(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     op1_mixture_packing, op2_feistel_pseudonyms, op3_cosine_links, op4_dictionary_warc,
-    op5_ordered_minhash, op6_language_kernels, op8_one_bit_codes, op9_toxicity_network,
-    op10_bpe_codec)}
+    op5_ordered_minhash, op6_language_kernels, op7_page_templates,
+    op8_one_bit_codes, op9_toxicity_network, op10_bpe_codec)}
 
 ORACLE: dict[str, str] = {
     "op4_dictionary_warc": """
