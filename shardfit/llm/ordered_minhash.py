@@ -10,7 +10,7 @@ Candidates are verified by banded alignment of their k-mers: with L k-mers in th
 common order of sequences of n and m, the similarity is L / (n + m - L). At the threshold no
 match can lie further off the diagonal than the band. Documents with equal words are one
 text; only distinct texts meet. In a bucket all texts are compared with its first one; those
-that are not alike stay for a further round with a new first one, until none is left. So no
+that are not alike stay for further rounds with new first ones, until none is left. So no
 bucket is gathered, none is cut off, and copies are never expanded into pairs.
 """
 
@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions.sizes import broadcast_if_small
 from shardfit.llm.common import Remembered, keep, slices, texts_of
 from shardfit.llm.components import components
 
 K = 5             # words of a k-mer
-TABLES = 16       # sketches of a document
-KEPT = 3          # k-mers of a sketch
+TABLES = 32       # sketches of a document
+KEPT = 6          # k-mers of a sketch; at similarity 0.8 all tables miss once in 16 000
+SLOTS = 8         # first texts of a bucket in each round but the first
 THRESHOLD = 0.8
 REMEMBERED = 200_000
 _WORDS = re.compile(r"\w+")
@@ -161,17 +163,30 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
 def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links `a, b` between distinct texts; `texts` has `row, sketches`."""
     placed = texts.select("row", F.posexplode("sketches").alias("table", "sketch")).select(
-        "row", F.xxhash64("table", "sketch").alias("bucket"))
-    found, open_ = [], keep(placed)
+        "row", F.xxhash64("table", "sketch").alias("bucket"), F.lit(0).alias("slot"))
+    found, needed = [], None
     while True:
-        firsts = open_.groupBy("bucket").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-        met = keep(open_.hint("merge").join(firsts.drop("n").hint("merge"), "bucket").where("row != first"))
+        firsts = placed.groupBy("bucket", "slot").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+        if needed is None:
+            firsts = firsts.where("n > 1")
+        met = placed.select("row", "bucket").hint("merge").join(
+            firsts.select("bucket", "first").hint("merge"), "bucket").where("row != first")
+        met = keep(met)
         if not met.limit(1).count():
             break
-        checked = keep(_verified(met.select("row", "first").distinct(), words, threshold))
+        if needed is None:  # the words of texts that share a bucket with another one
+            rows = keep(met.select("row").union(met.select("first")).distinct())
+            needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"))
+        pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first")).distinct()
+        checked = keep(_verified(pairs, needed, threshold))
         found.append(checked.where("alike").select(F.col("row").alias("a"), F.col("first").alias("b")))
-        apart = checked.where("not alike").select("row", "first")
-        open_ = keep(met.join(apart, ["row", "first"], "left_semi").select("row", "bucket"))
+        alike = checked.where("alike")
+        alike = alike.select("row", "first").unionByName(alike.select(F.col("first").alias("row"), F.col("row").alias("first")))
+        # gone from a bucket: its first texts, and what is like one of them
+        gone = met.select("bucket", F.col("first").alias("row")).unionByName(
+            met.join(alike, ["row", "first"], "left_semi").select("bucket", "row")).distinct()
+        left = met.select("bucket", "row").distinct().join(gone, ["bucket", "row"], "left_anti")
+        placed = keep(left.withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")))
     spark = texts.sparkSession
     out = spark.createDataFrame([], "a long, b long")
     for part in found:
