@@ -351,7 +351,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 1000, key=
     marks = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1)")
     marks = marks.join(rows.select("doc_id"), "doc_id", "left_semi")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    drawn = rows.join(sample_rows(marks, "toxic", per_label).dropDuplicates(["doc_id", "toxic"]), "doc_id").toPandas()
+    sample = sample_rows(marks, "toxic", per_label).dropDuplicates(["doc_id", "toxic"])
+    drawn = rows.join(F.broadcast(sample), "doc_id").toPandas()  # the sample's size is bounded
     drawn = drawn.sort_values(["doc_id", "toxic", "text"])
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return ToxicityModel().fit(drawn["text"].tolist(), drawn["toxic"].to_numpy(), share)
