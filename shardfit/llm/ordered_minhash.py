@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.sizes import broadcast_if_small
-from shardfit.llm.common import Remembered, keep, slices, texts_of
+from shardfit.llm.common import Remembered, fresh, keep, slices, texts_of
 from shardfit.llm.components import components
 
 K = 5             # words of a k-mer
@@ -115,12 +115,13 @@ def _common(a: list, b: list) -> int:
 
 
 def sketched(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """`row, key, print, words, sketches` of every document, written once to the shared folder.
+    """`row, key, mark, print, words, sketches` of every document, written once to the shared folder.
 
-    `row` numbers the rows, `print` tells sequences of words apart and is null without words,
-    `words` has 32-bit hashes.
+    `row` numbers the rows, `mark` is a hash of the text as it stands, `print` tells sequences
+    of words apart and is null without words, `words` has 32-bit hashes.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
 
     def run(batches):
         hashed = Remembered(lambda w: xxhash.xxh3_64_intdigest(w) >> 32, REMEMBERED)
@@ -135,12 +136,12 @@ def sketched(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
                     prints.append(xxhash.xxh3_128_digest(raw[-1]) if len(words) else None)
                     found.append(sketches(words) if len(words) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(raw))), part.column("key"), pa.array(prints, pa.binary()),
-                     pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                    ["row", "key", "print", "words", "sketches"])
+                    [pa.array(np.arange(row, row + len(raw))), part.column("key"), part.column("mark"),
+                     pa.array(prints, pa.binary()), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                    ["row", "key", "mark", "print", "words", "sketches"])
                 row += len(raw)
 
-    return keep(rows.mapInArrow(run, "row long, key long, print binary, words binary, sketches array<long>"))
+    return keep(rows.mapInArrow(run, "row long, key long, mark long, print binary, words binary, sketches array<long>"))
 
 
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
@@ -195,7 +196,7 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="text") -> DataFrame:
-    """`row, key, class_id, kept` of every document.
+    """`row, key, mark, class_id, kept` of every document; `row` and `mark` as in `sketched`.
 
     A class holds documents that are connected by links; `class_id` is its smallest key, and
     exactly one row of each class is kept, the first one with that key. Rows without words
@@ -211,6 +212,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="t
         "print", "best", F.coalesce("component", "row").alias("component"))
     heads = named.groupBy("component").agg(F.min("best").alias("head"))
     heads = named.join(heads, "component").select("print", "head")
-    return rows.select("row", "key", "print").join(heads.hint("merge"), "print", "left").select(
-        "row", "key", F.when(F.col("head").isNull(), F.col("key")).otherwise(F.col("head.key")).alias("class_id"),
+    return rows.select("row", "key", "mark", "print").join(heads.hint("merge"), "print", "left").select(
+        "row", "key", "mark", F.when(F.col("head").isNull(), F.col("key")).otherwise(F.col("head.key")).alias("class_id"),
         F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="text") -> DataFrame:
+    """The table with one document of each class, all columns as they were.
+
+    Rows with equal key and text are one document of which the first met is kept.
+    """
+    mark = fresh(docs, "_mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
+    found = classes(docs, threshold, key, text).groupBy("key", "mark").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = keep(found.where("not kept or n > 1"))
+    gone, repeated = (broadcast_if_small(part, part.count()) for part in (odd.where("not kept"), odd.where("kept and n > 1")))
+
+    def same(other: DataFrame):
+        return F.col(key).cast("bigint").eqNullSafe(other["key"]) & (F.col(mark) == other["mark"])
+
+    left = marked.join(gone, same(gone), "left_anti")
+    again = left.join(repeated, same(repeated), "left_semi").dropDuplicates([key, mark])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(again).drop(mark)
