@@ -34,6 +34,7 @@ BUCKETS = 1 << 15    # of words, and of character n-grams
 GRAMS = (3, 4)
 SLICE_CHARS = 2_000_000
 SLICE_WINDOWS = 4_096
+AT_ONCE = 500_000    # n-grams looked up at once
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -128,11 +129,18 @@ class ToxicityModel:
         """Word and character inputs of every distinct word; a last row of zeros for padding."""
         out = np.zeros((len(words.word) + 1, 2 * EMBEDDED), np.float32)
         out[:-1, :EMBEDDED] = self.p["word"][words.word]
-        has = words.n_grams > 0
-        if has.any():
-            firsts = (np.cumsum(words.n_grams) - words.n_grams)[has]
-            sums = np.add.reduceat(self.p["gram"][words.gram], firsts, axis=0)
-            out[:-1, EMBEDDED:][has] = sums / words.n_grams[has, None]
+        ends = np.cumsum(words.n_grams)
+        first = 0
+        while first < len(words.word):  # a bounded number of n-grams at a time
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+            counts = words.n_grams[first:last]
+            has = counts > 0
+            if has.any():
+                starts = (ends[first:last] - counts - done)[has]
+                sums = np.add.reduceat(self.p["gram"][words.gram[done:ends[last - 1]]], starts, axis=0)
+                out[first:last, EMBEDDED:][has] = sums / counts[has, None]
+            first = last
         return out
 
     def _projected(self, x: np.ndarray, d: str) -> np.ndarray:
