@@ -173,15 +173,18 @@ class Phase:
         r = max(0, x * self.total // (self.length * share) - 2)
         while self.spent(g + 1, r + 1) - self.spent(g, r + 1) <= x:
             r += 1
+        low, done = self.spent(g, r), self.spent(g + 1, r) - self.spent(g, r)
+        before, after, total, length, start = self.sums[g], self.sums[g + 1], self.total, self.length, self.start
         while x < end:
-            low, low1 = self.spent(g, r), self.spent(g, r + 1)
-            done, done1 = self.spent(g + 1, r) - low, self.spent(g + 1, r + 1) - low1
-            stop = min(end, done1)
-            if stop > x:
-                at = self.start + r * self.length + (low1 - low) + (x - done)
-                yield x - shift, at, stop - x
-                x = stop
             r += 1
+            spent = min(r * length, total)
+            low1 = spent * before // total
+            done1 = spent * after // total - low1
+            if done1 > x:
+                stop = min(end, done1)
+                yield x - shift, start + (r - 1) * length + (low1 - low) + (x - done), stop - x
+                x = stop
+            low, done = low1, done1
 
 
 def phases(totals: dict[str, int], length: int, targets: dict[str, float] | None = None) -> list[Phase]:
@@ -258,14 +261,15 @@ def _cut(rows: pa.RecordBatch, plan: list[Phase], length: int) -> pa.RecordBatch
         for phase in plan:
             for token, at, size in phase.pieces(lane, place, place + n):
                 while size:  # a round may straddle two sequences after an uneven phase
-                    take = min(size, length - at % length)
+                    sequence, inside = divmod(at, length)
+                    take = size if inside + size <= length else length - inside
                     first = token - place
                     row.append(i)
                     start.append(first)
                     count.append(take)
                     ids.append(wide[4 * first:4 * (first + take)])
-                    seq.append(at // length)
-                    offset.append(at % length)
+                    seq.append(sequence)
+                    offset.append(inside)
                     token, at, size = token + take, at + take, size - take
     row = pa.array(row, pa.int64())
     return pa.RecordBatch.from_arrays(
