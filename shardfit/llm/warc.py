@@ -122,7 +122,7 @@ def write(pages: DataFrame, folder: str | None = None, level: int = LEVEL) -> Da
             for row in batch.to_pylist():
                 if out is None:
                     name = f"{folder}/{context.partitionId():06d}-{number:04d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
-                    out, n, held = store.open_output_stream(f"{root}/{name.rpartition('/')[2]}"), 0, 0
+                    out, n, held = store.open_output_stream(f"{root}/{name.rpartition('/')[2]}", compression=None), 0, 0
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 raw = record(row["key"], row["url"], row["payload"], row["payload_digest"], row["record_type"], row["refers_to"])
                 out.write(press.compress(raw))
@@ -169,7 +169,7 @@ def read(spark: SparkSession, archives: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 store, place = _store(path)
                 rows, held = [], 0
-                with store.open_input_stream(place) as stream:
+                with store.open_input_stream(place, compression=None) as stream:
                     for raw in frames(stream):
                         rows.append(_row(*parsed(raw)))
                         held += len(raw)
