@@ -1,5 +1,9 @@
 """Labelled rows from the test tables."""
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ FLAGS = ("A", "N", "R")
 STATUSES = ("F", "O")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 WORD_COLUMNS = 1024
+WHITE = re.compile(r"\s+", re.ASCII)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
@@ -71,23 +76,37 @@ def event_rows(spark, sf_dir) -> DataFrame:
     return from_tables(table(spark, sf_dir, "events"), "event_id", "value", features)
 
 
-def document_rows(spark, sf_dir, partitions=None) -> DataFrame:
-    """Sparse rows: hashed counts of all words of a labelled document."""
+def document_rows(spark, sf_dir, partitions=None, labelled: bool = True) -> DataFrame:
+    """Sparse rows: hashed counts of all words of a document; y is its quality as +1 or -1.
+
+    Without ``labelled`` all documents are rows, and y is 0 where there is no label.
+    """
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("y")
     )
-    docs = table(spark, sf_dir, "documents", partitions).select("doc_id", "text").join(labels, "doc_id")
-    word = F.explode(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    col = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % WORD_COLUMNS
-    counts = (
-        docs.select("doc_id", word.alias("word"))
-        .groupBy("doc_id", col.cast("int").alias("col")).agg(F.count("*").cast("double").alias("x"))
-        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("col", "x"))).alias("entries"))
-    )
-    return docs.select("doc_id", "y").join(counts, "doc_id", "left").select(
-        F.col("doc_id").alias("row_id"), "y",
-        F.coalesce("entries", F.array().cast(ENTRIES)).alias("entries"),
-    )
+    docs = table(spark, sf_dir, "documents", partitions).select("doc_id", "text")
+    docs = docs.join(labels, "doc_id", "inner" if labelled else "left")
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.coalesce("y", F.lit(0.0)).alias("y"), "text")
+
+    def count(batches):
+        columns: dict[str, int] = {}
+        for batch in batches:
+            lists = []
+            for text in batch.column("text").to_pylist():
+                found: dict[int, float] = {}
+                for word in WHITE.split(text or ""):
+                    if word not in columns:
+                        columns[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % WORD_COLUMNS
+                    if word:
+                        found[columns[word]] = found.get(columns[word], 0.0) + 1.0
+                lists.append([{"col": c, "x": found[c]} for c in sorted(found)])
+                if len(columns) > 500_000:
+                    columns.clear()
+            entries = pa.array(lists, pa.list_(pa.struct([("col", pa.int32()), ("x", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("y"), entries],
+                                             ["row_id", "y", "entries"])
+
+    return rows.mapInArrow(count, f"row_id bigint, y double, entries {ENTRIES}")
 
 
 def fixed_beta(spark, n_features: int) -> DataFrame:

@@ -24,11 +24,15 @@ WIDTHS = "widths as (select col, max(x)-min(x) as w from long group by col)"
 NAMED_SCALED = "select row_id, {y} as y, " + pivot8() + " from scaled group by row_id, y"
 TEST_ROW = S.word("'3'", "'split'", "row_id") + "<858993459"
 
-# long of the documents with its zeros, for dense elimination
-DOCS_FULL = S.DOCS.replace("\nlong as (select c.row_id, d.y, c.col, c.x from counts c join docs d on c.row_id=d.row_id)", """
+
+
+def full(docs: str) -> str:
+    """Long form of the documents with its zeros, for dense elimination."""
+    return docs.replace("\nlong as (select c.row_id, d.y, c.col, c.x from counts c join docs d on c.row_id=d.row_id)", """
 long as (select d.row_id, d.y, k::int as col, coalesce(c.x,0.0) as x from docs d cross join range(1024) t(k)
   left join counts c on c.row_id=d.row_id and c.col=k)""")
 
+
 # a coefficient per column from a formula
 FIXED = """
 beta as (select c::int as col, (c%7-3)/10.0::double as beta from range({p}) t(c)),
@@ -192,9 +196,11 @@ def build() -> dict[str, str]:
     q["sparse_entries"] = query(S.LI, select=CHECKSUM)
     q["sparse_dense_roundtrip"] = FLAT_LI
     q["events_one_hot"] = query(S.EVENTS, select=f"select row_id, {r6('y')} as y, {WIDE8} from flat")
-    q["document_entries"] = query(S.DOCS, select=CHECKSUM)
+    q["document_entries"] = query(
+        S.ALL_DOCS, "sums as (" + CHECKSUM + ")", select="select d.row_id, d.y, coalesce(n,0) as n, "
+        "coalesce(s,0.0) as s from docs d left join sums t on d.row_id=t.row_id")
     q["document_width"] = query(
-        S.DOCS, select="select (max(col)+1)::bigint as n_features, count(*)::bigint as n_entries from long"
+        S.ALL_DOCS, select="select (max(col)+1)::bigint as n_features, count(*)::bigint as n_entries from long"
     )
 
     q["train_test_split"] = query(
@@ -221,7 +227,7 @@ def build() -> dict[str, str]:
         "using(row_id) group by col",
     )
     q["transpose_sparse"] = query(
-        S.DOCS, positions("docs"),
+        S.ALL_DOCS, positions("docs"),
         select=f"select col, count(*) as n, {r6('sum(x*(pos%97))')} as s from long join place "
         "using(row_id) group by col",
     )
@@ -280,7 +286,7 @@ found as (""") + """,
 rp as (select s.row_id, s.block, s.proj, coalesce(r,0.0) as r from slots s left join found o
   on s.row_id=o.row_id and s.block=o.block and s.proj=o.proj)"""
     q["sparse_document_projection"] = query(
-        S.DOCS, S.range_blocks(1024, 4), S.sparse_pi(2), full_rp, S.LOO, select=loo
+        S.ALL_DOCS, S.range_blocks(1024, 4), S.sparse_pi(2), full_rp, S.LOO, select=loo
     )
     q["dct_features"] = query(
         S.EMB, select="select row_id, t::int as col, "
@@ -299,7 +305,7 @@ rp as (select s.row_id, s.block, s.proj, coalesce(r,0.0) as r from slots s left
         S.EMB, B4, *SDCT8, S.SHARED_Z, select=f"select row_id, block, i::int as i, {r6('v')} as v from z"
     )
     q["joined_designs"] = query(
-        DOCS_FULL, S.range_blocks(1024, 4), S.sparse_pi(2), S.RP, S.concat(2), S.SHARED_Z,
+        full(S.ALL_DOCS), S.range_blocks(1024, 4), S.sparse_pi(2), S.RP, S.concat(2), S.SHARED_Z,
         select=f"select row_id, block, (max(d)+6)::bigint as n, {r6('sum(v*(i+1))', 5)} as s from ("
         "select z.*, 256 as d from z) group by row_id, block",
     )
@@ -331,7 +337,7 @@ sums as (select col, sum(x*x)+count(*)*0.05::double as a, sum(x*s) as b,
     q["fit_model_line_parts"] = query(
         *ridge(SCALED_PARTS[0], S.range_blocks(5, 2), [0.1], [S.sdct_pi(2), S.RP, S.LOO],
                data=SCALED_PARTS[1]), select=COEF)
-    docs = query(*ridge(DOCS_FULL, S.range_blocks(1024, 64), [0.5],
+    docs = query(*ridge(full(S.DOCS), S.range_blocks(1024, 64), [0.5],
                         [S.sparse_pi(2), S.RP, S.LOO]), select=COEF)
     q["fit_model_documents"] = docs
     q["fit_joined_documents"] = docs
@@ -352,7 +358,8 @@ sums as (select col, sum(x*x)+count(*)*0.05::double as a, sum(x*s) as b,
 
     q["predict"] = query(S.EMB, FIXED64, select=f"select row_id, y, {r6('pred')} as pred from pred")
     q["predict_documents"] = query(
-        S.DOCS, FIXED.format(p=1024), select=f"select row_id, y, {r6('pred')} as pred from pred")
+        S.ALL_DOCS, FIXED.format(p=1024), select=f"select d.row_id, d.y, coalesce({r6('pred')},0.0) as pred "
+        "from docs d left join pred p on d.row_id=p.row_id")
     q["mse"] = query(S.EMB, FIXED64, select=f"select {r6('avg((y-pred)*(y-pred))')} as mse from pred")
     q["standardized_mse"] = query(
         S.EMB, FIXED64, select="select "

@@ -60,6 +60,11 @@ counts as (select row_id, (('0x'||substr(md5(word),1,8))::bigint % 1024)::int as
   count(*)::double as x from words group by all),
 long as (select c.row_id, d.y, c.col, c.x from counts c join docs d on c.row_id=d.row_id)"""
 
+# the same of all documents, labelled or not
+ALL_DOCS = DOCS.replace("case when quality=1 then 1.0::double else -1.0::double end", (
+    "case quality when 1 then 1.0::double when 0 then -1.0::double else 0.0::double end")).replace(
+    "from documents d join labels", "from documents d left join labels")
+
 # train statistics of long, applied to long: zero mean, unit sample deviation
 SCALED = """
 stats as (select col, avg(x) as mean, stddev_samp(x) as sd from long group by col),

@@ -93,16 +93,16 @@ def sparse_dense_roundtrip(spark, d):
 
 
 def document_entries(spark, d):
-    return checksum(to_long(document_rows(spark, d)))
+    rows = document_rows(spark, d, labelled=False)
+    sums = checksum(to_long(rows))  # a document without words has no entry, but its row
+    return rows.select("row_id", "y").join(sums.drop("y"), "row_id", "left").select(
+        "row_id", "y", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
 def document_width(spark, d):
-    docs = document_rows(spark, d)
-    return docs.agg(
-        (F.max(F.array_max(F.transform("entries", lambda e: e["col"]))) + 1)
-        .cast("bigint").alias("n_features"),
-        F.sum(F.size("entries")).cast("bigint").alias("n_entries"),
-    )
+    docs = document_rows(spark, d, labelled=False)
+    sums = docs.agg(F.sum(F.size("entries")).cast("bigint").alias("n_entries"))
+    return sums.withColumn("n_features", F.lit(feature_count(docs)).cast("bigint"))
 
 
 # layout --------------------------------------------------------------------
@@ -145,7 +145,7 @@ def transpose_dense(spark, d):
 
 
 def transpose_sparse(spark, d):
-    cols = L.transpose(document_rows(spark, d), chunk_rows=100)
+    cols = L.transpose(document_rows(spark, d, labelled=False), chunk_rows=100)
     cells = cols.select("col", F.inline(F.arrays_zip("pos", "obs")))
     return cells.groupBy("col").agg(
         F.count("*").alias("n"), r6(F.sum(F.col("obs") * (F.col("pos") % 97))).alias("s"),
@@ -251,7 +251,7 @@ def concat_projections(spark, d):
 
 def sparse_document_projection(spark, d):
     """Sparse rows: rows without words in a block still get its zeros and the others' sums."""
-    rows = document_rows(spark, d)
+    rows = document_rows(spark, d, labelled=False)
     blocks = L.assign_blocks(spark, 1024, 4, "range")
     pi = P.sparse_projection_matrix(blocks, 2, 1)
     rp = P.apply_projection(to_long(rows), pi, 2048, (rows, 4, 2))
@@ -289,7 +289,7 @@ def block_designs(spark, d):
 
 
 def joined_designs(spark, d):
-    rows = document_rows(spark, d)
+    rows = document_rows(spark, d, labelled=False)
     blocks = L.assign_blocks(spark, 1024, 4, "range")
     design = joined_design(rows, 1024, blocks, 4, 2, "sparse", "concatenate", 1)
     cells = design.select("row_id", "block", F.posexplode("z").alias("i", "v"))
@@ -437,7 +437,8 @@ def predict(spark, d):
 
 
 def predict_documents(spark, d):
-    pred = M.predict_long(to_long(document_rows(spark, d)), fixed_beta(spark, 1024), 1024)
+    rows = document_rows(spark, d, labelled=False)
+    pred = M.predict_long(to_long(rows), fixed_beta(spark, 1024), 1024, rows)
     return pred.select("row_id", "y", r6(F.col("pred")).alias("pred"))
 
 

@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardfit.functions.arrow import matrix_of
+from shardfit.functions.checkpoints import keep
 from shardfit.functions.hashing import WORD, hash_word
-from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.rows import feature_count, is_sparse
 
 RANK_BUCKETS = 65_536      # hash ranges that are ranked apart from each other
-QUANTILES = 64             # id ranges of about equal size
-RANGE_ROWS = 100_000       # rows that are numbered together, about
 CHUNK_VALUES = 4_000_000   # doubles of one transposed chunk, 32 MB
 ROW_CHUNK = 65_536         # most observations of one column in one chunk
 
@@ -76,45 +74,24 @@ def fold_rows(df: DataFrame, fold: int, held_out: bool) -> DataFrame:
     return df.where(F.col("fold") == fold) if held_out else df.where(F.col("fold") != fold)
 
 
-def _search(value: Column, bounds: list, low: int = 0) -> Column:
-    """Number of bounds at or below the value, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(value < F.lit(bounds[mid]), _search(value, bounds[:mid], low)).otherwise(
-        _search(value, bounds[mid + 1:], low + mid + 1)
-    )
-
-
 def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFrame:
     """0-based position of every row in key order, without a one-task sort.
 
-    Quantiles of the key cut it into ranges of about equal size; each range is
-    numbered on its own and the counts of the ranges before it are added.
+    Spark draws bounds from a sample of the keys, so the ranges are about equal whatever
+    the distribution; there are as many as shuffle partitions. The sorted rows are written
+    once, as bounds drawn anew would differ, and the counts of the ranges before are added.
     """
-    quantiles = [i / QUANTILES for i in range(QUANTILES + 1)]
-    n, found = df.agg(F.count("*"), F.percentile_approx(key, quantiles, 10 * QUANTILES)).first()
-    ends = sorted(set(found)) if found else [0]
-    low, high = F.lit(ends), F.lit(ends[1:] + [ends[-1] + 1])
-    # ranges of a large table are cut further, evenly between their ends
-    cuts = max(1, n // (QUANTILES * RANGE_ROWS))
-    at = F.col(key).cast("double")
-    share = (at - F.get(low, F.col("__q"))) / (F.get(high, F.col("__q")) - F.get(low, F.col("__q")))
-    cut = F.least(F.greatest(F.floor(share * cuts), F.lit(0)), F.lit(cuts - 1))
-    ranged = df.withColumn("__q", F.greatest(_search(F.col(key), ends) - 1, F.lit(0))).withColumn(
-        "__b", F.col("__q").cast("bigint") * cuts + cut
-    )
-    counts = ranged.groupBy("__b").agg(F.count("*").alias("__n"))
+    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.where(F.col(key).isNotNull()).repartitionByRange(key).sortWithinPartitions(key)
+    placed = keep(placed.withColumn("__id", F.monotonically_increasing_id()))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.select(
-        "__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before")
-    )
-    within = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    return (
-        ranged.withColumn("__r", within)
-        .join(broadcast_if_small(before, QUANTILES * cuts), "__b", "left")
-        .withColumn(name, F.col("__before") + F.col("__r") - 1)
-        .drop("__q", "__b", "__r", "__before")
+        "__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before")
     )
+    # one record per range
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(
+        name, F.col("__before") + row
+    ).drop("__part", "__before", "__id")
 
 
 def feature_index(spark: SparkSession, n_features: int) -> DataFrame:
@@ -150,9 +127,8 @@ def assign_blocks(spark: SparkSession, n_features: int, n_blocks: int, mode: str
         block = F.floor(F.col("col").cast("bigint") * n_blocks / n_features)
         return cols.select("col", block.cast("int").alias("block"))
     if mode == "random":
-        # one record per feature, not per row
-        dealt = F.row_number().over(Window.orderBy(hash_word(seed, "block", F.col("col")), "col"))
-        return cols.select("col", ((dealt - 1) % n_blocks).cast("int").alias("block"))
+        dealt = hash_rank(cols, hash_word(seed, "block", F.col("col")), "col", "__rank")
+        return dealt.select("col", (F.col("__rank") % n_blocks).cast("int").alias("block"))
     raise ValueError(f"partitioner must be 'explicit', 'range' or 'random', got {mode!r}")
 
 

@@ -16,13 +16,22 @@ from shardfit.operators.gram import in_groups
 from shardfit.operators.rows import is_sparse, to_long
 
 
-def predict_long(long: DataFrame, coef: DataFrame, n_features: int) -> DataFrame:
-    """x . beta per row from the long form: join on the feature, sum per row."""
+def predict_long(long: DataFrame, coef: DataFrame, n_features: int,
+                 rows: DataFrame | None = None) -> DataFrame:
+    """x . beta per row from the long form: join on the feature, sum per row.
+
+    A row without entries has no record in the long form; given ``rows`` it is
+    predicted as 0.
+    """
     beta = broadcast_if_small(coef.select("col", "beta"), n_features)
-    return (
-        long.join(beta, "col")
-        .groupBy("row_id")
-        .agg(F.first("y").alias("y"), F.sum(F.col("x") * F.col("beta")).alias("pred"))
+    sums = long.join(beta, "col").groupBy("row_id").agg(
+        F.first("y").alias("y"), F.sum(F.col("x") * F.col("beta")).alias("pred")
+    )
+    if rows is None:
+        return sums
+    extra = [c for c in ("fold",) if c in rows.columns]
+    return rows.select("row_id", "y", *extra).join(sums.drop("y"), "row_id", "left").withColumn(
+        "pred", F.coalesce("pred", F.lit(0.0))
     )
 
 
@@ -34,10 +43,7 @@ def predict(rows: DataFrame, coef: DataFrame, n_features: int) -> DataFrame:
     """
     extra = [c for c in ("fold",) if c in rows.columns]
     if n_features > MATRIX_VALUES:
-        sums = predict_long(to_long(rows, keep_zeros=False), coef, n_features)
-        return rows.select("row_id", "y", *extra).join(
-            sums.select("row_id", "pred"), "row_id", "left"
-        ).withColumn("pred", F.coalesce("pred", F.lit(0.0)))
+        return predict_long(to_long(rows, keep_zeros=False), coef, n_features, rows)
     beta = np.zeros(n_features)
     found = to_driver(coef.select("col", "beta"))
     beta[found["col"].to_numpy()] = found["beta"].to_numpy()

@@ -33,9 +33,15 @@ def _with_id(df: DataFrame, row_id: str | None) -> tuple[DataFrame, Column]:
     return df.withColumn("__id", F.monotonically_increasing_id()), F.col("__id")
 
 
-def as_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """Dense rows from any stored form: flat array, labelled row, or labelled ML vector."""
+def as_rows(df: DataFrame, row_id: str | None = None, n_features: int | None = None) -> DataFrame:
+    """Dense rows from any stored form: flat array, labelled row, ML vector, or sparse entries.
+
+    Entries take the width of ``n_features``, or of the largest column among them.
+    """
     df, key = _with_id(df, row_id)
+    if is_sparse(df):
+        rows = sparse_rows(df, row_id)
+        return to_dense(rows, feature_count(rows) if n_features is None else n_features)
     types = {f.name: f.dataType for f in df.schema}
     if isinstance(types.get("a"), T.ArrayType):
         a = F.col("a").cast("array<double>")
@@ -60,6 +66,26 @@ def as_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
     )
 
 
+def sparse_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
+    """Sparse rows from entries, or from ML vectors without a dense detour; else from dense rows."""
+    source = df
+    df, key = _with_id(df, row_id)
+    if is_sparse(df):
+        entries = F.col("entries").cast(ENTRIES)
+    elif isinstance({f.name: f.dataType for f in df.schema}.get("features"), VectorUDT):
+        # a sparse vector holds its indices, a dense one has none and gives its values by place
+        raw = F.from_json(F.to_json(F.struct("features")),
+                          "features struct<type:int,size:int,indices:array<int>,values:array<double>>")["features"]
+        places = F.when(raw["type"] == 0, raw["indices"]).otherwise(
+            F.sequence(F.lit(0), F.size(raw["values"]) - 1))
+        entries = F.zip_with(places, raw["values"], lambda c, x: F.struct(c.alias("col"), x.alias("x")))
+        entries = F.filter(entries, lambda e: e["x"] != 0)
+    else:
+        return to_sparse(as_rows(source, row_id))
+    return df.select(key.alias("row_id"), F.col(_label_column(df)).cast("double").alias("y"),
+                     entries.alias("entries"))
+
+
 def to_flat_array(rows: DataFrame) -> DataFrame:
     """Label in front of the features."""
     return rows.select("row_id", F.concat(F.array("y"), "features").alias("a"))

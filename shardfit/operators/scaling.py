@@ -1,10 +1,14 @@
 """Centring, scaling and column ranges."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions.arrow import matrix_of
+from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.rows import is_sparse
 
@@ -41,15 +45,30 @@ def _standardize(x: Column, mean, sd) -> Column:
 
 
 def _apply(rows: DataFrame, statistics) -> DataFrame:
+    """Rows with standardised response and features; two vectors of feature length are sent."""
     y_mean, y_sd, mean, sd = statistics
     y = _standardize(F.col("y"), *[None if v is None else F.lit(v) for v in (y_mean, y_sd)])
     out = rows.withColumn("y", y)
-    x = F.col("features") if "features" in rows.columns else None
-    for values, single in ((mean, lambda v, m: _standardize(v, m, None)),
-                           (sd, lambda v, s: _standardize(v, None, s))):
-        if values is not None:
-            x = F.zip_with(x, F.lit(values.tolist()), single)
-    return out if x is None else out.withColumn("features", x)
+    if mean is None and sd is None:
+        return out
+    shared = Shared(rows.sparkSession, (mean, sd))
+    at = out.columns.index("features")
+
+    def run(batches):
+        mean, sd = shared.value
+        width = len(sd if mean is None else mean)
+        for batch in batches:
+            x = matrix_of(batch.column("features"), width, "features")
+            if mean is not None:
+                x = x - mean
+            if sd is not None:
+                x = np.divide(x, sd, out=np.zeros_like(x), where=sd > 0)
+            ends = pa.array(np.arange(0, x.size + 1, max(width, 1), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+            columns = [lists if i == at else batch.column(i) for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return out.mapInArrow(run, out.schema)
 
 
 def center_scale(train: DataFrame, test: DataFrame | None = None,

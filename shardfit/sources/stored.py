@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from shardfit.operators.layout import split_train_test
-from shardfit.operators.rows import as_rows, to_sparse
+from shardfit.operators.rows import as_rows, feature_count, is_sparse, sparse_rows, to_sparse
 from shardfit.sources import text
 
 TEXT_READERS = {
@@ -55,10 +55,14 @@ def read_and_cast(spark: SparkSession, path=None, train=None, test=None,
                   test_fraction: float = 0.2, seed: int = 3,
                   sparse: bool = False) -> tuple[DataFrame, DataFrame]:
     """Train and test as labelled rows from any stored row form."""
+    width = None
+    paths = [train, test] if train is not None and test is not None else [path]
+    if not sparse and paths != [None]:
+        stored = [df for p in paths if is_sparse(df := spark.read.parquet(p))]
+        # one width for both sets, so that train and test have the same columns
+        width = max((feature_count(df) for df in stored), default=None)
+
     def read(p):
         df = spark.read.parquet(p)
-        if "entries" in df.columns:
-            return df
-        rows = as_rows(df)
-        return to_sparse(rows) if sparse else rows
+        return sparse_rows(df) if sparse else as_rows(df, n_features=width)
     return _train_and_test(read, path, train, test, test_fraction, seed)

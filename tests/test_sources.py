@@ -132,3 +132,26 @@ def test_run_report(spark, tmp_path):
     assert spark.read.json(path + "/config").first().q == 8
     save_n_feats(spark, 12, str(tmp_path / "n"))
     assert read_n_feats(spark, str(tmp_path / "n")) == 12
+
+
+def test_stored_forms_as_dense_and_sparse_rows(spark, tmp_path):
+    from pyspark.ml.linalg import Vectors
+
+    from shardfit.operators.rows import as_rows, sparse_rows
+    from shardfit.sources.stored import read_and_cast
+
+    vectors = spark.createDataFrame(
+        [(1, 1.0, Vectors.sparse(5, [1, 4], [2.5, -1.0])), (2, -1.0, Vectors.dense([0.0, 3.0, 0.0, 0.0, 1e-17])),
+         (3, 1.0, Vectors.sparse(5, [], []))], ["row_id", "label", "features"])
+    want = {1: [(1, 2.5), (4, -1.0)], 2: [(1, 3.0), (4, 1e-17)], 3: []}
+    sparse = sparse_rows(vectors)
+    assert {r.row_id: [tuple(e) for e in r.entries] for r in sparse.collect()} == want
+    dense = {r.row_id: r.features for r in as_rows(sparse, n_features=6).collect()}
+    assert dense == {k: [dict(v).get(c, 0.0) for c in range(6)] for k, v in want.items()}
+    train, test = str(tmp_path / "train"), str(tmp_path / "test")
+    sparse.where("row_id <> 2").write.parquet(train)
+    sparse.where("row_id = 3").write.parquet(test)
+    for asked in (True, False):
+        parts = read_and_cast(spark, train=train, test=test, sparse=asked)
+        assert all(("entries" in p.columns) == asked for p in parts)
+    assert [len(r.features) for p in parts for r in p.collect()] == [5, 5, 5]
