@@ -1,6 +1,7 @@
 """Helpers that several operators of this folder share."""
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, whose plan knows nothing of what made it.
+
+    For loops: a checkpoint hands constraints on to the next plan, where they multiply.
+    """
+    path = f"{shared_folder(df.sparkSession)}/shardfit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not use yet."""
     taken = {c.lower() for c in df.columns}

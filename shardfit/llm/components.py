@@ -8,7 +8,7 @@ Links stay in tables; only their number and a checksum reach the driver.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.llm.common import keep
+from shardfit.llm.common import written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,13 +32,13 @@ def components(links: DataFrame) -> DataFrame:
     `links`: columns `a, b` of whole numbers; null ends and loops are left out, repeated links
     count once. Without links the result is empty.
     """
-    links = keep(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         marks = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(marks) == state:
             break
         state = tuple(marks)
-        links = keep(_small_star(_large_star(links)))
+        links = written(_small_star(_large_star(links)))
     roots = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

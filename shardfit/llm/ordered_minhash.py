@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.sizes import broadcast_if_small
-from shardfit.llm.common import Remembered, fresh, keep, slices, texts_of
+from shardfit.llm.common import Remembered, fresh, keep, slices, texts_of, written
 from shardfit.llm.components import components
 
 K = 5             # words of a k-mer
 TABLES = 32       # sketches of a document
 KEPT = 6          # k-mers of a sketch; at similarity 0.8 all tables miss once in 16 000
-SLOTS = 8         # first texts of a bucket in each round but the first
+SLOTS = 8, 32     # first texts of a bucket in the second round; doubled up to this many
 THRESHOLD = 0.8
 REMEMBERED = 200_000
 _WORDS = re.compile(r"\w+")
@@ -165,7 +165,7 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
     """Verified links `a, b` between distinct texts; `texts` has `row, sketches`."""
     placed = texts.select("row", F.posexplode("sketches").alias("table", "sketch")).select(
         "row", F.xxhash64("table", "sketch").alias("bucket"), F.lit(0).alias("slot"))
-    found, needed = [], None
+    found, needed, slots = [], None, SLOTS[0]
     while True:
         firsts = placed.groupBy("bucket", "slot").agg(F.min("row").alias("first"), F.count("*").alias("n"))
         if needed is None:
@@ -179,7 +179,7 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
             rows = keep(met.select("row").union(met.select("first")).distinct())
             needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"))
         pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first")).distinct()
-        checked = keep(_verified(pairs, needed, threshold))
+        checked = written(_verified(pairs, needed, threshold))
         found.append(checked.where("alike").select(F.col("row").alias("a"), F.col("first").alias("b")))
         alike = checked.where("alike")
         alike = alike.select("row", "first").unionByName(alike.select(F.col("first").alias("row"), F.col("row").alias("first")))
@@ -187,7 +187,8 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
         gone = met.select("bucket", F.col("first").alias("row")).unionByName(
             met.join(alike, ["row", "first"], "left_semi").select("bucket", "row")).distinct()
         left = met.select("bucket", "row").distinct().join(gone, ["bucket", "row"], "left_anti")
-        placed = keep(left.withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")))
+        placed = written(left.withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int")))
+        slots = min(2 * slots, SLOTS[1])
     spark = texts.sparkSession
     out = spark.createDataFrame([], "a long, b long")
     for part in found:
