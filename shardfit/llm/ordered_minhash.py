@@ -8,10 +8,11 @@ its near copies in at least one bucket.
 
 Candidates are verified by banded alignment of their k-mers: with L k-mers in the best
 common order of sequences of n and m, the similarity is L / (n + m - L). At the threshold no
-match can lie further off the diagonal than the band. Documents with equal words are one
-text; only distinct texts meet. In a bucket all texts are compared with its first one; those
-that are not alike stay for further rounds with new first ones, until none is left. So no
-bucket is gathered, none is cut off, and copies are never expanded into pairs.
+match can lie further off the diagonal than the band. Before any words are moved, pairs are
+told apart by one byte of the smallest value under each hash function. Documents with equal
+words are one text; only distinct texts meet. In a bucket all texts are compared with its
+first one; those that are not alike stay for further rounds with new first ones, until none
+is left. So no bucket is gathered, none is cut off, and copies are never expanded into pairs.
 """
 
 import re
@@ -56,6 +57,11 @@ def kmers(words: np.ndarray) -> np.ndarray:
 
 def sketches(words: np.ndarray) -> np.ndarray:
     """One number for each hash function: its smallest labelled k-mers, in text order."""
+    return signed(words)[0]
+
+
+def signed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches, and one byte for each hash function: of its smallest value."""
     runs = kmers(words)
     order = np.argsort(runs, kind="stable")
     ranked = runs[order]
@@ -72,7 +78,7 @@ def sketches(words: np.ndarray) -> np.ndarray:
     out = _SEEDS.copy()
     for column in lowest.T:
         out = _mixed(out * np.uint64(31) + labelled[column])
-    return out.view(np.int64)
+    return out.view(np.int64), (drawn.min(axis=1) >> np.uint64(16)).astype(np.uint8)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
@@ -115,7 +121,7 @@ def _common(a: list, b: list) -> int:
 
 
 def sketched(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """`row, key, mark, print, words, sketches` of every document, written once to the shared folder.
+    """`row, key, mark, print, words, sketches, lowest` of every document, written once to the shared folder.
 
     `row` numbers the rows, `mark` is a hash of the text as it stands, `print` tells sequences
     of words apart and is null without words, `words` has 32-bit hashes.
@@ -129,27 +135,49 @@ def sketched(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashed.turn()
-                raw, prints, found = [], [], []
+                raw, prints, found, marks = [], [], [], []
                 for t in texts_of(part):
                     words = np.fromiter(map(get, _WORDS.findall(t.lower())), np.uint32)
                     raw.append(words.tobytes())
                     prints.append(xxhash.xxh3_128_digest(raw[-1]) if len(words) else None)
-                    found.append(sketches(words) if len(words) else None)
+                    both = signed(words) if len(words) else (None, None)
+                    found.append(both[0])
+                    marks.append(both[1].tobytes() if len(words) else None)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(raw))), part.column("key"), part.column("mark"),
-                     pa.array(prints, pa.binary()), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                    ["row", "key", "mark", "print", "words", "sketches"])
+                     pa.array(prints, pa.binary()), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64())),
+                     pa.array(marks, pa.binary())],
+                    ["row", "key", "mark", "print", "words", "sketches", "lowest"])
                 row += len(raw)
 
-    return keep(rows.mapInArrow(run, "row long, key long, mark long, print binary, words binary, sketches array<long>"))
+    return keep(rows.mapInArrow(run, "row long, key long, mark long, print binary, words binary, sketches array<long>, "
+                                      "lowest binary"))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """`row, first, alike` of pairs of rows."""
-    left = words.select("row", F.col("words").alias("a"))
-    right = words.select(F.col("row").alias("first"), F.col("words").alias("b"))
+def _beside(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """`row, first, a, b`: a column of both rows of every pair."""
+    left = texts.select("row", F.col(column).alias("a"))
+    right = texts.select(F.col("row").alias("first"), F.col(column).alias("b"))
     # both joins may be split where one row has very many partners
     loaded = pairs.join(left.hint("merge"), "row").join(right.hint("merge"), "first")
+    return loaded.select("row", "first", "a", "b")
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Pairs that share the smallest values of enough hash functions; tells unlike texts apart by 32 bytes."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TABLES) for c in "ab")
+            alike = pa.array((a == b).sum(axis=1) >= least)
+            yield batch.select(["row", "first"]).filter(alike)
+
+    return _beside(pairs, texts, "lowest").mapInArrow(run, "row long, first long")
+
+
+def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """`row, first, alike` of pairs of rows."""
+    loaded = _beside(pairs, words, "words")
 
     def run(batches):
         for batch in batches:
@@ -158,7 +186,7 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("first"), pa.array(alike, pa.bool_())],
                                              ["row", "first", "alike"])
 
-    return loaded.select("row", "first", "a", "b").mapInArrow(run, "row long, first long, alike boolean")
+    return loaded.mapInArrow(run, "row long, first long, alike boolean")
 
 
 def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,6 +194,8 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
     placed = texts.select("row", F.posexplode("sketches").alias("table", "sketch")).select(
         "row", F.xxhash64("table", "sketch").alias("bucket"), F.lit(0).alias("slot"))
     found, needed, slots = [], None, SLOTS[0]
+    # texts at the threshold share so many smallest values but once in two million pairs
+    least = max(0, int(TABLES * threshold - 5 * (TABLES * threshold * (1 - threshold)) ** 0.5))
     while True:
         firsts = placed.groupBy("bucket", "slot").agg(F.min("row").alias("first"), F.count("*").alias("n"))
         if needed is None:
@@ -179,7 +209,7 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
             rows = keep(met.select("row").union(met.select("first")).distinct())
             needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"))
         pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first")).distinct()
-        checked = written(_verified(pairs, needed, threshold))
+        checked = written(_verified(_plausible(pairs, needed, least), needed, threshold))
         found.append(checked.where("alike").select(F.col("row").alias("a"), F.col("first").alias("b")))
         alike = checked.where("alike")
         alike = alike.select("row", "first").unionByName(alike.select(F.col("first").alias("row"), F.col("row").alias("first")))
@@ -208,7 +238,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="t
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "row")
     texts = keep(rows.where("print is not null").groupBy("print").agg(F.min(F.struct(rank.alias("best"), "sketches")).alias("m"))
                  .select("print", F.col("m.best").alias("best"), F.col("m.best.row").alias("row"), F.col("m.sketches").alias("sketches")))
-    joined = components(links(texts.select("row", "sketches"), rows.select("row", "words"), threshold))
+    joined = components(links(texts.select("row", "sketches"), rows.select("row", "words", "lowest"), threshold))
     named = texts.join(joined.withColumnRenamed("node", "row"), "row", "left").select(
         "print", "best", F.coalesce("component", "row").alias("component"))
     heads = named.groupBy("component").agg(F.min("best").alias("head"))
