@@ -19,7 +19,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions import sizes
 from shardfit.functions.shared import Shared, from_driver, to_driver
+from shardfit.operators import wide
 from shardfit.operators.design import (
     BlockLayout, DesignFeed, RowsFeed, design_widths, feed_rows,
 )
@@ -222,19 +224,19 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
             break
         state = Shared(spark, left)
         parts = None
-        sizes = {k: len(LENGTHS[loss]) * widths[p.block] ** 2 for k, p in left.items()}
-        for group in in_groups(sizes, TASK_VALUES):
+        counts = {k: len(LENGTHS[loss]) * widths[p.block] ** 2 for k, p in left.items()}
+        for group in in_groups(counts, TASK_VALUES):
             chosen = state
             if len(group) < len(left):
                 chosen = Shared(spark, {k: left[k] for k in group})
             blocks = sorted({left[k].block for k in group})
-            tasks = task_limit(spark, sum(sizes[k] for k in group) // 2)
+            tasks = task_limit(spark, sum(counts[k] for k in group) // 2)
             part = source.coalesce(tasks).mapInArrow(
                 _partials(feed.only(blocks), chosen, loss), "problem int, c int, i int, j int, v double"
             )
             parts = part if parts is None else parts.unionByName(part)
         sums = parts.groupBy("problem", "c", "i", "j").agg(F.sum("v").alias("v"))
-        if sum(sizes.values()) <= DRIVER_VALUES:
+        if sum(counts.values()) <= DRIVER_VALUES:
             advance = _advance(left, loss, stopping_gap)
             groups = to_driver(sums).groupby("problem")
             moved = pd.concat([advance(g) for _, g in groups]) if len(groups) else pd.DataFrame()
@@ -267,44 +269,52 @@ def _weights(spark, problems: list[Problem]) -> DataFrame:
     frame = pd.concat([
         pd.DataFrame({
             "fold": p.fold, "block": p.block, "lambda": p.lam,
-            "i": np.arange(len(p.w)), "beta": p.w, "gap": p.gap,
+            "i": np.arange(len(p.w)), "beta": p.w, "gap": p.gap, "converged": p.done,
         })
         for p in problems
     ])
-    return from_driver(spark, frame, WEIGHTS + ", gap double")
+    return from_driver(spark, frame, WEIGHTS)
+
+
+def _solved(source, feed, widths, loss, lambdas, folds, max_iter, stopping_gap) -> DataFrame:
+    """By m x m systems where they fit into a task, else by products; with one contract."""
+    spark = source.sparkSession
+    problems = _problems(widths, lambdas, folds)
+    if loss != "squared" and max(widths.values()) <= sizes.DENSE_WIDTH:
+        return _weights(spark, _run(source, feed, widths, problems, loss, max_iter, stopping_gap))
+    target = wide.STOPPING_GAPS[loss] if stopping_gap is None else stopping_gap
+    fits = [wide.Fit(p.block, p.fold, p.lam, p.w, loss, target) for p in problems]
+    return from_driver(spark, wide.frame_of(wide.solve(source, feed, fits, loss, max_iter)), WEIGHTS)
 
 
 def fit_margin_rows(rows: DataFrame, layout: BlockLayout, loss: str, lambdas,
                     folds=(0,), max_iter: int = 100,
                     stopping_gap: float | None = None) -> DataFrame:
-    """Weights of Z_k for hinge or logistic loss, straight from rows.
+    """Weights of Z_k by shared passes, straight from rows; squared loss by products.
 
-    The rows are kept in memory or on local disk for the passes; a lost executor
-    costs a read of its part of the source.
+    A fit that reaches ``max_iter`` steps first says so in ``converged``. The rows are kept in
+    memory or on local disk for the passes; a lost executor costs a read of its part of the
+    source.
     """
     widths = {k: layout.width(k) for k in range(layout.n_blocks)}
     feed = RowsFeed(Shared(rows.sparkSession, layout))
     source = feed_rows(rows, layout).drop("row_id").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        solved = _run(source, feed, widths, _problems(widths, lambdas, folds), loss,
-                      max_iter, stopping_gap)
+        return _solved(source, feed, widths, loss, lambdas, folds, max_iter, stopping_gap)
     finally:
         source.unpersist()
-    return _weights(rows.sparkSession, solved)
 
 
 def fit_margin_design(design: DataFrame, loss: str, lambdas, folds=(0,), max_iter: int = 100,
-                      stopping_gap: float | None = None) -> DataFrame:
-    """The same from a published design table."""
+                      stopping_gap: float | None = None, widths: dict | None = None) -> DataFrame:
+    """The same from a published design table; ``widths`` of Z_k are looked up unless given."""
     keep = ["block", "y", "z"] + (["fold"] if "fold" in design.columns else [])
     source = design.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        widths = design_widths(source)
-        solved = _run(source, DesignFeed(widths), widths, _problems(widths, lambdas, folds), loss,
-                      max_iter, stopping_gap)
+        widths = widths or design_widths(source)
+        return _solved(source, DesignFeed(widths), widths, loss, lambdas, folds, max_iter, stopping_gap)
     finally:
         source.unpersist()
-    return _weights(design.sparkSession, solved)
 
 
 def fit_svm(design: DataFrame, lam, max_iter: int = 100,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shardfit.operators.gram import ONES, RESPONSE
 
-WEIGHTS = "fold int, block int, lambda double, i int, beta double"
+WEIGHTS = "fold int, block int, lambda double, i int, beta double, gap double, converged boolean"
+GAP = 1e-6  # largest gap, relative to the mean square of y, that counts as converged
 
 
 def _square(pdf: pd.DataFrame, name: str) -> np.ndarray:
@@ -25,10 +26,20 @@ def _solve(a: np.ndarray, lam: float) -> np.ndarray:
     return np.linalg.solve(a[z, z] + 0.5 * n * lam * np.eye(len(a) + ONES), a[z, 1])
 
 
+def _gap(a: np.ndarray, w: np.ndarray, lam: float) -> float:
+    """Duality gap at w, from the Gram matrix; the dual values are twice the residuals."""
+    z = slice(-ONES, None)
+    n, yy, zy = a[0, 0], a[1, 1], a[z, 1]
+    fitted = a[z, z] @ w
+    squares = yy - 2 * w @ zy + w @ fitted
+    dual = 2 * (zy - fitted) / (n * lam)
+    return (2 * squares - 2 * (yy - w @ zy)) / n + 0.5 * lam * (w @ w + dual @ dual)
+
+
 def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
     """Minimiser of (1/n) sum (y - z w)^2 + (lambda/2) |w|^2 per fold, block and lambda.
 
-    Weights of all columns of Z, by position i. A group is one Gram matrix.
+    Weights of all columns of Z, by position i, with the duality gap. A group is one Gram matrix.
     """
     lambdas = check_lambdas(lambdas)
 
@@ -37,10 +48,13 @@ def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
         frames = []
         for lam in lambdas:
             w = _solve(a, lam)
-            frames.append(pd.DataFrame({"lambda": lam, "i": np.arange(len(w)), "beta": w}))
+            gap = _gap(a, w, lam)
+            good = bool(gap <= GAP * max(a[1, 1] / a[0, 0], 1e-300))
+            frames.append(pd.DataFrame({"lambda": lam, "i": np.arange(len(w)), "beta": w,
+                                        "gap": gap, "converged": good}))
         out = pd.concat(frames)
         out["fold"], out["block"] = pdf["fold"].iat[0], pdf["block"].iat[0]
-        return out[["fold", "block", "lambda", "i", "beta"]]
+        return out[["fold", "block", "lambda", "i", "beta", "gap", "converged"]]
 
     return gram.groupBy("fold", "block").applyInPandas(solve, WEIGHTS)
 

@@ -1,68 +1,190 @@
-"""Block fits for designs too wide for m x m systems: Spark ML, one model per block and penalty."""
+"""Fits of wide blocks without m x m systems: gradients and curvature products in shared passes.
 
-from multiprocessing.pool import ThreadPool
+Newton's method whose steps come from conjugate gradients. A pass over the rows serves every
+open (fold, penalty, block) problem at once: for some it yields loss, gradient and trial
+losses at the end of a step, for others the product of the curvature with a direction. Tasks
+emit vectors as long as a block is wide, never its square. Every fit carries its duality gap
+and stops on it, as the fits by m x m systems do.
+"""
+
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.losses import check_loss
-from shardfit.functions.shared import from_driver
-from shardfit.operators.ridge import WEIGHTS, check_lambdas
+from shardfit.functions.shared import Shared, to_driver
+
+BATCH = 100_000
+# fixed values: step lengths that a pass tries besides 0 and 1
+STEPS = np.concatenate([[0.0, 1.0], 2.0 ** -np.arange(1, 25), [0.75, 0.9]])
+STOPPING_GAPS = {"squared": 1e-12, "hinge": 1e-6, "logistic": 1e-12}
+FIRST_WIDTH, LAST_WIDTH, SHRINK = 2.0, 1e-12, 0.2
+N, LOSS, CONJUGATE, TRIALS = 0, 1, 2, 3
+
+
+def _values(loss: str, y, f, width: float):
+    """Smoothed loss of predictions; the hinge is (s + sqrt(s^2 + 4 width^2)) / 2, s = 1 - y f."""
+    if loss == "squared":
+        return (y - f) ** 2
+    if loss == "hinge":
+        s = 1.0 - y * f
+        return 0.5 * (s + np.sqrt(s * s + 4 * width * width))
+    return np.logaddexp(0.0, -y * f)
 
 
-def _estimator(loss: str, lam: float, y_sd: float, max_iter: int, tol: float):
-    common = dict(featuresCol="x", labelCol="label", fitIntercept=False, standardization=False,
-                  maxIter=max_iter, tol=tol)
+def _slopes(loss: str, y, f, width: float):
+    """Minus the derivative by the prediction, which is a feasible dual value, and the curvature."""
     if loss == "squared":
-        # the l-bfgs solver divides the response by its deviation, and with it the penalty
-        return LinearRegression(regParam=0.5 * lam * y_sd, elasticNetParam=0.0,
-                                solver="l-bfgs", **common)
+        return 2 * (y - f), np.full(len(y), 2.0)
     if loss == "hinge":
-        return LinearSVC(regParam=lam, **common)
-    return LogisticRegression(regParam=lam, elasticNetParam=0.0, **common)
+        s = 1.0 - y * f
+        root = np.sqrt(s * s + 4 * width * width)
+        return y * 0.5 * (1 + s / root), 2 * width * width / root ** 3
+    t = np.exp(-np.logaddexp(0.0, y * f))
+    return y * t, t * (1 - t)
+
+
+def _conjugate(loss: str, y, a):
+    if loss == "squared":
+        return 0.25 * a * a - y * a
+    if loss == "hinge":
+        return -y * a
+    t = np.clip(y * a, 1e-300, 1.0)
+    rest = np.clip(1 - y * a, 1e-300, 1.0)
+    return t * np.log(t) + (1 - t) * np.log(rest)
+
 
+@dataclass
+class Fit:
+    """One problem: where it stands, and what it asks of the next pass."""
 
-def fit_wide(design: DataFrame, loss: str, lambdas, folds=(0,), max_iter: int = 500,
-             tol: float = 1e-10, parallelism: int = 4) -> DataFrame:
-    """Weights of Z_k by gradient methods, whose memory grows with m and not with m^2.
+    block: int
+    fold: int
+    lam: float
+    w: np.ndarray
+    loss: str
+    stopping_gap: float
+    step: np.ndarray = None
+    width: float = FIRST_WIDTH
+    gap: float = field(default=np.inf)
+    points: int = 0
+    done: bool = False
+    converged: bool = False
+    product: bool = False     # asks for curvature times `d`, else for the point w + step
 
-    Close but not exact for the hinge, whose kinks stop a gradient method early.
-    """
+    def __post_init__(self):
+        self.step = np.zeros_like(self.w)
+
+    def question(self):
+        return self.block, self.fold, self.product, self.w, self.d if self.product else self.step, self.width
+
+    def answer(self, sums: np.ndarray, vector: np.ndarray) -> None:
+        (self._multiplied if self.product else self._arrived)(sums, vector)
+
+    def _arrived(self, sums, slope) -> None:
+        n, lam = sums[N], self.lam
+        tried = [t / n + 0.5 * lam * (v := self.w + s * self.step) @ v for s, t in zip(STEPS, sums[TRIALS:])]
+        best = int(np.argmin(tried))
+        rounding = 1e-14 * max(1.0, abs(tried[0]))
+        if self.step.any() and tried[1] > tried[best] + rounding and tried[0] - tried[1] < 0.3 * (tried[0] - tried[best]):
+            self.w = self.w + STEPS[best] * self.step  # slopes there are asked for anew
+            self.step = np.zeros_like(self.w)
+            return
+        self.points += 1
+        self.w = self.w + self.step
+        self.step = np.zeros_like(self.w)
+        dual = slope / (n * lam)
+        self.gap = (sums[LOSS] + sums[CONJUGATE]) / n + 0.5 * lam * (self.w @ self.w + dual @ dual)
+        gradient = lam * self.w - slope / n
+        size = np.linalg.norm(gradient)
+        settled = size <= 1e-15 * max(1.0, lam * np.linalg.norm(self.w))
+        if self.gap <= self.stopping_gap or (settled and (self.loss != "hinge" or self.width <= LAST_WIDTH)):
+            self.done, self.converged = True, bool(self.gap <= 10 * self.stopping_gap)
+            return
+        if self.loss == "hinge" and 0.5 * size * size / lam <= 0.1 * max(tried[1] - 0.5 * lam * self.w @ self.w - sums[LOSS] / n, 0):
+            self.width = max(SHRINK * self.width, LAST_WIDTH)  # near the optimum of this width
+            return
+        self.product, self.s, self.r = True, np.zeros_like(self.w), -gradient
+        self.d, self.tries = self.r.copy(), 0
+        self.goal = size * (1e-8 if self.loss == "squared" else min(0.1, size ** 0.5))
+
+    def _multiplied(self, sums, vector) -> None:
+        q = vector / sums[N] + self.lam * self.d
+        square = self.r @ self.r
+        length = square / (self.d @ q)
+        self.s = self.s + length * self.d
+        self.r = self.r - length * q
+        self.tries += 1
+        left = self.r @ self.r
+        if left ** 0.5 <= self.goal or self.tries >= 2 * len(self.w):
+            self.product, self.step = False, self.s
+        else:
+            self.d = self.r + left / square * self.d
+
+
+def _sums(feed, sent: Shared, loss: str):
+    def run(batches):
+        questions, found, by_block = sent.value, {}, {}
+        for pid, (block, *_) in questions.items():
+            by_block.setdefault(block, []).append(pid)
+        for batch in batches:
+            for block, z, y, fold in feed(batch):
+                ids = by_block.get(block, ())
+                if not ids:
+                    continue
+                both = z @ np.column_stack([questions[i][k] for k in (3, 4) for i in ids])
+                for at, pid in enumerate(ids):
+                    _, left_out, product, _, _, width = questions[pid]
+                    train = fold != left_out if left_out else slice(None)
+                    zt, yt, f, along = z[train], y[train], both[train, at], both[train, len(ids) + at]
+                    if product:
+                        part = np.array([len(yt)]), (_slopes(loss, yt, f, width)[1] * along) @ zt
+                    else:
+                        end = f + along
+                        a = _slopes(loss, yt, end, width)[0]
+                        trials = [_values(loss, yt, f + s * along, width).sum() for s in STEPS] if along.any() else \
+                            [_values(loss, yt, f, width).sum()] * len(STEPS)
+                        true = np.maximum(1 - yt * end, 0.0) if loss == "hinge" else _values(loss, yt, end, width)
+                        part = np.array([len(yt), true.sum(), _conjugate(loss, yt, a).sum(), *trials]), a @ zt
+                    if pid in found:
+                        for total, more in zip(found[pid], part):
+                            total += more
+                    else:
+                        found[pid] = [p.astype(float) for p in part]
+        for pid, (sums, vector) in found.items():
+            i, v = np.arange(-len(sums), len(vector)), np.concatenate([sums, vector])
+            for low in range(0, len(v), BATCH):
+                s = slice(low, low + BATCH)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(v[s]), pid, np.int32)), pa.array(i[s]), pa.array(v[s])], ["problem", "i", "v"])
+    return run
+
+
+def solve(source: DataFrame, feed, fits: list[Fit], loss: str, max_iter: int) -> list[Fit]:
+    """Move all fits on until each has met its gap or `max_iter` points; those are not converged."""
     check_loss(loss)
-    design = design.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        blocks = [r[0] for r in design.select("block").distinct().collect()]
-        per_block = lambdas if isinstance(lambdas, dict) else {b: lambdas for b in blocks}
-
-        def fit(job):
-            block, fold = job
-            part = design.where(F.col("block") == block)
-            if fold:
-                part = part.where(F.col("fold") != fold)
-            label = F.col("y") if loss == "squared" else (F.col("y") > 0).cast("double")
-            data = part.select(label.alias("label"), array_to_vector("z").alias("x"))
-            y_sd = 1.0
-            if loss == "squared":
-                y_sd = data.agg(F.stddev_samp("label")).first()[0] or 1.0
-            out = []
-            for lam in check_lambdas(per_block[block]):
-                model = _estimator(loss, lam, y_sd, max_iter, tol).fit(data)
-                w = model.coefficients.toArray()
-                out.append(pd.DataFrame({
-                    "fold": fold, "block": block, "lambda": lam,
-                    "i": np.arange(len(w)), "beta": w,
-                }))
-            return out
-
-        jobs = [(b, f) for b in sorted(blocks) for f in folds]
-        with ThreadPool(min(parallelism, len(jobs))) as pool:
-            frames = [frame for part in pool.map(fit, jobs) for frame in part]
-    finally:
-        design.unpersist()
-    return from_driver(design.sparkSession, pd.concat(frames), WEIGHTS)
+    spark = source.sparkSession
+    while open_ := {k: p for k, p in enumerate(fits) if not p.done}:
+        sent = Shared(spark, {k: p.question() for k, p in open_.items()})
+        wanted = feed.only(sorted({p.block for p in open_.values()}))
+        parts = source.mapInArrow(_sums(wanted, sent, loss), "problem int, i long, v double")
+        moved = to_driver(parts.groupBy("problem", "i").agg(F.sum("v").alias("v")))
+        sent.release()
+        if moved["problem"].nunique() < len(open_):
+            raise ValueError("a block or a training fold has no rows")
+        for pid, rows in moved.sort_values("i").groupby("problem"):
+            p, i, v = fits[pid], rows["i"].to_numpy(), rows["v"].to_numpy()
+            p.answer(v[i < 0], v[i >= 0])
+            if p.points >= max_iter and not p.product:
+                p.done = True
+    return fits
+
+
+def frame_of(fits) -> pd.DataFrame:
+    return pd.concat([pd.DataFrame({
+        "fold": p.fold, "block": p.block, "lambda": p.lam, "i": np.arange(len(p.w)), "beta": p.w,
+        "gap": p.gap, "converged": p.converged}) for p in fits])

@@ -5,9 +5,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardfit.functions import sizes
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import from_driver, to_driver
-from shardfit.functions.sizes import DENSE_WIDTH
 from shardfit.operators.design import BlockLayout
 from shardfit.operators.gram import gram_rows, total_gram, train_and_test_gram
 from shardfit.operators.layout import assign_folds
@@ -42,7 +42,7 @@ def _with_folds(rows: DataFrame, k: int, seed: int, fold_mode: str) -> DataFrame
 def cv_weights(folded: DataFrame, layout: BlockLayout, k: int, loss: str, lambdas,
                **options) -> DataFrame:
     """Weights of every Z_k with each fold left out, for all penalties."""
-    if loss == "squared" and widest(layout) <= DENSE_WIDTH:
+    if loss == "squared" and widest(layout) <= sizes.DENSE_WIDTH:
         # the Gram of the training rows is the total minus that of the fold
         return fit_ridge(train_and_test_gram(gram_rows(folded, layout, k)), lambdas)
     return fit_weights(folded, layout, loss, lambdas, tuple(range(1, k + 1)), **options)
@@ -92,7 +92,7 @@ def local_cv(rows: DataFrame, layout: BlockLayout, grid, k: int = 5, seed: int =
         raise ValueError("per-block cross-validation is not defined for logistic loss")
     lambdas = grid_values(grid)
     folded = _with_folds(rows, k, seed, fold_mode)
-    if loss == "squared" and widest(layout) <= DENSE_WIDTH:
+    if loss == "squared" and widest(layout) <= sizes.DENSE_WIDTH:
         return ridge_fold_errors(train_and_test_gram(gram_rows(folded, layout, k)), lambdas)
     weights = fit_weights(folded, layout, loss, lambdas, tuple(range(1, k + 1)), **options)
     return block_fold_errors(folded, layout, weights, loss)
@@ -103,7 +103,7 @@ def fit_local_lambda(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, gr
                      **options) -> DataFrame:
     """Coefficients where every block uses the penalty that its own validation chose."""
     check_loss(loss)
-    if loss == "squared" and widest(layout) <= DENSE_WIDTH:
+    if loss == "squared" and widest(layout) <= sizes.DENSE_WIDTH:
         # one pass over the rows: the fold Grams give the errors and, summed, the final fits
         folded = _with_folds(rows, k, seed, fold_mode)
         grams = gram_rows(folded, layout, k).persist(StorageLevel.MEMORY_AND_DISK)
@@ -114,7 +114,7 @@ def fit_local_lambda(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, gr
             fitted = path.join(wanted.select("block", "lambda"), ["block", "lambda"])
             weights = from_driver(  # one record per column of Z
                 rows.sparkSession,
-                to_driver(fitted.select("fold", "block", "lambda", "i", "beta")), WEIGHTS,
+                to_driver(fitted.select("fold", "block", "lambda", "i", "beta", "gap", "converged")), WEIGHTS,
             )
         finally:
             grams.unpersist()

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import from_driver, to_driver
-from shardfit.functions.sizes import DENSE_WIDTH, MATRIX_VALUES
+from shardfit.functions import sizes
+from shardfit.functions.sizes import MATRIX_VALUES
 from shardfit.operators.design import (
     BlockLayout, add_noise, block_design, block_layout, design_widths, long_design,
 )
@@ -19,7 +20,6 @@ from shardfit.operators.projection import (
 from shardfit.operators.ridge import fit_ridge, own_coefficients
 from shardfit.operators.rows import feature_count, is_sparse, to_long
 from shardfit.operators.scaling import column_range
-from shardfit.operators.wide import fit_wide
 
 
 def model_layout(rows: DataFrame, n_blocks: int = 4, q: int = 200, projection: str = "SDCT",
@@ -52,23 +52,20 @@ def widest(layout: BlockLayout) -> int:
 
 def fit_weights(rows: DataFrame, layout: BlockLayout, loss: str, lambdas, folds=(0,),
                 **options) -> DataFrame:
-    """Weights of every Z_k, by the solver that fits its width."""
+    """Weights of every Z_k with gap and ``converged``; the width changes only how they are found."""
     check_loss(loss)
-    if widest(layout) > DENSE_WIDTH:
-        return fit_wide(block_design(rows, layout), loss, lambdas, folds, **options)
-    if loss == "squared":
+    if loss == "squared" and folds == (0,) and widest(layout) <= sizes.DENSE_WIDTH:
         return fit_ridge(gram_rows(rows.drop("fold"), layout), lambdas)
     return fit_margin_rows(rows, layout, loss, lambdas, folds, **options)
 
 
-def fit_block(design: DataFrame, loss: str, lambdas, **options) -> DataFrame:
+def fit_block(design: DataFrame, loss: str, lambdas, widths: dict | None = None, **options) -> DataFrame:
     """Weights of published block designs for a given loss."""
     check_loss(loss)
-    if max(design_widths(design).values()) > DENSE_WIDTH:
-        return fit_wide(design, loss, lambdas, **options)
-    if loss == "squared":
+    widths = widths or design_widths(design)
+    if loss == "squared" and max(widths.values()) <= sizes.DENSE_WIDTH:
         return fit_ridge(gram(design.drop("fold")), lambdas)
-    return fit_margin_design(design, loss, lambdas, **options)
+    return fit_margin_design(design, loss, lambdas, widths=widths, **options)
 
 
 def fit_path(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, loss: str, lambdas,
@@ -116,4 +113,7 @@ def _fit_model_joined(rows, p, n_blocks, q, loss, lam, projection, mode, partiti
     blocks = assign_blocks(rows.sparkSession, p, n_blocks, partitioner, seed, block_map)
     design = joined_design(rows, p, blocks, n_blocks, q, projection, mode, seed,
                            private, eps, delta, noise_seed)
-    return own_coefficients(fit_block(design, loss, lam, **options), blocks).drop("fold")
+    own = {r["block"]: r["n"] for r in blocks.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    others = 0 if q == 0 or n_blocks == 1 else q * (n_blocks - 1 if mode == "concatenate" else 1)
+    widths = {k: n + others for k, n in own.items()}  # one record per block; no design is made for it
+    return own_coefficients(fit_block(design, loss, lam, widths, **options), blocks).drop("fold")

@@ -4,13 +4,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from shardfit.functions import sizes
 from shardfit.operators import gram as G
 from shardfit.operators import newton as N
 from shardfit.operators.design import block_design
 from shardfit.operators.metrics import dual_from_primal, duality_gap, predict
 from shardfit.operators.ridge import assemble_coefficients, own_coefficients
 from shardfit.operators.rows import to_sparse
-from shardfit.operators.wide import fit_wide
 from shardfit.plans.evaluate import evaluate, report
 from shardfit.plans.model import fit_block, fit_model, fit_path, fit_weights, model_layout
 
@@ -143,25 +143,29 @@ def test_published_designs_and_groups_give_the_same_fit(data, monkeypatch):
     assert all(np.allclose(svm[k], again[k], atol=2e-3) for k in svm)
 
 
-@pytest.mark.parametrize("loss", ["squared", "logistic"])
-def test_wide_solver_agrees(data, loss):
+@pytest.mark.parametrize("loss", ["squared", "hinge", "logistic"])
+def test_one_contract_at_any_width(data, loss, monkeypatch):
+    """With the limit lowered the same columns, options and weights come without m x m systems."""
     rows = data["reg"] if loss == "squared" else data["cls"]
     layout, _ = model_layout(rows, 2, 2, "sparse", "add", "range")
-    a = by_block(fit_weights(rows, layout, loss, 0.1))
-    b = by_block(fit_wide(block_design(rows, layout), loss, 0.1))
-    for k in a:
-        assert np.allclose(a[k], b[k], atol=1e-5)
-
-
-def test_wide_hinge_comes_close_in_objective(data):
-    """The hinge has kinks, at which a gradient method stops short of the optimum."""
-    layout, _ = model_layout(data["cls"], 2, 2, "sparse", "add", "range")
-    a = by_block(fit_weights(data["cls"], layout, "hinge", 0.1))
-    b = by_block(fit_wide(block_design(data["cls"], layout), "hinge", 0.1, max_iter=20))
-    for k, z in designs(data["cls"], layout).items():
-        def objective(w):
-            return np.maximum(1 - data["s"] * (z @ w), 0).mean() + 0.05 * w @ w
-        assert objective(a[k]) <= objective(b[k]) + 1e-6 <= objective(a[k]) + 2e-2
+    gap = {"squared": 1e-14, "hinge": 1e-10, "logistic": 1e-14}[loss]
+    want = fit_weights(rows, layout, loss, [0.1, 1.0], stopping_gap=gap)
+    monkeypatch.setattr(sizes, "DENSE_WIDTH", 1)
+    for got in (fit_weights(rows, layout, loss, [0.1, 1.0], stopping_gap=gap),
+                fit_block(block_design(rows, layout), loss, [0.1, 1.0], stopping_gap=gap)):
+        assert got.columns == want.columns
+        a, b = ({tuple(r[:4]): r for r in t.collect()} for t in (want, got))
+        assert a.keys() == b.keys()
+        # a gap g lies within sqrt(2 g / lambda) of the optimum
+        assert all(abs(a[k]["beta"] - b[k]["beta"]) < (1e-4 if loss == "hinge" else 1e-6) for k in a)
+        assert all(r["converged"] and r["gap"] <= max(1e-12, gap) for r in b.values())
+
+
+def test_unconverged_fits_say_so(data, monkeypatch):
+    layout, _ = model_layout(data["cls"], 2, 0)
+    for width in (4096, 1):
+        monkeypatch.setattr(sizes, "DENSE_WIDTH", width)
+        assert not any(r["converged"] for r in fit_weights(data["cls"], layout, "hinge", 0.1, max_iter=2).collect())
 
 
 @pytest.mark.parametrize("loss", ["squared", "logistic"])
