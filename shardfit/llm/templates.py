@@ -186,10 +186,7 @@ def host(url: Column | str) -> Column:
 
 
 def deduce(pages: DataFrame, url="url", page="html") -> DataFrame:
-    """`host, tokens array<struct<token, root>>` of every host with enough different pages.
-
-    Equal pages count once per host, so copies do not make their article a template.
-    """
+    """`host, tokens array<struct<token, root>>` of every host with enough pages, not all of them equal."""
     rows = pages.select(host(url).alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"))
 
     def run(batches):
@@ -205,13 +202,13 @@ def deduce(pages: DataFrame, url="url", page="html") -> DataFrame:
                     ["host", "print", "token", "n", "place", "tag"])
 
     seen = rows.mapInArrow(run, "host string, print long, token long, n long, place long, tag boolean")
-    once = seen.groupBy("host", "token", "print").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.first("tag").alias("tag"))
     wide = "decimal(38,0)"
-    vectors = keep(once.groupBy("host", "token").agg(
+    vectors = keep(seen.groupBy("host", "token").agg(
         F.sum((F.col("n") * F.xxhash64("print").cast(wide)).cast(wide)).alias("v1"),
         F.sum((F.col("n") * F.hash("print").cast(wide)).cast(wide)).alias("v2"),
-        F.count("*").alias("pages"), F.avg("place").alias("place"), F.first("tag").alias("tag")).where("pages > 1"))
-    hosts = vectors.where(f"token = 0 and pages >= {LEAST_PAGES}").select(
+        F.count("*").alias("pages"), (F.min("print") != F.max("print")).alias("differ"),
+        F.avg("place").alias("place"), F.max("tag").alias("tag")).where("pages > 1"))
+    hosts = vectors.where(f"token = 0 and pages >= {LEAST_PAGES} and differ").select(
         "host", F.col("v1").alias("r1"), F.col("v2").alias("r2"), F.col("pages").alias("all_pages"))
     known = vectors.where("token <> 0").join(hosts, "host")
     root = (F.col("v1") == F.col("r1")) & (F.col("v2") == F.col("r2"))

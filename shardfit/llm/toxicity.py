@@ -62,7 +62,7 @@ class Words:
         padded = np.append(flat, np.int32(n))
         self.windows = np.where(pad, n, padded[np.minimum(at, len(flat))]).astype(np.int32)
         plain = [_MARKS.sub("", w) or w for w in self.index]
-        self.word = np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in plain), np.int64, n)
+        self.word = np.fromiter((zlib.crc32(w.encode()) & (BUCKETS - 1) for w in plain), np.int32, n)
         self._grams(plain)
 
     def _grams(self, words: list[str]) -> None:
@@ -79,9 +79,9 @@ class Words:
                     h = h * np.uint32(0x01000193) ^ marked[k:k + len(h)]
                 h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                 inside = owner[:len(h)] == owner[n - 1:n - 1 + len(h)]
-                found.append((h[inside] >> np.uint32(17)).astype(np.int64))
+                found.append((h[inside] >> np.uint32(17)).astype(np.int32))
                 whose.append(owner[:len(h)][inside])
-        bucket = np.concatenate([np.zeros(0, np.int64), *found])
+        bucket = np.concatenate([np.zeros(0, np.int32), *found])
         owner = np.concatenate([np.zeros(0, np.int32), *whose])
         order = np.argsort(owner, kind="stable")
         self.gram, self.owner = bucket[order], owner[order]
@@ -297,26 +297,18 @@ class ToxicityModel:
 
     def _start_from_odds(self, words: Words, labels: np.ndarray) -> None:
         """First dimension of the embeddings: smoothed log-odds of a bucket over the sample's texts."""
-        text = np.repeat(words.text, WIDTH)
-        word = words.windows.ravel()
-        real = word < len(words.word)
-        pair = np.unique(text[real].astype(np.int64) * len(words.word) + word[real])
-        text, word = pair // len(words.word), pair % len(words.word)
         total = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-        self._odds = np.zeros(len(words.word))
+        counts = {name: np.zeros((2, BUCKETS)) for name in ("word", "gram")}
         gram_start = np.cumsum(words.n_grams) - words.n_grams
-        for name in ("word", "gram"):
-            if name == "word":
-                at, bucket = text, words.word[word]
-            else:
-                count = words.n_grams[word]
-                at = np.repeat(text, count)
-                within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                bucket = words.gram[np.repeat(gram_start[word], count) + within]
-            once = np.unique(at * BUCKETS + bucket)
-            label, bucket = labels[once // BUCKETS] == 1, once % BUCKETS
-            in_clean = np.bincount(bucket[~label], minlength=BUCKETS)
-            in_toxic = np.bincount(bucket[label], minlength=BUCKETS)
+        edges = np.searchsorted(words.text, np.arange(len(labels) + 1))
+        for t, label in enumerate(labels.astype(int)):  # text by text, so that little is held at once
+            own = np.unique(words.windows[edges[t]:edges[t + 1]])
+            own = own[own < len(words.word)]
+            counts["word"][label, np.unique(words.word[own])] += 1
+            n = words.n_grams[own]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            counts["gram"][label, np.unique(words.gram[np.repeat(gram_start[own], n) + within])] += 1
+        for name, (in_clean, in_toxic) in counts.items():
             odds = np.log((in_toxic + 0.5) / (total[1] + 1)) - np.log((in_clean + 0.5) / (total[0] + 1))
             odds *= (in_toxic + in_clean) / (in_toxic + in_clean + 2.0)
             self.p[name][:, 0] = 0.5 * np.clip(odds, -3, 3)
