@@ -35,6 +35,7 @@ GRAMS = (3, 4)
 SLICE_CHARS = 2_000_000
 SLICE_WINDOWS = 4_096
 AT_ONCE = 500_000    # n-grams looked up at once
+WORDS_AT_ONCE = 30_000
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -67,6 +68,16 @@ class Words:
 
     def _grams(self, words: list[str]) -> None:
         """Buckets of the n-grams of every marked word, and how many each word has."""
+        buckets, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            bucket, count = self._grams_of(words[first:first + WORDS_AT_ONCE])
+            buckets.append(bucket)
+            counts.append(count)
+        self.gram, self.n_grams = np.concatenate(buckets), np.concatenate(counts)
+        self.owner = np.repeat(np.arange(len(words), dtype=np.int32), self.n_grams)
+
+    @staticmethod
+    def _grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         marked = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4")
         owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
         found, whose = [], []
@@ -83,9 +94,7 @@ class Words:
                 whose.append(owner[:len(h)][inside])
         bucket = np.concatenate([np.zeros(0, np.int32), *found])
         owner = np.concatenate([np.zeros(0, np.int32), *whose])
-        order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = bucket[order], owner[order]
-        self.n_grams = np.bincount(self.owner, minlength=len(words))
+        return bucket[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 class Part:
