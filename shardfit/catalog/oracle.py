@@ -195,6 +195,9 @@ def build() -> dict[str, str]:
     q["flat_array_roundtrip"] = FLAT_LI
     q["sparse_entries"] = query(S.LI, select=CHECKSUM)
     q["sparse_dense_roundtrip"] = FLAT_LI
+    q["vector_rows"] = query(S.EMB, select=CHECKSUM)
+    q["stored_sparse_to_dense"] = FLAT_LI
+    q["libsvm_blank_and_comment_lines"] = query(S.LI, select=CHECKSUM)
     q["events_one_hot"] = query(S.EVENTS, select=f"select row_id, {r6('y')} as y, {WIDE8} from flat")
     q["document_entries"] = query(
         S.ALL_DOCS, "sums as (" + CHECKSUM + ")", select="select d.row_id, d.y, coalesce(n,0) as n, "
@@ -421,6 +424,9 @@ coef as (select s.fold, col, lambda, sum(x*y)/(sum(x*x)+count(*)*0.5*lambda) as
     local = [*ridge(S.EMB, B4, GRID, SDCT8, FOLDS5, S.LEFT_OUT), LOCAL_CV]
     q["local_cv_ridge"] = query(
         *local, select=f"select block, fold, lambda, {r6('error')} as error from cv")
+    q["local_cv_spread"] = query(
+        *local, select=f"select block, lambda, {r6('avg(error)')} as mean, {r6('stddev_samp(error)')} as sd "
+        "from cv group by block, lambda")
     q["select_lambda_local"] = query(
         *local, CHOSEN, select=f"select block, lambda, {r6('mean')} as mean from chosen")
     again = S.GRAM + "," + S.ALL_ROWS + "," + S.ridge_solve(GRID)

@@ -1,5 +1,6 @@
 """Queries over the test tables, one or more per operator."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from shardfit.operators.gram import gram, gram_rows
 from shardfit.operators.newton import fit_margin_rows
 from shardfit.operators.ridge import assemble_coefficients, own_coefficients
 from shardfit.operators.rows import (
-    as_rows, feature_count, to_dense, to_flat_array, to_long, to_sparse,
+    as_rows, feature_count, sparse_rows, to_dense, to_flat_array, to_long, to_sparse,
 )
 from shardfit.operators.scaling import center_scale, column_range, column_stats, scale_long
 from shardfit.plans.crossval import (
@@ -105,6 +106,26 @@ def document_width(spark, d):
     return sums.withColumn("n_features", F.lit(feature_count(docs)).cast("bigint"))
 
 
+def vector_rows(spark, d):
+    """Sparse rows from labelled ML vectors, dense and sparse ones."""
+    rows = embedding_rows(spark, d)
+    vectors = rows.select("row_id", F.col("y").alias("label"), array_to_vector("features").alias("features"))
+    return checksum(to_long(sparse_rows(vectors)))
+
+
+def stored_sparse_to_dense(spark, d):
+    return wide(as_rows(to_sparse(lineitem_rows(spark, d)), n_features=LI_P), LI_P)
+
+
+def libsvm_blank_and_comment_lines(spark, d):
+    """Comments and blank lines between the records are skipped."""
+    rows = lineitem_rows(spark, d)
+    tokens = F.transform("features", lambda x, i: F.concat_ws(":", (i + 1).cast("string"), x.cast("string")))
+    line = F.concat_ws(" ", F.col("y").cast("string"), F.array_join(tokens, " "))
+    lines = rows.select("row_id", F.explode(F.array(F.lit("# a comment"), line, F.lit("  "))).alias("value"))
+    return checksum(to_long(text.parse_libsvm(lines)))
+
+
 # layout --------------------------------------------------------------------
 
 def train_test_split(spark, d):
@@ -581,6 +602,14 @@ def local_cv_ridge(spark, d):
     )
 
 
+def local_cv_spread(spark, d):
+    rows = embedding_rows(spark, d)
+    layout, _ = _layout(rows, 4, 8)
+    return cv_summary(local_cv(rows, layout, _grid(spark), 5)).select(
+        "block", "lambda", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd")
+    )
+
+
 def select_lambda_local(spark, d):
     rows = embedding_rows(spark, d)
     layout, _ = _layout(rows, 4, 8)
@@ -630,7 +659,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         libsvm_roundtrip, spaces_roundtrip, comma_roundtrip, flat_array_roundtrip, events_one_hot,
-        sparse_entries, sparse_dense_roundtrip, document_entries, document_width,
+        sparse_entries, sparse_dense_roundtrip, document_entries, document_width, vector_rows,
+        stored_sparse_to_dense, libsvm_blank_and_comment_lines, local_cv_spread,
         train_test_split, folds_hash, folds_rank, fold_held_out, response_positions,
         transpose_dense, transpose_sparse, blocks_range, blocks_random, blocks_explicit,
         scale_stats, scaled_features, centered_features, scaled_response, scaled_long,
