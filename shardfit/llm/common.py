@@ -24,10 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def keep(df: DataFrame) -> DataFrame:
+def few_files(df: DataFrame) -> DataFrame:
+    """At most two tasks per core, for narrow tables: many small files cost more than they hold."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def keep(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Cut the lineage: the rows are written to the shared folder once and read from there."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (few_files(df) if narrow else df).checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     For loops: a checkpoint hands constraints on to the next plan, where they multiply.
     """
     path = f"{shared_folder(df.sparkSession)}/shardfit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -202,12 +202,12 @@ def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> D
             firsts = firsts.where("n > 1")
         met = placed.select("row", "bucket").hint("merge").join(
             firsts.select("bucket", "first").hint("merge"), "bucket").where("row != first")
-        met = keep(met)
+        met = keep(met, narrow=True)
         if not met.limit(1).count():
             break
         if needed is None:  # the words of texts that share a bucket with another one
-            rows = keep(met.select("row").union(met.select("first")).distinct())
-            needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"))
+            rows = keep(met.select("row").union(met.select("first")).distinct(), narrow=True)
+            needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"), narrow=True)
         pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first")).distinct()
         checked = written(_verified(_plausible(pairs, needed, least), needed, threshold))
         found.append(checked.where("alike").select(F.col("row").alias("a"), F.col("first").alias("b")))
@@ -236,8 +236,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="t
     """
     rows = sketched(docs, key, text)
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "row")
-    texts = keep(rows.where("print is not null").groupBy("print").agg(F.min(F.struct(rank.alias("best"), "sketches")).alias("m"))
-                 .select("print", F.col("m.best").alias("best"), F.col("m.best.row").alias("row"), F.col("m.sketches").alias("sketches")))
+    best = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(rank.alias("best"), "sketches")).alias("m"))
+    texts = keep(best.select("print", "m.best", F.col("m.best.row").alias("row"), "m.sketches"), narrow=True)
     joined = components(links(texts.select("row", "sketches"), rows.select("row", "words", "lowest"), threshold))
     named = texts.join(joined.withColumnRenamed("node", "row"), "row", "left").select(
         "print", "best", F.coalesce("component", "row").alias("component"))
@@ -257,7 +257,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", te
     marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
     found = classes(docs, threshold, key, text).groupBy("key", "mark").agg(
         F.max("kept").alias("kept"), F.count("*").alias("n"))
-    odd = keep(found.where("not kept or n > 1"))
+    odd = keep(found.where("not kept or n > 1"), narrow=True)
     gone, repeated = (broadcast_if_small(part, part.count()) for part in (odd.where("not kept"), odd.where("kept and n > 1")))
 
     def same(other: DataFrame):

@@ -207,7 +207,7 @@ def deduce(pages: DataFrame, url="url", page="html") -> DataFrame:
         F.sum((F.col("n") * F.xxhash64("print").cast(wide)).cast(wide)).alias("v1"),
         F.sum((F.col("n") * F.hash("print").cast(wide)).cast(wide)).alias("v2"),
         F.count("*").alias("pages"), (F.min("print") != F.max("print")).alias("differ"),
-        F.avg("place").alias("place"), F.max("tag").alias("tag")).where("pages > 1"))
+        F.avg("place").alias("place"), F.max("tag").alias("tag")).where("pages > 1"), narrow=True)
     hosts = vectors.where(f"token = 0 and pages >= {LEAST_PAGES} and differ").select(
         "host", F.col("v1").alias("r1"), F.col("v2").alias("r2"), F.col("pages").alias("all_pages"))
     known = vectors.where("token <> 0").join(hosts, "host")
@@ -232,7 +232,7 @@ def extract(pages: DataFrame, key="page_id", url="url", page="html") -> DataFram
     null keys are pages of their own; pages without a host share the empty host. Other columns
     are not read.
     """
-    templates = keep(deduce(pages, url, page))
+    templates = keep(deduce(pages, url, page), narrow=True)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host(url).alias("host"),
                         F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"))
     joined = rows.join(broadcast_if_small(templates, templates.count(), 20_000), "host", "left")
