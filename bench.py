@@ -13,6 +13,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from shardfit.catalog import fixtures  # noqa: E402
 from shardfit.operators import layout as L  # noqa: E402
 from shardfit.operators.design import block_design  # noqa: E402
+from shardfit.operators.metrics import predict  # noqa: E402
 from shardfit.operators.scaling import center_scale  # noqa: E402
 from shardfit.plans.crossval import cv_summary, global_cv, lambda_grid, local_cv  # noqa: E402
 from shardfit.plans.model import fit_model, model_layout  # noqa: E402
@@ -82,9 +83,23 @@ def logistic_tall(spark, d):
                     n_features=8))
 
 
+def scale_wide(spark, d):
+    """20 480 dense features."""
+    rows = fixtures.embedding_rows(spark, d).repartition(CPUS)
+    wide = F.flatten(F.array_repeat("features", 320))
+    drain(center_scale(rows.withColumn("features", wide)))
+
+
+def predict_wide_sparse(spark, d):
+    """65 536 hashed words of all documents."""
+    p = 1 << 16
+    rows = fixtures.document_rows(spark, d, CPUS, labelled=False, n_columns=p)
+    drain(predict(rows, fixtures.fixed_beta(spark, p), p))
+
+
 QUERIES = [scale_lineitem, project_leave_one_out, ridge_blocks, ridge_cv, ridge_local_cv,
            ridge_tall, transpose_lineitem, ranked_folds_lineitem, ridge_documents, svm_blocks,
-           logistic_blocks, logistic_tall]
+           logistic_blocks, logistic_tall, scale_wide, predict_wide_sparse]
 
 
 def main() -> None:

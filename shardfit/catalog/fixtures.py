@@ -76,7 +76,8 @@ def event_rows(spark, sf_dir) -> DataFrame:
     return from_tables(table(spark, sf_dir, "events"), "event_id", "value", features)
 
 
-def document_rows(spark, sf_dir, partitions=None, labelled: bool = True) -> DataFrame:
+def document_rows(spark, sf_dir, partitions=None, labelled: bool = True,
+                  n_columns: int = WORD_COLUMNS) -> DataFrame:
     """Sparse rows: hashed counts of all words of a document; y is its quality as +1 or -1.
 
     Without ``labelled`` all documents are rows, and y is 0 where there is no label.
@@ -96,7 +97,7 @@ def document_rows(spark, sf_dir, partitions=None, labelled: bool = True) -> Data
                 found: dict[int, float] = {}
                 for word in WHITE.split(text or ""):
                     if word not in columns:
-                        columns[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % WORD_COLUMNS
+                        columns[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % n_columns
                     if word:
                         found[columns[word]] = found.get(columns[word], 0.0) + 1.0
                 lists.append([{"col": c, "x": found[c]} for c in sorted(found)])
