@@ -1,27 +1,15 @@
 """Helpers that several operators of this folder share."""
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text handled at once inside a task; one longer text makes its own slice
-
+from shardfit.functions.checkpoints import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors see: `spark.checkpoint.dir`, or one of ours where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="shardfit-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+SLICE_BYTES = 4 << 20  # text handled at once inside a task; one longer text makes its own slice
 
 
 def few_files(df: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import broadcast_if_small
-from shardfit.llm.common import keep, shared_folder
+from shardfit.functions.checkpoints import shared_folder
+from shardfit.llm.common import keep
 
 #: Magic numbers of the dictionary frame and of Zstandard frames.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
