@@ -213,8 +213,8 @@ def pseudonymise(docs: DataFrame, secret: str = "key", text: str = "text") -> Da
     new = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(m, secret).alias("new")))
     marked = docs.withColumn(found, F.when(body.rlike(HINT) & body.rlike(ANY), new))
     between = F.split(body, ANY, -1)
-    joined = F.array_join(F.transform(between, lambda part, i: F.concat(
-        part, F.coalesce(F.get(F.col(found), i)["new"], F.lit("")))), "")
+    joined = F.array_join(F.zip_with(between, F.col(found), lambda part, v: F.concat(
+        part, F.coalesce(v["new"], F.lit("")))), "")
     changed = F.filter(F.col(found), lambda v: v["old"] != v["new"])
     columns = [F.when(F.col(found).isNull(), body).otherwise(joined).alias(text) if c == text else F.col(f"`{c}`")
                for c in docs.columns]
