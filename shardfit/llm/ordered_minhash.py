@@ -29,8 +29,8 @@ from shardfit.llm.common import Remembered, fresh, keep, slices, texts_of, writt
 from shardfit.llm.components import components
 
 K = 5             # words of a k-mer
-TABLES = 32       # sketches of a document
-KEPT = 6          # k-mers of a sketch; at similarity 0.8 all tables miss once in 16 000
+TABLES = 48       # sketches of a document
+KEPT = 8          # k-mers of a sketch; at similarity 0.8 all tables miss once in 6 800
 SLOTS = 8, 32     # first texts of a bucket in the second round; doubled up to this many
 THRESHOLD = 0.8
 REMEMBERED = 200_000
