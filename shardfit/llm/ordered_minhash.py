@@ -10,9 +10,11 @@ Candidates are verified by banded alignment of their k-mers: with L k-mers in th
 common order of sequences of n and m, the similarity is L / (n + m - L). At the threshold no
 match can lie further off the diagonal than the band. Before any words are moved, pairs are
 told apart by one byte of the smallest value under each hash function. Documents with equal
-words are one text; only distinct texts meet. In a bucket all texts are compared with its
-first one; those that are not alike stay for further rounds with new first ones, until none
-is left. So no bucket is gathered, none is cut off, and copies are never expanded into pairs.
+words are one text; only distinct texts meet. In a bucket all texts are first compared with
+its first one, and the links found so far are joined into components. Buckets that still hold
+several components are cut into chunks, and every pair of chunks is a group of its own, in
+which all pairs of different components are compared. So each pair that shares a bucket is
+either compared or already joined; groups are bounded, and pairs never become rows.
 """
 
 import re
@@ -31,7 +33,8 @@ from shardfit.llm.components import components
 K = 5             # words of a k-mer
 TABLES = 48       # sketches of a document
 KEPT = 8          # k-mers of a sketch; at similarity 0.8 all tables miss once in 6 800
-SLOTS = 8, 32     # first texts of a bucket in the second round; doubled up to this many
+CHUNK = 512       # texts of a bucket that are compared with as many others at once,
+CHUNK_BYTES = 4 << 20  # or fewer, if they have more than so many bytes of words
 THRESHOLD = 0.8
 REMEMBERED = 200_000
 _WORDS = re.compile(r"\w+")
@@ -83,11 +86,18 @@ def signed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     """Whether the banded alignment of the k-mers of two documents reaches the threshold."""
-    a, b = kmers(a).tolist(), kmers(b).tolist()
+    return _alike(kmers(a), kmers(b), threshold)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """The same of two sequences of k-mers."""
     n, m = len(a), len(b)
     need = threshold / (1 + threshold) * (n + m)  # smallest L with L / (n + m - L) >= threshold
     need -= 1e-9 * (n + m)
-    if min(n, m) < need or _common(a, b) < need:
+    if min(n, m) < need:
+        return False
+    a, b = a.tolist(), b.tolist()
+    if _common(a, b) < need:
         return False
     band = int(n + m - 2 * need)  # k-mers left out at most, so the farthest diagonal
     at: dict[int, int] = {}
@@ -189,41 +199,138 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return loaded.mapInArrow(run, "row long, first long, alike boolean")
 
 
+def _groups(batches):
+    """Tables of one group each out of batches sorted by group; a group is bounded, so one is held at a time."""
+    held = None
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        if not held.num_rows:
+            continue
+        keys = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for start, stop in zip(np.r_[0, cuts[:-1]], cuts):
+            yield held.slice(start, stop - start)
+        held = held.slice(cuts[-1]) if len(cuts) else held  # the last group may go on in the next batch
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _candidates(group: pa.Table, least: int) -> list[tuple[int, int]]:
+    """Places of pairs of a group that have to be compared, the likeliest first.
+
+    These are pairs of different components and, in a group of two chunks, of different chunks,
+    that share enough smallest values. Pairs with the bucket's first text have been compared
+    before; a pair belongs to the smallest bucket that it shares.
+    """
+    bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    chunk, part = group.column("chunk").to_numpy(), group.column("part").to_numpy()
+    lowest = np.frombuffer(b"".join(group.column("lowest").to_pylist()), np.uint8).reshape(-1, TABLES)
+    fit = group.column("row").to_numpy() != group.column("first").to_numpy()
+    left, right = np.flatnonzero(fit & (chunk == i)), np.flatnonzero(fit & (chunk == j))
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for table in range(TABLES):
+        agree += lowest[left, table][:, None] == lowest[right, table][None, :]
+    near = (agree >= least) & (part[left][:, None] != part[right][None, :])
+    if i == j:
+        near = np.triu(near, 1)
+    x, y = np.nonzero(near)
+    order = np.argsort(-agree[x, y].astype(int), kind="stable")
+    lists, before = group.column("sketches"), {}
+
+    def earlier(place: int) -> set:
+        if place not in before:
+            before[place] = {c for c in lists[place].as_py() if c < bucket}
+        return before[place]
+
+    pairs = zip(left[x[order]].tolist(), right[y[order]].tolist())
+    return [(a, b) for a, b in pairs if earlier(a).isdisjoint(earlier(b))]
+
+
+def _joined(group: pa.Table, least: int, threshold: float) -> list[tuple[int, int]]:
+    """Links of a group that join different components; what they join is not compared again."""
+    row, part, words = group.column("row").to_pylist(), group.column("part").to_pylist(), group.column("words")
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    runs, found = {}, []
+    for pair in _candidates(group, least):
+        a, b = (root(part[place]) for place in pair)
+        if a == b:
+            continue
+        for place in pair:
+            if place not in runs:
+                runs[place] = kmers(np.frombuffer(words[place].as_py(), np.uint32))
+        if _alike(runs[pair[0]], runs[pair[1]], threshold):
+            parent[a] = b
+            found.append((row[pair[0]], row[pair[1]]))
+    return found
+
+
+def _rest(members: DataFrame, known: DataFrame, texts: DataFrame, least: int, threshold: float) -> DataFrame:
+    """Links `a, b` between components of `known`, from all pairs in the buckets `row, bucket, first`."""
+    parts = components(known).select(F.col("node").alias("row"), F.col("component").alias("part"))
+    sizes = texts.select("row", F.length("words").alias("bytes")).join(parts.hint("merge"), "row", "left").select(
+        "row", "bytes", F.coalesce("part", "row").alias("part"))
+    placed = keep(members.join(sizes.hint("merge"), "row"), narrow=True)
+    mixed = placed.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.sum("bytes").alias("bytes"),
+        F.count_if(F.col("row") != F.col("first")).alias("others"),
+        F.min(F.when(F.col("row") != F.col("first"), F.col("part"))).alias("low"),
+        F.max(F.when(F.col("row") != F.col("first"), F.col("part"))).alias("high"),
+    ).where("others > 1 and low != high")
+    chunks = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int")
+    met = placed.drop("bytes").join(mixed.select("bucket", chunks.alias("chunks")).hint("merge"), "bucket").withColumn(
+        "chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("row", "bucket", "first", "part", "chunk", F.least("chunk", "other").alias("i"),
+                     F.greatest("chunk", "other").alias("j"))
+    names = met.columns
+    schema = "row long, bucket long, first long, part long, chunk int, i int, j int"
+
+    def loaded(rows: DataFrame, *columns: str) -> DataFrame:
+        joined = rows.join(texts.select("row", *columns).hint("merge"), "row")
+        return joined.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def choose(batches):  # texts that have a partner: only their words are moved
+        for group in _groups(batches):
+            places = sorted({place for pair in _candidates(group, least) for place in pair})
+            if places:
+                yield from group.select(names).take(places).combine_chunks().to_batches()
+
+    def compare(batches):
+        for group in _groups(batches):
+            found = _joined(group, least, threshold)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    chosen = written(loaded(met, "lowest", "sketches").mapInArrow(choose, schema))
+    return written(loaded(chosen, "lowest", "sketches", "words").mapInArrow(compare, "a long, b long"))
+
+
 def links(texts: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links `a, b` between distinct texts; `texts` has `row, sketches`."""
-    placed = texts.select("row", F.posexplode("sketches").alias("table", "sketch")).select(
-        "row", F.xxhash64("table", "sketch").alias("bucket"), F.lit(0).alias("slot"))
-    found, needed, slots = [], None, SLOTS[0]
+    """Verified links `a, b` between distinct texts, which join all that share a bucket and are alike.
+
+    `texts` has `row, sketches`; `words` has `row, words, lowest, sketches`.
+    """
+    placed = texts.select("row", F.explode("sketches").alias("bucket"))
+    firsts = placed.groupBy("bucket").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    members = keep(placed.hint("merge").join(firsts.select("bucket", "first").hint("merge"), "bucket").select(
+        "row", "bucket", "first"), narrow=True)
+    # the words of texts that share a bucket with another one
+    rows = keep(members.select("row").distinct(), narrow=True)
+    needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"), narrow=True)
     # texts at the threshold share so many smallest values but once in two million pairs
     least = max(0, int(TABLES * threshold - 5 * (TABLES * threshold * (1 - threshold)) ** 0.5))
-    while True:
-        firsts = placed.groupBy("bucket", "slot").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-        if needed is None:
-            firsts = firsts.where("n > 1")
-        met = placed.select("row", "bucket").hint("merge").join(
-            firsts.select("bucket", "first").hint("merge"), "bucket").where("row != first")
-        met = keep(met, narrow=True)
-        if not met.limit(1).count():
-            break
-        if needed is None:  # the words of texts that share a bucket with another one
-            rows = keep(met.select("row").union(met.select("first")).distinct(), narrow=True)
-            needed = keep(words.join(broadcast_if_small(rows, rows.count()), "row", "left_semi"), narrow=True)
-        pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first")).distinct()
-        checked = written(_verified(_plausible(pairs, needed, least), needed, threshold))
-        found.append(checked.where("alike").select(F.col("row").alias("a"), F.col("first").alias("b")))
-        alike = checked.where("alike")
-        alike = alike.select("row", "first").unionByName(alike.select(F.col("first").alias("row"), F.col("row").alias("first")))
-        # gone from a bucket: its first texts, and what is like one of them
-        gone = met.select("bucket", F.col("first").alias("row")).unionByName(
-            met.join(alike, ["row", "first"], "left_semi").select("bucket", "row")).distinct()
-        left = met.select("bucket", "row").distinct().join(gone, ["bucket", "row"], "left_anti")
-        placed = written(left.withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int")))
-        slots = min(2 * slots, SLOTS[1])
-    spark = texts.sparkSession
-    out = spark.createDataFrame([], "a long, b long")
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    pairs = members.where("row != first").select("row", "first").distinct()
+    checked = written(_verified(_plausible(pairs, needed, least), needed, threshold))
+    known = checked.where("alike").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    return known.unionByName(_rest(members, known, needed, least, threshold))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="text") -> DataFrame:
@@ -238,7 +345,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="t
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "row")
     best = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(rank.alias("best"), "sketches")).alias("m"))
     texts = keep(best.select("print", "m.best", F.col("m.best.row").alias("row"), "m.sketches"), narrow=True)
-    joined = components(links(texts.select("row", "sketches"), rows.select("row", "words", "lowest"), threshold))
+    joined = components(links(texts.select("row", "sketches"), rows.select("row", "words", "lowest", "sketches"), threshold))
     named = texts.join(joined.withColumnRenamed("node", "row"), "row", "left").select(
         "print", "best", F.coalesce("component", "row").alias("component"))
     heads = named.groupBy("component").agg(F.min("best").alias("head"))

@@ -80,6 +80,56 @@ def test_many_unlike_texts_in_a_bucket(spark):
     assert got == {i: i for i in range(25)} | {100 + i: i for i in range(5)}
 
 
+def closure(nodes, pairs):
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in nodes}
+
+
+def numbered(text):
+    return np.array([om.xxhash.xxh3_64_intdigest(w) >> 32 for w in text.split()], np.uint32)
+
+
+def test_large_group_about_the_threshold(spark, monkeypatch):
+    """Every pair that shares a bucket and is alike is in one class, also beside a bucket's first text."""
+    monkeypatch.setattr(om, "CHUNK", 16, raising=False)
+    draw = random.Random(12)
+    base, texts = words(draw, 120), []
+    for k in range(160):
+        w = list(base)
+        for _ in range(2 + k % 2):
+            w[draw.randrange(len(w))] = f"new{draw.randrange(10**6)}"
+        texts.append(" ".join(w))
+    x = [numbered(t) for t in texts]
+    buckets = [set(om.sketches(w).tolist()) for w in x]
+    links = [(a, b) for b in range(160) for a in range(b) if buckets[a] & buckets[b] and om.aligned(x[a], x[b])]
+    want = closure(range(160), links)
+    assert 20 < len(set(want.values())) < 140
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["key"]: r["class_id"] for r in om.classes(docs).collect()} == want
+
+
+def test_links_beside_the_first_text(spark):
+    draw = random.Random(3)
+    middle = words(draw, 120)
+    first, last = list(middle), list(middle)
+    first[20], first[40], last[60], last[80] = "x1", "x2", "x3", "x4"
+    x = [numbered(" ".join(w)).astype(np.uint32) for w in (first, middle, last)]
+    assert om.aligned(x[0], x[1]) and om.aligned(x[1], x[2]) and not om.aligned(x[0], x[2])
+    rows = [(i, [7], bytearray(w.tobytes()), bytearray(om.signed(w)[1].tobytes())) for i, w in enumerate(x)]
+    table = spark.createDataFrame(rows, "row long, sketches array<long>, words binary, lowest binary")
+    found = {tuple(sorted(r)) for r in om.links(table.select("row", "sketches"), table).collect()}
+    assert found == {(0, 1), (1, 2)}
+
+
 def test_components(spark):
     draw = random.Random(2)
     pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
