@@ -6,6 +6,11 @@ few smallest labelled k-mers in the order of the text: two documents share it if
 these k-mers in this order, which moved text does not. Several sketches make a document meet
 its near copies in at least one bucket.
 
+Short documents have too few k-mers for that. Up to SHORT of them a document has a bucket for
+each of its first labelled k-mers in one order of hashes, as many as it can miss and one more:
+two documents at the threshold share one of these for certain. Documents that are longer, but
+may be alike a short one, have both kinds of buckets.
+
 Candidates are verified by banded alignment of their k-mers: with L k-mers in the best
 common order of sequences of n and m, the similarity is L / (n + m - L). At the threshold no
 match can lie further off the diagonal than the band. Before any words are moved, pairs are
@@ -32,7 +37,8 @@ from shardfit.llm.components import components
 
 K = 5             # words of a k-mer
 TABLES = 48       # sketches of a document
-KEPT = 8          # k-mers of a sketch; at similarity 0.8 all tables miss once in 6 800
+KEPT = 8          # k-mers of a sketch; at similarity 0.8 all tables miss a long text once in 6 800
+SHORT = 40        # k-mers; if either text has at most so many, no bucket is missed
 CHUNK = 512       # texts of a bucket that are compared with as many others at once,
 CHUNK_BYTES = 4 << 20  # or fewer, if they have more than so many bytes of words
 THRESHOLD = 0.8
@@ -58,30 +64,38 @@ def kmers(words: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
-def sketches(words: np.ndarray) -> np.ndarray:
-    """One number for each hash function: its smallest labelled k-mers, in text order."""
-    return signed(words)[0]
+def sketches(words: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """One number for each bucket of a document."""
+    return signed(words, threshold)[0]
+
 
+def signed(words: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, and one byte for each hash function: of its smallest value.
 
-def signed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches, and one byte for each hash function: of its smallest value."""
+    A bucket is told by the smallest labelled k-mers under a hash function, in text order, or
+    by one of a short text's first k-mers.
+    """
     runs = kmers(words)
+    n = len(runs)
     order = np.argsort(runs, kind="stable")
     ranked = runs[order]
     first = np.r_[True, ranked[1:] != ranked[:-1]]
-    place = np.arange(len(runs))
-    label = np.empty(len(runs), np.uint64)
+    place = np.arange(n)
+    label = np.empty(n, np.uint64)
     label[order] = place - np.maximum.accumulate(np.where(first, place, 0))
     labelled = _mixed(runs + label * _MIX[1])
     drawn = _mixed(labelled[None, :] ^ _SEEDS[:, None])
-    if len(runs) > KEPT:
+    found = []
+    if n > SHORT:
         lowest = np.sort(np.argpartition(drawn, KEPT - 1, axis=1)[:, :KEPT], axis=1)
-    else:
-        lowest = np.broadcast_to(place, (TABLES, len(runs)))
-    out = _SEEDS.copy()
-    for column in lowest.T:
-        out = _mixed(out * np.uint64(31) + labelled[column])
-    return out.view(np.int64), (drawn.min(axis=1) >> np.uint64(16)).astype(np.uint8)
+        out = _SEEDS.copy()
+        for column in lowest.T:
+            out = _mixed(out * np.uint64(31) + labelled[column])
+        found.append(out)
+    if n * threshold <= SHORT + 1e-6:  # may be alike a text of SHORT k-mers
+        missing = n - int(np.ceil(n * threshold - 1e-6))
+        found.append(np.sort(labelled)[:missing + 1])
+    return np.concatenate(found).view(np.int64), (drawn.min(axis=1) >> np.uint64(16)).astype(np.uint8)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
@@ -130,7 +144,7 @@ def _common(a: list, b: list) -> int:
     return found
 
 
-def sketched(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
+def sketched(docs: DataFrame, key="doc_id", text="text", threshold: float = THRESHOLD) -> DataFrame:
     """`row, key, mark, print, words, sketches, lowest` of every document, written once to the shared folder.
 
     `row` numbers the rows, `mark` is a hash of the text as it stands, `print` tells sequences
@@ -150,7 +164,7 @@ def sketched(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
                     words = np.fromiter(map(get, _WORDS.findall(t.lower())), np.uint32)
                     raw.append(words.tobytes())
                     prints.append(xxhash.xxh3_128_digest(raw[-1]) if len(words) else None)
-                    both = signed(words) if len(words) else (None, None)
+                    both = signed(words, threshold) if len(words) else (None, None)
                     found.append(both[0])
                     marks.append(both[1].tobytes() if len(words) else None)
                 yield pa.RecordBatch.from_arrays(
@@ -341,7 +355,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, key="doc_id", text="t
     (null, empty, signs only) are classes of their own. Null keys come after all others; rows
     with equal keys are documents of their own. Other columns are not read.
     """
-    rows = sketched(docs, key, text)
+    rows = sketched(docs, key, text, threshold)
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "row")
     best = rows.where("print is not null").groupBy("print").agg(F.min(F.struct(rank.alias("best"), "sketches")).alias("m"))
     texts = keep(best.select("print", "m.best", F.col("m.best.row").alias("row"), "m.sketches"), narrow=True)

@@ -130,6 +130,33 @@ def test_links_beside_the_first_text(spark):
     assert found == {(0, 1), (1, 2)}
 
 
+def test_short_near_copies_share_a_bucket():
+    draw = np.random.default_rng(8)
+    alike = 0
+    for n in [*range(1, 62)] * 8:
+        a = draw.integers(0, [9, 10**6][n % 2], n).astype(np.uint32)
+        b = np.insert(a, [0, n][draw.integers(0, 2)], draw.integers(0, 10**6)) if draw.integers(0, 3) else a.copy()
+        if not draw.integers(0, 4):
+            b[draw.integers(0, len(b))] = 10**6
+        if len(om.kmers(a)) <= om.SHORT and om.aligned(a, b):
+            alike += 1
+            assert set(om.sketches(a)) & set(om.sketches(b)), (a, b)
+    assert alike > 150
+
+
+def test_short_near_copies(spark):
+    """Against all pairs: texts of 4 to 27 words, some cut or longer by a word at an end."""
+    draw = random.Random(21)
+    texts = []
+    for n in range(4, 26):
+        w = words(draw, n)
+        texts += [w, [*w, "more"], w[1:], ["so", *w, "more"]]
+    x = [numbered(" ".join(t)).astype(np.uint32) for t in texts]
+    want = closure(range(len(x)), [(a, b) for b in range(len(x)) for a in range(b) if om.aligned(x[a], x[b])])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["key"]: r["class_id"] for r in om.classes(docs).collect()} == want
+
+
 def test_components(spark):
     draw = random.Random(2)
     pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
