@@ -13,7 +13,8 @@ may be alike a short one, have both kinds of buckets.
 
 Candidates are verified by banded alignment of their k-mers: with L k-mers in the best
 common order of sequences of n and m, the similarity is L / (n + m - L). At the threshold no
-match can lie further off the diagonal than the band. Before any words are moved, pairs are
+match can lie further off the diagonal than the band; only a window of bits about the diagonal
+is held, so memory is linear in the texts. Before any words are moved, pairs are
 told apart by one byte of the smallest value under each hash function. Documents with equal
 words are one text; only distinct texts meet. In a bucket all texts are first compared with
 its first one, and the links found so far are joined into components. Buckets that still hold
@@ -23,6 +24,7 @@ either compared or already joined; groups are bounded, and pairs never become ro
 """
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ CHUNK = 512       # texts of a bucket that are compared with as many others at o
 CHUNK_BYTES = 4 << 20  # or fewer, if they have more than so many bytes of words
 THRESHOLD = 0.8
 REMEMBERED = 200_000
+FEW = 8           # places of a k-mer that are set one by one
 _WORDS = re.compile(r"\w+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, TABLES, dtype=np.uint64)
@@ -114,18 +117,40 @@ def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     if _common(a, b) < need:
         return False
     band = int(n + m - 2 * need)  # k-mers left out at most, so the farthest diagonal
-    at: dict[int, int] = {}
+    width = 2 * band + 1
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    row, window = (1 << n) - 1, (1 << 2 * band + 1) - 1
-    full = row
+        places.setdefault(x, []).append(i)
+    # at most 64 k-mers are as common as this; only they have bits of the whole sequence
+    common = {x: _bits(at, 0, n) for x, at in places.items() if len(at) > max(FEW, n / 64)}
+    # bit k is place j - band + k; what leaves the window at its low end does not change any more
+    full = row = (1 << width) - 1
+    found = 0
     for j, y in enumerate(b):
-        hits = at.get(y)
-        if hits is not None:
-            hits &= window << j - band if j >= band else window >> band - j
+        at = places.get(y)
+        if at is not None:
+            low = j - band
+            if y in common:
+                hits = (common[y] >> low if low >= 0 else common[y] << -low) & full
+            else:
+                hits = _bits(at[bisect_left(at, low):bisect_right(at, j + band)], low, width)
             taken = row & hits
             row = (row + taken | row - taken) & full
-    return n - row.bit_count() >= need
+        found += not row & 1
+        row = row >> 1 | 1 << width - 1
+    return found + width - row.bit_count() >= need
+
+
+def _bits(places: list[int], low: int, width: int) -> int:
+    """Whole number with a bit for each place, counted from `low`."""
+    if len(places) <= FEW:
+        out = 0
+        for i in places:
+            out |= 1 << i - low
+        return out
+    marks = np.zeros(width, np.uint8)
+    marks[np.array(places) - low] = 1
+    return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
 
 
 def _common(a: list, b: list) -> int:

@@ -1,6 +1,7 @@
 """Order MinHash against alignment of all pairs; components against union-find."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -33,6 +34,37 @@ def test_alignment():
     assert 20 < alike < 140
 
 
+def test_alignment_of_long_and_repetitive_texts():
+    draw = np.random.default_rng(6)
+    alike = 0
+    for t in range(60):  # k-mers with few, many and very many places
+        a = draw.integers(0, [2, 3, 4][t % 3], draw.integers(150, 400)).astype(np.uint32)
+        b = a.copy()
+        for _ in range(draw.integers(0, 12)):
+            i = draw.integers(0, len(b))
+            b = np.insert(b, i, draw.integers(0, 4)) if draw.integers(0, 2) else np.delete(b, i)
+        x, y = om.kmers(a).tolist(), om.kmers(b).tolist()
+        common = longest_common(x, y)
+        want = common / (len(x) + len(y) - common) >= 0.8 - 1e-9
+        assert om.aligned(a, b) == want
+        alike += want
+    assert 10 < alike < 60
+    for n in (600, 1500):
+        same = np.zeros(n, np.uint32)
+        assert om.aligned(same, same[:int(n * 0.81)]) and not om.aligned(same, same[:int(n * 0.79)])
+
+
+def test_memory_of_alignment_is_linear():
+    a = np.arange(30_000, dtype=np.uint32)
+    b = np.delete(a, [100, 20_000])
+    tracemalloc.start()
+    try:
+        assert om.aligned(a, b)
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_order_matters():
     a = np.arange(400, dtype=np.uint32)
     assert not om.aligned(a, np.roll(a, 200)) and om.aligned(a, a)
