@@ -28,6 +28,7 @@ DAYS = (17, 4297)               # 17 * 4297 days from 1900-01-01 to 2099-12-31
 SSN = (898 * 99, 9999)          # areas 1..899 without 666 and groups 1..99; serials 1..9999
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_MORE = r"(?:[ .-]?\(?\d\)?){7,14}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
@@ -36,7 +37,8 @@ PATTERNS = {
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:(?:19|20)\d{2}-\d{2}-\d{2}|\d{1,2}(?<dot>[./])\d{1,2}\k<dot>(?:19|20)\d{2})(?![\w-]|[./]\d)",
     "phone": r"(?<![\w.])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
-             r"|\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5})(?!\w)",
+             # digit by digit; a single digit after a space ends a number only if nothing before it can
+             rf"|\+[1-9]{_MORE}(?<=\d\d\)?)(?!\w)|\+[1-9]{_MORE})(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = "[0-9@]"  # every match has one; most texts have none and are told at once

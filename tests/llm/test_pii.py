@@ -50,6 +50,19 @@ def test_formats(spark):
     assert len(got[7][1]) == len(TEXTS[7])
 
 
+def test_international_numbers(spark):
+    numbers = ["+33 6 12 34 56 78", "+33 1 23 45 67 89", "+33 (0)6 12 34 56 78", "+33612345678", "+49 30 1234567",
+               "+44 20 7946 0958", "+420 2 2422 1111", "+1 2 3 4 5 6 7 8 9", "+123456789012345"]
+    stay = ["+33 6 12", "+1234567890123456", "+0 12 34 56 78 90", "x+33 6 12 34 5y"]
+    got = run(spark, [f"call {n}, now" for n in numbers] + [f"call {n}, now" for n in stay] + ["+49 30 1234567 3 apples"])
+    for n, r in zip(numbers, got):
+        new = r[1].removeprefix("call ").removesuffix(", now")
+        assert r[3] == 1 and new != n and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", n), (n, r)
+    assert all(new[1][5:8] == n[:3] for n, new in zip(numbers[:3], got))  # the country code stays
+    assert [r[1] for r in got[len(numbers):-1]] == [f"call {n}, now" for n in stay]
+    assert got[-1][1] == got[4][1].removeprefix("call ").removesuffix(", now") + " 3 apples"
+
+
 def test_links_and_keys(spark):
     text = "4041894974608795 and bob@example.com, 10.20.30.40"
     a, b, c = (run(spark, [text, "see " + text], s) for s in ("k", "k", "other"))
