@@ -3,16 +3,18 @@
 Pages of a host come from a few templates. A page is a sequence of tokens: tags and whole
 text nodes, told apart by the path of elements around them. A token's occurrence vector is
 how often it occurs on each page of its host; tokens with equal vectors form an equivalence
-class. The root class holds what occurs once on every page; a further class is valid if it
-has tags, is found on enough pages, and all of it lies in one slot of the root class. What
-valid classes leave over are the slots, and slots hold the text.
+class. The root class holds what occurs once on every page. A further class
+is valid if it is found on enough pages that are not all equal, has tags and text, and all of
+it lies in one slot of the root class or is once on each of its pages, as the layout of a part
+of the pages is. Text of valid classes goes, however long; what they leave over are the slots,
+and slots hold the text. An element of a further class is a slot within the slot around it.
 
 Vectors are never built: a vector is known by two sums of page hashes weighted by counts,
 which Spark aggregates before the shuffle. So a host with a third of all pages is no burden.
 
 Which slots are main text is told by their elements: the innermost of article or main, and
 navigation, advertising, forms and the like, decides; without an article or main the
-root-class slot with the most text of its own is taken, with all that has the same parent.
+slot with the most text of its own is taken, with all that has the same parent.
 """
 
 import html
@@ -28,8 +30,8 @@ from shardfit.functions.sizes import broadcast_if_small
 from shardfit.llm.common import keep, slices, texts_of
 
 LEAST_PAGES = 4        # of a host, for a template; below it the elements alone decide
-SUPPORT = 0.2          # share of a host's pages that a further class must be on
-STATIC_CHARS = 100     # text of the root class is template text up to this length
+SUPPORT = 0.2          # share of a host's pages that a further class must be on, and LEAST_PAGES at least
+LAYOUT = 0.8           # share from which a further class needs no text of its own
 
 #: Elements of HTML by their use.
 CONTENT = frozenset({"article", "main"})
@@ -143,24 +145,36 @@ def occurrences(page: str) -> list[tuple[int, int, int, bool]]:
 
 
 def main_text(page: str, template: dict[int, bool]) -> str:
-    """Blocks of the main text. `template`: tokens of valid classes, true for those of the root."""
-    blocks: list[tuple[str, str, int, list[str]]] = []  # use, parent path, root slot, parts
-    slot, fresh_block = 0, True
-    for kind, name, path, use, text in nodes(page):
+    """Blocks of the main text. `template`: tokens of valid classes, true for those that cut the page.
+
+    Text of the template goes. Elements of nested classes are slots of their own; after them the
+    slot around them goes on.
+    """
+    blocks: list[tuple[str, str, tuple, list[str]]] = []  # use, parent path, slot, parts
+    cuts, nested, fresh_block = 0, [], True
+    slot: tuple = (0,)
+    for place, (kind, name, path, use, text) in enumerate(nodes(page)):
         if kind != "text":
-            if template.get(token(kind, path, "")):
-                slot += 1
+            root = template.get(token(kind, path, "")) if template else None
+            if root:
+                cuts += 1
+            elif root is False and kind == "open" and name not in VOID:
+                nested.append((path, place))
+            while nested and path != nested[-1][0] and not path.startswith(nested[-1][0] + "/"):
+                nested.pop()  # left open
+            if kind == "close" and nested and nested[-1][0] == path:
+                nested.pop()
+            slot = (cuts, *(p for _, p in nested))
             fresh_block |= name in BLOCKS
             if name == "br" and blocks:
                 blocks[-1][3].append(" ")
             continue
         body = clean(text)
-        if body and len(body) <= STATIC_CHARS and template.get(token("text", path, body)):
-            slot += 1
+        if body and template and token("text", path, body) in template:
             continue
         if use == "aside":
             continue
-        if fresh_block or not blocks or blocks[-1][0] != use:
+        if fresh_block or not blocks or blocks[-1][0] != use or blocks[-1][2] != slot:
             blocks.append((use, path, slot, []))
             fresh_block = False
         blocks[-1][3].append(text)
@@ -169,9 +183,9 @@ def main_text(page: str, template: dict[int, bool]) -> str:
     if inside or not found:
         return "\n\n".join(inside)
     size: Counter = Counter()
-    for _, path, slot, body in found:
+    for _, _, slot, body in found:
         size[slot] += len(body)
-    best = max(size, key=lambda s: (size[s], -s))
+    best = max(size, key=lambda s: (size[s], [-x for x in s]))
     parents = {path.rpartition("/")[0] for _, path, slot, _ in found if slot == best}
     return "\n\n".join(body for _, path, slot, body in found if slot == best or path.rpartition("/")[0] in parents)
 
@@ -206,20 +220,25 @@ def deduce(pages: DataFrame, url="url", page="html") -> DataFrame:
     vectors = keep(seen.groupBy("host", "token").agg(
         F.sum((F.col("n") * F.xxhash64("print").cast(wide)).cast(wide)).alias("v1"),
         F.sum((F.col("n") * F.hash("print").cast(wide)).cast(wide)).alias("v2"),
-        F.count("*").alias("pages"), (F.min("print") != F.max("print")).alias("differ"),
+        F.count("*").alias("pages"), F.sum("n").alias("total"), (F.min("print") != F.max("print")).alias("differ"),
         F.avg("place").alias("place"), F.max("tag").alias("tag")).where("pages > 1"), narrow=True)
     hosts = vectors.where(f"token = 0 and pages >= {LEAST_PAGES} and differ").select(
         "host", F.col("v1").alias("r1"), F.col("v2").alias("r2"), F.col("pages").alias("all_pages"))
     known = vectors.where("token <> 0").join(hosts, "host")
     root = (F.col("v1") == F.col("r1")) & (F.col("v2") == F.col("r2"))
-    known = known.withColumn("root", root).where(F.col("root") | (F.col("pages") >= SUPPORT * F.col("all_pages")))
+    # tokens of one page that was copied are no template
+    enough = F.col("differ") & (F.col("pages") >= F.greatest(SUPPORT * F.col("all_pages"), F.lit(LEAST_PAGES)))
+    known = known.withColumn("root", root).where(F.col("root") | enough)
     # the slot of the root class in which a token lies: root tags before it, on the average
     tags = known.where("root and tag").groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("edges"))
     placed = known.join(tags, "host", "left").withColumn(
         "slot", F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("place"))))
     valid = placed.where("not root").groupBy("host", "v1", "v2").agg(
         F.min("slot").alias("low"), F.max("slot").alias("high"), F.sum(F.col("tag").cast("int")).alias("tags"),
-        F.collect_list("token").alias("members")).where("low = high and tags > 0")
+        F.bool_and(F.col("total") == F.col("pages")).alias("once"), F.min(F.col("pages") / F.col("all_pages")).alias("share"),
+        F.collect_list("token").alias("members"))
+    # what is once on each of its pages may be a layout, whose parts lie in several slots of what all layouts share
+    valid = valid.where(f"tags > 0 and (once or low = high) and (tags < size(members) or (once and share >= {LAYOUT}))")
     nested = valid.select("host", F.explode("members").alias("token"), F.lit(False).alias("root"))
     both = known.where("root").select("host", "token", "root").unionByName(nested)
     return both.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("token", "root"))).alias("tokens"))

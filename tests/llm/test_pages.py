@@ -86,6 +86,40 @@ def test_templates(spark):
     assert templates.extract(table.limit(0)).count() == 0
 
 
+def stories(n, box, inside=True):
+    """Pages of one host with a story each; every other one has a box in it."""
+    out = []
+    for i in range(n):
+        name = "article" if inside else "div class=story"
+        parts = [f"<p>Story {i} begins</p>", box if i % 2 else "", f"<p>and {i} ends {'so ' * (20 + i)}</p>"]
+        out.append(f"<html><body><div class=top><a>Home</a></div><{name}>{''.join(parts)}</{name.split()[0]}>"
+                   f"<div class=low><p>{i} seen</p></div></body></html>")
+    return out
+
+
+def extracted(spark, pages):
+    table = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in templates.extract(table).collect()}
+
+
+def story(i):
+    return f"Story {i} begins\n\nand {i} ends {'so ' * (20 + i)}".strip()
+
+
+def test_optional_block_goes(spark):
+    box = "<div class=x1><p>Read our other stories</p><b>now</b></div>"
+    for inside in (True, False):
+        got = extracted(spark, stories(12, box, inside))
+        assert got == {i: story(i) for i in range(12)}
+
+
+def test_copied_pages_keep_their_text(spark):
+    pages = stories(12, "")
+    copies = ["<html><body><article id=a7><p>Once written, often copied</p></article></body></html>"] * 6
+    got = extracted(spark, pages + copies)
+    assert all(got[i] == "Once written, often copied" for i in range(12, 18))
+
+
 def test_long_page():
     deep = "<div>" * 3000 + "<article><p>" + "word " * 100_000 + "</article>"
     assert len(templates.main_text(deep, {})) == 499_999
