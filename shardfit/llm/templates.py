@@ -3,7 +3,7 @@
 Pages of a host come from a few templates. A page is a sequence of tokens: tags and whole
 text nodes, told apart by the path of elements around them. A token's occurrence vector is
 how often it occurs on each page of its host; tokens with equal vectors form an equivalence
-class. The root class holds what occurs once on every page. A further class
+class. The root class holds what occurs once on every page that has tokens. A further class
 is valid if it is found on enough pages that are not all equal, has tags and text, and all of
 it lies in one slot of the root class or is once on each of its pages, as the layout of a part
 of the pages is. Text of valid classes goes, however long; what they leave over are the slots,
@@ -131,7 +131,10 @@ def token(kind: str, path: str, text: str) -> int:
 
 
 def occurrences(page: str) -> list[tuple[int, int, int, bool]]:
-    """(token, how often, first place, whether a tag) of a page; token 0 stands for the page."""
+    """(token, how often, first place, whether a tag) of a page; token 0 stands for the page.
+
+    A page without tokens, as an empty one, has none: it says nothing about its host's template.
+    """
     counts, places, tags = Counter({0: 1}), {0: -1}, {0: True}
     for place, (kind, _, path, _, text) in enumerate(nodes(page)):
         body = clean(text) if kind == "text" else ""
@@ -141,7 +144,7 @@ def occurrences(page: str) -> list[tuple[int, int, int, bool]]:
         counts[t] += 1
         places.setdefault(t, place)
         tags[t] = kind != "text"
-    return [(t, n, places[t], tags[t]) for t, n in counts.items()]
+    return [(t, n, places[t], tags[t]) for t, n in counts.items()] if len(counts) > 1 else []
 
 
 def main_text(page: str, template: dict[int, bool]) -> str:
@@ -210,6 +213,8 @@ def deduce(pages: DataFrame, url="url", page="html") -> DataFrame:
                 texts = texts_of(part, "page")
                 out = [(h, xxhash.xxh3_64_intdigest(p.encode("utf-8", "replace")) >> 1, *o)
                        for h, p in zip(names, texts) for o in occurrences(p)]
+                if not out:
+                    continue
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.bool_())],

@@ -120,6 +120,16 @@ def test_copied_pages_keep_their_text(spark):
     assert all(got[i] == "Once written, often copied" for i in range(12, 18))
 
 
+def test_odd_pages_leave_the_template(spark):
+    notice = "<p>" + "This notice stands on each page, however long it may be. " * 4 + "</p>"
+    pages = [p.replace("<div class=low>", notice + "<div class=low>").replace("</p><p>and", f"</p>{notice}<p>and")
+             for p in stories(20, "", False)]
+    odd = ["", None, "<html><body><div class=top><a>Home</a></div><div class=st", "<html><body><h1>Not found</h1></body></html>"]
+    got = extracted(spark, pages + odd)
+    assert {i: got[i] for i in range(20)} == {i: story(i) for i in range(20)}
+    assert got[20] == got[21] == ""
+
+
 def test_long_page():
     deep = "<div>" * 3000 + "<article><p>" + "word " * 100_000 + "</article>"
     assert len(templates.main_text(deep, {})) == 499_999
