@@ -1,6 +1,8 @@
 """Values sent once to every executor, and small tables brought to the driver and back."""
 
 import pickle
+import sys
+import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -17,20 +19,38 @@ def from_driver(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFr
     return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False), schema)
 
 
+HELD = 3  # values that a worker process keeps from one task to the next
+
+
+def per_process(key, make):
+    """What `make` returns, made once by a worker process; the few latest values are kept.
+
+    Code of this package travels by value, so its own globals last for one task; a worker's
+    interpreter lasts longer.
+    """
+    held = vars(sys).setdefault("_shardfit_held", {})
+    value = held.pop(key) if key in held else make()
+    while len(held) >= HELD:
+        del held[next(iter(held))]
+    held[key] = value
+    return value
+
+
 class Shared:
     """A broadcast value whose classes travel with it, so that tasks need no installed copy."""
 
     def __init__(self, spark: SparkSession, value):
         self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._key = uuid.uuid4().hex
         self._value = None
 
     def __getstate__(self):
-        return {"_sent": self._sent, "_value": None}
+        return {"_sent": self._sent, "_key": self._key, "_value": None}
 
     @property
     def value(self):
         if self._value is None:
-            self._value = pickle.loads(self._sent.value)
+            self._value = per_process(self._key, lambda: pickle.loads(self._sent.value))
         return self._value
 
     def release(self) -> None:
