@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from shardfit.functions.arrow import SLICE_VALUES, entries_of, matrix_of, scatter
 from shardfit.functions.shared import Shared, to_driver
-from shardfit.functions.sizes import MATRIX_VALUES
 from shardfit.operators.projection import check_privacy, noise_draw, noise_sd
 from shardfit.operators.rows import is_sparse
 
@@ -29,7 +28,7 @@ class BlockLayout:
     cols: list            # per block: ascending column indices
     q: int = 0            # 0: every block stands alone
     mode: str = "add"
-    matrix: object = None  # n_features x q; rows of a block are its own matrix
+    projection: object = None  # gives X_k Pi_k of all blocks inside a task; see draws.py
     sigma: object = None   # noise deviation per block, or None
     noise_seed: object = None
     places: object = None  # made by the tasks
@@ -81,7 +80,7 @@ class BlockLayout:
         x = matrix_of(rows.column("features"), self.n_features, "features")
         projected = None
         if not self.alone:
-            projected = np.hstack([x[:, c] @ self.matrix[c] for c in self.cols])
+            projected = self.projection.dense(x, self.cols)
         return lambda k: x[:, self.cols[k]], projected
 
     def _sparse(self, rows: pa.RecordBatch):
@@ -94,11 +93,8 @@ class BlockLayout:
         ends = np.searchsorted(block[col], np.arange(blocks + 1))
         projected = None
         if not self.alone:
-            projected = np.empty((n, blocks, self.q))
-            at = row * blocks + block[col]
-            for t in range(self.q):
-                projected[:, :, t] = scatter(at, val * self.matrix[col, t], (n, blocks))
-            projected = projected.reshape(n, blocks * self.q)
+            widths = [self.raw_width(k) for k in range(blocks)]
+            projected = self.projection.entries(row, col, val, block[col], place[col], n, widths)
 
         def raw(k):
             own = slice(ends[k], ends[k + 1])
@@ -117,32 +113,19 @@ class BlockLayout:
         return self.places
 
 
-def block_layout(blocks: DataFrame, pi: DataFrame | None = None, q: int = 0,
-                 mode: str = "add") -> BlockLayout:
-    """Collect the model's shape: one record per feature, and its projection weights.
+def block_layout(blocks: DataFrame, projection=None, mode: str = "add") -> BlockLayout:
+    """The model's shape: one record per feature, and a projection of `draws.py` or none.
 
-    The size depends on features and q only, never on rows, and is checked.
+    The size depends on features, blocks and coordinates only, never on rows.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     found = to_driver(blocks.select("block", "col")).sort_values(["block", "col"])
-    p = len(found)
     names = np.unique(found["block"].to_numpy())
     if not np.array_equal(names, np.arange(len(names))):
         raise ValueError("blocks must be numbered 0..K-1")
     cols = [found["col"].to_numpy()[found["block"].to_numpy() == b] for b in names]
-    layout = BlockLayout(p, cols, q if pi is not None else 0, mode)
-    if not layout.alone:
-        if p * q > MATRIX_VALUES:
-            raise ValueError(
-                f"a {p} x {q} matrix is too large for every executor; "
-                "use long_design, which joins it to the data"
-            )
-        entries = to_driver(pi.select("col", "proj", "v"))
-        matrix = np.zeros((p, q))
-        matrix[entries["col"].to_numpy(), entries["proj"].to_numpy()] = entries["v"].to_numpy()
-        layout.matrix = matrix
-    return layout
+    return BlockLayout(len(found), cols, projection.q if projection else 0, mode, projection)
 
 
 def add_noise(layout: BlockLayout, ranges: DataFrame, eps: float = 10.0, delta: float = 0.05,

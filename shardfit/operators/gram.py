@@ -84,9 +84,9 @@ def _aggregate(source: DataFrame, feed, widths: dict[int, int], n_folds: int) ->
     return parts.groupBy("fold", "block", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def gram(design: DataFrame, n_folds: int = 1) -> DataFrame:
+def gram(design: DataFrame, n_folds: int = 1, widths: dict | None = None) -> DataFrame:
     """Gram entries of a published design: ``fold, block, i, j, v`` with i <= j."""
-    widths = design_widths(design)
+    widths = widths or design_widths(design)
     keep = ["block", "y", "z"] + (["fold"] if "fold" in design.columns else [])
     return _aggregate(design.select(*keep), DesignFeed(widths), widths, n_folds)
 

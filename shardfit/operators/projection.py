@@ -6,14 +6,17 @@
 
 import math
 
+import numpy as np
 from pyspark.ml.feature import DCT
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardfit.functions.hashing import hash_normal, hash_word, random_sign, sparse_sign
+from shardfit.functions import sizes
 from shardfit.functions.shared import to_driver
 from shardfit.functions.sizes import broadcast_if_small
+from shardfit.operators.draws import CosineProjection, MatrixProjection, SignProjection
 
 PROJECTIONS = ("SDCT", "sparse")
 
@@ -28,8 +31,7 @@ def sparse_projection_matrix(blocks: DataFrame, q: int, seed: int = 1,
 
 
 def check_width(blocks: DataFrame, q: int) -> None:
-    # one record per feature
-    narrowest = to_driver(blocks.select("block"))["block"].value_counts().min()
+    narrowest = blocks.groupBy("block").count().agg(F.min("count")).first()[0]
     if q > narrowest:
         raise ValueError(
             f"projection dimension {q} exceeds the narrowest block, which has "
@@ -37,6 +39,22 @@ def check_width(blocks: DataFrame, q: int) -> None:
         )
 
 
+def column_signs(blocks: DataFrame, seed: int = 1) -> DataFrame:
+    """Random sign of every column: ``col, sign``."""
+    return blocks.select("col", random_sign(seed, "sign", F.col("col")).alias("sign"))
+
+
+def sampled_coordinates(blocks: DataFrame, q: int, seed: int = 1) -> DataFrame:
+    """The q coordinates that are kept of every block: ``block, d, t, proj``."""
+    drawn = hash_word(seed, "coordinate", F.col("block"), F.col("t"))
+    return (
+        blocks.groupBy("block").agg(F.count("*").alias("d"))
+        .select("block", "d", F.explode(F.sequence(F.lit(0), (F.col("d") - 1).cast("int"))).alias("t"))
+        .withColumn("proj", F.row_number().over(Window.partitionBy("block").orderBy(drawn, "t")) - 1)
+        .where(F.col("proj") < q)
+    )
+
+
 def sdct_matrix(blocks: DataFrame, q: int, seed: int = 1) -> DataFrame:
     """Random signs, orthonormal cosine transform and q sampled coordinates, as one matrix.
 
@@ -44,24 +62,30 @@ def sdct_matrix(blocks: DataFrame, q: int, seed: int = 1) -> DataFrame:
     sqrt(d/q) * sign_j * c_t * cos(pi (j + 1/2) t / d).
     """
     check_width(blocks, q)
-    by_block = Window.partitionBy("block")
-    columns = blocks.select(
-        "block", "col",
-        (F.row_number().over(by_block.orderBy("col")) - 1).alias("j"),
-        F.count("*").over(by_block).alias("d"),
-        random_sign(seed, "sign", F.col("col")).alias("sign"),
-    )
-    drawn = hash_word(seed, "coordinate", F.col("block"), F.col("t"))
-    coordinates = (
-        blocks.groupBy("block").agg(F.count("*").alias("d"))
-        .select("block", F.explode(F.sequence(F.lit(0), (F.col("d") - 1).cast("int"))).alias("t"))
-        .withColumn("proj", F.row_number().over(by_block.orderBy(drawn, "t")) - 1)
-        .where(F.col("proj") < q)
-    )
+    place = F.row_number().over(Window.partitionBy("block").orderBy("col")) - 1
+    columns = blocks.select("block", "col", place.alias("j")).join(column_signs(blocks, seed), "col")
     c_t = F.when(F.col("t") == 0, F.sqrt(1 / F.col("d"))).otherwise(F.sqrt(2 / F.col("d")))
     wave = F.cos(F.pi() * (F.col("j") + 0.5) * F.col("t") / F.col("d"))
     v = F.sqrt(F.col("d") / F.lit(float(q))) * F.col("sign") * c_t * wave
-    return columns.join(coordinates, "block").select("col", "block", "proj", v.alias("v"))
+    return columns.join(sampled_coordinates(blocks, q, seed), "block").select("col", "block", "proj", v.alias("v"))
+
+
+def task_projection(blocks: DataFrame, n_features: int, q: int, projection: str = "SDCT", seed: int = 1):
+    """The same projection for use inside tasks: a matrix, or what it is drawn from if that is too large.
+
+    At most one record per feature and one per sampled coordinate reach the driver.
+    """
+    if n_features * q <= sizes.MATRIX_VALUES:
+        entries = to_driver(projection_matrix(blocks, q, projection, seed).select("col", "proj", "v"))
+        matrix = np.zeros((n_features, q))
+        matrix[entries["col"].to_numpy(), entries["proj"].to_numpy()] = entries["v"].to_numpy()
+        return MatrixProjection(q, matrix)
+    if projection == "sparse":
+        return SignProjection(q, seed)
+    check_width(blocks, q)
+    signs = to_driver(column_signs(blocks, seed)).sort_values("col")["sign"].to_numpy()
+    drawn = to_driver(sampled_coordinates(blocks, q, seed)).sort_values(["block", "proj"])
+    return CosineProjection(q, signs, [t["t"].to_numpy() for _, t in drawn.groupby("block")])
 
 
 def projection_matrix(blocks: DataFrame, q: int, projection: str = "SDCT",

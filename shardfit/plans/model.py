@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import from_driver, to_driver
 from shardfit.functions import sizes
-from shardfit.functions.sizes import MATRIX_VALUES
+from shardfit.operators.columns import column_design
 from shardfit.operators.design import (
     BlockLayout, add_noise, block_design, block_layout, design_widths, long_design,
 )
@@ -15,30 +15,36 @@ from shardfit.operators.layout import assign_blocks
 from shardfit.operators.newton import fit_margin_design, fit_margin_rows
 from shardfit.operators.projection import (
     PROJECTIONS, add_private_noise, apply_projection, concat_projections, leave_one_out,
-    projection_matrix,
+    projection_matrix, task_projection,
 )
 from shardfit.operators.ridge import fit_ridge, own_coefficients
 from shardfit.operators.rows import feature_count, is_sparse, to_long
 from shardfit.operators.scaling import column_range
 
 
-def model_layout(rows: DataFrame, n_blocks: int = 4, q: int = 200, projection: str = "SDCT",
-                 mode: str = "add", partitioner: str = "random", seed: int = 1,
-                 block_map: DataFrame | None = None, n_features: int | None = None,
-                 private: bool = False, eps: float = 10.0, delta: float = 0.05,
-                 noise_seed=None) -> tuple[BlockLayout, DataFrame]:
+def model_shape(spark, n_features: int, n_blocks: int = 4, q: int = 200, projection: str = "SDCT",
+                mode: str = "add", partitioner: str = "random", seed: int = 1,
+                block_map: DataFrame | None = None) -> tuple[BlockLayout, DataFrame]:
     """Blocks and shared projection of a model; q = 0 lets every block stand alone."""
     if projection not in PROJECTIONS:
         raise ValueError(f"projection must be one of {PROJECTIONS}, got {projection!r}")
-    spark = rows.sparkSession
-    p = n_features or feature_count(rows)
-    blocks = assign_blocks(spark, p, n_blocks, partitioner, seed, block_map)
+    blocks = assign_blocks(spark, n_features, n_blocks, partitioner, seed, block_map)
     # one record per feature: kept as a local table, which later joins read at no cost
     blocks = from_driver(spark, to_driver(blocks), "col int, block int")
-    pi = None
+    shared = None
     if q > 0 and n_blocks > 1:
-        pi = projection_matrix(blocks, q, projection, seed)
-    layout = block_layout(blocks, pi, q, mode)
+        shared = task_projection(blocks, n_features, q, projection, seed)
+    return block_layout(blocks, shared, mode), blocks
+
+
+def model_layout(rows: DataFrame, n_blocks: int = 4, q: int = 200, projection: str = "SDCT",
+                 mode: str = "add", partitioner: str = "random", seed: int = 1,
+                 block_map: DataFrame | None = None, n_features: int | None = None,
+                 private: bool = False, eps: float = 10.0, delta: float = 0.05,
+                 noise_seed=None) -> tuple[BlockLayout, DataFrame]:
+    """The shape of a model of these rows, with noise of their column ranges if it is private."""
+    layout, blocks = model_shape(rows.sparkSession, n_features or feature_count(rows), n_blocks, q,
+                                 projection, mode, partitioner, seed, block_map)
     if private and not layout.alone:
         n_rows = rows.count() if is_sparse(rows) else None
         ranges = column_range(to_long(rows), blocks, n_rows)
@@ -64,7 +70,7 @@ def fit_block(design: DataFrame, loss: str, lambdas, widths: dict | None = None,
     check_loss(loss)
     widths = widths or design_widths(design)
     if loss == "squared" and max(widths.values()) <= sizes.DENSE_WIDTH:
-        return fit_ridge(gram(design.drop("fold")), lambdas)
+        return fit_ridge(gram(design.drop("fold"), widths=widths), lambdas)
     return fit_margin_design(design, loss, lambdas, widths=widths, **options)
 
 
@@ -81,14 +87,23 @@ def fit_model(rows: DataFrame, n_blocks: int = 4, q: int = 200, loss: str = "squ
               delta: float = 0.05, noise_seed=None, **options) -> DataFrame:
     """Coefficients of the joint model: ``col, block, lambda, beta``."""
     p = n_features or feature_count(rows)
-    if q and p * q > MATRIX_VALUES:
-        return _fit_model_joined(rows, p, n_blocks, q, loss, lam, projection, mode, partitioner,
-                                 seed, block_map, private, eps, delta, noise_seed, **options)
     layout, blocks = model_layout(rows, n_blocks, q, projection, mode, partitioner, seed,
                                   block_map, p, private, eps, delta, noise_seed)
     return fit_path(rows, layout, blocks, loss, lam, **options).drop("fold")
 
 
+def fit_columns(columns: DataFrame, responses: DataFrame, n_features: int, n_blocks: int = 4,
+                q: int = 200, loss: str = "squared", lam=4.4, projection: str = "SDCT",
+                mode: str = "add", partitioner: str = "random", seed: int = 1,
+                block_map: DataFrame | None = None, **options) -> DataFrame:
+    """The joint model from column-wise data and ``pos, y``: as `fit_model` on the rows."""
+    layout, blocks = model_shape(columns.sparkSession, n_features, n_blocks, q, projection, mode,
+                                 partitioner, seed, block_map)
+    widths = {k: layout.width(k) for k in range(layout.n_blocks)}
+    design = column_design(columns, responses, layout)
+    return own_coefficients(fit_block(design, loss, lam, widths, **options), blocks).drop("fold")
+
+
 def joined_design(rows: DataFrame, n_features: int, blocks: DataFrame, n_blocks: int, q: int,
                   projection: str = "SDCT", mode: str = "add", seed: int = 1,
                   private: bool = False, eps: float = 10.0, delta: float = 0.05,
@@ -106,14 +121,3 @@ def joined_design(rows: DataFrame, n_features: int, blocks: DataFrame, n_blocks:
                                    seed if noise_seed is None else noise_seed)
         shared = leave_one_out(rp) if mode == "add" else concat_projections(rp, n_blocks)
     return long_design(long, rows, blocks, shared, q, n_blocks, mode)
-
-
-def _fit_model_joined(rows, p, n_blocks, q, loss, lam, projection, mode, partitioner, seed,
-                      block_map, private, eps, delta, noise_seed, **options):
-    blocks = assign_blocks(rows.sparkSession, p, n_blocks, partitioner, seed, block_map)
-    design = joined_design(rows, p, blocks, n_blocks, q, projection, mode, seed,
-                           private, eps, delta, noise_seed)
-    own = {r["block"]: r["n"] for r in blocks.groupBy("block").agg(F.count("*").alias("n")).collect()}
-    others = 0 if q == 0 or n_blocks == 1 else q * (n_blocks - 1 if mode == "concatenate" else 1)
-    widths = {k: n + others for k, n in own.items()}  # one record per block; no design is made for it
-    return own_coefficients(fit_block(design, loss, lam, widths, **options), blocks).drop("fold")

@@ -66,11 +66,14 @@ def test_sparse_rows_give_the_same_model(data):
                        beta_of(fit_model(to_sparse(data["reg"]), n_features=7, **args)))
 
 
-def test_joined_path_gives_the_same_model(data, monkeypatch):
-    args = dict(n_blocks=3, q=2, lam=0.3, projection="SDCT", partitioner="range")
+@pytest.mark.parametrize("projection", ["SDCT", "sparse"])
+@pytest.mark.parametrize("mode", ["add", "concatenate"])
+def test_no_matrix_gives_the_same_model(data, monkeypatch, projection, mode):
+    args = dict(n_blocks=3, q=2, lam=0.3, projection=projection, mode=mode, partitioner="range")
     direct = beta_of(fit_model(data["reg"], **args))
-    monkeypatch.setattr("shardfit.plans.model.MATRIX_VALUES", 1)
+    monkeypatch.setattr(sizes, "MATRIX_VALUES", 1)
     assert np.allclose(direct, beta_of(fit_model(data["reg"], **args)))
+    assert np.allclose(direct, beta_of(fit_model(to_sparse(data["reg"]), n_features=7, **args)))
 
 
 def test_gram_in_groups_of_blocks(data, monkeypatch):

@@ -110,7 +110,7 @@ def test_rows_of_wrong_width_are_refused(spark, data):
     with pytest.raises(Exception, match="every row must have 7 values"):
         block_design(bad, layout).collect()
     with pytest.raises(ValueError, match="mode"):
-        block_layout(assign_blocks(spark, 4, 2, "range"), None, 0, "other")
+        block_layout(assign_blocks(spark, 4, 2, "range"), None, "other")
 
 
 def test_a_large_matrix_is_not_broadcast(spark, data):
@@ -128,3 +128,44 @@ def test_slices_of_a_batch_join_up(data, monkeypatch):
     for rows in (data["reg"], to_sparse(data["reg"])):
         cut = block_design(rows, layout).orderBy("row_id", "block").collect()
         assert all(np.allclose(a.z, b.z) for a, b in zip(whole, cut)) and len(cut) == len(whole)
+
+
+@pytest.mark.parametrize("partitioner", ["range", "random"])
+def test_projections_in_tasks_equal_the_matrix(spark, monkeypatch, partitioner):
+    """Signs by entry and cosines by transform, from dense slices, full and thin sparse ones."""
+    rng = np.random.default_rng(4)
+    p, q, k = 301, 5, 3
+    blocks = assign_blocks(spark, p, k, partitioner)
+    found = blocks.toPandas().sort_values(["block", "col"])
+    cols = [found["col"].to_numpy()[found["block"].to_numpy() == b] for b in range(k)]
+    block, place = np.empty(p, int), np.empty(p, int)
+    for b, c in enumerate(cols):
+        block[c], place[c] = b, np.arange(len(c))
+    for kind in P.PROJECTIONS:
+        monkeypatch.setattr("shardfit.functions.sizes.MATRIX_VALUES", 1 << 20)
+        matrix = P.task_projection(blocks, p, q, kind, 7)
+        monkeypatch.setattr("shardfit.functions.sizes.MATRIX_VALUES", 1)
+        drawn = P.task_projection(blocks, p, q, kind, 7)
+        assert type(matrix) is not type(drawn)
+        for density in (1.0, 0.5, 0.01):
+            x = rng.normal(size=(20, p)) * (rng.random((20, p)) < density)
+            want = np.hstack([x[:, c] @ matrix.matrix[c] for c in cols])
+            row, col = np.nonzero(x)
+            order = np.argsort(block[col], kind="stable")
+            row, col = row[order], col[order]
+            for projection in (matrix, drawn):
+                assert np.allclose(projection.dense(x, cols), want)
+                args = row, col, x[row, col], block[col], place[col], 20, [len(c) for c in cols]
+                assert np.allclose(projection.entries(*args), want)
+
+
+def test_signs_are_remembered_within_bounds(monkeypatch):
+    from shardfit.operators import draws
+
+    monkeypatch.setattr(draws, "SIGN_BYTES", 10_000)
+    signs = draws.SignProjection(3, 1)
+    first = signs.rows(np.arange(100)).copy()
+    for low in range(0, 1000, 50):
+        signs.rows(np.arange(low, low + 50))
+        assert len(signs.seen) + len(signs.old) < 200
+    assert np.array_equal(signs.rows(np.arange(100)), first)
