@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from shardfit.functions.arrow import matrix_of
 from shardfit.functions.checkpoints import keep
 from shardfit.functions.hashing import WORD, hash_word
+from shardfit.functions.shared import Shared
 from shardfit.operators.rows import feature_count, is_sparse
 
 RANK_BUCKETS = 65_536      # hash ranges that are ranked apart from each other
 CHUNK_VALUES = 4_000_000   # doubles of one transposed chunk, 32 MB
 ROW_CHUNK = 65_536         # most observations of one column in one chunk
+LEAST_ROWS = 4_096         # rows of a chunk below which rows are cut by columns too
 
 
 def split_train_test(df: DataFrame, fraction: float = 0.2, seed: int = 3,
@@ -74,24 +76,32 @@ def fold_rows(df: DataFrame, fold: int, held_out: bool) -> DataFrame:
     return df.where(F.col("fold") == fold) if held_out else df.where(F.col("fold") != fold)
 
 
-def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFrame:
-    """0-based position of every row in key order, without a one-task sort.
+def _in_order(df: DataFrame, key: str) -> DataFrame:
+    """Rows sorted by key over ranges, with ``__id`` (range in its upper bits, row in the lower 33).
 
-    Spark draws bounds from a sample of the keys, so the ranges are about equal whatever
-    the distribution; there are as many as shuffle partitions. The sorted rows are written
-    once, as bounds drawn anew would differ, and the counts of the ranges before are added.
+    Spark draws bounds from a sample of the keys, so the ranges are about equal whatever the
+    distribution; there are as many as shuffle partitions. The rows are written once, as bounds
+    drawn anew would differ. A null key fails the job.
     """
-    part, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = df.where(F.col(key).isNotNull()).repartitionByRange(key).sortWithinPartitions(key)
-    placed = keep(placed.withColumn("__id", F.monotonically_increasing_id()))
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = counts.select(
-        "__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before")
-    )
-    # one record per range
-    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(
-        name, F.col("__before") + row
-    ).drop("__part", "__before", "__id")
+    known = F.assert_true(F.col(key).isNotNull(), F.lit(f"{key} must not be null"))
+    placed = df.where(known.isNull()).repartitionByRange(key).sortWithinPartitions(key)
+    return keep(placed.withColumn("__id", F.monotonically_increasing_id()))
+
+
+def _range_sizes(placed: DataFrame) -> DataFrame:
+    """Rows of every range and of all ranges before it: ``__part, __n, __before``."""
+    counts = placed.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")  # one record per range
+    return counts.select("__part", "__n", before.alias("__before"))
+
+
+def number_rows(df: DataFrame, key: str = "row_id", name: str = "pos") -> DataFrame:
+    """0-based position of every row in key order, without a one-task sort."""
+    placed = _in_order(df, key)
+    row = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", F.shiftright("__id", 33)).join(
+        F.broadcast(_range_sizes(placed).drop("__n")), "__part"  # one record per range
+    ).withColumn(name, F.col("__before") + row).drop("__part", "__before", "__id")
 
 
 def feature_index(spark: SparkSession, n_features: int) -> DataFrame:
@@ -141,10 +151,12 @@ def transpose(rows: DataFrame, n_features: int | None = None,
               chunk_rows: int | None = None) -> DataFrame:
     """Column-wise layout: ``col, chunk, start, obs`` (dense) or ``col, chunk, pos, obs`` (sparse).
 
-    A column is cut into chunks of consecutive positions, so no group grows with
-    the table; reading a column in chunk order gives its observations by row id.
-    The sparse layout holds non-zeros with their positions, and all-zero columns
-    have no record.
+    A column is cut into chunks of consecutive positions, so no group grows with the table;
+    reading a column in chunk order gives its observations by row id. Dense chunks begin anew
+    with every range of the sorted rows, so a chunk may be shorter than the others, and they are
+    cut where the rows lie. Only rows too wide for that are cut by columns too, and their tiles,
+    a bounded number of rows by a bounded number of columns, are put together by one shuffle.
+    The sparse layout holds non-zeros with their positions, and all-zero columns have no record.
     """
     if is_sparse(rows):
         step = chunk_rows or ROW_CHUNK
@@ -158,25 +170,84 @@ def transpose(rows: DataFrame, n_features: int | None = None,
         )
     if n_features is None:
         n_features = feature_count(rows)
-    step = chunk_rows or max(1, min(ROW_CHUNK, CHUNK_VALUES // n_features))
-    numbered = number_rows(rows.select("row_id", "features")).withColumn(
-        "chunk", F.floor(F.col("pos") / step)
-    )
-
-    def turn(chunk: pa.Table) -> pa.Table:
-        order = np.argsort(chunk["pos"].to_numpy())
-        x = matrix_of(chunk["features"].combine_chunks(), n_features, "features")[order]
-        number = chunk["chunk"][0].as_py()
-        n = len(order)
-        ends = pa.array(np.arange(0, n * n_features + 1, n, dtype=np.int32))
-        return pa.table({
-            "col": pa.array(np.arange(n_features, dtype=np.int32)),
-            "chunk": pa.array(np.full(n_features, number)),
-            "start": pa.array(np.full(n_features, number * step)),
-            "obs": pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x.T).ravel())),
-        })
-
-    # whole rows are shuffled once; a task holds one chunk of at most `step` rows at a time
-    return numbered.select("chunk", "pos", "features").groupBy("chunk").applyInArrow(
-        turn, "col int, chunk bigint, start bigint, obs array<double>"
-    )
+    step = chunk_rows or min(ROW_CHUNK, CHUNK_VALUES // max(n_features, 1))
+    if chunk_rows is None and step < LEAST_ROWS:
+        step = ROW_CHUNK
+    tile = max(1, CHUNK_VALUES // step)
+    placed = _in_order(rows.select("row_id", "features"), "row_id")
+    sizes, done = {}, 0
+    for r in _range_sizes(placed).orderBy("__part").collect():  # one record per range
+        sizes[r["__part"]] = (r["__before"], done)
+        done += -(-r["__n"] // step)
+    at = Shared(rows.sparkSession, sizes)
+    cut = _Cutter(n_features, step, tile, at)
+    if n_features <= tile:
+        return placed.mapInArrow(cut.columns, COLUMNS)
+    pieces = placed.mapInArrow(cut.tiles, "chunk bigint, tile int, start bigint, first int, x array<double>")
+
+    def join(key, table: pa.Table) -> pa.Table:
+        low = key[1].as_py() * tile
+        width = min(tile, n_features - low)
+        order = np.argsort(table["first"].to_numpy())
+        x = np.concatenate([table["x"][int(i)].values.to_numpy().reshape(-1, width) for i in order])
+        return pa.Table.from_batches([column_records(x, low, key[0].as_py(), table["start"][0].as_py())])
+
+    return pieces.groupBy("chunk", "tile").applyInArrow(join, COLUMNS)
+
+
+COLUMNS = "col int, chunk bigint, start bigint, obs array<double>"
+
+
+def column_records(x: np.ndarray, first_col: int, chunk: int, start: int) -> pa.RecordBatch:
+    """One record per column of a piece of consecutive rows."""
+    n, width = x.shape
+    ends = pa.array(np.arange(0, n * width + 1, n, dtype=np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(first_col, first_col + width, dtype=np.int32)), pa.array(np.full(width, chunk)),
+         pa.array(np.full(width, start)),
+         pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x.T).ravel()))],
+        ["col", "chunk", "start", "obs"])
+
+
+class _Cutter:
+    """Sorted rows of a task as pieces of consecutive positions."""
+
+    def __init__(self, width: int, step: int, tile: int, at: Shared):
+        self.width, self.step, self.tile, self.at = width, step, tile, at
+
+    def _pieces(self, batches, most: int):
+        """(chunk, start of the chunk, first row in it, rows) with at most `most` rows."""
+        for batch in batches:
+            ids = batch.column("__id").to_numpy()
+            x = matrix_of(batch.column("features"), self.width, "features")
+            low = 0
+            while low < len(ids):
+                part, row = int(ids[low]) >> 33, int(ids[low]) & ((1 << 33) - 1)
+                before, chunks = self.at.value[part]
+                end = (row // self.step + 1) * self.step - row  # rows up to the end of the chunk
+                end = min(low + min(end, most), int(np.searchsorted(ids, (part + 1) << 33)))
+                yield chunks + row // self.step, before + row - row % self.step, row % self.step, x[low:end]
+                low = end
+
+    def columns(self, batches):
+        """Whole chunks of all columns."""
+        held, last = [], None
+        for chunk, start, _, x in self._pieces(batches, self.step):
+            if last not in (None, (chunk, start)):
+                yield column_records(np.concatenate(held), 0, *last)
+                held = []
+            held.append(x)
+            last = (chunk, start)
+        if held:
+            yield column_records(np.concatenate(held), 0, *last)
+
+    def tiles(self, batches):
+        """Pieces of chunks, cut by columns."""
+        for chunk, start, first, x in self._pieces(batches, max(1, CHUNK_VALUES // self.width)):
+            for low in range(0, self.width, self.tile):
+                part = np.ascontiguousarray(x[:, low:low + self.tile])
+                ends = pa.array([0, part.size], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.array([low // self.tile], pa.int32()), pa.array([start]),
+                     pa.array([first], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))],
+                    ["chunk", "tile", "start", "first", "x"])
