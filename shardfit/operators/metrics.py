@@ -9,7 +9,7 @@ from shardfit.functions.arrow import multiply
 from shardfit.functions.losses import (
     check_loss, conjugate_column, logistic_error, loss_column, margin_error, squared_loss,
 )
-from shardfit.functions.shared import Shared, to_driver
+from shardfit.functions.shared import Shared, from_driver, to_driver
 from shardfit.functions.sizes import MATRIX_VALUES, broadcast_if_small
 from shardfit.operators.design import BlockLayout, RowsFeed, feed_rows
 from shardfit.operators.gram import in_groups
@@ -177,18 +177,37 @@ def _row_error(y: np.ndarray, pred: np.ndarray, loss: str) -> np.ndarray:
     return 0.5 * np.abs(np.where(pred > 0, 1.0, -1.0) - y)
 
 
+def _with_status(errors: DataFrame, found, keys: list) -> DataFrame:
+    """Add the largest gap of a model's fits, and whether all of them converged.
+
+    `found`: what the fits returned, as a table or already on the driver. One record per model.
+    """
+    if isinstance(found, DataFrame):
+        status = found.groupBy(*keys).agg(F.max("gap").alias("gap"), F.min("converged").alias("converged"))
+    else:
+        status = found.groupby(keys, as_index=False).agg(gap=("gap", "max"), converged=("converged", "min"))
+        types = {"fold": "int", "block": "int", "lambda": "double", "gap": "double", "converged": "boolean"}
+        schema = ", ".join(f"{c} {types[c]}" for c in status.columns)
+        status = from_driver(errors.sparkSession, status.astype({"converged": bool}), schema)
+    return errors.join(F.broadcast(status), keys)
+
+
 def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str,
                 n_models: int) -> DataFrame:
     """Error of every (fold, lambda) model on the rows of its fold: ``fold, lambda, error``.
 
+    With the gap and ``converged`` of its fits, if the coefficients carry them.
+
     One pass scores all models of a fold with one matrix product per batch and
     emits a sum per model. Model sets too large for the executors are joined to
     the long form instead.
     """
     check_loss(loss)
+    certified = "gap" in coef.columns
     if n_models * n_features > MATRIX_VALUES:
-        return _fold_errors_joined(rows, coef, loss)
-    found = to_driver(coef.select("fold", "lambda", "col", "beta"))
+        errors = _fold_errors_joined(rows, coef, loss)
+        return _with_status(errors, coef, ["fold", "lambda"]) if certified else errors
+    found = to_driver(coef.select("fold", "lambda", "col", "beta", *(["gap", "converged"] if certified else [])))
     shared = {}
     for fold, part in found.groupby("fold"):
         lams = np.sort(part["lambda"].unique())
@@ -216,23 +235,24 @@ def fold_errors(rows: DataFrame, coef: DataFrame, n_features: int, loss: str,
                 ["fold", "lambda", "n", "s"],
             )
 
-    return (
+    errors = (
         rows.select("y", "fold", data)
         .mapInArrow(run, "fold int, lambda double, n double, s double")
         .groupBy("fold", "lambda")
         .agg((F.sum("s") / F.sum("n")).alias("error"))
     )
+    return _with_status(errors, found, ["fold", "lambda"]) if certified else errors
 
 
 def block_fold_errors(rows: DataFrame, layout: BlockLayout, weights: DataFrame,
                       loss: str) -> DataFrame:
-    """Error of every block's own model on its held-out fold: ``block, fold, lambda, error``.
+    """Error of every block's own model on its held-out fold: ``block, fold, lambda, error, gap, converged``.
 
     All columns of Z_k predict; squared error is standardised by the squared
     deviation of the held-out response. Blocks whose weights do not fit on an
     executor together are scored in further passes.
     """
-    found = to_driver(weights.select("fold", "block", "lambda", "i", "beta"))
+    found = to_driver(weights.select("fold", "block", "lambda", "i", "beta", "gap", "converged"))
     models, sizes = {}, {}
     for (fold, block), part in found.groupby(["fold", "block"]):
         lams = np.sort(part["lambda"].unique())
@@ -255,7 +275,8 @@ def block_fold_errors(rows: DataFrame, layout: BlockLayout, weights: DataFrame,
         *[F.sum(c).alias(c) for c in ("n", "sy", "syy", "s")]
     )
     scale = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n") if loss == "squared" else F.col("n")
-    return sums.select("block", "fold", "lambda", (F.col("s") / scale).alias("error"))
+    errors = sums.select("block", "fold", "lambda", (F.col("s") / scale).alias("error"))
+    return _with_status(errors, found, ["block", "fold", "lambda"])
 
 
 def _block_sums(feed, table, loss):

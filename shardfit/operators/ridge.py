@@ -36,6 +36,10 @@ def _gap(a: np.ndarray, w: np.ndarray, lam: float) -> float:
     return (2 * squares - 2 * (yy - w @ zy)) / n + 0.5 * lam * (w @ w + dual @ dual)
 
 
+def _good(a: np.ndarray, gap: float) -> bool:
+    return bool(gap <= GAP * max(a[1, 1] / a[0, 0], 1e-300))
+
+
 def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
     """Minimiser of (1/n) sum (y - z w)^2 + (lambda/2) |w|^2 per fold, block and lambda.
 
@@ -49,9 +53,8 @@ def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
         for lam in lambdas:
             w = _solve(a, lam)
             gap = _gap(a, w, lam)
-            good = bool(gap <= GAP * max(a[1, 1] / a[0, 0], 1e-300))
             frames.append(pd.DataFrame({"lambda": lam, "i": np.arange(len(w)), "beta": w,
-                                        "gap": gap, "converged": good}))
+                                        "gap": gap, "converged": _good(a, gap)}))
         out = pd.concat(frames)
         out["fold"], out["block"] = pdf["fold"].iat[0], pdf["block"].iat[0]
         return out[["fold", "block", "lambda", "i", "beta", "gap", "converged"]]
@@ -67,18 +70,19 @@ def ridge_fold_errors(train_and_test: DataFrame, lambdas) -> DataFrame:
         train, own = _square(pdf, "v"), _square(pdf, "own")
         z = slice(-ONES, None)
         n, sum_y, sum_yy = own[0, 0], own[0, 1], own[1, 1]
-        errors = []
+        errors, gaps = [], []
         for lam in lambdas:
             w = _solve(train, lam)
+            gaps.append(_gap(train, w, lam))
             sse = sum_yy - 2 * w @ own[z, 1] + w @ own[z, z] @ w
             errors.append(sse / (sum_yy - sum_y * sum_y / n))
         return pd.DataFrame({
             "block": pdf["block"].iat[0], "fold": pdf["fold"].iat[0],
-            "lambda": lambdas, "error": errors,
+            "lambda": lambdas, "error": errors, "gap": gaps, "converged": [_good(train, g) for g in gaps],
         })
 
     return train_and_test.groupBy("fold", "block").applyInPandas(
-        score, "block int, fold int, lambda double, error double"
+        score, "block int, fold int, lambda double, error double, gap double, converged boolean"
     )
 
 

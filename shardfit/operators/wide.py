@@ -1,10 +1,14 @@
 """Fits of wide blocks without m x m systems: gradients and curvature products in shared passes.
 
-Newton's method whose steps come from conjugate gradients. A pass over the rows serves every
-open (fold, penalty, block) problem at once: for some it yields loss, gradient and trial
-losses at the end of a step, for others the product of the curvature with a direction. Tasks
-emit vectors as long as a block is wide, never its square. Every fit carries its duality gap
-and stops on it, as the fits by m x m systems do.
+Newton's method whose steps come from conjugate gradients, preconditioned by the diagonal of
+the curvature, so that columns of very different size do not slow them down. A pass over the
+rows serves every open (fold, penalty, block) problem at once: for some it yields loss, gradient,
+curvature's diagonal and trial losses at the end of a step, for others the product of the
+curvature with a direction. Tasks emit vectors as long as a block is wide, never its square.
+
+Every fit carries its duality gap and stops on it; `converged` says whether it was met. The
+squared loss takes one Newton step; for the others a step is left early and made anew, as its
+directions need not be exact.
 """
 
 from dataclasses import dataclass, field
@@ -23,6 +27,7 @@ BATCH = 100_000
 STEPS = np.concatenate([[0.0, 1.0], 2.0 ** -np.arange(1, 25), [0.75, 0.9]])
 STOPPING_GAPS = {"squared": 1e-12, "hinge": 1e-6, "logistic": 1e-12}
 FIRST_WIDTH, LAST_WIDTH, SHRINK = 2.0, 1e-12, 0.2
+PRODUCTS = {"squared": 500, "hinge": 60, "logistic": 60}  # most products of one Newton step
 N, LOSS, CONJUGATE, TRIALS = 0, 1, 2, 3
 
 
@@ -74,6 +79,7 @@ class Fit:
     points: int = 0
     done: bool = False
     converged: bool = False
+    passes: int = 0
     product: bool = False     # asks for curvature times `d`, else for the point w + step
 
     def __post_init__(self):
@@ -83,10 +89,12 @@ class Fit:
         return self.block, self.fold, self.product, self.w, self.d if self.product else self.step, self.width
 
     def answer(self, sums: np.ndarray, vector: np.ndarray) -> None:
+        self.passes += 1
         (self._multiplied if self.product else self._arrived)(sums, vector)
 
-    def _arrived(self, sums, slope) -> None:
+    def _arrived(self, sums, vector) -> None:
         n, lam = sums[N], self.lam
+        slope, diagonal = np.split(vector, 2)
         tried = [t / n + 0.5 * lam * (v := self.w + s * self.step) @ v for s, t in zip(STEPS, sums[TRIALS:])]
         best = int(np.argmin(tried))
         rounding = 1e-14 * max(1.0, abs(tried[0]))
@@ -103,27 +111,28 @@ class Fit:
         size = np.linalg.norm(gradient)
         settled = size <= 1e-15 * max(1.0, lam * np.linalg.norm(self.w))
         if self.gap <= self.stopping_gap or (settled and (self.loss != "hinge" or self.width <= LAST_WIDTH)):
-            self.done, self.converged = True, bool(self.gap <= 10 * self.stopping_gap)
+            self.done, self.converged = True, bool(self.gap <= self.stopping_gap)
             return
         if self.loss == "hinge" and 0.5 * size * size / lam <= 0.1 * max(tried[1] - 0.5 * lam * self.w @ self.w - sums[LOSS] / n, 0):
             self.width = max(SHRINK * self.width, LAST_WIDTH)  # near the optimum of this width
             return
         self.product, self.s, self.r = True, np.zeros_like(self.w), -gradient
-        self.d, self.tries = self.r.copy(), 0
+        self.scale = 1 / (diagonal / n + lam)
+        self.d, self.tries = self.scale * self.r, 0
         self.goal = size * (1e-8 if self.loss == "squared" else min(0.1, size ** 0.5))
 
     def _multiplied(self, sums, vector) -> None:
         q = vector / sums[N] + self.lam * self.d
-        square = self.r @ self.r
+        square = self.r @ (self.scale * self.r)
         length = square / (self.d @ q)
         self.s = self.s + length * self.d
         self.r = self.r - length * q
         self.tries += 1
-        left = self.r @ self.r
-        if left ** 0.5 <= self.goal or self.tries >= 2 * len(self.w):
+        if np.linalg.norm(self.r) <= self.goal or self.tries >= PRODUCTS[self.loss]:
             self.product, self.step = False, self.s
         else:
-            self.d = self.r + left / square * self.d
+            ahead = self.scale * self.r
+            self.d = ahead + self.r @ ahead / square * self.d
 
 
 def _sums(feed, sent: Shared, loss: str):
@@ -145,11 +154,12 @@ def _sums(feed, sent: Shared, loss: str):
                         part = np.array([len(yt)]), (_slopes(loss, yt, f, width)[1] * along) @ zt
                     else:
                         end = f + along
-                        a = _slopes(loss, yt, end, width)[0]
+                        a, curve = _slopes(loss, yt, end, width)
                         trials = [_values(loss, yt, f + s * along, width).sum() for s in STEPS] if along.any() else \
                             [_values(loss, yt, f, width).sum()] * len(STEPS)
                         true = np.maximum(1 - yt * end, 0.0) if loss == "hinge" else _values(loss, yt, end, width)
-                        part = np.array([len(yt), true.sum(), _conjugate(loss, yt, a).sum(), *trials]), a @ zt
+                        part = np.array([len(yt), true.sum(), _conjugate(loss, yt, a).sum(), *trials]), \
+                            np.concatenate([a @ zt, curve @ (zt * zt)])
                     if pid in found:
                         for total, more in zip(found[pid], part):
                             total += more

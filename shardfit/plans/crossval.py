@@ -50,7 +50,9 @@ def cv_weights(folded: DataFrame, layout: BlockLayout, k: int, loss: str, lambda
 
 def global_cv(rows: DataFrame, grid, k: int = 5, seed: int = 1, loss: str = "squared",
               fold_mode: str = "hash", fit: dict | None = None, **model) -> DataFrame:
-    """Held-out error of the joint model: ``fold, lambda, error``.
+    """Held-out error of the joint model: ``fold, lambda, error, gap, converged``.
+
+    ``gap`` is the largest of the fits behind an error, ``converged`` whether all met theirs.
 
     ``model`` goes to ``model_layout``, ``fit`` to the solver. Rows that already
     carry a fold 1..k keep it.
@@ -65,11 +67,15 @@ def global_cv(rows: DataFrame, grid, k: int = 5, seed: int = 1, loss: str = "squ
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
-    """Mean error per penalty, with standard deviation and variance over folds."""
+    """Mean error per penalty, with standard deviation and variance over folds.
+
+    Where the errors say so, also the largest gap, and whether all fits converged.
+    """
     keys = [c for c in ("block", "lambda") if c in cv.columns]
+    status = [F.max("gap").alias("gap"), F.min("converged").alias("converged")] if "gap" in cv.columns else []
     return cv.groupBy(*keys).agg(
         F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"),
-        F.var_samp("error").alias("var"),
+        F.var_samp("error").alias("var"), *status,
     )
 
 
@@ -83,7 +89,7 @@ def select_lambda(cv: DataFrame) -> DataFrame:
 
 def local_cv(rows: DataFrame, layout: BlockLayout, grid, k: int = 5, seed: int = 1,
              loss: str = "squared", fold_mode: str = "hash", **options) -> DataFrame:
-    """Held-out error of every block on its own Z_k: ``block, fold, lambda, error``.
+    """Held-out error of every block on its own Z_k: ``block, fold, lambda, error, gap, converged``.
 
     All columns of Z_k predict. The ridge error is standardised by the squared
     deviation of the held-out response; logistic loss is refused.

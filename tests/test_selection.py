@@ -7,7 +7,7 @@ from shardfit.operators import metrics as M
 from shardfit.operators.layout import assign_folds
 from shardfit.operators.rows import to_long, to_sparse
 from shardfit.plans import crossval as C
-from shardfit.plans.model import fit_model, model_layout
+from shardfit.plans.model import fit_model, fit_path, model_layout
 
 
 def test_boundary_rules(spark):
@@ -120,3 +120,43 @@ def test_local_penalties(data):
     assert ridge.count() == 7
     with pytest.raises(ValueError, match="logistic"):
         C.local_cv(data["cls"], layout, [0.1], 3, loss="logistic")
+
+
+@pytest.mark.parametrize("loss", ["squared", "hinge"])
+def test_fits_behind_errors_say_whether_they_converged(data, loss, monkeypatch):
+    rows = data["reg" if loss == "squared" else "cls"]
+    args = dict(loss=loss, k=3, n_blocks=2, q=2, projection="sparse", partitioner="range")
+    good = C.global_cv(rows, [1.0], fit={} if loss == "squared" else {"stopping_gap": 1e-3}, **args).collect()
+    assert len(good) == 3 and all(r["converged"] and r["gap"] <= 1e-3 for r in good)
+    monkeypatch.setattr(M, "MATRIX_VALUES", 1)
+    if loss == "hinge":
+        bad = C.global_cv(rows, [1.0], fit={"max_iter": 1}, **args).collect()
+        assert len(bad) == 3 and not any(r["converged"] for r in bad)
+    layout, _ = model_layout(rows, 2, 2, "sparse", "add", "range")
+    options = {} if loss == "squared" else {"stopping_gap": 1e-3}
+    assert all(r["converged"] for r in C.local_cv(rows, layout, [1.0], 3, loss=loss, **options).collect())
+    summary = C.cv_summary(C.local_cv(rows, layout, [1.0], 3, loss=loss, **options))
+    assert {"gap", "converged"} <= set(summary.columns)
+
+
+def test_paths_and_selection_without_a_matrix(data, monkeypatch):
+    """Cross-validation, paths and local penalties are the same with every limit at one value."""
+    args = dict(n_blocks=2, q=2, projection="SDCT", partitioner="range")
+
+    def all_of():
+        layout, blocks = model_layout(data["reg"], **args)
+        tables = (C.global_cv(data["reg"], [0.1, 1.0], 3, **args), C.local_cv(data["reg"], layout, [0.1, 1.0], 3),
+                  fit_path(data["reg"], layout, blocks, "squared", [0.1, 1.0]),
+                  C.fit_local_lambda(data["reg"], layout, blocks, [0.1, 1.0], 3))
+        out = []
+        for t in tables:
+            value = "error" if "error" in t.columns else "beta"
+            keys = [c for c in ("col", "block", "fold", "lambda") if c in t.columns]
+            out.append({tuple(r[k] for k in keys): r[value] for r in t.collect()})
+        return out
+
+    want = all_of()
+    monkeypatch.setattr("shardfit.functions.sizes.MATRIX_VALUES", 1)
+    monkeypatch.setattr(M, "MATRIX_VALUES", 1)
+    for a, b in zip(want, all_of()):
+        assert a.keys() == b.keys() and all(np.isclose(a[k], b[k]) for k in a)
