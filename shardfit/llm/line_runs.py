@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardfit.functions.checkpoints import delete, shared_folder
-from shardfit.functions.sizes import broadcast_if_small
 from shardfit.llm.common import fresh, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 RUN_ROWS = 1_000_000        # lines of all documents for each bucket of a run, up to the number of shuffle partitions
-BROADCAST_HASHES = 250_000  # dropped hashes of all documents that may be sent to every task, 4 MB
 
 
 def line_hash(line: bytes, least_chars: int) -> bytes | None:
@@ -154,15 +152,16 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     repeated = spark.read.schema(f"h1 long, h2 long, top {rows.schema['key'].dataType.simpleString()}").parquet(
         f"{folder}/repeated")
     # both sides are shuffled on the hash, so that Spark splits a line that very many documents hold
-    doomed = lines.join(broadcast_if_small(repeated, repeated.count(), BROADCAST_HASHES), ["h1", "h2"]).where(
+    doomed = lines.join(repeated.hint("merge"), ["h1", "h2"]).where(
         ~F.col("key").eqNullSafe(F.col("top"))).groupBy("key").agg(F.collect_list(F.struct("h1", "h2")).alias("hashes"))
     doomed.write.parquet(f"{folder}/doomed")
     doomed = spark.read.schema("key {}, hashes array<struct<h1:bigint,h2:bigint>>".format(
         rows.schema["key"].dataType.simpleString())).parquet(f"{folder}/doomed")
-    n_hashes = doomed.agg(F.sum(F.size("hashes"))).first()[0] or 0
     delete(spark, f"{folder}/lines")
     delete(spark, f"{folder}/repeated")
-    doomed = F.broadcast(doomed) if n_hashes <= BROADCAST_HASHES else doomed.hint("shuffle_hash")
+    # lists of hashes grow with the table, so the texts meet them by a shuffle at every size; a hash
+    # table of the lists, which are far smaller, spares the sort of the texts
+    doomed = doomed.hint("shuffle_hash")
     source = docs.select(F.col(key).alias("own"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     joined = source.join(doomed, source["own"].eqNullSafe(doomed["key"]), "left").select("own", "text", "hashes")
 

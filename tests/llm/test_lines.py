@@ -49,13 +49,6 @@ def test_same_as_counts(spark, batches):
     assert sorted(map(tuple, got), key=str) == sorted(expected(rows), key=str)
 
 
-def test_sides_are_shuffled_when_large(spark, monkeypatch):
-    monkeypatch.setattr(line_runs, "BROADCAST_HASHES", 0)
-    rows = made(150)
-    got = line_runs.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(expected(rows), key=str)
-
-
 def test_edges(spark):
     docs = spark.createDataFrame([(i, "w" * 300_000 + "\n" + "same long line of text here") for i in range(4)], SCHEMA)
     assert [r["n_dropped"] for r in line_runs.drop_repeated_lines(docs).orderBy("doc_id").collect()] == [2, 2, 2, 0]
