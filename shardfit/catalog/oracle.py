@@ -2,6 +2,7 @@
 
 import re
 
+from shardfit.catalog import kernels as K
 from shardfit.catalog import parts as S
 from shardfit.catalog.parts import query, r6
 
@@ -196,6 +197,8 @@ def build() -> dict[str, str]:
     q["sparse_entries"] = query(S.LI, select=CHECKSUM)
     q["sparse_dense_roundtrip"] = FLAT_LI
     q["vector_rows"] = query(S.EMB, select=CHECKSUM)
+    q["sparse_vector_rows"] = query(
+        S.EVENTS, select=CHECKSUM)
     q["stored_sparse_to_dense"] = FLAT_LI
     q["libsvm_blank_and_comment_lines"] = query(S.LI, select=CHECKSUM)
     q["events_one_hot"] = query(S.EVENTS, select=f"select row_id, {r6('y')} as y, {WIDE8} from flat")
@@ -395,6 +398,7 @@ sums as (select col, sum(x*x)+count(*)*0.05::double as a, sum(x*s) as b,
     q["duality_gaps"] = per_loss(
         f"select {r6('primal')} as primal, {r6('dual')} as dual, {r6('primal-dual')} as gap, "
         "'{loss}' as loss from p_{loss}, d_{loss}", [S.EMB_CLS, FIXED64, *duals()])
+    q["certificates"], q["dual_sums"] = q["duality_gaps"], q["dual_to_primal"]
     q["evaluate_ridge"] = query(
         S.EMB, "coef as (select col, sum(x*y)/(sum(x*x)+count(*)*0.05::double) as beta from long "
         f"where not ({TEST_ROW}) group by col)",
@@ -449,7 +453,112 @@ coef as (select s.fold, col, lambda, sum(x*y)/(sum(x*x)+count(*)*0.5*lambda) as
         *hinge, select="select block, c.fold, lambda, " + r6("avg(case when y*x*beta>0 then 0.0 else 1.0 end)")
         + " as error from long l join folds f on l.row_id=f.row_id "
         "join coef c on c.fold=f.fold and c.col=l.col group by block, c.fold, lambda")
-    return q
+    return q | stored(q) | many_columns()
+
+
+PART = f"case when {TEST_ROW} then 'test' else 'train' end as part"
+
+
+def stored(q: dict) -> dict[str, str]:
+    """What has been written and read again is what it was."""
+    out = {}
+    spaces = query(S.EVENTS, select=f"select row_id, {r6('y')} as y, {PART}, {WIDE8} from flat")
+    out["dataset_of_spaces"] = out["dataset_of_commas"] = spaces
+    out["dataset_of_libsvm"] = query(
+        S.ALL_DOCS, "sums as (" + CHECKSUM + ")", f"parts as (select row_id, {PART} from docs)",
+        select="select d.row_id, d.y, part, 1025::int as width, coalesce(s,0.0) as s from docs d "
+        "join parts p on d.row_id=p.row_id left join sums t on d.row_id=t.row_id")
+    rows = query(S.LI, select=f"select row_id, y, {PART}, {WIDE8} from flat")
+    out["stored_rows"] = out["stored_flat_arrays"] = rows
+    out["stored_sparse_rows"] = query(S.ALL_DOCS, select=f"select row_id, {PART}, col, x from long")
+    out["response_file"] = q["response_positions"]
+    out["feature_count_file"] = query(S.ALL_DOCS, select="select (max(col)+1)::int as n_features from long")
+    out["block_map_file"] = query(
+        S.EMB, select="select col, (case when avg(x)<0 then 0 else 1 end)::int as block from long group by col")
+    out["columns_file"] = q["transpose_dense"]
+    out["preprocessed_rows"] = f"select *, 9::int as n from ({q['scaled_by_train']})"
+    out["preprocessed_columns"] = query(
+        S.EVENTS.replace("long as", "whole as"), f"long as (select * from whole where not ({TEST_ROW}))", S.SCALED,
+        select=f"select col, count(*) as n, {r6('avg(x*y)')} as m, 8::int as width from scaled group by col")
+    out["fit_columns_ridge"] = q["fit_model_ridge"]
+    out["fit_columns_documents"] = q["fit_model_documents"]
+    out["run_report"] = f"select *, 64::int as n_coef, 64::int as blocks from ({q['evaluate_ridge']})"
+    out["cv_file"] = f"select *, true as converged from ({q['ridge_cv_summary']})"
+    return out
+
+
+def unit(p: int) -> str:
+    """Labelled documents as hashed word counts of length one."""
+    return S.DOCS.replace("% 1024", f"% {p}").replace(
+        "long as (select c.row_id, d.y, c.col, c.x from",
+        "long as (select c.row_id, d.y, c.col, c.x/sqrt(sum(c.x*c.x) over (partition by c.row_id)) as x from")
+
+
+def many_columns() -> dict[str, str]:
+    out = {}
+    wide = [unit(1 << 15), S.range_blocks(1 << 15, 2), S.sparse_pi(8), S.RP, ENTRIES_LOO.format(q=8), K.OF_ENTRIES,
+            K.ALL_ROWS, K.MATS]
+    sums = (f"select b.block, lambda, {r6('sum(beta*(col%7+1))', 5)} as s, {r6('sum(beta*beta)', 5)} as squares, "
+            "true as converged from coef b group by b.block, lambda")
+    out["fit_ridge_wide"] = query(*wide, *K.ridge([0.1]), K.COEF, select=sums)
+    out["fit_logistic_wide"] = query(*wide, *K.logistic([0.1]), K.COEF, select=sums)
+    value = "select block, lambda, {v} as objective, true as converged from objective"
+    out["fit_svm_wide"] = query(*wide, *K.hinge([0.1]), K.objective("greatest(1-y*pred,0.0)"),
+                                select=value.format(v=r6("objective", 4)))
+    folds3 = S.hash_folds(3).replace("(select distinct row_id from long)", "labelled")
+    out["ridge_cv_documents"] = query(
+        unit(1 << 16), S.range_blocks(1 << 16, 4), S.sparse_pi(8), S.RP, ENTRIES_LOO.format(q=8), K.OF_ENTRIES, folds3,
+        K.SIDES, K.MATS, *K.ridge([0.1, 1.0]), K.JOINT,
+        select=f"select fold, lambda, {r6('avg((y-pred)*(y-pred))', 5)} as error, true as converged from scored group by fold, lambda")
+
+    designs = [S.EMB_CLS, B4, *SDCT8, S.SHARED_Z, K.OF_DESIGNS]
+    fits = [*designs, K.ALL_ROWS, K.MATS]
+    out["fit_svm"] = query(*fits, *K.hinge([0.1]), K.objective("greatest(1-y*pred,0.0)"),
+                           select=value.format(v=r6("objective")))
+    out["fit_logistic"] = query(*fits, *K.logistic([0.1]), K.COEF, select=COEF).replace(
+        "as beta from coef", "as beta, true as converged from coef")
+    own = """
+own as materialized (select b.block, a.row_id as a, c.row_id as b, sum(a.x*c.x) as v from long a join long c on a.col=c.col
+  join blocks b on a.col=b.col group by all)"""
+    left_out = [*designs, own, FOLDS5, K.SIDES, K.MATS, *K.hinge([0.1, 1.0])]
+    out["svm_cv"] = query(*left_out, K.JOINT, select=f"select fold, lambda, {r6(f'avg({MARGIN})')} as error, "
+                          "true as converged from scored group by fold, lambda")
+    out["local_cv_svm"] = query(*left_out, K.ALONE, select=f"select block, fold, lambda, {r6(f'avg({MARGIN})')} as error, "
+                                "true as converged from scored group by block, fold, lambda")
+    out["fit_path_concatenate"] = query(
+        *ridge(S.EMB, B4, [0.1, 1.0, 4.4], [S.sparse_pi(4), S.RP, S.concat(4)]), select=COEF)
+    noise = S.normal("'7'", "'noise'", "row_id", "c.block", "proj")
+    out["ridge_cv_private"] = query(
+        S.EMB, B4, S.sdct_pi(8), S.RP.replace("rp as", "clean as"), FOLDS5, K.SIDES, f"""
+sigma as (select fold, block, max(w)/10.0*sqrt(2*(ln(1/(2*0.05::double))+10.0)) as sd from (
+  select s.fold, col, max(x)-min(x) as w from long l join folds f on l.row_id=f.row_id join sides s on s.fold<>f.fold
+  group by s.fold, col) w join blocks b on w.col=b.col group by fold, block),
+noise as materialized (select row_id, c.block, proj, r, {noise} as e from clean c),
+rp as (select s.fold, row_id, c.block, proj, r+sd*e as r from noise c join sigma s on c.block=s.block),
+shared as (select fold, row_id, block, proj as slot, sum(r) over (partition by fold, row_id, proj)-r as r from rp),
+pos as (select col, block, row_number() over (partition by block order by col)-1 as i,
+  count(*) over (partition by block) as d from blocks),
+labelled as (select distinct row_id, y from long),
+z as materialized (select s.fold, l.row_id, y, block, i, x as v from long l join pos p on l.col=p.col
+    join folds f on f.row_id=l.row_id join sides s on s.fold<>f.fold
+  union all select s.fold, s.row_id, o.y, s.block, w.d+s.slot as i, s.r as v from shared s
+  join labelled o on s.row_id=o.row_id join folds f on f.row_id=s.row_id and s.fold<>f.fold
+  join (select distinct block, d from pos) w on s.block=w.block),
+tgram as materialized (select a.fold, a.block, a.i, b.i as j, sum(a.v*b.v) as v from z a join z b
+  on a.fold=b.fold and a.row_id=b.row_id and a.block=b.block group by all),
+tzy as materialized (select fold, block, i, sum(v*y) as v from z group by all),
+tsizes as (select s.fold, count(*) as n from folds f join sides s on s.fold<>f.fold group by s.fold)""",
+        S.ridge_solve([0.5, 1.0]), SQUARED_CV, select=f"select fold, lambda, {r6('error')} as error from cv")
+    return out
+
+
+# shared features of every row and block, also of rows without entries in some block
+ENTRIES_LOO = """
+slots as (select row_id, block, proj::int as proj from (select distinct row_id from docs),
+  (select distinct block from blocks), range({q}) t(proj)),
+shared as (select row_id, block, proj as slot, sum(r) over (partition by row_id, proj)-r as r from (
+  select s.row_id, s.block, s.proj, coalesce(r, 0.0) as r from slots s left join rp o
+  on s.row_id=o.row_id and s.block=o.block and s.proj=o.proj))"""
 
 
 ORACLE = build()

@@ -1,5 +1,6 @@
 """Queries over the test tables, one or more per operator."""
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,14 +9,15 @@ from shardfit.catalog.fixtures import (
     document_rows, embedding_classes, embedding_rows, event_rows, fixed_beta, lineitem_part_rows,
     lineitem_rows, r6,
 )
+from shardfit.catalog.many_columns import MANY_COLUMNS
+from shardfit.catalog.stored import STORED
 from shardfit.functions.hashing import hash_word
 from shardfit.functions.losses import hinge_loss, logistic_loss, sigmoid, squared_loss
 from shardfit.operators import layout as L
 from shardfit.operators import metrics as M
 from shardfit.operators import projection as P
-from shardfit.operators.design import block_design, block_layout
+from shardfit.operators.design import block_design
 from shardfit.operators.gram import gram, gram_rows
-from shardfit.operators.newton import fit_margin_rows
 from shardfit.operators.ridge import assemble_coefficients, own_coefficients
 from shardfit.operators.rows import (
     as_rows, feature_count, sparse_rows, to_dense, to_flat_array, to_long, to_sparse,
@@ -113,6 +115,15 @@ def vector_rows(spark, d):
     return checksum(to_long(sparse_rows(vectors)))
 
 
+def sparse_vector_rows(spark, d):
+    """ML vectors as the assembler stores them, sparse where that is shorter."""
+    rows = event_rows(spark, d)
+    columns = [F.get("features", F.lit(c)).alias(f"x{c}") for c in range(8)]
+    vectors = VectorAssembler(inputCols=[f"x{c}" for c in range(8)], outputCol="features").transform(
+        rows.select("row_id", "y", *columns))
+    return checksum(to_long(sparse_rows(vectors.select("row_id", "y", "features"))))
+
+
 def stored_sparse_to_dense(spark, d):
     return wide(as_rows(to_sparse(lineitem_rows(spark, d)), n_features=LI_P), LI_P)
 
@@ -427,21 +438,6 @@ def logistic_path_k64(spark, d):
     return _coef(fit_path(rows, layout, blocks, "logistic", LAMBDAS, stopping_gap=0.0))
 
 
-def fit_svm(spark, d):
-    """Shared features; no SQL form. The gap certifies the fit."""
-    rows = embedding_classes(spark, d)
-    layout, blocks = _layout(rows, 4, 8)
-    weights = fit_margin_rows(rows, layout, "hinge", [0.1])
-    return own_coefficients(weights, blocks).select("col", "block", "lambda", "beta", "gap")
-
-
-def fit_logistic(spark, d):
-    rows = embedding_classes(spark, d)
-    layout, blocks = _layout(rows, 4, 8)
-    weights = fit_margin_rows(rows, layout, "logistic", [0.1], stopping_gap=1e-12)
-    return own_coefficients(weights, blocks).select("col", "block", "lambda", "beta", "gap")
-
-
 # predictions, errors, certificates -----------------------------------------
 
 def _fixed_pred(spark, d, rows=None):
@@ -527,13 +523,29 @@ def _alphas(pred, loss):
     return M.dual_from_primal(pred, loss)
 
 
+def _alpha(loss):
+    """Hinge dual values drawn by row id; the others follow from the predictions."""
+    if loss == "hinge":
+        return F.col("y") * hash_word(1, "alpha", F.col("row_id")) / F.lit(4294967296.0)
+    return None
+
+
 def dual_to_primal(spark, d):
+    """From the dual values of all rows, joined by row id and summed by column."""
     rows = embedding_classes(spark, d)
     alpha = _alphas(_fixed_pred(spark, d, rows), "squared")
     v = M.dual_to_primal(rows, alpha, rows.count(), 0.1)
     return v.select("col", r6(F.col("beta")).alias("beta"))
 
 
+def dual_sums(spark, d):
+    """The same in one pass that predicts, takes dual values and adds up."""
+    rows = embedding_classes(spark, d)
+    sums = M.dual_sums(rows, fixed_beta(spark, EMB_P), EMB_P, "squared")
+    n = sums.where("i = -1").first()["v"]
+    return sums.where("i >= 0").select(F.col("i").alias("col"), r6(F.col("v") / (n * 0.1)).alias("beta"))
+
+
 def dual_objectives(spark, d):
     rows = embedding_classes(spark, d)
     pred, n = _fixed_pred(spark, d, rows), rows.count()
@@ -555,6 +567,13 @@ def duality_gaps(spark, d):
     ).select(*[r6(F.col(c)).alias(c) for c in ("primal", "dual", "gap")]))
 
 
+def certificates(spark, d):
+    """Primal, dual and gap without a join."""
+    rows, beta = embedding_classes(spark, d), fixed_beta(spark, EMB_P)
+    return _per_loss(lambda loss: M.certificate(rows, beta, EMB_P, 0.1, loss, _alpha(loss)).select(
+        *[r6(F.col(c)).alias(c) for c in ("primal", "dual", "gap")]))
+
+
 def evaluate_ridge(spark, d):
     """Fit on the train part, score both parts."""
     train, test = L.split_train_test(embedding_rows(spark, d), 0.2, 3)
@@ -643,23 +662,11 @@ def local_cv_svm_k64(spark, d):
     return cv.select("block", "fold", "lambda", r6(F.col("error")).alias("error"))
 
 
-def svm_cv(spark, d):
-    """Shared features; no SQL form."""
-    return global_cv(embedding_classes(spark, d), [0.1, 1.0], 5, loss="hinge", n_blocks=4, q=8,
-                     partitioner="range", fit={"stopping_gap": 1e-4})
-
-
-def local_cv_svm(spark, d):
-    rows = embedding_classes(spark, d)
-    layout, _ = _layout(rows, 4, 8)
-    return local_cv(rows, layout, [0.1, 1.0], 5, loss="hinge", stopping_gap=1e-4)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         libsvm_roundtrip, spaces_roundtrip, comma_roundtrip, flat_array_roundtrip, events_one_hot,
-        sparse_entries, sparse_dense_roundtrip, document_entries, document_width, vector_rows,
+        sparse_entries, sparse_dense_roundtrip, document_entries, document_width, vector_rows, sparse_vector_rows,
         stored_sparse_to_dense, libsvm_blank_and_comment_lines, local_cv_spread,
         train_test_split, folds_hash, folds_rank, fold_held_out, response_positions,
         transpose_dense, transpose_sparse, blocks_range, blocks_random, blocks_explicit,
@@ -671,12 +678,11 @@ QUERIES = {
         fit_model_ridge, fit_model_random_blocks, fit_model_concatenate, fit_model_private,
         fit_model_tall, fit_model_line_parts, fit_model_documents, fit_joined_documents,
         fit_path_ridge, assembled_coefficients, svm_naive_k64, logistic_naive_k64,
-        logistic_path_k64, logistic_k64_q1, fit_svm, fit_logistic,
+        logistic_path_k64, logistic_k64_q1,
         predict, predict_documents, mse, standardized_mse, classification_error,
         classification_error_logistic, row_losses, average_losses, primal_objectives, dual_values,
-        dual_to_primal, dual_objectives, duality_gaps, evaluate_ridge,
+        dual_to_primal, dual_sums, dual_objectives, duality_gaps, certificates, evaluate_ridge,
         ridge_cv_path, ridge_cv_summary, select_lambda_global, ridge_cv_tall, local_cv_ridge,
-        select_lambda_local, fit_local_lambdas, logistic_cv, svm_cv_k64, local_cv_svm_k64, svm_cv,
-        local_cv_svm,
+        select_lambda_local, fit_local_lambdas, logistic_cv, svm_cv_k64, local_cv_svm_k64,
     )
-}
+} | MANY_COLUMNS | STORED

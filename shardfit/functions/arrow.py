@@ -33,6 +33,8 @@ def entries_of(batch: pa.RecordBatch, n_features: int):
 
 def scatter(at: np.ndarray, val: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Dense matrix with the sum of the values at every flat position."""
+    if not len(at):
+        return np.zeros(shape)  # also of no columns
     return np.bincount(at, weights=val, minlength=shape[0] * shape[1]).reshape(shape)
 
 

@@ -1,5 +1,7 @@
 """Values sent once to every executor, and small tables brought to the driver and back."""
 
+import ctypes
+import gc
 import pickle
 import sys
 import uuid
@@ -19,21 +21,27 @@ def from_driver(spark: SparkSession, frame: pd.DataFrame, schema: str) -> DataFr
     return spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False), schema)
 
 
-HELD = 3  # values that a worker process keeps from one task to the next
-
-
 def per_process(key, make):
-    """What `make` returns, made once by a worker process; the few latest values are kept.
+    """What `make` returns, made once by a worker process; the latest value alone is kept.
 
     Code of this package travels by value, so its own globals last for one task; a worker's
     interpreter lasts longer.
     """
     held = vars(sys).setdefault("_shardfit_held", {})
-    value = held.pop(key) if key in held else make()
-    while len(held) >= HELD:
-        del held[next(iter(held))]
-    held[key] = value
-    return value
+    if key not in held:
+        held.clear()
+        give_back()
+        held[key] = make()
+    return held[key]
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, since workers outlive their stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux
+    if trim:
+        trim(0)
 
 
 class Shared:

@@ -70,12 +70,12 @@ def column_design(columns: DataFrame, responses: DataFrame, layout: BlockLayout)
                              *(["fold"] if folded else []))
     shared = "tile bigint, block int, y array<double>, fold array<int>, r array<double>"
 
-    def project(key, table: pa.Table) -> pa.Table:
+    def project(key, table):
         k, lay = key[1].as_py(), shape.value
         r = lay.projection.block(_matrix(table, step, lay.raw_width(k)), k, lay.cols[k])
         return pa.table({"tile": [key[0].as_py()], "block": pa.array([k], pa.int32()), "r": [r.ravel()]})
 
-    def meet(key, own: pa.Table, table: pa.Table) -> pa.Table:
+    def meet(key, own, table):
         lay, tile = shape.value, key[0].as_py()
         order = np.argsort(table["pos"].to_numpy())
         n = len(order)
@@ -98,7 +98,7 @@ def column_design(columns: DataFrame, responses: DataFrame, layout: BlockLayout)
             "y": [table["y"].to_numpy()[order]] * n_blocks, "fold": pa.array([fold] * n_blocks, pa.list_(pa.int32())),
             "r": pa.array([r.ravel() for r in rest], pa.list_(pa.float64()))})
 
-    def design(key, own: pa.Table, table: pa.Table) -> pa.Table:
+    def design(key, own, table):
         tile, k = key[0].as_py(), key[1].as_py()
         if not table.num_rows:
             raise ValueError("columns have positions without a response")

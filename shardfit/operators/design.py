@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.arrow import SLICE_VALUES, entries_of, matrix_of, scatter
-from shardfit.functions.shared import Shared, to_driver
+from shardfit.functions.shared import Shared, from_driver, to_driver
+from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.projection import check_privacy, noise_draw, noise_sd
 from shardfit.operators.rows import is_sparse
 
@@ -221,47 +222,56 @@ def block_design(rows: DataFrame, layout: BlockLayout) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def long_design(long: DataFrame, rows: DataFrame, blocks: DataFrame,
-                random_features: DataFrame | None, q: int, n_blocks: int,
-                mode: str = "add") -> DataFrame:
-    """Z_k from the long form and shared projections, for matrices too large to broadcast.
+def long_design(long: DataFrame, rows: DataFrame, blocks: DataFrame, projected: DataFrame | None,
+                q: int, n_blocks: int, mode: str = "add") -> DataFrame:
+    """Z_k from the long form and the blocks' projections, for matrices too large to broadcast.
 
-    ``random_features`` is the result of ``leave_one_out`` or ``concat_projections``.
-    A group is one row of one block, so it holds at most the width of Z_k.
+    ``projected`` is the result of ``apply_projection`` (``row_id, block, proj, r``). A row's cells,
+    its own and the projected ones, meet as one array, and every block reads its part of it: the
+    shuffle holds each of them once, whatever the number of blocks and the mode. A group is one row.
     """
-    counted = blocks.selectExpr(
-        "col", "block",
-        "int(row_number() over (partition by block order by col) - 1) as i",
-        "int(count(*) over (partition by block)) as d",
-    )
-    cells = long.select("row_id", "col", "x").join(counted, "col").select(
-        "row_id", "block", "i", F.col("x").alias("v")
-    )
-    sizes = counted.groupBy("block").agg(F.max("d").alias("d"))
-    if random_features is not None:
-        slot = F.col("proj")
-        if mode == "concatenate":
-            other = F.col("other_block")
-            slot = (other - F.when(other > F.col("block"), 1).otherwise(0)) * q + slot
-        shared = random_features.join(sizes, "block").select(
-            "row_id", "block", (F.col("d") + slot).cast("int").alias("i"), F.col("r").alias("v")
-        )
-        cells = cells.unionByName(shared)
-    extra = 0 if random_features is None else q * ((n_blocks - 1) if mode == "concatenate" else 1)
-    grouped = cells.groupBy("row_id", "block").agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("__m")
-    )
-    targets = rows.select(
-        "row_id", "y", *(["fold"] if "fold" in rows.columns else []),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-    ).join(sizes, "block")
-    z = F.transform(
-        F.sequence(F.lit(0), (F.col("d") + extra - 1).cast("int")),
-        lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0)),
-    )
-    joined = targets.join(grouped, ["row_id", "block"], "left")
-    keep = ["row_id", "y", "block"] + (["fold"] if "fold" in rows.columns else [])
-    return joined.select(*keep, z.alias("z")).select("row_id", "y", "block", "z", *keep[3:])
+    spark = rows.sparkSession
+    numbered = to_driver(blocks.select("block", "col")).sort_values(["block", "col"])  # one record per feature
+    p, widths = len(numbered), numbered.groupby("block").size().to_numpy()
+    slots = from_driver(spark, numbered.assign(slot=np.arange(p))[["col", "slot"]], "col int, slot int")
+    cells = long.select("row_id", "col", "x").join(broadcast_if_small(slots, p), "col").select(
+        "row_id", F.col("slot").cast("long").alias("slot"), F.col("x").alias("v"))
+    if projected is not None:
+        cells = cells.unionByName(projected.select(
+            "row_id", (F.col("block").cast("long") * q + F.col("proj") + p).alias("slot"), F.col("r").alias("v")))
+    own = cells.groupBy("row_id").agg(F.collect_list(F.struct("slot", "v")).alias("cells"))
+    names = ["row_id", "y"] + (["fold"] if "fold" in rows.columns else [])
+    joined = rows.select(*names).join(own, "row_id", "left")
+    width = p + (n_blocks * q if projected is not None else 0)
+    starts = np.concatenate([[0], np.cumsum(widths)])
+    step = max(1, SLICE_VALUES // max(width, 1))
+    types = {"row_id": "bigint", "y": "double", "fold": "int"}
+    schema = "row_id bigint, y double, block int, z array<double>" + (", fold int" if len(names) > 2 else "")
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                n = part.num_rows
+                found = part.column("cells")
+                flat = found.flatten()
+                row = np.repeat(np.arange(n), pa.compute.fill_null(found.value_lengths(), 0).to_numpy(zero_copy_only=False))
+                slot, v = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("slot", "v"))
+                x = scatter(row * width + slot, v, (n, width))
+                shared = x[:, p:].reshape(n, -1, q) if width > p else np.empty((n, n_blocks, 0))
+                for k in range(n_blocks):
+                    if mode == "add":
+                        others = shared.sum(axis=1) - shared[:, k]
+                    else:
+                        others = np.delete(shared, k, axis=1).reshape(n, -1)
+                    z = np.hstack([x[:, starts[k]:starts[k + 1]], others])
+                    ends = pa.array(np.arange(n + 1, dtype=np.int32) * z.shape[1])
+                    made = {"block": pa.array(np.full(n, k, np.int32)),
+                            "z": pa.ListArray.from_arrays(ends, pa.array(z.ravel()))}
+                    order = ["row_id", "y", "block", "z", *names[2:]]
+                    yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in order], order)
+
+    return joined.select(*[F.col(c).cast(types[c]).alias(c) for c in names], "cells").mapInArrow(run, schema)
 
 
 def design_widths(design: DataFrame) -> dict[int, int]:

@@ -185,7 +185,7 @@ def transpose(rows: DataFrame, n_features: int | None = None,
         return placed.mapInArrow(cut.columns, COLUMNS)
     pieces = placed.mapInArrow(cut.tiles, "chunk bigint, tile int, start bigint, first int, x array<double>")
 
-    def join(key, table: pa.Table) -> pa.Table:
+    def join(key, table):
         low = key[1].as_py() * tile
         width = min(tile, n_features - low)
         order = np.argsort(table["first"].to_numpy())

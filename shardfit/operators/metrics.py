@@ -5,14 +5,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.arrow import multiply
+from shardfit.functions.arrow import entries_of, matrix_of, multiply
 from shardfit.functions.losses import (
     check_loss, conjugate_column, logistic_error, loss_column, margin_error, squared_loss,
 )
 from shardfit.functions.shared import Shared, from_driver, to_driver
 from shardfit.functions.sizes import MATRIX_VALUES, broadcast_if_small
 from shardfit.operators.design import BlockLayout, RowsFeed, feed_rows
-from shardfit.operators.gram import in_groups
+from shardfit.operators.gram import BATCH, in_groups, task_limit
 from shardfit.operators.rows import is_sparse, to_long
 
 
@@ -120,7 +120,8 @@ def dual_to_primal(rows: DataFrame, alpha: DataFrame, n: int, lam: float) -> Dat
     """X' alpha / (n lambda) per column; alpha carries the sign of the response.
 
     Rows meet their dual values whole, before they are spread over columns; the
-    sums per column are formed before the shuffle.
+    sums per column are formed before the shuffle. `dual_sums` does without the join where the
+    values follow from predictions or stand in the rows.
     """
     joined = rows.join(alpha.select("row_id", "alpha"), "row_id")
     long = joined if "col" in joined.columns else to_long(joined, keep_zeros=False)
@@ -169,6 +170,74 @@ def duality_gap(rows: DataFrame, pred: DataFrame, coef: DataFrame, alpha: DataFr
     ).withColumn("gap", F.col("primal") - F.col("dual"))
 
 
+def certificate(rows: DataFrame, coef: DataFrame, n_features: int, lam: float, loss: str,
+                alpha: Column | None = None) -> DataFrame:
+    """Primal and dual objective and their gap in one pass over the rows, without a join: ``primal, dual, gap``.
+
+    The dual values follow from the predictions, at margin 1 the hinge's lower one, or are a column
+    of the rows, signed like the response. Tasks emit one vector of column sums each.
+    """
+    sums = dual_sums(rows, coef, n_features, loss, alpha)
+    scalars = {r["i"]: r["v"] for r in sums.where("i < 0").collect()}  # three records
+    n = scalars.get(-1, 0.0)
+    norm = 0.5 * lam * _squared_norm(coef)
+    v = sums.where("i >= 0").select((F.col("v") / (n * lam)).alias("v"))
+    return v.agg(
+        F.lit(scalars[-2] / n + norm).alias("primal"),
+        (-0.5 * lam * F.sum(F.col("v") * F.col("v")) - scalars[-3] / n).alias("dual"),
+    ).withColumn("gap", F.col("primal") - F.col("dual"))
+
+
+def dual_sums(rows: DataFrame, coef: DataFrame, n_features: int, loss: str, alpha: Column | None = None) -> DataFrame:
+    """X' alpha by column (``i, v``), with the row count, loss and conjugate sums at i = -1, -2, -3."""
+    check_loss(loss)
+    found = to_driver(coef.select("col", "beta"))
+    beta = np.zeros(n_features)
+    beta[found["col"].to_numpy()] = found["beta"].to_numpy()
+    shared = Shared(rows.sparkSession, beta)
+    data = "entries" if is_sparse(rows) else "features"
+    given = alpha is not None
+    source = rows.select("y", data, *([alpha.cast("double").alias("alpha")] if given else []))
+
+    def run(batches):
+        total = np.zeros(3 + n_features)
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            pred = multiply(batch, shared.value[:, None])[:, 0]
+            a = batch.column("alpha").to_numpy(zero_copy_only=False) if given else _dual_values(loss, y, pred)
+            total[:3] += len(y), _losses(loss, y, pred).sum(), _conjugates(loss, y, a).sum()
+            if data == "entries":
+                row, col, x = entries_of(batch, n_features)
+                total[3:] += np.bincount(col, weights=x * a[row], minlength=n_features)
+            else:
+                total[3:] += a @ matrix_of(batch.column("features"), n_features, "features")
+        i = np.concatenate([[-1, -2, -3], np.arange(n_features)])
+        for low in range(0, len(i), BATCH):
+            s = slice(low, low + BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(i[s].astype(np.int32)), pa.array(total[s])], ["i", "v"])
+
+    source = source.coalesce(task_limit(rows.sparkSession, n_features))
+    return source.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+
+
+def _dual_values(loss: str, y: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    if loss == "squared":
+        return 2 * (y - pred)
+    if loss == "hinge":
+        return np.where(y * pred < 1, y, 0.0)
+    return y * np.exp(-np.logaddexp(0.0, y * pred))
+
+
+def _conjugates(loss: str, y: np.ndarray, a: np.ndarray) -> np.ndarray:
+    if loss == "squared":
+        return 0.25 * a * a - y * a
+    if loss == "hinge":
+        return -y * a
+    t = np.clip(y * a, 0.0, 1.0)
+    return np.where(t > 0, t * np.log(np.maximum(t, 1e-300)), 0.0) + np.where(
+        t < 1, (1 - t) * np.log(np.maximum(1 - t, 1e-300)), 0.0)
+
+
 def _row_error(y: np.ndarray, pred: np.ndarray, loss: str) -> np.ndarray:
     if loss == "squared":
         return (y - pred) ** 2
@@ -303,6 +372,59 @@ def _block_sums(feed, table, loss):
     return run
 
 
+def block_objectives(rows: DataFrame, layout: BlockLayout, weights: DataFrame, loss: str) -> DataFrame:
+    """Average loss of every block's fit on its training rows plus (lambda/2) |w|^2.
+
+    ``block, fold, lambda, objective, gap, converged``: the optimum lies at most ``gap`` below.
+    """
+    check_loss(loss)
+    found = to_driver(weights.select("fold", "block", "lambda", "i", "beta", "gap", "converged"))
+    models, sizes = {}, {}
+    for (fold, block, lam), part in found.groupby(["fold", "block", "lambda"]):
+        w = np.zeros(layout.width(int(block)))
+        w[part["i"].to_numpy()] = part["beta"].to_numpy()
+        models.setdefault(int(block), []).append((int(fold), float(lam), w))
+        sizes[int(block)] = sizes.get(int(block), 0) + w.size
+    spark = rows.sparkSession
+    source = feed_rows(rows, layout).drop("row_id")
+    shape = Shared(spark, layout)
+    parts = None
+    for group in in_groups(sizes, MATRIX_VALUES):
+        table = Shared(spark, {k: models[k] for k in group})
+        part = source.mapInArrow(_loss_sums(RowsFeed(shape, group), table, loss),
+                                 "block int, fold int, lambda double, n double, s double")
+        parts = part if parts is None else parts.unionByName(part)
+    sums = parts.groupBy("block", "fold", "lambda").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    norms = found.assign(square=found["beta"] ** 2).groupby(["block", "fold", "lambda"], as_index=False)["square"].sum()
+    norms = from_driver(spark, norms, "block int, fold int, lambda double, square double")
+    value = F.col("s") / F.col("n") + 0.5 * F.col("lambda") * F.col("square")
+    objectives = sums.join(F.broadcast(norms), ["block", "fold", "lambda"]).select(  # one record per fit
+        "block", "fold", "lambda", value.alias("objective"))
+    return _with_status(objectives, found, ["block", "fold", "lambda"])
+
+
+def _losses(loss: str, y: np.ndarray, pred: np.ndarray) -> np.ndarray:
+    if loss == "squared":
+        return (y - pred) ** 2
+    return np.maximum(1 - y * pred, 0.0) if loss == "hinge" else np.logaddexp(0.0, -y * pred)
+
+
+def _loss_sums(feed, table, loss):
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for block, z, y, fold in feed(batch):
+                for f, lam, w in table.value[block]:
+                    train = fold != f if f else slice(None)
+                    part = np.array([len(y[train]), _losses(loss, y[train], z[train] @ w).sum()])
+                    sums[block, f, lam] = sums.get((block, f, lam), 0.0) + part
+        for (block, f, lam), (n, s) in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([f], pa.int32()), pa.array([lam]), pa.array([n]), pa.array([s])],
+                ["block", "fold", "lambda", "n", "s"])
+    return run
+
+
 def _fold_errors_joined(rows: DataFrame, coef: DataFrame, loss: str) -> DataFrame:
     long = to_long(rows, keep_zeros=False)
     beta = coef.select("fold", "lambda", "col", "beta")

@@ -6,12 +6,16 @@ long         row_id, y, col int, x double
 flat         row_id, a array<double>, response first
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 
+from shardfit.functions.arrow import SLICE_VALUES, entries_of, scatter
+
 ENTRIES = "array<struct<col:int,x:double>>"
 
 
@@ -73,13 +77,8 @@ def sparse_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
     if is_sparse(df):
         entries = F.col("entries").cast(ENTRIES)
     elif isinstance({f.name: f.dataType for f in df.schema}.get("features"), VectorUDT):
-        # a sparse vector holds its indices, a dense one has none and gives its values by place
-        raw = F.from_json(F.to_json(F.struct("features")),
-                          "features struct<type:int,size:int,indices:array<int>,values:array<double>>")["features"]
-        places = F.when(raw["type"] == 0, raw["indices"]).otherwise(
-            F.sequence(F.lit(0), F.size(raw["values"]) - 1))
-        entries = F.zip_with(places, raw["values"], lambda c, x: F.struct(c.alias("col"), x.alias("x")))
-        entries = F.filter(entries, lambda e: e["x"] != 0)
+        found = df.select(key.alias("row_id"), F.col(_label_column(df)).cast("double").alias("y"), "features")
+        return found.mapInArrow(_vector_entries, f"row_id {found.schema['row_id'].dataType.simpleString()}, y double, entries {ENTRIES}")
     else:
         return to_sparse(as_rows(source, row_id))
     return df.select(key.alias("row_id"), F.col(_label_column(df)).cast("double").alias("y"),
@@ -101,15 +100,48 @@ def to_sparse(rows: DataFrame) -> DataFrame:
     return rows.select(*keep, entries.alias("entries"))
 
 
+def _vector_entries(batches):
+    """Non-zeros of ML vectors, read from their own struct: sparse ones hold indices, dense ones values by place."""
+    for batch in batches:
+        v = batch.column("features")
+        if v.null_count:
+            raise ValueError("features must not be null")
+        values, indices = v.field("values"), v.field("indices")
+        lengths = values.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        col = (np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)).astype(np.int32)
+        sparse = np.repeat(v.field("type").to_numpy() == 0, lengths)
+        col[sparse] = indices.flatten().to_numpy(zero_copy_only=False)
+        x = values.flatten().to_numpy(zero_copy_only=False)
+        at = x != 0
+        row = np.repeat(np.arange(len(lengths)), lengths)[at]
+        offsets = np.zeros(len(lengths) + 1, np.int32)
+        np.cumsum(np.bincount(row, minlength=len(lengths)), out=offsets[1:])
+        pairs = pa.StructArray.from_arrays([pa.array(col[at]), pa.array(x[at])], ["col", "x"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(offsets), pairs)],
+            ["row_id", "y", "entries"])
+
+
 def to_dense(rows: DataFrame, n_features: int) -> DataFrame:
-    """Sparse rows to dense rows of a given width."""
-    lookup = F.map_from_entries("entries")
-    features = F.transform(
-        F.sequence(F.lit(0), F.lit(n_features - 1)),
-        lambda c: F.coalesce(F.try_element_at("__m", c), F.lit(0.0)),
-    )
+    """Sparse rows to dense rows of a given width; an entry beyond it is refused. Linear in width and entries."""
     keep = [c for c in rows.columns if c != "entries"]
-    return rows.withColumn("__m", lookup).select(*keep, features.alias("features"))
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                n = part.num_rows
+                row, col, x = entries_of(part, n_features)
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * n_features)
+                flat = scatter(row * n_features + col, x, (n, n_features)).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in keep], pa.ListArray.from_arrays(ends, pa.array(flat, pa.float64()))],
+                    [*keep, "features"])
+
+    step = max(1, SLICE_VALUES // max(n_features, 1))
+    return rows.select(*keep, "entries").mapInArrow(run, schema)
 
 
 def to_long(rows: DataFrame, keep_zeros: bool = True) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from shardfit.functions.arrow import matrix_of
 from shardfit.functions.shared import Shared
 from shardfit.functions.sizes import broadcast_if_small
-from shardfit.operators.rows import is_sparse
+from shardfit.operators.rows import is_sparse, to_long
+
+
+EXPRESSION_WIDTH = 64  # features up to which scaling is a column expression, else numpy in tasks
 
 
 def column_stats(long: DataFrame) -> DataFrame:
@@ -44,6 +47,19 @@ def _standardize(x: Column, mean, sd) -> Column:
     return x
 
 
+def _as_expression(mean, sd) -> Column:
+    """Standardised features without leaving the JVM; rows of another width or with nulls are refused."""
+    width = len(sd if mean is None else mean)
+    known = (F.size("features") == width) & F.forall("features", lambda x: x.isNotNull())
+
+    def one(x, i):
+        parts = [None if v is None else F.get(F.array(*[F.lit(float(e)) for e in v]), i) for v in (mean, sd)]
+        return _standardize(x, *parts)
+
+    refused = F.raise_error(F.lit(f"every row must have {width} values in features, without nulls"))
+    return F.when(known, F.transform("features", one)).otherwise(refused)
+
+
 def _apply(rows: DataFrame, statistics) -> DataFrame:
     """Rows with standardised response and features; two vectors of feature length are sent."""
     y_mean, y_sd, mean, sd = statistics
@@ -51,6 +67,8 @@ def _apply(rows: DataFrame, statistics) -> DataFrame:
     out = rows.withColumn("y", y)
     if mean is None and sd is None:
         return out
+    if len(sd if mean is None else mean) <= EXPRESSION_WIDTH:
+        return out.withColumn("features", _as_expression(mean, sd))
     shared = Shared(rows.sparkSession, (mean, sd))
     at = out.columns.index("features")
 
@@ -126,3 +144,23 @@ def column_range(long: DataFrame, blocks: DataFrame, n_rows: int | None = None)
         .groupBy("block")
         .agg(F.coalesce(F.max(hi - lo), F.lit(0.0)).alias("range"))
     )
+
+
+def left_out_ranges(rows: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """`column_range` of the rows outside every fold 1..k, in one pass: ``fold, block, range``.
+
+    Extremes by fold and column are combined for each fold that is left out. Where a column has
+    fewer entries than there are rows, as in sparse rows, it holds a zero too.
+    """
+    by_fold = to_long(rows.select("row_id", "y", "fold", "entries" if is_sparse(rows) else "features")).groupBy(
+        "fold", "col").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # one record per fold
+    left = F.explode(F.array(*[F.lit(f) for f in range(1, k + 1)])).alias("left")
+    outside = by_fold.select("*", left).where("left <> fold").groupBy("left", "col").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = F.create_map(*[F.lit(v) for f in range(1, k + 1) for v in (f, sum(n for g, n in sizes.items() if g != f))])
+    short = F.col("n") < total[F.col("left")]
+    lo = F.when(short, F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
+    hi = F.when(short, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))
+    found = outside.select("col", F.col("left").alias("fold"), (hi - lo).alias("width"))
+    return found.join(blocks, "col").groupBy("fold", "block").agg(F.max("width").alias("range"))

@@ -1,5 +1,7 @@
 """Penalty selection by global and per-block cross-validation."""
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -8,13 +10,14 @@ from pyspark.sql import functions as F
 from shardfit.functions import sizes
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import from_driver, to_driver
-from shardfit.operators.design import BlockLayout
+from shardfit.operators.design import BlockLayout, add_noise
 from shardfit.operators.gram import gram_rows, total_gram, train_and_test_gram
 from shardfit.operators.layout import assign_folds
 from shardfit.operators.metrics import block_fold_errors, fold_errors
 from shardfit.operators.ridge import (
     WEIGHTS, check_lambdas, fit_ridge, own_coefficients, ridge_fold_errors,
 )
+from shardfit.operators.scaling import left_out_ranges
 from shardfit.plans.model import fit_weights, model_layout, widest
 
 
@@ -55,17 +58,40 @@ def global_cv(rows: DataFrame, grid, k: int = 5, seed: int = 1, loss: str = "squ
     ``gap`` is the largest of the fits behind an error, ``converged`` whether all met theirs.
 
     ``model`` goes to ``model_layout``, ``fit`` to the solver. Rows that already
-    carry a fold 1..k keep it.
+    carry a fold 1..k keep it. The noise of a private model follows the training rows of each fold.
     """
     check_loss(loss)
     lambdas = grid_values(grid)
     folded = _with_folds(rows, k, seed, fold_mode)
+    if model.get("private"):
+        weights, layout, blocks = _private_weights(folded, k, loss, lambdas, seed, fit or {}, model)
+        return fold_errors(folded, own_coefficients(weights, blocks), layout.n_features, loss, k * len(lambdas))
     layout, blocks = model_layout(folded, seed=seed, **model)
     weights = cv_weights(folded, layout, k, loss, lambdas, **(fit or {}))
     coef = own_coefficients(weights, blocks)
     return fold_errors(folded, coef, layout.n_features, loss, k * len(lambdas))
 
 
+def _private_weights(folded: DataFrame, k: int, loss: str, lambdas, seed: int, fit: dict, model: dict):
+    """Weights with each fold left out, and with noise by the column ranges of the rows that are left.
+
+    The extremes of all folds come from one pass; every fold's noise is its own, so its fits are too.
+    """
+    model = dict(model)
+    eps, delta, noise_seed = model.pop("eps", 10.0), model.pop("delta", 0.05), model.pop("noise_seed", None)
+    model.pop("private")
+    layout, blocks = model_layout(folded, seed=seed, **model)
+    ranges = to_driver(left_out_ranges(folded, blocks, k))
+    weights = None
+    for f in range(1, k + 1):
+        own = from_driver(folded.sparkSession, ranges[ranges["fold"] == f], "fold int, block int, range double")
+        noisy = add_noise(replace(layout), own, eps, delta, seed if noise_seed is None else noise_seed)
+        train = folded.where(F.col("fold") != f).drop("fold")
+        part = fit_weights(train, noisy, loss, lambdas, **fit).withColumn("fold", F.lit(f))
+        weights = part if weights is None else weights.unionByName(part)
+    return weights, layout, blocks
+
+
 def cv_summary(cv: DataFrame) -> DataFrame:
     """Mean error per penalty, with standard deviation and variance over folds.
 

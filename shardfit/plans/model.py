@@ -14,8 +14,7 @@ from shardfit.operators.gram import gram, gram_rows
 from shardfit.operators.layout import assign_blocks
 from shardfit.operators.newton import fit_margin_design, fit_margin_rows
 from shardfit.operators.projection import (
-    PROJECTIONS, add_private_noise, apply_projection, concat_projections, leave_one_out,
-    projection_matrix, task_projection,
+    PROJECTIONS, add_private_noise, apply_projection, projection_matrix, task_projection,
 )
 from shardfit.operators.ridge import fit_ridge, own_coefficients
 from shardfit.operators.rows import feature_count, is_sparse, to_long
@@ -110,14 +109,12 @@ def joined_design(rows: DataFrame, n_features: int, blocks: DataFrame, n_blocks:
                   noise_seed=None) -> DataFrame:
     """Block designs by joins with the projection matrix, which is never collected."""
     long = to_long(rows, keep_zeros=False)
-    shared = None
+    rp = None
     if q > 0 and n_blocks > 1:
         pi = projection_matrix(blocks, q, projection, seed)
-        rp = apply_projection(long, pi, n_features * q, (rows, n_blocks, q))
+        # noise is added to zeros too; else blocks without entries in a row need no records
+        rp = apply_projection(long, pi, n_features * q, (rows, n_blocks, q) if private else None)
         if private:
-            n_rows = rows.count()
-            ranges = column_range(long, blocks, n_rows)
-            rp = add_private_noise(rp, ranges, eps, delta,
+            rp = add_private_noise(rp, column_range(long, blocks, rows.count()), eps, delta,
                                    seed if noise_seed is None else noise_seed)
-        shared = leave_one_out(rp) if mode == "add" else concat_projections(rp, n_blocks)
-    return long_design(long, rows, blocks, shared, q, n_blocks, mode)
+    return long_design(long, rows, blocks, rp, q, n_blocks, mode)

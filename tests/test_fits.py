@@ -216,3 +216,19 @@ def test_report(spark, tmp_path, data):
         spark.createDataFrame([(0, 0, 0.5)], "block int, i int, beta double"),
         spark.createDataFrame([(3, 0)], "col int, block int"),
     ).first()["col"] == 3
+
+
+@pytest.mark.parametrize("loss, most", [("squared", 12), ("logistic", 60), ("hinge", 300)])
+def test_wide_fits_of_uneven_columns_take_few_passes(data, loss, most):
+    """Columns whose squares differ by twelve orders; the preconditioner makes them alike."""
+    from shardfit.functions.shared import Shared
+    from shardfit.operators import wide
+    from shardfit.operators.design import RowsFeed, feed_rows
+
+    rows = data["reg" if loss == "squared" else "cls"]
+    sizes_of = F.array(*[F.lit(10.0 ** (c - 3)) for c in range(7)])
+    rows = rows.withColumn("features", F.transform("features", lambda x, i: x * F.get(sizes_of, i)))
+    layout, _ = model_layout(rows, 1, 0)
+    fits = [wide.Fit(0, 0, lam, np.zeros(7), loss, 1e-6) for lam in (0.01, 1.0)]
+    wide.solve(feed_rows(rows, layout).drop("row_id"), RowsFeed(Shared(rows.sparkSession, layout)), fits, loss, 100)
+    assert all(f.converged and f.gap <= 1e-6 and f.passes <= most for f in fits), [(f.gap, f.passes) for f in fits]
