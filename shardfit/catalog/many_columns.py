@@ -42,7 +42,7 @@ def fit_ridge_wide(spark, d):
 
 
 def fit_logistic_wide(spark, d):
-    _, _, blocks, weights = _wide_fit(spark, d, "logistic", stopping_gap=1e-12)
+    _, _, blocks, weights = _wide_fit(spark, d, "logistic", stopping_gap=1e-15)
     return _sums(weights, blocks)
 
 

@@ -520,7 +520,7 @@ def many_columns() -> dict[str, str]:
     own = """
 own as materialized (select b.block, a.row_id as a, c.row_id as b, sum(a.x*c.x) as v from long a join long c on a.col=c.col
   join blocks b on a.col=b.col group by all)"""
-    left_out = [*designs, own, FOLDS5, K.SIDES, K.MATS, *K.hinge([0.1, 1.0])]
+    left_out = [*designs, own, FOLDS5, K.SIDES, K.MATS, *K.hinge([0.1, 1.0], 1000)]
     out["svm_cv"] = query(*left_out, K.JOINT, select=f"select fold, lambda, {r6(f'avg({MARGIN})')} as error, "
                           "true as converged from scored group by fold, lambda")
     out["local_cv_svm"] = query(*left_out, K.ALONE, select=f"select block, fold, lambda, {r6(f'avg({MARGIN})')} as error, "
