@@ -12,9 +12,12 @@ and slots hold the text. An element of a further class is a slot within the slot
 Vectors are never built: a vector is known by two sums of page hashes weighted by counts,
 which Spark aggregates before the shuffle. So a host with a third of all pages is no burden.
 
-Which slots are main text is told by their elements: the innermost of article or main, and
-navigation, advertising, forms and the like, decides; without an article or main the
-slot with the most text of its own is taken, with all that has the same parent.
+Which slots are main text is told by their elements. What stands in navigation, advertising, a
+form, a list of comments and the like is none, an article in it neither; only a menu that was
+never closed gives way to an article or main. Else text in an article or main is main text;
+without one the slot with the most text of its own is taken, with all that has the same parent.
+A class or id marks an element only by a whole name made of words for such parts and for layout
+(`site-nav`, not `market-share-analysis`), and an article or main only as a comment.
 """
 
 import html
@@ -31,6 +34,7 @@ from shardfit.llm.common import keep, slices, texts_of
 
 LEAST_PAGES = 4        # of a host, for a template; below it the elements alone decide
 SUPPORT = 0.2          # share of a host's pages that a further class must be on, and LEAST_PAGES at least
+BROADCAST_TOKENS = 2_000_000  # tokens of all templates that every task may get, 32 MB
 LAYOUT = 0.8           # share from which a further class needs no text of its own
 
 #: Elements of HTML by their use.
@@ -50,6 +54,12 @@ MARKS = frozenset("""ad ads adbox adsense advert advertisement advertising adver
     navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related
     replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser
     toolbar widget widgets""".split())
+COMMENTS = frozenset("comment comments replies reply respond".split())
+LAYOUT_WORDS = frozenset("""area bar block body bottom box btn button center col column container content cta fixed global
+    group holder icon inner item items left link links list main outer panel page post posts primary right row secondary
+    section sect site slot small sticky text title top unit wrap wrapper""".split())
+HEADERS = frozenset({"header"})
+OPEN_MENUS = frozenset({"nav", "menu"})  # hold no article, so one in them tells that they were left open
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _TOKEN = re.compile(
@@ -62,36 +72,67 @@ _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def named(names: list[str], marks: frozenset) -> bool:
+    """Whether a class or id is one of the marks, alone or beside other marks and words of layout."""
+    for name in names:
+        words = {w for w in _SPLIT.split(name) if w}
+        if words & marks and words <= MARKS | HEADERS | LAYOUT_WORDS:
+            return True
+    return False
+
+
 class Element:
-    """An open element: its name, what it says about its text, and its place on the path."""
+    """An open element: its name, what it says about its text, and its place on the path as a hash."""
 
-    __slots__ = ("name", "use", "path")
+    __slots__ = ("name", "use", "firm", "path", "parent", "open")
 
-    def __init__(self, name: str, attrs: str, parent: "Element | None", inside: bool):
-        self.name = name
+    def __init__(self, name: str, attrs: str, parent: "Element | None"):
+        self.name, self.open = name, True
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
-        words = set(_SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}"))
-        if name in NEVER or name in ASIDE or words & MARKS or found.get("role") in ROLES:
-            self.use = "aside"
-        elif not inside and (name == "header" or "header" in words):
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        article = name in CONTENT or found.get("role") in ("main", "article")
+        aside = name in NEVER or name in ASIDE or found.get("role") in ROLES
+        if names and name not in ("html", "body"):
+            aside = aside or named(names, COMMENTS if article else MARKS)
+        inside = parent is not None and parent.use == "content"
+        aside = aside or (not inside and not article and (name == "header" or named(names, HEADERS)))
+        outer = parent is not None and parent.use == "aside"
+        # whether it is aside for good, not by a menu alone
+        self.firm = (outer and parent.firm) or (aside and name not in OPEN_MENUS)
+        if self.firm or aside or (outer and not article):
             self.use = "aside"
-        elif name in CONTENT or found.get("role") == "main" or found.get("role") == "article":
-            self.use = "content"
         else:
-            self.use = parent.use if parent else "plain"
+            self.use = "content" if article or inside else "plain"
         mark = f"{name}.{found.get('class', '')}#{found.get('id', '')}"
-        self.path = f"{parent.path}/{mark}" if parent else mark
+        self.parent = parent.path if parent else 0
+        self.path = xxhash.xxh3_64_intdigest(f"{self.parent:x}/{mark}".encode("utf-8", "replace"))
+
+
+ROOT = Element("", "", None)
+ROOT.path = 0
 
 
 def nodes(page: str):
-    """Tokens of a page in order: (kind, name, path, use, text); kind is open, close or text."""
+    """Tokens of a page in order: (kind, name, element, use, text); kind is open, close or text.
+
+    The element is that which opens or closes, or holds the text; `open` tells whether it still is.
+    """
     stack: list[Element] = []
+    held: Counter = Counter()  # names of open elements, so that a stray end tag costs nothing
     at = 0
 
     def text(end: int):
         if end > at:
-            top = stack[-1] if stack else None
-            yield "text", "", top.path if top else "", top.use if top else "plain", page[at:end]
+            top = stack[-1] if stack else ROOT
+            yield "text", "", top, top.use, page[at:end]
+
+    def drop(last: Element) -> None:
+        while True:
+            gone = stack.pop()
+            gone.open = False
+            held[gone.name] -= 1
+            if gone is last:
+                return
 
     for m in _TOKEN.finditer(page):
         yield from text(m.start())
@@ -99,24 +140,22 @@ def nodes(page: str):
         name = m["name"]
         if name is None:
             if m["raw"] and m["raw"].lower() in BLOCKS:
-                yield "open", m["raw"].lower(), "", "aside", ""
+                yield "open", m["raw"].lower(), ROOT, "aside", ""
             continue
         name = name.lower()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    closed = stack[i]
-                    del stack[i:]
-                    yield "close", name, closed.path, closed.use, ""
-                    break
+            if held[name] > 0:
+                closed = next(e for e in reversed(stack) if e.name == name)
+                drop(closed)
+                yield "close", name, closed, closed.use, ""
             continue
         if stack and stack[-1].name in CLOSED_BY_BLOCK and name in BLOCKS:
-            stack.pop()
-        inside = bool(stack) and stack[-1].use == "content"
-        element = Element(name, m["attrs"].rstrip("/"), stack[-1] if stack else None, inside)
-        yield "open", name, element.path, element.use, ""
+            drop(stack[-1])
+        element = Element(name, m["attrs"].rstrip("/"), stack[-1] if stack else None)
+        yield "open", name, element, element.use, ""
         if name not in VOID and not m["attrs"].endswith("/"):
             stack.append(element)
+            held[name] += 1
     yield from text(len(page))
 
 
@@ -124,9 +163,9 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", html.unescape(text)).strip()
 
 
-def token(kind: str, path: str, text: str) -> int:
+def token(kind: str, path: int, text: str) -> int:
     """Signed 64-bit hash of a token with its path."""
-    value = xxhash.xxh3_64_intdigest(f"{kind}|{path}|{text}".encode("utf-8", "replace"))
+    value = xxhash.xxh3_64_intdigest(f"{kind}|{path:x}|{text}".encode("utf-8", "replace"))
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -136,11 +175,11 @@ def occurrences(page: str) -> list[tuple[int, int, int, bool]]:
     A page without tokens, as an empty one, has none: it says nothing about its host's template.
     """
     counts, places, tags = Counter({0: 1}), {0: -1}, {0: True}
-    for place, (kind, _, path, _, text) in enumerate(nodes(page)):
+    for place, (kind, _, element, _, text) in enumerate(nodes(page)):
         body = clean(text) if kind == "text" else ""
         if kind == "text" and not body:
             continue
-        t = token(kind, path, body)
+        t = token(kind, element.path, body)
         counts[t] += 1
         places.setdefault(t, place)
         tags[t] = kind != "text"
@@ -153,32 +192,30 @@ def main_text(page: str, template: dict[int, bool]) -> str:
     Text of the template goes. Elements of nested classes are slots of their own; after them the
     slot around them goes on.
     """
-    blocks: list[tuple[str, str, tuple, list[str]]] = []  # use, parent path, slot, parts
+    blocks: list[tuple[str, int, tuple, list[str]]] = []  # use, parent's path, slot, parts
     cuts, nested, fresh_block = 0, [], True
     slot: tuple = (0,)
-    for place, (kind, name, path, use, text) in enumerate(nodes(page)):
+    for place, (kind, name, element, use, text) in enumerate(nodes(page)):
         if kind != "text":
-            root = template.get(token(kind, path, "")) if template else None
+            root = template.get(token(kind, element.path, "")) if template else None
+            while nested and not nested[-1][0].open:
+                nested.pop()
             if root:
                 cuts += 1
             elif root is False and kind == "open" and name not in VOID:
-                nested.append((path, place))
-            while nested and path != nested[-1][0] and not path.startswith(nested[-1][0] + "/"):
-                nested.pop()  # left open
-            if kind == "close" and nested and nested[-1][0] == path:
-                nested.pop()
+                nested.append((element, place))
             slot = (cuts, *(p for _, p in nested))
             fresh_block |= name in BLOCKS
             if name == "br" and blocks:
                 blocks[-1][3].append(" ")
             continue
         body = clean(text)
-        if body and template and token("text", path, body) in template:
+        if body and template and token("text", element.path, body) in template:
             continue
         if use == "aside":
             continue
         if fresh_block or not blocks or blocks[-1][0] != use or blocks[-1][2] != slot:
-            blocks.append((use, path, slot, []))
+            blocks.append((use, element.parent, slot, []))
             fresh_block = False
         blocks[-1][3].append(text)
     found = [(use, path, slot, body) for use, path, slot, parts in blocks if (body := clean("".join(parts)))]
@@ -189,10 +226,8 @@ def main_text(page: str, template: dict[int, bool]) -> str:
     for _, _, slot, body in found:
         size[slot] += len(body)
     best = max(size, key=lambda s: (size[s], [-x for x in s]))
-    parents = {path.rpartition("/")[0] for _, path, slot, _ in found if slot == best}
-    return "\n\n".join(body for _, path, slot, body in found if slot == best or path.rpartition("/")[0] in parents)
-
-
+    parents = {path for _, path, slot, _ in found if slot == best}
+    return "\n\n".join(body for _, path, slot, body in found if slot == best or path in parents)
 
 
 def host(url: Column | str) -> Column:
@@ -253,13 +288,16 @@ def extract(pages: DataFrame, key="page_id", url="url", page="html") -> DataFram
     """`key, url, text, n_chars` of every row.
 
     Null or empty pages, and pages without main text, give an empty text. Repeated rows and
-    null keys are pages of their own; pages without a host share the empty host. Other columns
-    are not read.
+    null keys are pages of their own; pages without a host share the empty host. An empty table
+    gives an empty result. Other columns are not read. Work and memory are linear in a page's
+    length, however deep it is nested.
     """
     templates = keep(deduce(pages, url, page), narrow=True)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host(url).alias("host"),
                         F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"))
-    joined = rows.join(broadcast_if_small(templates, templates.count(), 20_000), "host", "left")
+    n_tokens = templates.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    # beyond that both sides are sorted by host, where Spark splits a host that very many pages have
+    joined = rows.join(broadcast_if_small(templates, n_tokens, BROADCAST_TOKENS), "host", "left")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "url")}
 
     def run(batches):

@@ -57,6 +57,14 @@ CASES = {
     "<body><div class=menu>m</div><div class=body><p>long text of the page</p><p>more</p></div></body>": "long text of the page\n\nmore",
     "plain text": "plain text", "": "", "<<>><a": "<<>>", "<p title='a>b'>q": "q",
     "<article>caf&eacute; &#233; &amp</article>": "café é &",
+    # asides stay asides, and no word of a class takes an article away
+    "<section id=\"comments\"><article><p>Reader says hi": "",
+    "<aside><article><p>Sidebar story": "",
+    "<article><p>Own</p></article><section id=comments><article><p>Reader says hi</p></article></section>": "Own",
+    "<article class=\"share-story\"><p>Told</p></article>": "Told",
+    "<article><p>a</p><div class=\"market-share-analysis\"><p>b</p></div><div class=\"share-links\">c</div></article>": "a\n\nb",
+    "<body class='login sidebar-left'><article class=comment>x</article><main class=search><p>y</p></main>": "y",
+    "<nav><ul><li>m</ul></nav><div class='site-header'>h</div><div class=story><header>in</header><p>p</p></div>": "p",
 }
 
 
@@ -77,7 +85,10 @@ def test_templates(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     deduced = {r["host"]: r["tokens"] for r in templates.deduce(table).collect()}
     assert set(deduced) == {"h.example"}
-    assert templates.token("text", "html.#/body.#/div.wrap#/p.#", "Read it aloud") in {t["token"] for t in deduced["h.example"] if t["root"]}
+    path = None
+    for name, attrs in (("html", ""), ("body", ""), ("div", "class=wrap"), ("p", "")):
+        path = templates.Element(name, attrs, path)
+    assert templates.token("text", path.path, "Read it aloud") in {t["token"] for t in deduced["h.example"] if t["root"]}
     got = templates.extract(table).collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     by = {r["page_id"]: r["text"] for r in got}
@@ -133,3 +144,64 @@ def test_odd_pages_leave_the_template(spark):
 def test_long_page():
     deep = "<div>" * 3000 + "<article><p>" + "word " * 100_000 + "</article>"
     assert len(templates.main_text(deep, {})) == 499_999
+
+
+def test_very_deep_pages_are_linear():
+    import tracemalloc
+
+    page = '<div class="a">' * 30_000 + "<p>" + "text " * 10 + "</span>" * 30_000
+    tracemalloc.start()
+    assert templates.main_text(page, {}) == "text " * 9 + "text" and len(templates.occurrences(page)) > 30_000
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def by_vectors(pages):
+    """Root and further classes of one host, with the occurrence vectors of all tokens built out."""
+    counts = [dict((t, (n, place, tag)) for t, n, place, tag in templates.occurrences(p or "")) for p in pages]
+    known = [i for i, c in enumerate(counts) if c]
+    if len(known) < templates.LEAST_PAGES or len({pages[i] for i in known}) < 2:
+        return None
+    tokens = {t for c in counts for t in c}
+    vector = {t: tuple(c[t][0] if t in c else 0 for c in counts) for t in tokens}
+    on = {t: [i for i in known if t in counts[i]] for t in tokens}
+    mean = {t: sum(counts[i][t][1] for i in on[t]) / len(on[t]) for t in tokens}
+    tag = {t: any(counts[i][t][2] for i in on[t]) for t in tokens}
+    root = {t for t in tokens if t and vector[t] == vector[0]}
+    edges = [mean[t] for t in root if tag[t]]
+    classes = {}
+    for t in tokens - root - {0}:
+        enough = len(on[t]) >= max(templates.SUPPORT * len(known), templates.LEAST_PAGES)
+        if len(on[t]) > 1 and enough and len({pages[i] for i in on[t]}) > 1:
+            classes.setdefault(vector[t], []).append(t)
+    nested = set()
+    for v, members in classes.items():
+        slots = {sum(e <= mean[t] for e in edges) for t in members}
+        once = all(n <= 1 for n in v)
+        tags, share = sum(tag[t] for t in members), sum(n > 0 for n in v) / len(known)
+        if tags and (once or len(slots) == 1) and (tags < len(members) or (once and share >= templates.LAYOUT)):
+            nested |= set(members)
+    return root, nested
+
+
+def test_classes_equal_those_of_built_vectors(spark):
+    import random
+
+    rng = random.Random(11)
+    hosts = {}
+    for h in range(6):
+        parts = [f"<div class=c{k}><p>part {k}</p><b>{'x' * k}</b></div>" for k in range(6)]
+        odds = [rng.choice([0.1, 0.5, 1.0]) for _ in parts]
+        made = []
+        for i in range(rng.choice([3, 9, 25])):
+            own = "".join(f"<p>own {rng.randrange(30)}</p>" for _ in range(rng.randrange(4)))
+            body = "".join(p * rng.choice([1, 1, 2]) for p, o in zip(parts, odds) if rng.random() < o)
+            made.append(f"<html><body><h1>Site</h1>{body}<div class=story>{own}</div></body></html>")
+        made += [made[0]] * 2 + ["", None]
+        hosts[f"h{h}.example"] = made
+    rows = [(i, f"http://{h}/{i}", p) for h, ps in hosts.items() for i, p in enumerate(ps)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["host"]: ({t["token"] for t in r["tokens"] if t["root"]}, {t["token"] for t in r["tokens"] if not t["root"]})
+           for r in templates.deduce(table).collect()}
+    want = {h: v for h, ps in hosts.items() if (v := by_vectors(ps)) and (v[0] or v[1])}
+    assert got == want and any(v[1] for v in want.values())
