@@ -7,13 +7,15 @@ different ones, so records stay linked; without the key they cannot be told. Sep
 
 | kind | valid if | permuted |
 |---|---|---|
-| e-mail | name of 1 to 64 characters, dotted domain | letters and digits of the name, each in its class |
+| e-mail | name of 1 to 64 characters, dotted domain | letters and digits of the name, whatever their case, each in its class |
 | IBAN | remainder 1 modulo 97 | account part; check digits are computed anew |
 | IPv4 | four octets up to 255 | all 2^32 addresses |
 | card | 13 to 19 digits, Luhn sum | all but the first; check digit is computed anew |
 | SSN | no reserved area, group or serial | valid areas, groups and serials |
-| date | a day of 1900 to 2099; ISO, d.m.y, m/d/y, else d/m/y | the 73 049 days |
-| phone | ten digits, or + and 8 to 15 | all digits but the country code |
+| date | a day of 1900 to 2099; ISO, d.m.y, m/d/y, else d/m/y | the days that every form writes alike: see `_date` |
+| phone | ten digits, or + and 8 to 15 | American numbers among themselves; others but country code and next digit |
+
+A date, a phone number or an e-mail name has one pseudonym in all its spellings.
 
 Nothing is shuffled; the secret should come from a secret store, not from the source.
 """
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 from shardfit.llm.common import fresh
 
 ROUNDS = 8  # even, so that both halves come back to their places
-DAYS = (17, 4297)               # 17 * 4297 days from 1900-01-01 to 2099-12-31
+AMERICAN = (800 * 100, 800 * 100)  # area codes and exchanges 200..999, four more digits
+WALK = 64  # most steps to the next day of the calendar; a step fails for one value in thirty
+#: Country calling codes of one and two digits; all others have three.
+SHORT_CODES = r"(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 SSN = (898 * 99, 9999)          # areas 1..899 without 666 and groups 1..99; serials 1..9999
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -73,19 +78,19 @@ def permuted_text(text: Column, secret: str, kind: str) -> Column:
     return last
 
 
-def permuted_number(value: Column, sizes: tuple[int, int], secret: str, kind: str) -> Column:
-    """Feistel network over 0 .. a*b-1 by the two digits of the value to the bases a and b."""
-    a, b = sizes
+def permuted_number(value: Column, sizes: tuple, secret: str, kind: str) -> Column:
+    """Feistel network over 0 .. a*b-1 by the two digits of the value to the bases a and b, numbers or columns."""
+    a, b = (size if isinstance(size, Column) else F.lit(size) for size in sizes)
     value = value.cast("bigint")
     first = F.struct(F.floor(value / b).cast("bigint").alias("x"), (value % b).alias("y"))
 
     def turn_of(s: Column, turn: Column) -> Column:
-        size = F.when(turn % 2 == 1, F.lit(a)).otherwise(F.lit(b)).cast("bigint")
+        size = F.when(turn % 2 == 1, a).otherwise(b).cast("bigint")
         drawn = F.conv(F.substring(_digest(secret, kind, turn, s["y"].cast("string")), 1, 12), 16, 10).cast("bigint")
         return F.struct(s["y"].alias("x"), ((s["x"] + drawn) % size).alias("y"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, turn_of,
-                       lambda s: s["x"] * F.lit(b).cast("bigint") + s["y"])
+                       lambda s: s["x"] * b.cast("bigint") + s["y"])
 
 
 def _digits(text: Column) -> Column:
@@ -125,8 +130,24 @@ def mod_97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
+def _bound(value: Column, make) -> Column:
+    """`make` of a value that is computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _email(m: Column, secret: str) -> Column:
-    return F.concat(permuted_text(F.substring_index(m, "@", 1), secret, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    """The name is permuted in small letters and gets its capitals back, so case tells no names apart."""
+    name = F.substring_index(m, "@", 1)
+
+    def cased(new: Column) -> Column:
+        def one(i: Column) -> Column:
+            char = F.substr(new, i, F.lit(1))
+            return F.when(F.substr(name, i, F.lit(1)).rlike("[A-Z]"), F.upper(char)).otherwise(char)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(name)), one), "")
+
+    new = _bound(permuted_text(F.lower(name), secret, "email"), cased)
+    return F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _iban(m: Column, secret: str) -> Column:
@@ -172,26 +193,98 @@ def _ssn(m: Column, secret: str) -> Column:
     return F.concat_ws("-", pad(area, 3), pad(parts["group"], 2), pad(parts["serial"], 4))
 
 
+def _read_date(m: Column) -> Column:
+    """Form, texts of month and day, year, month and day of a date; null if it is none."""
+    forms = (r"^(\d+)(-)(\d+)-(\d+)$", (1, 3, 4)), (r"^(\d+)([.])(\d+)\.(\d+)$", (4, 3, 1)), \
+        (r"^(\d+)(/)(\d+)/(\d+)$", (4, 1, 3)), (r"^(\d+)(/)(\d+)/(\d+)$", (4, 3, 1))
+    found = []
+    for form, (shape, order) in enumerate(forms):
+        texts = [F.regexp_extract(m, shape, g) for g in order]
+        y, mo, d = (t.try_cast("int") for t in texts)
+        month = F.make_date(y, F.when(mo.between(1, 12), mo), F.lit(1))
+        fits = m.rlike(shape) & mo.between(1, 12) & (d >= 1) & (d <= F.dayofmonth(F.last_day(month)))
+        found.append(F.when(fits, F.struct(
+            F.lit(form).alias("form"), F.length(texts[1]).alias("wide_month"), F.length(texts[2]).alias("wide_day"),
+            y.alias("y"), mo.alias("mo"), d.alias("d"))))
+    return F.coalesce(*found)
+
+
 def _date(m: Column, secret: str) -> Column:
-    """ISO, day.month.year, month/day/year, or day/month/year where no month/day/year is meant."""
-    zero, nothing = F.lit("1900-01-01").cast("date"), F.lit(None).cast("string")
-    out = nothing
-    forms = (r"^(\d+)-(\d+)-(\d+)$", "yyyy-MM-dd", (1, 2, 3)), (r"^(\d+)\.(\d+)\.(\d+)$", "dd.MM.yyyy", (3, 2, 1)), \
-        (r"^(\d+)/(\d+)/(\d+)$", "MM/dd/yyyy", (3, 1, 2)), (r"^(\d+)/(\d+)/(\d+)$", "dd/MM/yyyy", (3, 2, 1))
-    for shape, pattern, order in reversed(forms):
-        y, mo, d = (F.regexp_extract(m, shape, g).try_cast("int") for g in order)
-        fits = m.rlike(shape) & mo.between(1, 12) & (d >= 1) & (d <= F.dayofmonth(F.last_day(F.make_date(y, F.when(mo.between(1, 12), mo), F.lit(1)))))
-        new = permuted_number(F.datediff(F.make_date(y, F.when(fits, mo), F.when(fits, d)), zero), DAYS, secret, "date")
-        out = F.when(fits, F.date_format(F.date_add(zero, new.cast("int")), pattern)).otherwise(out)
-    return out
+    """ISO, day.month.year, month/day/year, or day/month/year where no month/day/year is meant.
+
+    Days are permuted among those of the same kind: up to 9, up to 12 or later in the month, in a
+    month up to 9 or later. So a date keeps its width where numbers have no leading zero, and one
+    that can only be day/month stays so; all forms of a date give forms of the same date.
+    """
+    def changed(p: Column) -> Column:
+        low = F.when(p["d"] <= 9, 1).when(p["d"] <= 12, 10).otherwise(13)
+        days = F.when(p["d"] <= 9, 9).when(p["d"] <= 12, 3).otherwise(19)
+        first, months = F.when(p["mo"] <= 9, 1).otherwise(10), F.when(p["mo"] <= 9, 9).otherwise(3)
+
+        def year(v):
+            return F.lit(1900) + F.floor(v / (days * months)).cast("int")
+
+        def month(v):
+            return first + (F.floor(v / days) % months).cast("int")
+
+        def day(v):
+            return low + (v % days).cast("int")
+
+        def turned(v):  # a kind has 200 years of months and days
+            kind = F.concat(F.lit("date"), low.cast("string"), F.lit("."), first.cast("string"))
+            return permuted_number(v, (50 * months, 4 * days), secret, kind)
+
+        def exists(v):
+            return day(v) <= F.dayofmonth(F.last_day(F.make_date(year(v), month(v), F.lit(1))))
+
+        value = ((p["y"] - 1900) * months + p["mo"] - first) * days + p["d"] - low
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), turned(value),
+                             lambda v, _: F.when(exists(v), v).otherwise(turned(v)))
+
+        def printed(v):
+            mo, d = F.lpad(month(v).cast("string"), p["wide_month"], "0"), F.lpad(day(v).cast("string"), p["wide_day"], "0")
+            y = year(v).cast("string")
+            return (F.when(p["form"] == 0, F.concat_ws("-", y, mo, d)).when(p["form"] == 1, F.concat_ws(".", d, mo, y))
+                    .when(p["form"] == 2, F.concat_ws("/", mo, d, y)).otherwise(F.concat_ws("/", d, mo, y)))
+
+        return F.when(p.isNotNull(), _bound(walked, printed))
+
+    return _bound(_read_date(m), changed)
 
 
 def _phone(m: Column, secret: str) -> Column:
-    digits = _digits(m)
-    local = F.when(m.rlike(r"^\+(?!1)"), F.length(F.regexp_extract(m, r"^\+(\d{1,3})(?!\d)", 1))).otherwise(F.length(digits) - 10)
-    kept = F.when(local < 0, F.lit(0)).otherwise(local)
-    new = permuted_text(F.substr(digits, kept + 1, F.length(digits)), secret, "phone")
-    return F.when(F.length(digits).between(8, 15), refilled(m, F.concat(F.substr(digits, F.lit(1), kept), new)))
+    """The national digits are permuted, in any spelling of a number alike; a trunk prefix (0) stays.
+
+    An American number, with or without +1, stays one: its area code and exchange begin with 2 to 9.
+    Of other numbers the first national digit, which tells the kind of line, stays.
+    """
+    bare = F.replace(m, F.lit("(0)"), F.lit("(#)"))
+    digits = _digits(bare)
+    code = F.when(~m.startswith("+"), F.greatest(F.length(digits) - 10, F.lit(0))).otherwise(
+        F.when(digits.rlike(f"^{SHORT_CODES}"), F.length(F.regexp_extract(digits, f"^{SHORT_CODES}", 0))).otherwise(3))
+
+    def changed(p: Column) -> Column:
+        country, national = F.substr(p["digits"], F.lit(1), p["code"]), F.substr(p["digits"], p["code"] + 1, F.length(p["digits"]))
+        american = ((p["code"] == 0) | (country == "1")) & national.rlike(r"^[2-9]\d\d[2-9]\d{6}$")
+        place = lambda at, n: F.substring(national, at, n).cast("bigint")
+        value = ((place(1, 3) - 200) * 100 + place(7, 2)) * AMERICAN[1] + (place(4, 3) - 200) * 100 + place(9, 2)
+
+        def dialled(v: Column) -> Column:
+            left, right = F.floor(v / AMERICAN[1]), v % AMERICAN[1]
+            ends = F.lpad((left % 100).cast("string"), 2, "0"), F.lpad((right % 100).cast("string"), 2, "0")
+            return F.concat((F.floor(left / 100) + 200).cast("string"), (F.floor(right / 100) + 200).cast("string"), *ends)
+
+        whole = _bound(permuted_number(value, AMERICAN, secret, "phone"), dialled)
+        # a ten-digit number that is no American one keeps what makes it none
+        kept = F.when((p["code"] == 0) | (country == "1"), F.concat(
+            F.substring(national, 1, 1), _bound(permuted_text(F.concat(F.substring(national, 2, 2), F.substr(
+                national, F.lit(5), F.length(national))), secret, "phone"), lambda t: F.concat(
+                    F.substring(t, 1, 2), F.substring(national, 4, 1), F.substr(t, F.lit(3), F.length(t)))))).otherwise(
+            F.concat(F.substring(national, 1, 1), permuted_text(F.substr(national, F.lit(2), F.length(national)), secret, "phone")))
+        return F.when(F.length(p["digits"]).between(8, 15), F.concat(country, F.when(american, whole).otherwise(kept)))
+
+    new = _bound(F.struct(digits.alias("digits"), code.alias("code")), changed)
+    return F.replace(refilled(bare, new), F.lit("(#)"), F.lit("(0)"))
 
 
 _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "card": _card, "ssn": _ssn, "date": _date, "phone": _phone}

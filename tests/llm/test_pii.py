@@ -1,7 +1,10 @@
 """Pseudonyms: formats, check digits, links, and what must stay."""
 
+import datetime
+import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from shardfit.llm import pii
@@ -70,7 +73,7 @@ def test_links_and_keys(spark):
 
 
 def test_permutations(spark):
-    days = spark.range(73049).select(pii.permuted_number(F.col("id"), pii.DAYS, "k", "date").alias("x"))
+    days = spark.range(73049).select(pii.permuted_number(F.col("id"), (17, 4297), "k", "date").alias("x"))
     assert tuple(days.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()) == (73049, 0, 73048)
     pins = spark.range(10000).select(pii.permuted_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "c").alias("x"))
     assert pins.distinct().count() == 10000
@@ -80,3 +83,109 @@ def test_empty_and_no_python(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = pii.pseudonymise(docs)
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().toString()
+
+
+# the same again in plain Python ---------------------------------------------
+
+def turned_text(text, kind, secret="k"):
+    a, b = text[:len(text) // 2], text[len(text) // 2:]
+    for turn in range(1, 9):
+        digest = hashlib.sha256(f"{secret}|{kind}|{turn}|{b}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(a):
+            for low, size in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(low) < size:
+                    c = chr(ord(low) + (ord(c) - ord(low) + int(digest[2 * i:2 * i + 2], 16)) % size)
+                    break
+            out += c
+        a, b = b, out
+    return a + b
+
+
+def turned_number(value, a, b, kind, secret="k"):
+    x, y = divmod(value, b)
+    for turn in range(1, 9):
+        drawn = int(hashlib.sha256(f"{secret}|{kind}|{turn}|{y}".encode()).hexdigest()[:12], 16)
+        x, y = y, (x + drawn) % (a if turn % 2 else b)
+    return x * b + y
+
+
+def new_date(date):
+    low, days = (1, 9) if date.day <= 9 else (10, 3) if date.day <= 12 else (13, 19)
+    first, months = (1, 9) if date.month <= 9 else (10, 3)
+    v = ((date.year - 1900) * months + date.month - first) * days + date.day - low
+    while True:
+        v = turned_number(v, 50 * months, 4 * days, f"date{low}.{first}")
+        rest, d = divmod(v, days)
+        y, mo = divmod(rest, months)
+        try:
+            return datetime.date(1900 + y, first + mo, low + d)
+        except ValueError:
+            continue
+
+
+CODES = {"1", "7", "20", "27", "33", "39", "44", "49", "86", "91", "98"}
+
+
+def new_phone(text):
+    body = text.replace("(0)", "(#)")
+    digits = re.sub(r"\D", "", body)
+    code = len(digits) - 10 if text[0] != "+" else next((n for n in (1, 2) if digits[:n] in CODES), 3)
+    country, national = digits[:code], digits[code:]
+    if country in ("", "1") and re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", national):
+        v = ((int(national[:3]) - 200) * 100 + int(national[6:8])) * 80_000 + (int(national[3:6]) - 200) * 100 + int(national[8:])
+        left, right = divmod(turned_number(v, 80_000, 80_000, "phone"), 80_000)
+        new = f"{left // 100 + 200}{right // 100 + 200}{left % 100:02d}{right % 100:02d}"
+    elif country in ("", "1"):
+        rest = turned_text(national[1:3] + national[4:], "phone")
+        new = national[0] + rest[:2] + national[3] + rest[2:]
+    else:
+        new = national[0] + turned_text(national[1:], "phone")
+    each = iter(country + new)
+    return re.sub(r"\d", lambda _: next(each), body).replace("(#)", "(0)")
+
+
+def test_same_as_plain_python(spark):
+    phones = ["+33 6 12 34 56 78", "+33612345678", "+33 (0)6 12 34 56 78", "+442079460958", "+44 20 7946 0958", "+1 (988) 555-2485",
+              "988-555-2485", "+19885552485", "(123) 456-7890", "+1 024 555 1234", "+7 495 123-45-67", "+4930123456", "+353 1 234 5678"]
+    dates = ["1999-02-28", "28.02.1999", "02/28/1999", "3.4.2020", "03.04.2020", "4/3/2020", "31/12/2001", "11.12.2099", "9.10.1900"]
+    names = ["Bob.Smith42@example.com", "bob.smith42@example.com", "BOB.SMITH42@example.com", "x@y.org"]
+    got = [r[1] for r in run(spark, phones + dates + names)]
+    assert got[:len(phones)] == [new_phone(p) for p in phones]
+    national = {re.sub(r"\D", "", got[i])[2:] for i in (0, 1)} | {re.sub(r"\D", "", got[2])[3:]}
+    assert len(national) == 1 and got[0].startswith("+33 ") and got[2].startswith("+33 (0)")
+    assert re.sub(r"\D", "", got[3]) == re.sub(r"\D", "", got[4]) and got[3].startswith("+44")
+    assert re.sub(r"\D", "", got[5])[1:] == re.sub(r"\D", "", got[6]) == re.sub(r"\D", "", got[7])[1:]
+    for text, new in zip(dates, got[len(phones):]):
+        a, b, c = (int(x) for x in re.split(r"\D", text))
+        mark = re.search(r"\D", text)[0]
+        y, m, d = (a, b, c) if mark == "-" else (c, b, a) if mark == "." or a > 12 else (c, a, b)
+        n = new_date(datetime.date(y, m, d))
+        parts = [n.year, n.month, n.day] if mark == "-" else [n.day, n.month, n.year] if mark == "." or a > 12 else [n.month, n.day, n.year]
+        widths = [len(x) for x in re.split(r"\D", text)]
+        assert new == mark.join(str(x).zfill(w) for x, w in zip(parts, widths)), (text, new)
+    for text, new in zip(names, got[len(phones) + len(dates):]):
+        name, domain = text.split("@")
+        twin = turned_text(name.lower(), "email")
+        assert new == "".join(t.upper() if c.isupper() else t for c, t in zip(name, twin)) + "@" + domain
+    assert len({n.lower() for n in got[len(phones) + len(dates):-1]}) == 1
+
+
+@pytest.mark.parametrize("form", ["yyyy-MM-dd", "dd.MM.yyyy", "d.M.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"])
+def test_all_days_differ_in_every_form(spark, form):
+    days = spark.range(73049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), form).alias("text"))
+    new = pii.pseudonymise(days.repartition(8), "k").select(
+        "text", F.length("text").alias("n"), F.regexp_replace("text", r"\d", "0").alias("shape"))
+    old = days.select(F.length("text").alias("n"), F.regexp_replace("text", r"\d", "0").alias("shape"))
+    assert new.select("text").distinct().count() == days.distinct().count()
+    count = lambda df: {tuple(r) for r in df.groupBy("n", "shape").count().collect()}
+    assert count(new) == count(old)
+
+
+def test_day_and_month_are_read_as_before(spark):
+    """What can only be day/month stays so, so that no two pseudonyms meet."""
+    texts = [f"{a:02d}/{b:02d}/1987" for a in range(1, 32) for b in range(1, 32) if min(a, b) <= 12]
+    got = [r[1] for r in run(spark, texts)]
+    real = [(t, g) for t, g in zip(texts, got) if t != g]
+    assert len({g for _, g in real}) == len(real) > 550
+    assert all((int(t[:2]) > 12) == (int(g[:2]) > 12) for t, g in real)
