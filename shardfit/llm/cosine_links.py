@@ -20,30 +20,35 @@ from pyspark.sql import functions as F
 
 from shardfit.llm.common import keep
 from shardfit.llm.components import components
-from shardfit.llm.vectors import common_width, matrix, unit, usable
+from shardfit.llm.vectors import by_width, matrix, unit, usable
 
 TABLES, BITS = 64, 28
 CHUNK = 512
+PAIRS = 1 << 16  # pairs whose codes are compared at once, 32 MB
 
 
-def coded(rows: DataFrame, width: int, seed: int = 3) -> DataFrame:
-    """Rows of `key, label, vector` with a row number and the codes of all tables (null if unusable)."""
+def coded(rows: DataFrame, seed: int = 3) -> DataFrame:
+    """Rows of `key, label, vector` with a row number and the codes of all tables (null if unusable).
+
+    Every length of vectors has planes of its own.
+    """
 
     def run(batches):
-        planes = np.random.default_rng(seed).normal(size=(width, TABLES * BITS))
+        planes: dict[int, np.ndarray] = {}
         weights = (1 << np.arange(BITS)).astype(np.int64)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            fit = batch.column("fit").to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(batch.column("fit").to_numpy(zero_copy_only=False))
             codes = np.zeros((batch.num_rows, TABLES), np.int32)
-            if fit.any():
-                sides = matrix(batch.column("vector").filter(batch.column("fit")), width) @ planes >= 0
-                codes[fit] = sides.reshape(-1, TABLES, BITS) @ weights
+            for width, at, x in by_width(batch.column("vector").take(pa.array(fit))):
+                if width not in planes:
+                    planes[width] = np.random.default_rng(seed).normal(size=(width, TABLES * BITS))
+                codes[fit[at]] = (x @ planes[width] >= 0).reshape(-1, TABLES, BITS) @ weights
             lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, TABLES, dtype=np.int32), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(fit)))] + [batch.column(c) for c in ("key", "label", "vector", "fit")]
+                [pa.array(np.arange(row, row + batch.num_rows))] + [batch.column(c) for c in ("key", "label", "vector", "fit")]
                 + [lists], ["row", "key", "label", "vector", "fit", "codes"])
-            row += len(fit)
+            row += batch.num_rows
 
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", "label", "vector"))
     return rows.mapInArrow(run, f"row long, {fields}, fit boolean, codes array<int>")
@@ -60,9 +65,12 @@ def _local(x: np.ndarray, codes: np.ndarray, table: int, counts: np.ndarray, nea
     new = alike.copy()
     if first.min() != first.max():
         new &= first[:, None] != first[None, :]
-    for a, b in zip(*np.nonzero(np.triu(new))):  # a pair belongs to the first table it shares
-        if table and (codes[a, :table] == codes[b, :table]).any():
-            new[a, b] = new[b, a] = False
+    if table:  # a pair belongs to the first table it shares
+        left, right = np.nonzero(np.triu(new))
+        for low in range(0, len(left), PAIRS):
+            a, b = left[low:low + PAIRS], right[low:low + PAIRS]
+            before = (codes[a, :table] == codes[b, :table]).any(axis=1)
+            new[a[before], b[before]] = new[b[before], a[before]] = False
     low = near.copy()
     while True:
         lower = np.minimum(low, np.where(alike, low[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -71,16 +79,16 @@ def _local(x: np.ndarray, codes: np.ndarray, table: int, counts: np.ndarray, nea
         low = lower
 
 
-def _groups(rows: DataFrame, width: int, threshold: float) -> DataFrame:
+def _groups(rows: DataFrame, threshold: float) -> DataFrame:
     """`row, links, low` out of rows sorted by group; groups are bounded, so one is held at a time."""
 
     def flush(table: pa.Table):
         at = lambda c: table.column(c).combine_chunks()
         bucket, i, j = (at(c).to_numpy() for c in ("bucket", "i", "j"))
         cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        x, codes = matrix(at("vector"), width), at("codes").flatten().to_numpy().reshape(-1, TABLES)
+        vectors, codes = at("vector"), at("codes").flatten().to_numpy().reshape(-1, TABLES)
         row, n, chunk, number = (at(c).to_numpy() for c in ("row", "n", "chunk", "number"))
-        out = [(row[a:b], *_local(x[a:b], codes[a:b], int(number[a]), n[a:b], row[a:b], chunk[a:b], threshold))
+        out = [(row[a:b], *_local(matrix(vectors.slice(a, b - a), len(vectors[a])), codes[a:b], int(number[a]), n[a:b], row[a:b], chunk[a:b], threshold))
                for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(row)]) if b - a > 1]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "links", "low"])
@@ -109,21 +117,21 @@ def _groups(rows: DataFrame, width: int, threshold: float) -> DataFrame:
 def link(vectors: DataFrame, threshold: float = 0.98, key="vec_id", vector="embedding", label="label") -> DataFrame:
     """`key, n_links, component_id, kept` of every row.
 
-    Vectors that are null, zero, of another length than the commonest, or hold null or
-    non-finite components link with nothing, neither do rows without label; they are their own
-    component. Rows with equal keys are vectors of their own. Other columns are not read.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, neither
+    do rows without label; they are their own component. Only vectors of equal length link. Rows
+    with equal keys are vectors of their own. An empty table gives an empty result. Other columns
+    are not read.
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(label).alias("label"), F.col(vector).alias("vector"))
-    width = common_width(rows, "vector")
-    rows = rows.withColumn("fit", usable("vector", width) & F.col("label").isNotNull())
-    rows = keep(coded(rows, width).withColumn("print", F.when(F.col("fit"), F.struct(
+    rows = rows.withColumn("fit", usable("vector") & F.col("label").isNotNull())
+    rows = keep(coded(rows).withColumn("print", F.when(F.col("fit"), F.struct(
         "label", F.xxhash64("vector").alias("x"), F.hash("vector").alias("y")))))
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row", "vector", "codes"))
     single = keep(rows.where("fit").groupBy("print").agg(best.alias("m"), F.count("*").alias("n")).select(
-        "print", "n", F.col("m.key").alias("key"), F.col("m.row").alias("row"), F.col("m.vector").alias("vector"),
+        "print", "n", F.size("m.vector").alias("width"), F.col("m.key").alias("key"), F.col("m.row").alias("row"), F.col("m.vector").alias("vector"),
         F.col("m.codes").alias("codes")))
-    placed = single.select("row", F.col("print.label").alias("label"), F.posexplode("codes").alias("number", "code")).select(
-        "row", "number", F.xxhash64("label", "number", "code").alias("bucket"))
+    placed = single.select("row", "width", F.col("print.label").alias("label"), F.posexplode("codes").alias("number", "code")).select(
+        "row", "number", F.xxhash64("label", "width", "number", "code").alias("bucket"))
     full = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = placed.join(full.hint("merge"), "bucket")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
@@ -132,7 +140,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, key="vec_id", vector="embe
     met = met.select("row", "bucket", "number", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     loaded = met.join(single.select("row", "n", "vector", "codes").hint("merge"), "row")
     grouped = loaded.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    parts = keep(_groups(grouped, width, threshold).groupBy("row", "low").agg(F.sum("links").alias("links")))
+    parts = keep(_groups(grouped, threshold).groupBy("row", "low").agg(F.sum("links").alias("links")))
     counts = parts.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(parts.select(F.col("row").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "row")
     named = single.join(counts, "row", "left").join(roots, "row", "left").select(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shardfit.functions.shared import Shared, to_driver
 from shardfit.llm.common import keep
-from shardfit.llm.vectors import common_width, matrix, unit, usable
+from shardfit.llm.vectors import matrix, unit, usable
 
 BITS_PER_DIMENSION = 4
 SIGMAS = 4.0       # width of the error bound in standard deviations
@@ -128,12 +128,16 @@ def nearest(codes: DataFrame, queries: DataFrame, width: int, k: int = 5, block:
 def search(vectors: DataFrame, is_query, k: int = 5, key="vec_id", vector="embedding") -> DataFrame:
     """The k nearest other rows of every row that `is_query` selects.
 
-    Vectors that are null, zero, of another length than the commonest, or hold null or
-    non-finite components take no part, nor do rows without key. Repeated rows are candidates
-    of their own. An empty table gives no row.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
+    without key. A query's candidates are the vectors of its length; every length that is there is
+    searched by itself. Repeated rows are candidates of their own. An empty table gives no row.
     """
-    width = common_width(vectors, vector)
-    codes = index(vectors, width, key, vector)
-    queries = vectors.where(is_query).select(F.col(key).alias(key)).distinct()
-    asked = codes.join(queries.withColumnRenamed(key, "key"), "key", "left_semi").select("key", "vector")
-    return nearest(codes, asked, width, k)
+    widths = vectors.where(usable(vector)).select(F.size(vector).alias("n")).distinct().orderBy("n")
+    out = None
+    for width in [r["n"] for r in widths.collect()] or [0]:
+        codes = index(vectors, width, key, vector)
+        queries = vectors.where(is_query).select(F.col(key).alias(key)).distinct()
+        asked = codes.join(queries.withColumnRenamed(key, "key"), "key", "left_semi").select("key", "vector")
+        found = nearest(codes, asked, width, k)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def usable(vector: str | Column, width: int) -> Column:
-    """True for vectors of the given width that are not zero and hold finite numbers alone."""
+def usable(vector: str | Column, width: int | None = None) -> Column:
+    """True for vectors, of the given width if there is one, that are not zero and hold finite numbers alone."""
     v = F.col(vector) if isinstance(vector, str) else vector
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.coalesce((F.size(v) == width) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    fits = F.lit(True) if width is None else F.size(v) == width
+    return F.coalesce(fits & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def common_width(df, vector: str) -> int:
@@ -29,3 +30,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; the largest entry is taken out first, so no square overflows."""
     x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def by_width(column: pa.ListArray):
+    """Rows of lists of one length: (length, places, matrix) for every length that is there."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for width in np.unique(lengths):
+        at = np.flatnonzero(lengths == width)
+        yield int(width), at, matrix(column.take(pa.array(at)), int(width))

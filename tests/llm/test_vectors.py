@@ -47,6 +47,31 @@ def test_links(spark, rows, chunk, monkeypatch):
     assert all(r["kept"] == (k == r["component_id"]) for k, r in got.items()) and max(w[0] for w in want.values()) > 30
 
 
+def test_links_at_the_threshold(spark):
+    """64 dimensions, as the tables have: pairs planted just above and below 0.98 among strangers."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cosines = np.r_[np.full(300, 0.9801), np.linspace(0.981, 0.999, 200), np.full(300, 0.9799)]
+    for i, c in enumerate(cosines):
+        side = draw.normal(size=64)
+        side -= side @ x[2 * i] * x[2 * i]
+        x[2 * i + 1] = c * x[2 * i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cosine_links.link(table).collect()}
+    alike = x @ x.T >= 0.98
+    np.fill_diagonal(alike, False)
+    want = {i: (int(n), min([i, *np.flatnonzero(row)])) for i, (n, row) in enumerate(zip(alike.sum(axis=1), alike))}
+    assert got == want and sum(n for n, _ in want.values()) == 1000
+
+
+def test_vectors_of_other_lengths_link(spark):
+    rows = [(i, [1.0, 2.0, 3.0], 0, 0) for i in range(5)] + [(10, [1.0, 0.0], 0, 0), (11, [2.0, 0.01], 0, 0), (12, [1.0], 0, 0),
+            (13, [1.0, 0.0], 1, 0), (14, [0.0, 1.0], 0, 0), (15, [], 0, 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cosine_links.link(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (0, 13), 14: (0, 14), 15: (0, 15)}
+
+
 def test_link_edges(spark):
     table = spark.createDataFrame([(1, [1.0, 2.0], 0, 1)] * 2 + [(None, [1.0, 2.0], 0, 1)], SCHEMA)
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in cosine_links.link(table).collect())
@@ -85,6 +110,25 @@ def test_search_edges(spark, rows):
     assert onebit.search(table.limit(0), table.vec_id == 0).count() == 0
 
 
+def test_search_at_many_dimensions_and_lengths(spark):
+    """Recall at 64 dimensions; vectors of another length are searched among themselves."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(2000, 64)) + 2 * draw.normal(size=(20, 64))[np.arange(2000) % 20]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000 + i, [1.0, float(i)]) for i in range(0, 60, 10)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in onebit.search(table, table.vec_id % 50 == 0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for i in range(0, 2000, 50):
+        score = x @ x[i]
+        score[i] = -2
+        hits += len(set(np.argsort(-score)[:5]) & set(got[i]))
+    assert hits >= 0.99 * 5 * 40
+    assert got[3000] == [3010, 3020, 3030, 3040, 3050] and got[3050] == [3040, 3030, 3020, 3010, 3000]
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(1)
     turn = onebit.rotation(64)
