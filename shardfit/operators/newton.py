@@ -216,19 +216,18 @@ STATE = ("problem int, w array<double>, step array<double>, width double, "
 def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_iter,
          stopping_gap) -> list[Problem]:
     spark = source.sparkSession
-    if stopping_gap is None:
-        stopping_gap = STOPPING_GAPS[loss]
     for _ in range(max_iter):
         left = {k: p for k, p in enumerate(problems) if not p.done}
         if not left:
             break
         state = Shared(spark, left)
-        parts = None
+        parts, sent = None, [state]
         counts = {k: len(LENGTHS[loss]) * widths[p.block] ** 2 for k, p in left.items()}
         for group in in_groups(counts, TASK_VALUES):
             chosen = state
             if len(group) < len(left):
                 chosen = Shared(spark, {k: left[k] for k in group})
+                sent.append(chosen)
             blocks = sorted({left[k].block for k in group})
             tasks = task_limit(spark, sum(counts[k] for k in group) // 2)
             part = source.coalesce(tasks).mapInArrow(
@@ -250,7 +249,8 @@ def _run(source: DataFrame, feed, widths, problems: list[Problem], loss, max_ite
             p.w, p.step = np.array(r["w"]), np.array(r["step"])
             p.width, p.gap, p.done = r["width"], r["gap"], bool(r["done"])
             p.passes += 1
-        state.release()
+        for value in sent:
+            value.release()
     return problems
 
 
@@ -265,11 +265,11 @@ def _problems(widths, lambdas, folds) -> list[Problem]:
     ]
 
 
-def _weights(spark, problems: list[Problem]) -> DataFrame:
+def _weights(spark, problems: list[Problem], limit: float) -> DataFrame:
     frame = pd.concat([
         pd.DataFrame({
             "fold": p.fold, "block": p.block, "lambda": p.lam,
-            "i": np.arange(len(p.w)), "beta": p.w, "gap": p.gap, "converged": p.done,
+            "i": np.arange(len(p.w)), "beta": p.w, "gap": p.gap, "converged": bool(p.gap <= limit),
         })
         for p in problems
     ])
@@ -281,8 +281,9 @@ def _solved(source, feed, widths, loss, lambdas, folds, max_iter, stopping_gap)
     spark = source.sparkSession
     problems = _problems(widths, lambdas, folds)
     if loss != "squared" and max(widths.values()) <= sizes.DENSE_WIDTH:
-        return _weights(spark, _run(source, feed, widths, problems, loss, max_iter, stopping_gap))
-    target = wide.STOPPING_GAPS[loss] if stopping_gap is None else stopping_gap
+        limit = STOPPING_GAPS[loss] if stopping_gap is None else stopping_gap
+        return _weights(spark, _run(source, feed, widths, problems, loss, max_iter, limit), limit)
+    target = wide.STOPPING_GAPS.get(loss) if stopping_gap is None else stopping_gap
     fits = [wide.Fit(p.block, p.fold, p.lam, p.w, loss, target) for p in problems]
     return from_driver(spark, wide.frame_of(wide.solve(source, feed, fits, loss, max_iter)), WEIGHTS)
 

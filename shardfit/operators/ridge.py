@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardfit.operators.gram import ONES, RESPONSE
 
 WEIGHTS = "fold int, block int, lambda double, i int, beta double, gap double, converged boolean"
-GAP = 1e-6  # largest gap, relative to the mean square of y, that counts as converged
+GAP = 1e-9  # largest gap, relative to the mean square of y, that counts as converged unless told otherwise
 
 
 def _square(pdf: pd.DataFrame, name: str) -> np.ndarray:
@@ -36,14 +36,20 @@ def _gap(a: np.ndarray, w: np.ndarray, lam: float) -> float:
     return (2 * squares - 2 * (yy - w @ zy)) / n + 0.5 * lam * (w @ w + dual @ dual)
 
 
-def _good(a: np.ndarray, gap: float) -> bool:
-    return bool(gap <= GAP * max(a[1, 1] / a[0, 0], 1e-300))
+def gap_limit(mean_square: float, stopping_gap: float | None) -> float:
+    """Gap of a squared-loss fit that counts as converged, however the fit is made."""
+    return GAP * max(mean_square, 1e-300) if stopping_gap is None else stopping_gap
 
 
-def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
+def _good(a: np.ndarray, gap: float, stopping_gap: float | None) -> bool:
+    return bool(gap <= gap_limit(a[1, 1] / a[0, 0], stopping_gap))
+
+
+def fit_ridge(gram: DataFrame, lambdas, stopping_gap: float | None = None) -> DataFrame:
     """Minimiser of (1/n) sum (y - z w)^2 + (lambda/2) |w|^2 per fold, block and lambda.
 
     Weights of all columns of Z, by position i, with the duality gap. A group is one Gram matrix.
+    The systems are solved at once; ``converged`` says whether the gap is within the limit.
     """
     lambdas = check_lambdas(lambdas)
 
@@ -54,7 +60,7 @@ def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
             w = _solve(a, lam)
             gap = _gap(a, w, lam)
             frames.append(pd.DataFrame({"lambda": lam, "i": np.arange(len(w)), "beta": w,
-                                        "gap": gap, "converged": _good(a, gap)}))
+                                        "gap": gap, "converged": _good(a, gap, stopping_gap)}))
         out = pd.concat(frames)
         out["fold"], out["block"] = pdf["fold"].iat[0], pdf["block"].iat[0]
         return out[["fold", "block", "lambda", "i", "beta", "gap", "converged"]]
@@ -62,7 +68,7 @@ def fit_ridge(gram: DataFrame, lambdas) -> DataFrame:
     return gram.groupBy("fold", "block").applyInPandas(solve, WEIGHTS)
 
 
-def ridge_fold_errors(train_and_test: DataFrame, lambdas) -> DataFrame:
+def ridge_fold_errors(train_and_test: DataFrame, lambdas, stopping_gap: float | None = None) -> DataFrame:
     """Standardised squared error of every block on its held-out fold, from Grams alone."""
     lambdas = check_lambdas(lambdas)
 
@@ -78,7 +84,7 @@ def ridge_fold_errors(train_and_test: DataFrame, lambdas) -> DataFrame:
             errors.append(sse / (sum_yy - sum_y * sum_y / n))
         return pd.DataFrame({
             "block": pdf["block"].iat[0], "fold": pdf["fold"].iat[0],
-            "lambda": lambdas, "error": errors, "gap": gaps, "converged": [_good(train, g) for g in gaps],
+            "lambda": lambdas, "error": errors, "gap": gaps, "converged": [_good(train, g, stopping_gap) for g in gaps],
         })
 
     return train_and_test.groupBy("fold", "block").applyInPandas(

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import Shared, to_driver
+from shardfit.operators.ridge import gap_limit
 
 BATCH = 100_000
 # fixed values: step lengths that a pass tries besides 0 and 1
 STEPS = np.concatenate([[0.0, 1.0], 2.0 ** -np.arange(1, 25), [0.75, 0.9]])
-STOPPING_GAPS = {"squared": 1e-12, "hinge": 1e-6, "logistic": 1e-12}
+STOPPING_GAPS = {"hinge": 1e-6, "logistic": 1e-12}  # that of the squared loss is relative, see `gap_limit`
 FIRST_WIDTH, LAST_WIDTH, SHRINK = 2.0, 1e-12, 0.2
 PRODUCTS = {"squared": 500, "hinge": 60, "logistic": 60}  # most products of one Newton step
 N, LOSS, CONJUGATE, TRIALS = 0, 1, 2, 3
@@ -72,7 +73,7 @@ class Fit:
     lam: float
     w: np.ndarray
     loss: str
-    stopping_gap: float
+    stopping_gap: float | None  # none: `gap_limit` of the squared loss
     step: np.ndarray = None
     width: float = FIRST_WIDTH
     gap: float = field(default=np.inf)
@@ -102,6 +103,8 @@ class Fit:
             self.w = self.w + STEPS[best] * self.step  # slopes there are asked for anew
             self.step = np.zeros_like(self.w)
             return
+        if self.stopping_gap is None:  # the first point is 0, where the loss is the mean square of y
+            self.stopping_gap = gap_limit(sums[LOSS] / n, None)
         self.points += 1
         self.w = self.w + self.step
         self.step = np.zeros_like(self.w)

@@ -47,7 +47,7 @@ def cv_weights(folded: DataFrame, layout: BlockLayout, k: int, loss: str, lambda
     """Weights of every Z_k with each fold left out, for all penalties."""
     if loss == "squared" and widest(layout) <= sizes.DENSE_WIDTH:
         # the Gram of the training rows is the total minus that of the fold
-        return fit_ridge(train_and_test_gram(gram_rows(folded, layout, k)), lambdas)
+        return fit_ridge(train_and_test_gram(gram_rows(folded, layout, k)), lambdas, options.get("stopping_gap"))
     return fit_weights(folded, layout, loss, lambdas, tuple(range(1, k + 1)), **options)
 
 
@@ -125,7 +125,8 @@ def local_cv(rows: DataFrame, layout: BlockLayout, grid, k: int = 5, seed: int =
     lambdas = grid_values(grid)
     folded = _with_folds(rows, k, seed, fold_mode)
     if loss == "squared" and widest(layout) <= sizes.DENSE_WIDTH:
-        return ridge_fold_errors(train_and_test_gram(gram_rows(folded, layout, k)), lambdas)
+        grams = train_and_test_gram(gram_rows(folded, layout, k))
+        return ridge_fold_errors(grams, lambdas, options.get("stopping_gap"))
     weights = fit_weights(folded, layout, loss, lambdas, tuple(range(1, k + 1)), **options)
     return block_fold_errors(folded, layout, weights, loss)
 
@@ -142,7 +143,7 @@ def fit_local_lambda(rows: DataFrame, layout: BlockLayout, blocks: DataFrame, gr
         try:
             lambdas = grid_values(grid)
             wanted = select_lambda(ridge_fold_errors(train_and_test_gram(grams), lambdas))
-            path = fit_ridge(total_gram(grams), lambdas)
+            path = fit_ridge(total_gram(grams), lambdas, options.get("stopping_gap"))
             fitted = path.join(wanted.select("block", "lambda"), ["block", "lambda"])
             weights = from_driver(  # one record per column of Z
                 rows.sparkSession,

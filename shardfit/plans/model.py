@@ -57,10 +57,14 @@ def widest(layout: BlockLayout) -> int:
 
 def fit_weights(rows: DataFrame, layout: BlockLayout, loss: str, lambdas, folds=(0,),
                 **options) -> DataFrame:
-    """Weights of every Z_k with gap and ``converged``; the width changes only how they are found."""
+    """Weights of every Z_k with gap and ``converged``; the width changes only how they are found.
+
+    ``stopping_gap`` is what ``converged`` is measured by, ``max_iter`` bounds the iterations
+    where there are any.
+    """
     check_loss(loss)
     if loss == "squared" and folds == (0,) and widest(layout) <= sizes.DENSE_WIDTH:
-        return fit_ridge(gram_rows(rows.drop("fold"), layout), lambdas)
+        return fit_ridge(gram_rows(rows.drop("fold"), layout), lambdas, options.get("stopping_gap"))
     return fit_margin_rows(rows, layout, loss, lambdas, folds, **options)
 
 
@@ -69,7 +73,7 @@ def fit_block(design: DataFrame, loss: str, lambdas, widths: dict | None = None,
     check_loss(loss)
     widths = widths or design_widths(design)
     if loss == "squared" and max(widths.values()) <= sizes.DENSE_WIDTH:
-        return fit_ridge(gram(design.drop("fold"), widths=widths), lambdas)
+        return fit_ridge(gram(design.drop("fold"), widths=widths), lambdas, options.get("stopping_gap"))
     return fit_margin_design(design, loss, lambdas, widths=widths, **options)
 
 
