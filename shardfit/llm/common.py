@@ -113,3 +113,7 @@ class Remembered(dict):
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.shared import Shared
+from shardfit.functions.shared import Shared, give_back
 from shardfit.llm.common import sample_rows
 
 UNKNOWN = "und"
@@ -179,6 +179,7 @@ def language_of(model: Shared, text: Column | str) -> Column:
         for batch in batches:
             lang, score = model.value.score([t or "" for t in batch])
             yield pd.DataFrame({"lang": lang, "score": score})
+        give_back()
 
     return predict(F.col(text) if isinstance(text, str) else text)
 

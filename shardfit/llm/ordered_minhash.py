@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardfit.functions.sizes import broadcast_if_small
+from shardfit.functions.shared import give_back
 from shardfit.llm.common import Remembered, fresh, keep, slices, texts_of, written
 from shardfit.llm.components import components
 
@@ -198,6 +199,8 @@ def sketched(docs: DataFrame, key="doc_id", text="text", threshold: float = THRE
                      pa.array(marks, pa.binary())],
                     ["row", "key", "mark", "print", "words", "sketches", "lowest"])
                 row += len(raw)
+        hashed.forget()
+        give_back()
 
     return keep(rows.mapInArrow(run, "row long, key long, mark long, print binary, words binary, sketches array<long>, "
                                       "lowest binary"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.shared import Shared
+from shardfit.functions.shared import Shared, give_back
 from shardfit.llm.common import sample_rows
 
 WIDTH, STEP = 24, 16
@@ -374,6 +374,7 @@ def toxicity_of(model: Shared, text: Column | str) -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.value.score([t or "" for t in batch]))
+        give_back()
 
     return predict(F.col(text) if isinstance(text, str) else text)
 
