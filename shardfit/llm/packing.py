@@ -26,61 +26,72 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from shardfit.functions.shared import Shared
+from shardfit.functions.shared import Shared, give_back, per_process
 from shardfit.functions.sizes import broadcast_if_small
 from shardfit.llm.common import Remembered, keep, slices, texts_of
 
-REMEMBERED = 400_000  # words, and pieces of words, in each generation that a worker keeps
+REMEMBERED_BYTES = 32 << 20  # strings and ids in each of the two generations that a worker keeps
+ENTRY_BYTES = 180            # of a short string, its ids and their places in a table, about
 TAIL = "rest"         # queue of the sources that earn less than one token per window
 
 #: White space other than blank, tab and line ends, and characters that only some tools count so.
 _RARE_SPACE = (*"\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-#: Words whose lower case and pieces can be told without the tokenizer's own normaliser.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-#: The settings under which words of plain letters fall into pieces as above.
+#: Texts and words whose lower case and pieces can be told without the tokenizer's own normaliser.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The settings under which plain text falls into pieces as above.
 _LOWER_CASE = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Words:
-    """Ids of texts under a tokenizer that drops white space, so words are coded one by one.
+    """Ids of texts under a tokenizer that drops white space, so pieces or words are coded one by one.
 
-    A worker remembers words, and below them the pieces that the tokenizer's model codes.
-    Words with rarer characters go through the whole tokenizer.
+    Plain texts fall into pieces, which the tokenizer's model codes; a word with rarer characters
+    goes through the whole tokenizer. One table, bounded by bytes, remembers both.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.seen = Remembered(self._word, REMEMBERED)
-        self.pieces = Remembered(self._piece, REMEMBERED)
+        self.pieces = Remembered(self._piece, REMEMBERED_BYTES // ENTRY_BYTES)
         settings = json.loads(self.tokenizer.to_str())
         splits = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_pieces = settings["normalizer"] == _LOWER_CASE and splits[0].get("pattern") == {"Regex": _LETTERS}
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
-    def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() else piece.translate(self.alphabet)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if self.by_pieces and _PLAIN.fullmatch(word):
-            pieces = _PIECES.findall(word.lower())
-            return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """A piece of a plain text, or a word with other characters."""
+        if not self.by_pieces:
+            return self._whole(piece)
+        if not piece.isascii():
+            if not _PLAIN.fullmatch(piece):
+                return self._whole(piece)
+            piece = piece.translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _text(self, text: str) -> bytes:
+        self.pieces.turn()
+        known = self.pieces.__getitem__
+        if self.by_pieces and _PLAIN.fullmatch(text):
+            return b"".join(map(known, _PIECES.findall(text.lower())))
+        if not text.isascii() and any(c in text for c in _RARE_SPACE) or any(c in text for c in _RARE_SPACE[:4]):
+            return self._whole(text)
+        if not self.by_pieces:
+            return b"".join(map(known, text.split()))
+        return b"".join(self._text(word) if _PLAIN.fullmatch(word) else known(word) for word in text.split())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        self.seen.turn()
-        self.pieces.turn()
-        ids, whole = self.seen.__getitem__, self._word
-        rare = [any(c in t for c in _RARE_SPACE) for t in texts]
-        return [(whole(t) if r else b"".join(map(ids, t.split()))) + self.end for t, r in zip(texts, rare)]
+        return [self._text(t) + self.end for t in texts]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, key="doc_id", text="text", source="source") -> DataFrame:
@@ -90,14 +101,13 @@ def tokenised(docs: DataFrame, path: str, end_id: int, key="doc_id", text="text"
     bytes each if the vocabulary allows, else four. The number of tokens is at least one, as
     `end_id` closes every document. A null source is a queue of its own.
     """
-    where = Shared(docs.sparkSession, (path, end_id))
     queue = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     rows = docs.select(F.col(key).alias("key"), queue.alias("queue"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        words, part, sums = None, TaskContext.get().partitionId(), {}
+        give_back()
+        words, part, sums = _words(path, end_id), TaskContext.get().partitionId(), {}
         for batch in batches:
-            words = words or _words(*where.value)
             width = np.dtype(words.kind).itemsize
             for piece in slices(batch, "text"):
                 ids = words(texts_of(piece))
@@ -110,19 +120,15 @@ def tokenised(docs: DataFrame, path: str, end_id: int, key="doc_id", text="text"
                     [piece.column("key"), piece.column("queue"), pa.array([part] * len(ids), pa.int32()),
                      pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                     ["key", "queue", "part", "before", "n", "ids"])
+        give_back()
 
     kind = rows.schema["key"].dataType.simpleString()
     return keep(rows.mapInArrow(run, f"key {kind}, queue string, part int, before long, n long, ids binary"))
 
 
-_LOADED: dict = {}
-
-
 def _words(path: str, end_id: int) -> Words:
     """One tokenizer, with what it remembers, per worker process."""
-    if (path, end_id) not in _LOADED:
-        _LOADED[path, end_id] = Words(path, end_id)
-    return _LOADED[path, end_id]
+    return per_process(("words", path, end_id), lambda: Words(path, end_id))
 
 
 class Phase:
