@@ -69,7 +69,6 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_SPACE = re.compile(r"\s+")
 
 
 def named(names: list[str], marks: frozenset) -> bool:
@@ -110,6 +109,22 @@ class Element:
 
 ROOT = Element("", "", None)
 ROOT.path = 0
+_SEEN: dict = {}   # what is known of a tag below a path, as pages repeat them; bounded by SEEN
+SEEN = 50_000
+
+
+def opened(name: str, attrs: str, parent: Element | None) -> Element:
+    """A new element; what its attributes say is read once for each place in the tree."""
+    key = (name, attrs, parent.path, parent.use, parent.firm) if parent else (name, attrs)
+    known = _SEEN.get(key)
+    if known is None:
+        made = Element(name, attrs, parent)
+        _SEEN[key] = (made.use, made.firm, made.parent, made.path)
+        return made
+    made = Element.__new__(Element)
+    made.name, made.open = name, True
+    made.use, made.firm, made.parent, made.path = known
+    return made
 
 
 def nodes(page: str):
@@ -117,6 +132,8 @@ def nodes(page: str):
 
     The element is that which opens or closes, or holds the text; `open` tells whether it still is.
     """
+    if len(_SEEN) > SEEN:
+        _SEEN.clear()
     stack: list[Element] = []
     held: Counter = Counter()  # names of open elements, so that a stray end tag costs nothing
     at = 0
@@ -151,7 +168,7 @@ def nodes(page: str):
             continue
         if stack and stack[-1].name in CLOSED_BY_BLOCK and name in BLOCKS:
             drop(stack[-1])
-        element = Element(name, m["attrs"].rstrip("/"), stack[-1] if stack else None)
+        element = opened(name, m["attrs"].rstrip("/"), stack[-1] if stack else None)
         yield "open", name, element, element.use, ""
         if name not in VOID and not m["attrs"].endswith("/"):
             stack.append(element)
@@ -160,7 +177,7 @@ def nodes(page: str):
 
 
 def clean(text: str) -> str:
-    return _SPACE.sub(" ", html.unescape(text)).strip()
+    return " ".join(html.unescape(text).split())
 
 
 def token(kind: str, path: int, text: str) -> int:
