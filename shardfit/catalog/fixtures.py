@@ -3,10 +3,12 @@
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardfit.functions.arrow import cuts
 from shardfit.operators.rows import ENTRIES
 from shardfit.sources.tables import from_tables, one_hot
 
@@ -14,6 +16,8 @@ FLAGS = ("A", "N", "R")
 STATUSES = ("F", "O")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 WORD_COLUMNS = 1024
+TEXT_BYTES = 4 << 20       # text whose words are counted at once
+REMEMBERED_WORDS = 250_000
 WHITE = re.compile(r"\s+", re.ASCII)
 
 
@@ -76,6 +80,47 @@ def event_rows(spark, sf_dir) -> DataFrame:
     return from_tables(table(spark, sf_dir, "events"), "event_id", "value", features)
 
 
+class _Columns(dict):
+    """Column of a word by its hash; a bounded number of words is remembered."""
+
+    def __init__(self, n_columns: int):
+        self.n_columns = n_columns
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED_WORDS:
+            self.clear()
+        col = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.n_columns
+        return col
+
+
+def _word_counts(texts: list, columns: _Columns) -> pa.ListArray:
+    """Entries of a few texts, counted as numbers and not as Python objects."""
+    found = []
+    for row, text in enumerate(texts):
+        cols = [columns[word] for word in WHITE.split(text or "") if word]
+        found.append(np.array(cols, np.int64) + row * columns.n_columns)
+    at, n = np.unique(np.concatenate(found), return_counts=True)
+    row, col = np.divmod(at, columns.n_columns)
+    ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(col.astype(np.int32)), pa.array(n.astype(float))], ["col", "x"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
+def count_words(n_columns: int):
+    """Texts to entries, a few megabytes of text at a time however many rows a batch has."""
+
+    def run(batches):
+        columns = _Columns(n_columns)
+        for batch in batches:
+            for low, high in cuts(batch.column("text"), TEXT_BYTES):
+                part = batch.slice(low, high - low)
+                entries = _word_counts(part.column("text").to_pylist(), columns)
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("y"), entries],
+                                                 ["row_id", "y", "entries"])
+
+    return run
+
+
 def document_rows(spark, sf_dir, partitions=None, labelled: bool = True,
                   n_columns: int = WORD_COLUMNS) -> DataFrame:
     """Sparse rows: hashed counts of all words of a document; y is its quality as +1 or -1.
@@ -89,25 +134,7 @@ def document_rows(spark, sf_dir, partitions=None, labelled: bool = True,
     docs = docs.join(labels, "doc_id", "inner" if labelled else "left")
     rows = docs.select(F.col("doc_id").alias("row_id"), F.coalesce("y", F.lit(0.0)).alias("y"), "text")
 
-    def count(batches):
-        columns: dict[str, int] = {}
-        for batch in batches:
-            lists = []
-            for text in batch.column("text").to_pylist():
-                found: dict[int, float] = {}
-                for word in WHITE.split(text or ""):
-                    if word not in columns:
-                        columns[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % n_columns
-                    if word:
-                        found[columns[word]] = found.get(columns[word], 0.0) + 1.0
-                lists.append([{"col": c, "x": found[c]} for c in sorted(found)])
-                if len(columns) > 500_000:
-                    columns.clear()
-            entries = pa.array(lists, pa.list_(pa.struct([("col", pa.int32()), ("x", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("y"), entries],
-                                             ["row_id", "y", "entries"])
-
-    return rows.mapInArrow(count, f"row_id bigint, y double, entries {ENTRIES}")
+    return rows.mapInArrow(count_words(n_columns), f"row_id bigint, y double, entries {ENTRIES}")
 
 
 def fixed_beta(spark, n_features: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 SLICE_VALUES = 4_000_000  # doubles of one dense slice, 32 MB
 
@@ -17,6 +18,18 @@ def matrix_of(lists: pa.ListArray, width: int, what: str) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(lists), width)
 
 
+def cuts(lists: pa.Array, most: int, most_rows: int | None = None):
+    """(low, high) of consecutive slices with at most `most` list items or text bytes, or of one row."""
+    sizes = lists.value_lengths() if pa.types.is_nested(lists.type) else pa.compute.binary_length(lists)
+    ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    low = 0
+    while low < len(lists):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, "right")) - 1)
+        high = min(high, low + (most_rows or len(lists)))
+        yield low, high
+        low = high
+
+
 def entries_of(batch: pa.RecordBatch, n_features: int):
     """Row, column and value of all entries of sparse rows."""
     entries = batch.column("entries")

@@ -155,3 +155,33 @@ def test_stored_forms_as_dense_and_sparse_rows(spark, tmp_path):
         parts = read_and_cast(spark, train=train, test=test, sparse=asked)
         assert all(("entries" in p.columns) == asked for p in parts)
     assert [len(r.features) for p in parts for r in p.collect()] == [5, 5, 5]
+
+
+def test_words_are_counted_in_bounded_memory():
+    """Many texts of one batch: counts as a plain loop gives them, and no object per entry is held."""
+    import hashlib
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from shardfit.catalog.fixtures import count_words
+
+    texts = [" ".join(f"w{(i * 7 + j) % 900}" for j in range(300)) for i in range(2000)] + [None, "", " \t\n ", "a\u00a0b a"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array([1.0] * len(texts)), pa.array(texts, pa.string())], ["row_id", "y", "text"])
+    tracemalloc.start()
+    found, ids = [], []
+    for part in count_words(1024)(iter([batch])):
+        found.append(part.column("entries"))
+        ids += part.column("row_id").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and ids == list(range(len(texts)))
+    lists = [x for f in found for x in f.to_pylist()]
+    for i in (0, 1, 999, 1999, 2000, 2001, 2002, 2003):
+        want = {}
+        for word in (texts[i] or "").replace("\t", " ").replace("\n", " ").split(" "):
+            if word:
+                col = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 1024
+                want[col] = want.get(col, 0.0) + 1.0
+        assert lists[i] == [{"col": c, "x": want[c]} for c in sorted(want)]
