@@ -17,7 +17,8 @@ def unit_documents(spark, d, n_columns: int) -> DataFrame:
     """Labelled documents as hashed word counts, scaled to length one."""
     rows = document_rows(spark, d, n_columns=n_columns)
     length = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
-    unit = F.transform("entries", lambda e: F.struct(e["col"].alias("col"), (e["x"] / length).alias("x")))
+    lengths = F.array_repeat(length, F.size("entries"))  # inside a lambda it would be summed anew for every entry
+    unit = F.zip_with("entries", lengths, lambda e, n: F.struct(e["col"].alias("col"), (e["x"] / n).alias("x")))
     return rows.withColumn("entries", unit)
 
 

@@ -12,13 +12,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardfit.functions.arrow import SLICE_VALUES, entries_of, matrix_of, scatter
+from shardfit.functions.arrow import SLICE_VALUES, cuts, entries_of, matrix_of, scatter
 from shardfit.functions.shared import Shared, from_driver, to_driver
 from shardfit.functions.sizes import broadcast_if_small
 from shardfit.operators.projection import check_privacy, noise_draw, noise_sd
 from shardfit.operators.rows import is_sparse
 
 MODES = ("add", "concatenate")
+SLICE_ENTRIES = 500_000   # entries of sparse rows that are handled at once
+
+
+class EntryMatrix:
+    """Z_k of a slice of sparse rows: entries of the own columns beside a matrix of the shared features."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, val: np.ndarray, n: int, width: int):
+        at = row * width + place
+        if len(at) and (np.diff(at) <= 0).any():  # a column that comes twice counts once, with its sum
+            at, to = np.unique(at, return_inverse=True)
+            row, place, val = at // width, at % width, np.bincount(to, weights=val)
+        self.row, self.place, self.val, self.own = row, place, val, width
+        self.others = np.empty((n, 0))
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.others), self.own + self.others.shape[1]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        out = self.others @ w[self.own:]
+        for c in range(w.shape[1]):
+            out[:, c] += np.bincount(self.row, weights=self.val * w[self.place, c], minlength=len(out))
+        return out
+
+    def left(self, a: np.ndarray) -> np.ndarray:
+        """a Z, of one weight per row."""
+        own = np.bincount(self.place, weights=self.val * a[self.row], minlength=self.own)
+        return np.concatenate([own, a @ self.others])
+
+    def left_squares(self, a: np.ndarray) -> np.ndarray:
+        """a (Z * Z)."""
+        own = np.bincount(self.place, weights=self.val * self.val * a[self.row], minlength=self.own)
+        return np.concatenate([own, a @ (self.others * self.others)])
 
 
 @dataclass
@@ -51,16 +84,20 @@ class BlockLayout:
         others = self.n_blocks - 1 if self.mode == "concatenate" else 1
         return self.raw_width(k) + others * self.q
 
-    def slices(self, batch: pa.RecordBatch, wanted=None):
-        """Yield (low, high, block, Z) for slices of a batch of dense or sparse rows."""
+    def slices(self, batch: pa.RecordBatch, wanted=None, entries: bool = False):
+        """Yield (low, high, block, Z) for slices of a batch of dense or sparse rows.
+
+        With ``entries`` Z of sparse rows is an `EntryMatrix`, so that work is per entry.
+        """
         wanted = range(self.n_blocks) if wanted is None else wanted
-        part = self._dense if "features" in batch.schema.names else self._sparse
-        widest = max(len(c) for c in self.cols)
-        per_row = self.n_features if part == self._dense else max(widest, self.n_blocks * self.q)
+        dense = "features" in batch.schema.names
+        widest = 0 if entries else max(len(c) for c in self.cols)
+        per_row = self.n_features if dense else max(widest, self.n_blocks * self.q)
         step = max(1, SLICE_VALUES // max(per_row, 1))
-        for low in range(0, batch.num_rows, step):
-            rows = batch.slice(low, step)
-            raw, projected = part(rows)
+        lists = batch.column("features" if dense else "entries")
+        for low, high in cuts(lists, SLICE_VALUES if dense else SLICE_ENTRIES, step):
+            rows = batch.slice(low, high - low)
+            raw, projected = self._dense(rows) if dense else self._sparse(rows, entries)
             if not self.alone and "noise" in batch.schema.names:
                 noise = matrix_of(rows.column("noise"), self.n_blocks * self.q, "noise")
                 projected = projected + noise * np.repeat(self.sigma, self.q)
@@ -69,12 +106,13 @@ class BlockLayout:
                 total = projected.reshape(-1, self.n_blocks, self.q).sum(axis=1)
             for k in wanted:
                 own = slice(k * self.q, (k + 1) * self.q)
-                if self.alone:
-                    z = raw(k)
-                elif self.mode == "add":
-                    z = np.hstack([raw(k), total - projected[:, own]])
-                else:
-                    z = np.hstack([raw(k), np.delete(projected, own, axis=1)])
+                z = raw(k)
+                if not self.alone:
+                    others = total - projected[:, own] if self.mode == "add" else np.delete(projected, own, axis=1)
+                    if isinstance(z, EntryMatrix):
+                        z.others = others
+                    else:
+                        z = np.hstack([z, others])
                 yield low, low + rows.num_rows, k, z
 
     def _dense(self, rows: pa.RecordBatch):
@@ -84,7 +122,7 @@ class BlockLayout:
             projected = self.projection.dense(x, self.cols)
         return lambda k: x[:, self.cols[k]], projected
 
-    def _sparse(self, rows: pa.RecordBatch):
+    def _sparse(self, rows: pa.RecordBatch, as_entries: bool):
         """Work per entry: no matrix of all features is formed."""
         n, blocks = rows.num_rows, self.n_blocks
         row, col, val = entries_of(rows, self.n_features)
@@ -100,6 +138,8 @@ class BlockLayout:
         def raw(k):
             own = slice(ends[k], ends[k + 1])
             width = self.raw_width(k)
+            if as_entries:
+                return EntryMatrix(row[own], place[col[own]], val[own], n, width)
             return scatter(row[own] * width + place[col[own]], val[own], (n, width))
 
         return raw, projected
@@ -161,17 +201,17 @@ def feed_rows(rows: DataFrame, layout: BlockLayout) -> DataFrame:
 class RowsFeed:
     """Designs of all wanted blocks from batches of rows."""
 
-    def __init__(self, layout, wanted=None):
-        self.layout, self.wanted = layout, wanted
+    def __init__(self, layout, wanted=None, entries=False):
+        self.layout, self.wanted, self.entries = layout, wanted, entries
 
-    def only(self, wanted):
-        return RowsFeed(self.layout, wanted)
+    def only(self, wanted, entries=False):
+        return RowsFeed(self.layout, wanted, entries)
 
     def __call__(self, batch):
         y = batch.column("y").to_numpy(zero_copy_only=False)
         names = batch.schema.names
         fold = batch.column("fold").to_numpy() if "fold" in names else np.zeros(len(y), int)
-        for low, high, k, z in self.layout.value.slices(batch, self.wanted):
+        for low, high, k, z in self.layout.value.slices(batch, self.wanted, self.entries):
             yield k, z, y[low:high], fold[low:high]
 
 
@@ -181,7 +221,7 @@ class DesignFeed:
     def __init__(self, widths, wanted=None):
         self.widths, self.wanted = widths, wanted
 
-    def only(self, wanted):
+    def only(self, wanted, entries=False):
         return DesignFeed(self.widths, wanted)
 
     def __call__(self, batch):

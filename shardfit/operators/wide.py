@@ -17,13 +17,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import Shared, to_driver
 from shardfit.operators.ridge import gap_limit
 
-BATCH = 100_000
+CHUNK = 4_096         # values of a vector that are added up together, 32 KB
+TASKS_PER_CORE = 4    # tasks of a pass; each emits a vector per open problem, whatever its rows
 # fixed values: step lengths that a pass tries besides 0 and 1
 STEPS = np.concatenate([[0.0, 1.0], 2.0 ** -np.arange(1, 25), [0.75, 0.9]])
 STOPPING_GAPS = {"hinge": 1e-6, "logistic": 1e-12}  # that of the squared loss is relative, see `gap_limit`
@@ -138,6 +138,14 @@ class Fit:
             self.d = ahead + self.r @ ahead / square * self.d
 
 
+def _left(z, a: np.ndarray) -> np.ndarray:
+    return a @ z if isinstance(z, np.ndarray) else z.left(a)
+
+
+def _left_squares(z, a: np.ndarray) -> np.ndarray:
+    return a @ (z * z) if isinstance(z, np.ndarray) else z.left_squares(a)
+
+
 def _sums(feed, sent: Shared, loss: str):
     def run(batches):
         questions, found, by_block = sent.value, {}, {}
@@ -152,46 +160,61 @@ def _sums(feed, sent: Shared, loss: str):
                 for at, pid in enumerate(ids):
                     _, left_out, product, _, _, width = questions[pid]
                     train = fold != left_out if left_out else slice(None)
-                    zt, yt, f, along = z[train], y[train], both[train, at], both[train, len(ids) + at]
+                    yt, f, along = y[train], both[train, at], both[train, len(ids) + at]
+                    whole = np.zeros(len(y))  # rows of the fold that is left out weigh nothing
                     if product:
-                        part = np.array([len(yt)]), (_slopes(loss, yt, f, width)[1] * along) @ zt
+                        whole[train] = _slopes(loss, yt, f, width)[1] * along
+                        part = np.array([len(yt)]), _left(z, whole)
                     else:
                         end = f + along
                         a, curve = _slopes(loss, yt, end, width)
                         trials = [_values(loss, yt, f + s * along, width).sum() for s in STEPS] if along.any() else \
                             [_values(loss, yt, f, width).sum()] * len(STEPS)
                         true = np.maximum(1 - yt * end, 0.0) if loss == "hinge" else _values(loss, yt, end, width)
+                        whole[train] = a
+                        slope = _left(z, whole)
+                        whole[train] = curve
                         part = np.array([len(yt), true.sum(), _conjugate(loss, yt, a).sum(), *trials]), \
-                            np.concatenate([a @ zt, curve @ (zt * zt)])
+                            np.concatenate([slope, _left_squares(z, whole)])
                     if pid in found:
                         for total, more in zip(found[pid], part):
                             total += more
                     else:
                         found[pid] = [p.astype(float) for p in part]
         for pid, (sums, vector) in found.items():
-            i, v = np.arange(-len(sums), len(vector)), np.concatenate([sums, vector])
-            for low in range(0, len(v), BATCH):
-                s = slice(low, low + BATCH)
+            v = np.concatenate([sums, vector])
+            for low in range(0, len(v), CHUNK):
+                chunk = pa.array([v[low:low + CHUNK]], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(v[s]), pid, np.int32)), pa.array(i[s]), pa.array(v[s])], ["problem", "i", "v"])
+                    [pa.array([pid], pa.int32()), pa.array([low // CHUNK], pa.int32()), chunk], ["problem", "chunk", "v"])
     return run
 
 
+def _add_up(key, table):
+    """Sum of one chunk over the tasks of a pass."""
+    total = sum(x.values.to_numpy() for x in table["v"])
+    return pa.table({"problem": [key[0].as_py()], "chunk": [key[1].as_py()], "v": pa.array([total], pa.list_(pa.float64()))},
+                    schema=pa.schema([("problem", pa.int32()), ("chunk", pa.int32()), ("v", pa.list_(pa.float64()))]))
+
+
 def solve(source: DataFrame, feed, fits: list[Fit], loss: str, max_iter: int) -> list[Fit]:
     """Move all fits on until each has met its gap or `max_iter` points; those are not converged."""
     check_loss(loss)
     spark = source.sparkSession
+    schema = "problem int, chunk int, v array<double>"
+    source = source.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     while open_ := {k: p for k, p in enumerate(fits) if not p.done}:
         sent = Shared(spark, {k: p.question() for k, p in open_.items()})
-        wanted = feed.only(sorted({p.block for p in open_.values()}))
-        parts = source.mapInArrow(_sums(wanted, sent, loss), "problem int, i long, v double")
-        moved = to_driver(parts.groupBy("problem", "i").agg(F.sum("v").alias("v")))
+        wanted = feed.only(sorted({p.block for p in open_.values()}), entries=True)
+        parts = source.mapInArrow(_sums(wanted, sent, loss), schema)
+        moved = to_driver(parts.groupBy("problem", "chunk").applyInArrow(_add_up, schema))
         sent.release()
         if moved["problem"].nunique() < len(open_):
             raise ValueError("a block or a training fold has no rows")
-        for pid, rows in moved.sort_values("i").groupby("problem"):
-            p, i, v = fits[pid], rows["i"].to_numpy(), rows["v"].to_numpy()
-            p.answer(v[i < 0], v[i >= 0])
+        for pid, rows in moved.sort_values("chunk").groupby("problem"):
+            p, v = fits[pid], np.concatenate(rows["v"].to_list())
+            first = 1 if p.product else TRIALS + len(STEPS)
+            p.answer(v[:first], v[first:])
             if p.points >= max_iter and not p.product:
                 p.done = True
     return fits

@@ -232,3 +232,43 @@ def test_wide_fits_of_uneven_columns_take_few_passes(data, loss, most):
     fits = [wide.Fit(0, 0, lam, np.zeros(7), loss, 1e-6) for lam in (0.01, 1.0)]
     wide.solve(feed_rows(rows, layout).drop("row_id"), RowsFeed(Shared(rows.sparkSession, layout)), fits, loss, 100)
     assert all(f.converged and f.gap <= 1e-6 and f.passes <= most for f in fits), [(f.gap, f.passes) for f in fits]
+
+
+def test_sparse_rows_meet_wide_fits_as_entries(data, monkeypatch):
+    """The same fit as from dense rows, without a dense matrix; slices of a few entries, and a column that comes twice."""
+    from shardfit.operators import design
+
+    layout, _ = model_layout(data["cls"], 2, 2, "sparse", "concatenate", "range")
+    twice = F.flatten(F.transform("entries", lambda e: F.array(*[
+        F.struct(e["col"].alias("col"), (e["x"] / 2).alias("x")) for _ in range(2)])))
+    sparse = to_sparse(data["cls"]).withColumn("entries", twice)
+    monkeypatch.setattr(sizes, "DENSE_WIDTH", 1)
+    monkeypatch.setattr(design, "SLICE_ENTRIES", 20)
+    for loss in ("squared", "logistic"):
+        want = by_block(fit_weights(data["cls"], layout, loss, 0.3, stopping_gap=1e-13))
+        found = by_block(fit_weights(sparse, layout, loss, 0.3, stopping_gap=1e-13))
+        assert all(np.allclose(want[k], found[k], atol=1e-6) for k in want)
+    rng = np.random.default_rng(3)
+    at, x, others, a = rng.integers(0, 30, 50), rng.normal(size=50), rng.normal(size=(5, 2)), rng.normal(size=5)
+    z = design.EntryMatrix(at // 6, at % 6, x, 5, 6)
+    z.others = others
+    dense = np.hstack([np.bincount(at, weights=x, minlength=30).reshape(5, 6), others])
+    w = rng.normal(size=(8, 3))
+    assert z.shape == dense.shape and np.allclose(z @ w, dense @ w)
+    assert np.allclose(z.left(a), a @ dense) and np.allclose(z.left_squares(a), a @ dense ** 2)
+
+
+def test_lengths_of_documents_are_summed_once(spark, tmp_path):
+    """A text of 20 000 words: its length was summed anew for each of them."""
+    import time
+
+    from shardfit.catalog.many_columns import unit_documents
+
+    texts = [(1, " ".join(f"w{i}" for i in range(20_000))), (2, "a b a"), (3, " "), (4, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id bigint, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    start = time.time()
+    rows = {r["row_id"]: [e["x"] for e in r["entries"]] for r in unit_documents(spark, str(tmp_path), 1 << 16).collect()}
+    assert time.time() - start < 10
+    assert abs(np.square(rows[1]).sum() - 1) < 1e-9 and sorted(rows[2]) == [5 ** -0.5, 2 / 5 ** 0.5] and rows[3] == rows[4] == []
