@@ -171,7 +171,8 @@ def preprocessed_columns(spark, d):
         cols = spark.read.parquet(f"{path}/train-colwise")
         y = text.read_response(spark, f"{path}/train-response")
         cells = cols.select("col", "start", F.posexplode("obs").alias("i", "x"))
-        joined = cells.withColumn("pos", F.col("start") + F.col("i")).join(y, "pos")
+        # both sides are as long as the table, yet the exploded files look small enough to be broadcast
+        joined = cells.withColumn("pos", F.col("start") + F.col("i")).hint("merge").join(y, "pos")
         width = text.read_n_feats(spark, f"{path}/train-nFeats")
         return keep(joined.groupBy("col").agg(
             F.count("*").alias("n"), r6(F.avg(F.col("x") * F.col("y"))).alias("m"), F.lit(width).alias("width")))
