@@ -324,9 +324,10 @@ def joined_designs(spark, d):
     rows = document_rows(spark, d, labelled=False)
     blocks = L.assign_blocks(spark, 1024, 4, "range")
     design = joined_design(rows, 1024, blocks, 4, 2, "sparse", "concatenate", 1)
-    cells = design.select("row_id", "block", F.posexplode("z").alias("i", "v"))
-    return cells.groupBy("row_id", "block").agg(
-        F.count("*").alias("n"), r6(F.sum(F.col("v") * (F.col("i") + 1)), 5).alias("s")
+    weighted = F.transform("z", lambda v, i: v * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v)
+    return design.groupBy("row_id", "block").agg(
+        F.sum(F.size("z")).alias("n"), r6(F.sum(total), 5).alias("s")
     )
 
 

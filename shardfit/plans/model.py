@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardfit.functions.checkpoints import keep
 from shardfit.functions.losses import check_loss
 from shardfit.functions.shared import from_driver, to_driver
 from shardfit.functions import sizes
@@ -112,6 +113,7 @@ def joined_design(rows: DataFrame, n_features: int, blocks: DataFrame, n_blocks:
                   private: bool = False, eps: float = 10.0, delta: float = 0.05,
                   noise_seed=None) -> DataFrame:
     """Block designs by joins with the projection matrix, which is never collected."""
+    rows = keep(rows)  # read several times below
     long = to_long(rows, keep_zeros=False)
     rp = None
     if q > 0 and n_blocks > 1:

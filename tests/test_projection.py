@@ -169,3 +169,22 @@ def test_signs_are_remembered_within_bounds(monkeypatch):
         signs.rows(np.arange(low, low + 50))
         assert len(signs.seen) + len(signs.old) < 200
     assert np.array_equal(signs.rows(np.arange(100)), first)
+
+
+def test_joined_designs_read_their_rows_once(spark, data):
+    """Their source is costly where texts become words."""
+    from shardfit.operators.layout import assign_blocks
+    from shardfit.operators.rows import to_sparse
+    from shardfit.plans.model import joined_design
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = to_sparse(data["reg"])
+    counted = rows.mapInArrow(count, rows.schema)
+    design = joined_design(counted, 7, assign_blocks(spark, 7, 2, "range"), 2, 2, "sparse", "concatenate", 1)
+    assert len(design.collect()) == 80 and seen.value == 40
