@@ -28,20 +28,20 @@ def parse_libsvm(lines: DataFrame) -> DataFrame:
     """Sparse rows from ``label i:v i:v ...`` with 1-based indices in any order."""
     tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
 
-    def entry(token):
-        parts = F.split(token, ":")
+    def entry(parts):
         return F.struct(
             (parts[0].cast("int") - 1).alias("col"), parts[1].cast("double").alias("x")
         )
 
-    pairs = F.transform(F.slice("__t", 2, F.greatest(F.size("__t") - 1, F.lit(0))), entry)
+    tail = F.slice("__t", 2, F.greatest(F.size("__t") - 1, F.lit(0)))
+    pairs = F.transform(F.transform(tail, lambda token: F.split(token, ":")), entry)  # a token is split once
     return (
         _data_lines(lines)
         .withColumn("__t", tokens)
         .select(
             "row_id",
             F.element_at("__t", 1).cast("double").alias("y"),
-            F.array_sort(F.filter(pairs, lambda e: e["x"] != 0)).alias("entries"),
+            F.sort_array(F.filter(pairs, lambda e: e["x"] != 0)).alias("entries"),
         )
     )
 

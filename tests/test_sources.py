@@ -185,3 +185,38 @@ def test_words_are_counted_in_bounded_memory():
                 col = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 1024
                 want[col] = want.get(col, 0.0) + 1.0
         assert lists[i] == [{"col": c, "x": want[c]} for c in sorted(want)]
+
+
+def test_libsvm_tokens_are_split_once(spark):
+    from shardfit.sources.text import parse_libsvm
+
+    lines = spark.createDataFrame([(0, "1 3:2.5 1:0.5 2:0 10:-1"), (1, "# no data"), (2, "-1"), (3, "0.5 7:1e3 7:2")], "row_id long, value string")
+    rows = parse_libsvm(lines)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and "lambda" in plan and "array_sort" not in plan
+    found = {r["row_id"]: (r["y"], [tuple(e) for e in r["entries"]]) for r in rows.collect()}
+    assert found == {0: (1.0, [(0, 0.5), (2, 2.5), (9, -1.0)]), 2: (-1.0, []), 3: (0.5, [(6, 2.0), (6, 1000.0)])}
+
+
+def test_exploded_files_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Cells of the column-wise files meet the responses by a shuffle, however small the files look."""
+    import datetime
+
+    from shardfit.catalog import stored as queries
+
+    kinds = ("click", "error", "purchase", "signup", "view")
+    events = [(i, datetime.datetime(2024, 1, 1 + i % 9, i % 24), kinds[i % 5], float(i % 13), f'{{"k": {i % 7}}}') for i in range(60)]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    plans, keep = [], queries.keep
+
+    def told(df):
+        out = keep(df)
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    monkeypatch.setattr(queries, "keep", told)
+    found = queries.preprocessed_columns(spark, str(tmp_path)).collect()
+    assert len(found) == 8 and {r["width"] for r in found} == {8} and len({r["n"] for r in found}) == 1
+    cells = plans[0][:plans[0].index("posexplode")].splitlines()
+    assert any("SortMergeJoin" in line for line in cells) and not any("BroadcastHashJoin" in line for line in cells)
